@@ -78,32 +78,45 @@ def newlines(text: Column) -> Column:
 def matches(text: Column, pattern: str, groups: Iterable[int] = (0,)) -> Column:
     """Every match of ``pattern`` in a whole text, with the 1-based line it starts on.
 
-    Array of ``struct(line INT, g0 STRING, g<i> STRING ...)``. The text between two matches is
-    what ``split`` leaves, so the line of a match is a running count of the newlines in the gaps
-    and matches before it.
+    Array of ``struct(line INT, stop INT, g0 STRING, g<i> STRING ...)``; ``stop`` is the number of
+    characters up to the end of the match. The text between two matches is what ``split`` leaves,
+    so both are running counts over the gaps and matches before.
     """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole))
-    pairs = F.zip_with(
-        gaps, whole, lambda gap, hit: F.struct(newlines(gap).alias("gap"), newlines(hit).alias("hit"))
-    )
-    lines = F.aggregate(
+    pairs = F.zip_with(gaps, whole, lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
+    counted = F.aggregate(
         pairs,
-        F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("out")),
+        F.struct(
+            F.lit(1).alias("at"),
+            F.lit(0).alias("stop"),
+            F.array().cast("array<struct<line:int,stop:int>>").alias("out"),
+        ),
         lambda acc, p: F.struct(
-            (acc["at"] + p["gap"] + p["hit"]).alias("at"),
-            F.array_append(acc["out"], acc["at"] + p["gap"]).alias("out"),
+            (acc["at"] + newlines(p["gap"]) + newlines(p["hit"])).alias("at"),
+            (acc["stop"] + F.length(p["gap"]) + F.length(p["hit"])).alias("stop"),
+            F.array_append(
+                acc["out"],
+                F.struct(
+                    (acc["at"] + newlines(p["gap"])).alias("line"),
+                    (acc["stop"] + F.length(p["gap"]) + F.length(p["hit"])).alias("stop"),
+                ),
+            ).alias("out"),
         ),
         lambda acc: acc["out"],
     )
-    parts = [lines.alias("line"), whole.alias("g0")]
-    names = ["line", "g0"]
+    parts, names = [counted.alias("at"), whole.alias("g0")], ["g0"]
     for g in groups:
         if g:
             parts.append(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}"))
             names.append(f"g{g}")
-    zipped = F.arrays_zip(*parts)
-    return F.transform(zipped, lambda m: F.struct(*[m[n].alias(n) for n in names]))
+    return F.transform(
+        F.arrays_zip(*parts),
+        lambda m: F.struct(
+            m["at"]["line"].alias("line"), m["at"]["stop"].alias("stop"),
+            *[m[n].alias(n) for n in names],
+        ),
+    )
 
 
 def line_at(text: Column, line: Column) -> Column:

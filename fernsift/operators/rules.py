@@ -183,16 +183,17 @@ def scan_texts(sources: DataFrame, rules: Iterable[Rule] | None = None) -> DataF
     rules = list(default_rules() if rules is None else rules)
     none = F.array().cast("array<struct<line:int,rule_id:string,base_severity:string,matched:string>>")
     parts = []
-    for rule in rules:
-        found = F.transform(
-            T.matches(F.col("text"), FLAGS + rule.pattern),
-            lambda m, rule=rule: F.struct(
-                m["line"].alias("line"),
-                F.lit(rule.rule_id).alias("rule_id"),
-                F.lit(rule.severity or base_severity(rule.rule_id)).alias("base_severity"),
-                m["g0"].alias("matched"),
-            ),
+
+    def as_row(rule: Rule):
+        return lambda m: F.struct(
+            m["line"].alias("line"),
+            F.lit(rule.rule_id).alias("rule_id"),
+            F.lit(rule.severity or base_severity(rule.rule_id)).alias("base_severity"),
+            m["g0"].alias("matched"),
         )
+
+    for rule in rules:
+        found = F.transform(T.matches(F.col("text"), FLAGS + rule.pattern), as_row(rule))
         parts.append(F.when(F.expr(_test(rule)), found).otherwise(none))
     hits = F.flatten(F.flatten(F.transform(F.array(F.lit(0)), lambda _: F.array(*parts))))
     return (

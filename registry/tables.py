@@ -95,9 +95,9 @@ SELECT concat('f', CAST(CAST(floor(event_id / {LINES_PER_FILE}) AS BIGINT) AS ST
        CAST(event_id % {LINES_PER_FILE} + 1 AS INT) AS line,
        CASE (event_id + CAST(floor(event_id / {step}) AS BIGINT) * 5) % {step} {cases} END AS raw
 FROM (SELECT event_id, md5(CAST(event_id AS STRING)) AS h,
-             translate(concat(upper(substr(md5(CAST(event_id AS STRING)), 1, 20)),
-                              substr(md5(CAST(event_id + 1 AS STRING)), 1, 20)),
-                       '0123456789abcdefABCDEF', 'gh1jZkVm7nQpwRtXyKuLsW') AS m,
+             concat(translate(substr(md5(CAST(event_id AS STRING)), 1, 14), '0123456789abcdef', 'gh1jZkVm7nQpwRtX'),
+                    translate(substr(md5(CAST(event_id AS STRING)), 15, 14), '0123456789abcdef', 'KyuLsWBDF3G5HJ8a'),
+                    translate(substr(md5(CAST(event_id + 1 AS STRING)), 1, 14), '0123456789abcdef', 'CNvxTEM2zbcdfq6P')) AS m,
              CAST((event_id * 7 + CAST(floor(event_id / 11) AS BIGINT)) % 6 AS STRING) AS n,
              CAST((event_id * 3 + CAST(floor(event_id / 7) AS BIGINT)) % 6 AS STRING) AS p
       FROM {events}) e) x"""
