@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fernsift.functions.fixpoint import pin
+
 TABLES = {
     "targets": "target_id BIGINT, domain STRING, created_at TIMESTAMP",
     "source_files": "hash STRING, content STRING, created_at TIMESTAMP",
@@ -36,26 +38,31 @@ class Store:
         files = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not files.exists(hadoop):
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(self.folder(name))
+        table = self.spark.read.schema(TABLES[name]).parquet(self.folder(name))
+        return table.select(*self.columns(name))
+
+    def columns(self, name: str) -> list[str]:
+        return [f.split()[0] for f in TABLES[name].split(", ")]
 
     def append(self, name: str, rows: DataFrame) -> None:
-        writer = rows.select(*[f.split()[0] for f in TABLES[name].split(", ")]).write.mode("append")
-        if name == "findings":
-            writer = writer.partitionBy("severity")
-        writer.parquet(self.folder(name))
+        rows.select(*self.columns(name)).write.mode("append").parquet(self.folder(name))
+
+    def write_scan(self, name: str, rows: DataFrame, scan_id: str) -> None:
+        """Assets or findings of one scan, in place of those of an earlier run of the same scan."""
+        by = ["scan_id", "severity"] if name == "findings" else ["scan_id"]
+        (
+            rows.select(*self.columns(name))
+            .withColumn("scan_id", F.lit(scan_id))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(*by)
+            .parquet(self.folder(name))
+        )
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        """Write a table anew; the rows may come from the table itself, so they are written aside first.
-
-        The cut through the checkpoint folder keeps the old files readable until the rows are safe.
-        """
-        from fernsift.functions.fixpoint import pin
-
-        kept = pin(rows)
-        writer = kept.write.mode("overwrite")
-        if name == "findings":
-            writer = writer.partitionBy("severity")
-        writer.parquet(self.folder(name))
+        """Write a table anew. The rows may come from the table itself, so they are pinned first."""
+        kept = pin(rows.select(*self.columns(name)))
+        kept.write.mode("overwrite").parquet(self.folder(name))
 
 
 def hashed(submissions: DataFrame) -> DataFrame:
@@ -104,8 +111,11 @@ def finding_rows(findings: DataFrame, limit: int = 1000) -> DataFrame:
     )
 
 
-def write_findings(store: Store, findings: DataFrame) -> None:
-    store.append("findings", finding_rows(findings).withColumn("created_at", F.current_timestamp()))
+def write_findings(store: Store, findings: DataFrame, scan_id: str) -> None:
+    """Findings with an ``asset_id`` into the store, partitioned by scan and severity."""
+    store.write_scan(
+        "findings", finding_rows(findings).withColumn("created_at", F.current_timestamp()), scan_id
+    )
 
 
 def write_report(findings: DataFrame, path: str) -> None:
