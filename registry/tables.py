@@ -67,6 +67,19 @@ TEMPLATES = [
     "  g{p}(v{n}, v{p});",
     "el.style.cssText = `color: ${v{n}}`;",
     "const title{n} = document.title;",
+    "const account{n} = \"a{p}\";",
+    "let total{n} = {p};",
+    "total{n} += {p};",
+    "}",
+    "const list{n} = [{n}, {p}];",
+    "list{n}.sort();",
+    "return total{n};",
+    "const size{n} = list{n}.length;",
+    "const day{n} = {p};",
+    "const role{n} = \"viewer\";",
+    "const left{n} = size{p};",
+    "draw(total{n});",
+    "const bank{n} = \"b{p}\";",
 ]
 
 
@@ -142,3 +155,53 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 CODE_LINES = f"code_lines AS MATERIALIZED ({code_lines_sql()})"
 CODE_FILES = f"""{CODE_LINES},
 code_files AS MATERIALIZED (SELECT file, string_agg(text, chr(10) ORDER BY line) AS text FROM code_lines GROUP BY file)"""
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for what a query writes, in the shared folder that the cluster names."""
+    import uuid
+
+    from fernsift.functions.fixpoint import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def q(text: str) -> str:
+    """A DuckDB string literal."""
+    return "'" + text.replace("'", "''") + "'"
+
+
+def re2(pattern: str) -> str:
+    """A pattern without what RE2 does not know: possessive loops and the Unix-lines flag."""
+    plain = pattern.replace("++", "+").replace("*+", "*")
+    for flags, without in (("(?d)", ""), ("(?id)", "(?i)"), ("(?ismd)", "(?ism)"), ("(?isd)", "(?is)")):
+        plain = plain.replace(flags, without)
+    return q(plain)
+
+
+def matched(column: str, pattern: str) -> str:
+    return f"regexp_matches({column}, {re2(pattern)})"
+
+
+def has_any(column: str, words, ignore_case: bool = False) -> str:
+    if ignore_case:
+        column, words = f"lower({column})", [w.lower() for w in words]
+    return "(" + " OR ".join(f"contains({column}, {q(w)})" for w in words) + ")"
+
+
+def first_word(column: str, words) -> str:
+    cases = " ".join(f"WHEN contains({column}, {q(w)}) THEN {q(w)}" for w in words)
+    return f"CASE {cases} END"
+
+
+def stripped(column: str) -> str:
+    return f"trim({column}, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13)))"
+
+
+def with_lines(sql: str) -> str:
+    return f"WITH {CODE_LINES}\n{sql}"
+
+
+def with_files(sql: str) -> str:
+    return f"WITH {CODE_FILES}\n{sql}"
