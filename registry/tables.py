@@ -80,6 +80,8 @@ TEMPLATES = [
     "const left{n} = size{p};",
     "draw(total{n});",
     "const bank{n} = \"b{p}\";",
+    "window[~eval~](v{n}); cfg[\"name{p}\"] = total{n};",
+    "call(_0x{n}[0], _0x{p}[1], _0x0[2], _0x1[2], _0x2[0], _0x3[0x1]);",
 ]
 
 

@@ -257,9 +257,9 @@ KIND_SQL = {
 }
 
 
-def literals_sql(kind: str) -> str:
+def literal_rows(kind: str) -> str:
     pattern, decoded = KIND_SQL[kind]
-    return with_lines(
+    return (
         f"SELECT file, line, '{kind}' AS kind, raw, {decoded} AS decoded FROM (SELECT file, line, "
         f"unnest(regexp_extract_all(text, {re2(pattern)})) AS raw FROM code_lines)"
     )
@@ -270,22 +270,21 @@ def literals(kind: str):
 
 
 for _kind in KIND_SQL:
-    add(f"decode_{_kind}", literals(_kind), literals_sql(_kind))
+    add(f"decode_{_kind}", literals(_kind), with_lines(literal_rows(_kind)))
 ARRAYS_SQL = f""", declared AS (SELECT file, regexp_extract(text, {re2(D.ARRAY)}, 1) AS name, max_by(regexp_extract_all(
   regexp_extract(text, {re2(D.ARRAY)}, 2), '[''"]([^''"]*)[''"]', 1), line) AS elements
   FROM code_lines WHERE {matched('text', re2(D.ARRAY)[1:-1].replace("''", "'"))} GROUP BY ALL),
 used AS (SELECT file, line, unnest(regexp_extract_all(text, '\\w+\\[(?:0x)?\\d+\\]')) AS raw FROM code_lines)"""
+ARRAY_ROWS = r"""SELECT u.file, u.line, 'array' AS kind, raw, concat('"', elements[regexp_extract(raw, '(\d+)\]', 1)::INT + 1],
+ '"') AS decoded FROM used u JOIN declared d ON d.file = u.file AND d.name = regexp_extract(raw, '^(\w+)', 1)
+ AND regexp_extract(raw, '(\d+)\]', 1)::INT < len(elements)"""
+add("decode_array", literals("array"), f"WITH {t.CODE_LINES}{ARRAYS_SQL} {ARRAY_ROWS}")
 add(
-    "decode_array",
-    literals("array"),
-    with_lines(
-        r"""SELECT u.file, u.line, 'array' AS kind, raw, concat('"', elements[regexp_extract(raw, '(\d+)\]', 1)::INT + 1], '"')
-        AS decoded FROM used u JOIN declared d ON d.file = u.file AND d.name = regexp_extract(raw, '^(\w+)', 1)
-        AND regexp_extract(raw, '(\d+)\]', 1)::INT < len(elements)"""
-    ).replace("code_lines)\nSELECT", "code_lines)\nSELECT").replace("\nSELECT u.file", ARRAYS_SQL + "\nSELECT u.file", 1),
+    "decode_literals",
+    lambda spark, sf: D.decode_literals(t.code_files(spark, sf)),
+    f"WITH {t.CODE_LINES}{ARRAYS_SQL} {ARRAY_ROWS} UNION ALL "
+    + "\nUNION ALL ".join(literal_rows(kind) for kind in KIND_SQL),
 )
-add("decode_literals", lambda spark, sf: D.decode_literals(t.code_files(spark, sf)).groupBy("kind").agg(F.count("*").alias("n")),
-    None)
 # without SQL check: seven rewriting steps in a row; tests compare them with a small interpreter
 add("apply_decoded", lambda spark, sf: D.apply_decoded(t.code_files(spark, sf)))
 add(
