@@ -84,7 +84,7 @@ def roots(links: DataFrame, node: list[str], payload: list[str], steps: str) ->
             *[F.col(c).alias(f"u_{c}") for c in inner],
             *[F.col(f"parent_{c}").alias(f"up_{c}") for c in inner],
             *[F.col(c).alias(f"up_{c}") for c in payload],
-            F.col(steps).alias("up_steps"),
+            F.col(steps).alias("up_way"),
         )
         on = [F.col(node[0]) == F.col("u_file")]
         on += [F.col(f"parent_{c}") == F.col(f"u_{c}") for c in inner]
@@ -99,7 +99,7 @@ def roots(links: DataFrame, node: list[str], payload: list[str], steps: str) ->
                     for c in payload
                 ],
                 F.when(F.col(f"parent_{inner[0]}").isNull(), F.col(steps))
-                .otherwise(F.concat("up_steps", steps))
+                .otherwise(F.concat("up_way", steps))
                 .alias(steps),
             )
         )

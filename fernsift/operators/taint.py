@@ -140,6 +140,12 @@ def _resolve(definitions: DataFrame, references: DataFrame, block: int) -> DataF
     return resolved.filter(F.col("name").isNotNull() & F.col("at").isNotNull())
 
 
+def _self_washed(references: DataFrame) -> DataFrame:
+    """Definitions from a source word and their own name through a sanitizer: clean."""
+    own = F.col("sanitizes") & F.col("source").isNotNull() & (F.col("ref") == F.col("name"))
+    return references.filter(own).select("file", "line", "name").distinct()
+
+
 def _declared(definitions: DataFrame, resolved: DataFrame, references: DataFrame) -> DataFrame:
     """Definitions that are tainted: (file, line, name).
 
@@ -150,11 +156,7 @@ def _declared(definitions: DataFrame, resolved: DataFrame, references: DataFrame
     node = ["file", "line", "name"]
     seeds = definitions.filter(F.col("source").isNotNull())
     washed = seeds.filter("sanitizes").select(*node)
-    self_washed = (
-        references.filter(F.col("sanitizes") & F.col("source").isNotNull() & (F.col("ref") == F.col("name")))
-        .select(*node)
-        .distinct()
-    )
+    self_washed = _self_washed(references)
     edges = resolved.filter((F.col("ref") != F.col("name")) & ~F.col("sanitizes")).select(
         F.col("file").alias("from_file"), F.col("at").alias("from_line"), F.col("ref").alias("from_name"),
         F.col("file").alias("to_file"), F.col("line").alias("to_line"), F.col("name").alias("to_name"),
@@ -212,12 +214,14 @@ def _credited(definitions: DataFrame, resolved: DataFrame, tainted: DataFrame) -
     return roots(links, node, ["source", "source_line"], "steps")
 
 
-def _sanitized(definitions: DataFrame, resolved: DataFrame, tainted: DataFrame) -> DataFrame:
+def _sanitized(resolved: DataFrame, references: DataFrame, tainted: DataFrame) -> DataFrame:
+    """Definitions with a sanitizer and a tainted reference."""
     hit = tainted.select("file", F.col("line").alias("at"), F.col("name").alias("ref"))
     return (
         resolved.filter("sanitizes")
         .join(hit, ["file", "at", "ref"], "left_semi")
         .select("file", "line", "name")
+        .union(_self_washed(references))
         .distinct()
     )
 
@@ -476,7 +480,7 @@ def analyze(
     resolved = pin(_resolve(definitions, references, block))
     tainted = _declared(definitions, resolved, references)
     credited = _credited(definitions, resolved, tainted)
-    cleaned = _sanitized(definitions, resolved, tainted).withColumn("_clean", F.lit(True))
+    cleaned = _sanitized(resolved, references, tainted).withColumn("_clean", F.lit(True))
 
     key = ["file", "line", "name"]
     states = (

@@ -32,8 +32,7 @@ def read_source_tree(spark: SparkSession, path: str) -> DataFrame:
     folders = "|".join(n.replace(".", r"\.") for n in LEFT_OUT)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     # only folders below the one asked for are left out
-    root = F.lit(path.rstrip("/"))
-    below = F.substring_index("path", root, -1)
+    below = F.substring_index("path", path.rstrip("/"), -1)
     kept = files.filter(F.col("path").rlike(f"(?:{names})$") & ~below.rlike(f"/(?:{folders})/"))
     text = F.col("content").cast("string")
     clean = F.when(F.is_valid_utf8(text), text).otherwise(
