@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,10 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# Rows up to which a frontier is copied to all executors; a row holds a file, a name and a number.
+BROADCAST_ROWS = 200_000
+
+
 def smallest_labels(
     seeds: DataFrame,
     edges: DataFrame,
@@ -33,41 +38,44 @@ def smallest_labels(
     label: str,
     step: Callable[[Column], Column],
     compact_every: int = 8,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Least label of every node that the seeds reach.
 
     ``seeds``: node columns + ``label``; ``edges``: ``from_<node>`` and ``to_<node>`` columns and
     whatever ``step`` reads. ``step`` turns the label at the start of an edge into the label at its
     end, null where the edge cannot be taken. The first column of ``node`` is the file, which no
-    edge leaves. Each round joins only the nodes whose label has just improved; every few
-    rounds the edges of files that are finished are dropped.
+    edge leaves.
+
+    Each round joins only the nodes whose label has just improved (the frontier). It is counted, and
+    while it is large it is joined by a shuffle, which splits hot nodes; once small, it is
+    broadcast, and the edges stay where they are. Every few rounds the edges of files that
+    are finished are dropped, so a few long chains do not keep reading all edges.
     """
     heads = [F.col(f"from_{c}") == F.col(f"f.{c}") for c in node]
     edges = pin(edges)
-    known = pin(seeds.groupBy(*node).agg(F.min(label).alias(label)))
-    frontier, rounds = known, 0
-    while not frontier.isEmpty():
+    frontier = pin(seeds.groupBy(*node).agg(F.min(label).alias(label)))
+    log, rounds = [frontier], 0
+    while size := frontier.count():
+        head = F.broadcast(frontier) if size <= broadcast_rows else frontier
         reached = (
             edges.alias("e")
-            .join(frontier.alias("f"), heads)
+            .join(head.alias("f"), heads)
             .select(*[F.col(f"e.to_{c}").alias(c) for c in node], step(F.col(f"f.{label}")).alias(label))
             .filter(F.col(label).isNotNull())
             .groupBy(*node)
             .agg(F.min(label).alias(label))
         )
-        best = known.withColumnRenamed(label, "_old")
-        frontier = pin(
-            reached.join(best, node, "left")
-            .filter(F.col("_old").isNull() | (F.col(label) < F.col("_old")))
-            .drop("_old")
-        )
+        known = reduce(DataFrame.unionByName, log).withColumnRenamed(label, "_old")
+        as_good = [F.col(f"r.{c}") == F.col(f"k.{c}") for c in node] + [F.col("_old") <= F.col(f"r.{label}")]
+        frontier = pin(reached.alias("r").join(known.alias("k"), as_good, "left_anti"))
+        log.append(frontier)
         rounds += 1
-        known = known.join(frontier.select(*node), node, "left_anti").unionByName(frontier)
         if rounds % compact_every == 0:
-            known = pin(known)
+            log = [pin(reduce(DataFrame.unionByName, log).groupBy(*node).agg(F.min(label).alias(label)))]
             live = frontier.select(F.col(node[0]).alias(f"from_{node[0]}")).distinct()
             edges = pin(edges.join(live, f"from_{node[0]}", "left_semi"))
-    return known
+    return reduce(DataFrame.unionByName, log).groupBy(*node).agg(F.min(label).alias(label))
 
 
 def roots(links: DataFrame, node: list[str], payload: list[str], steps: str) -> DataFrame:

@@ -135,25 +135,32 @@ def _replaced(text: Column, pattern: str, decode: Callable) -> Column:
     )
 
 
+def _let(value: Column, use: Callable) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it.
+
+    A chain of plain columns would be copied into every mention when a filter is pushed below it.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def apply_decoded(sources: DataFrame, compat: bool = True) -> DataFrame:
     """``sources`` with the encoded literals decoded, one kind after the other."""
-    out = sources
+
+    def plain(word: str, pattern: str, decode: Callable) -> Callable:
+        return lambda t: F.when(
+            t.contains(word), _replaced(t, pattern, lambda raw: decode(raw, None))
+        ).otherwise(t)
+
+    def with_arrays(pattern: str, decode: Callable) -> Callable:
+        return lambda t: F.when(
+            t.rlike(ARRAY),
+            _let(string_arrays(t), lambda arrays: _replaced(t, pattern, lambda raw: decode(raw, arrays))),
+        ).otherwise(t)
+
+    text = F.col("text")
     for kind, word, pattern, decode in _steps(compat):
-        text = F.col("text")
-        if kind == "array":
-            out = out.withColumn("_arrays", F.when(text.rlike(ARRAY), string_arrays(text)))
-            step = _replaced(text, pattern, lambda raw: decode_access(raw, F.col("_arrays"), compat))
-            out = out.withColumn(
-                "text", F.when(F.size("_arrays") > 0, step).otherwise(text)
-            ).drop("_arrays")
-            continue
-        step = _replaced(text, pattern, _one_argument(decode))
-        out = out.withColumn("text", F.when(text.contains(word), step).otherwise(text))
-    return out
-
-
-def _one_argument(decode: Callable) -> Callable:
-    return lambda raw: decode(raw, None)
+        text = _let(text, with_arrays(pattern, decode) if kind == "array" else plain(word, pattern, decode))
+    return sources.withColumn("text", text)
 
 
 def decode_literals(sources: DataFrame, compat: bool = True) -> DataFrame:

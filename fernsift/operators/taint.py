@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 
 from fernsift.functions import text as T
 from fernsift.functions.fixpoint import pin, roots, smallest_labels
-from fernsift.functions.frames import BLOCK, last_before
+from fernsift.functions.frames import BLOCK, last_before, running_sum
 from fernsift.operators.assignments import (
-    assign_scopes,
     extract_assignments,
     extract_calls,
     extract_functions,
@@ -453,6 +452,16 @@ def tainted_symbols(symbols: DataFrame) -> DataFrame:
     return symbols.filter(F.col("state") == "TAINTED")
 
 
+def _scopes_of(functions: DataFrame, assignments: DataFrame, block: int) -> DataFrame:
+    """(file, line, scope_ord) of the lines that define something, without looking at the others."""
+    entered = functions.select("file", "line", (F.col("kind") == "function").cast("int").alias("_enters"))
+    passed = assignments.select("file", "line", F.lit(0).alias("_enters"))
+    marks = entered.union(passed).groupBy("file", "line").agg(F.max("_enters").alias("_enters"))
+    return running_sum(marks, ["file"], "line", F.col("_enters"), "scope_ord", block).select(
+        "file", "line", "scope_ord"
+    )
+
+
 def analyze(
     sources: DataFrame,
     taint_sources=TAINT_SOURCES,
@@ -464,9 +473,9 @@ def analyze(
     """Symbols and flows of all files. Texts without a source word cannot have any and are left out."""
     live = sources.filter(T.contains_any(F.col("text"), taint_sources))
     lines = explode_lines(live)
-    functions = extract_functions(lines)
-    scopes = assign_scopes(lines, block)
+    functions = pin(extract_functions(lines))
     found = pin(extract_assignments(lines))
+    scopes = pin(_scopes_of(functions, found, block))
     in_functions = function_params(functions.filter(F.col("kind") == "function")).select(
         "file", "line", F.col("param").alias("name"), F.lit(None).cast("string").alias("rhs"),
         F.lit(None).cast("string").alias("source"), F.lit(False).alias("sanitizes"),
@@ -514,12 +523,14 @@ def analyze(
     after = _assigned(plain, visible, max_rounds).select(
         "file", "name", *[F.col(c).alias(f"new_{c}") for c in ("state", "source", "source_line", "steps")]
     )
-    deepest = scopes.groupBy("file").agg(F.max("scope_ord").alias("_deepest"))
+    deepest = functions.groupBy("file").agg(
+        F.count_if(F.col("kind") == "function").cast("int").alias("_deepest")
+    )
     assigned_only = (
         plain.select("file", "name").distinct().join(top, ["file", "name"], "left_anti")
-        .join(deepest, "file")
+        .join(deepest, "file", "left")
         .select(
-            "file", F.col("_deepest").alias("scope_ord"), "name",
+            "file", F.coalesce("_deepest", F.lit(0)).alias("scope_ord"), "name",
             F.struct(
                 F.lit("UNKNOWN").alias("state"), F.lit(None).cast("string").alias("source"),
                 F.lit(None).cast("int").alias("source_line"), _no_steps().alias("steps"),

@@ -42,7 +42,8 @@ def scan_v2(sources: DataFrame, rules=None, window: int = 25) -> DataFrame:
 def scan(sources: DataFrame, decode: bool = True, compat: bool = True) -> DataFrame:
     """All analyzers of the live engine: decode, structure, flows, requests, messages, credentials,
     backtracking; then one finding per type, line and sink, with confidence."""
-    texts = pin(apply_decoded(sources, compat)) if decode else sources
+    # decoded again by every analyzer that reads it: far cheaper than a copy of all texts
+    texts = apply_decoded(sources, compat) if decode else sources
     lines = explode_lines(texts)
     tainted = taint_flow.analyze(texts)
     names = taint_flow.tainted_symbols(tainted.symbols).select("file", "name")
@@ -73,9 +74,8 @@ def run_job(
     their assets. Rows of a scan replace those of an earlier run with the same ``scan_id``, so a
     repeated run adds nothing. With ``new_only`` texts that are stored already are not scanned.
     """
-    submissions = pin(submissions.select("domain", "filename", "code"))
-    stored = store.read("source_files")
-    fresh = pin(tables.store_sources(submissions, stored))
+    submissions = submissions.select("domain", "filename", "code")
+    fresh = tables.store_sources(submissions, store.read("source_files"))
     now = F.current_timestamp()
     store.append("targets", tables.upsert_targets(submissions, store.read("targets")).withColumn("created_at", now))
     assets = pin(tables.link_assets(submissions, scan_id))
