@@ -129,8 +129,11 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read(spark, sf_dir, "events").createOrReplaceTempView("fernsift_events")
-    return spark.sql(code_lines_sql("fernsift_events"))
+    spread(read(spark, sf_dir, "events").select("event_id")).createOrReplaceTempView("fernsift_events")
+    made = spark.sql(code_lines_sql("fernsift_events"))
+    # a stored table has its text as a column; the one-element array keeps filters from copying
+    # the long expression that makes it here
+    return made.select("file", "line", F.explode(F.array("text")).alias("text"))
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
