@@ -5,6 +5,8 @@ Ids are hashes of the natural key, so a re-run after a lost executor gives the s
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ TABLES = {
     "findings": "finding_id BIGINT, asset_id BIGINT, type STRING, severity STRING, evidence STRING, "
     "line INT, created_at TIMESTAMP",
 }
+PARTITIONS = {"assets": ["scan_id"], "findings": ["scan_id", "severity"]}
 NO_SOURCE = (
     "// Source code not found in database.\n"
     "// It may have been cleaned up or the scan failed."
@@ -34,12 +37,16 @@ class Store:
 
     def read(self, name: str) -> DataFrame:
         """A table; empty if nothing has been written yet."""
+        return self._stored(name).select(*self.columns(name))
+
+    def _stored(self, name: str) -> DataFrame:
+        """A table with the columns it is partitioned by."""
+        schema = TABLES[name] + "".join(f", {c} STRING" for c in PARTITIONS.get(name, []) if c == "scan_id")
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder(name))
         files = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not files.exists(hadoop):
-            return self.spark.createDataFrame([], TABLES[name])
-        table = self.spark.read.schema(TABLES[name]).parquet(self.folder(name))
-        return table.select(*self.columns(name))
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.folder(name))
 
     def columns(self, name: str) -> list[str]:
         return [f.split()[0] for f in TABLES[name].split(", ")]
@@ -49,20 +56,15 @@ class Store:
 
     def write_scan(self, name: str, rows: DataFrame, scan_id: str) -> None:
         """Assets or findings of one scan, in place of those of an earlier run of the same scan."""
-        by = ["scan_id", "severity"] if name == "findings" else ["scan_id"]
-        (
-            rows.select(*self.columns(name))
-            .withColumn("scan_id", F.lit(scan_id))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*by)
-            .parquet(self.folder(name))
-        )
-
-    def replace(self, name: str, rows: DataFrame) -> None:
-        """Write a table anew. The rows may come from the table itself, so they are pinned first."""
-        kept = pin(rows.select(*self.columns(name)))
-        kept.write.mode("overwrite").parquet(self.folder(name))
+        self._overwrite(name, rows.select(*self.columns(name)).withColumn("scan_id", F.lit(scan_id)), "dynamic")
+
+    def rewrite(self, name: str, change: Callable[[DataFrame], DataFrame]) -> None:
+        """Write a table anew from itself. The changed rows are pinned before the old ones go."""
+        self._overwrite(name, pin(change(self._stored(name))), "static")
+
+    def _overwrite(self, name: str, rows: DataFrame, mode: str) -> None:
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", mode)
+        writer.partitionBy(*PARTITIONS.get(name, [])).parquet(self.folder(name))
 
 
 def hashed(submissions: DataFrame) -> DataFrame:
@@ -180,4 +182,4 @@ def clear_target(findings: DataFrame, assets: DataFrame, target_id: int) -> Data
 def wipe(store: Store) -> None:
     """Empty targets, assets and findings; the source files stay."""
     for name in ("targets", "assets", "findings"):
-        store.replace(name, store.read(name).limit(0))
+        store.rewrite(name, lambda rows: rows.limit(0))

@@ -177,10 +177,38 @@ add(
     "WITH picked AS MATERIALIZED (" + SPLIT.format(key="page_id", parts="string_split(html, chr(10))", table="pages")
     + ") SELECT rule_id, count(*) AS hits FROM (" + rule_sql(RULES, None, "{id} AS rule_id") + ") GROUP BY rule_id",
 )
-# without SQL check: RE2 has no look-around; tests compare these with Python's regexes
+# RE2 has no look-around: a rule becomes what must match and what must not. That is the same on lines
+# in which the first part occurs once; tests compare all 25 rules with Python's regexes.
+
+NEGATIVE_SQL = {
+    "XSS_INNERHTML_DIRECT": (r"\.innerHTML\s*=", r"\.innerHTML\s*=['\"]<?\s*['\"]"),
+    "EVAL_FUNCTION_DIRECT": (r"Function\s*\(\s*['\"`]", r"new\sFunction\s*\(\s*['\"`]"),
+    "EVAL_SCRIPT_SRC": (r"script\.src\s*=", r"script\.src\s*=['\"]https?://"),
+    "REDIRECT_LOCATION": (r"(?:window\.)?location\s*=", r"location\s*=" + K.LOCAL_URL),
+    "REDIRECT_LOCATION_HREF": (r"location\.href\s*=", r"location\.href\s*=" + K.LOCAL_URL),
+    "REDIRECT_LOCATION_REPLACE": (r"location\.replace\s*\(", r"location\.replace\s*\(" + K.LOCAL_URL),
+    "REDIRECT_LOCATION_ASSIGN": (r"location\.assign\s*\(", r"location\.assign\s*\(" + K.LOCAL_URL),
+    "REDIRECT_WINDOW_OPEN": (r"window\.open\s*\(", rf"window\.open\s*\((?:{K.LOCAL_URL}|['\"]_)"),
+    "COOKIE_NO_SECURE": (r"document\.cookie\s*=\s*['\"]", None),
+}
+
+
+def negative_sql(rule) -> str:
+    must, must_not = NEGATIVE_SQL.get(rule.rule_id) or (
+        rule.pattern[: rule.pattern.rindex("(?!")],
+        rule.pattern.replace("(?!", "(?:"),
+    )
+    condition = matched("text", K.FLAGS + must)
+    if must_not:
+        condition += f" AND NOT {matched('text', K.FLAGS + must_not)}"
+    return f"SELECT file, line, {q(rule.rule_id)} AS rule_id FROM picked WHERE {condition}"
+
+
 add(
     "scan_rules_negative",
     lambda spark, sf: R.scan_rules(t.code_lines(spark, sf), K.negative(K.default_rules())).select("file", "line", "rule_id"),
+    f"WITH {t.CODE_LINES}, picked AS MATERIALIZED (SELECT * FROM code_lines WHERE {ELIGIBLE})\n"
+    + "\nUNION ALL ".join(map(negative_sql, K.negative(K.default_rules()))),
 )
 SPANNING = [r for r in RULES if r"[\s\S]" in r.pattern and r.family in ("POSTMSG", "WS", "STORAGE", "DESER")]
 add(

@@ -82,8 +82,16 @@ def test_job_is_repeatable(spark, submitted, tmp_path):
     assert by_url["x.js"] == by_url["copy.js"] > by_url["y.js"] > 0
     text = W.fetch_source(store.read("source_files"), store.read("assets"), store.read("targets"), "a.example", "x.js")
     assert text.first().content == CODE
+    gone = store.read("findings").first().finding_id
+    store.rewrite("findings", lambda rows: W.delete_finding(rows, gone))
+    assert store.read("findings").filter(F.col("finding_id") == gone).count() == 0
+    target = store.read("targets").filter("domain = 'a.example'").first().target_id
+    store.rewrite("findings", lambda rows: W.clear_target(rows, store.read("assets"), target))
+    assert {r["url"] for r in W.target_findings(store.read("findings"), store.read("assets")).collect()} == {"y.js"}
     W.wipe(store)
     assert counts(store) == {"targets": 0, "source_files": 2, "assets": 0, "findings": 0}
+    P.run_job(submitted, store, "three", engine="v2")
+    assert counts(store) == first
 
 
 def test_stream_equals_batch(spark, submitted, tmp_path):
