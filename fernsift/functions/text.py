@@ -20,6 +20,13 @@ def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
+FAN_OUT = 6
+
+
+def _escaped(c: str) -> str:
+    return c if c.isalnum() or ord(c) > 127 else "\\" + c
+
+
 def one_of(words: Iterable[str]) -> str:
     """A regex for the longest of ``words`` at a position, words with a common start sharing it.
 
@@ -29,12 +36,19 @@ def one_of(words: Iterable[str]) -> str:
     tails: dict[str, set[str]] = {}
     for w in words - {""}:
         tails.setdefault(w[0], set()).add(w[1:])
-    branches = [
-        (c if c.isalnum() or ord(c) > 127 else "\\" + c) + one_of(tails[c]) for c in sorted(tails)
-    ]
+    branches = [(c, _escaped(c) + one_of(tails[c])) for c in sorted(tails)]
     if not branches:
         return ""
-    body = branches[0] if len(branches) == 1 and "" not in words else f"(?:{'|'.join(branches)})"
+    if len(branches) > FAN_OUT:
+        # Java tries alternatives one after the other, so many of them are looked up by class first
+        chunks = [branches[i : i + FAN_OUT] for i in range(0, len(branches), FAN_OUT)]
+        options = [
+            f"(?=[{''.join(_escaped(c) for c, _ in chunk)}])(?:{'|'.join(b for _, b in chunk)})"
+            for chunk in chunks
+        ]
+    else:
+        options = [b for _, b in branches]
+    body = options[0] if len(options) == 1 and "" not in words else f"(?:{'|'.join(options)})"
     return body + ("?" if "" in words else "")
 
 

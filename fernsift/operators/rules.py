@@ -121,6 +121,9 @@ def _present(groups: list[tuple[tuple[str, ...], list[Rule]]]) -> Column:
     )
 
 
+BUCKET = 16
+
+
 def _hits(groups: list[tuple[tuple[str, ...], list[Rule]]]) -> Column:
     """Array of the rules that match one line, from the columns text, _lower and _present.
 
@@ -128,7 +131,7 @@ def _hits(groups: list[tuple[tuple[str, ...], list[Rule]]]) -> Column:
     hundred regexes in one generated method would exceed the size limit of the JVM.
     """
     none = "CAST(array() AS array<struct<rule_id:string,family:string,base_severity:string,matched:string>>)"
-    parts = []
+    buckets, always = defaultdict(list), []
     for number, (literals, members) in enumerate(groups):
         tests = []
         for rule in members:
@@ -144,8 +147,16 @@ def _hits(groups: list[tuple[tuple[str, ...], list[Rule]]]) -> Column:
         tested = f"array_compact(array({', '.join(tests)}))"
         if literals:
             tested = f"CASE WHEN array_contains(_present, {number}) THEN {tested} ELSE {none} END"
-        parts.append(tested)
-    found = f"flatten(flatten(transform(array(0), x -> array({', '.join(parts)}))))"
+            buckets[number // BUCKET].append(tested)
+        else:
+            always.append(tested)
+    # few groups are present in a line, so most buckets are passed over as a whole
+    parts = [
+        f"CASE WHEN exists(_present, g -> g DIV {BUCKET} = {bucket})"
+        f" THEN flatten(array({', '.join(tests)})) ELSE {none} END"
+        for bucket, tests in buckets.items()
+    ]
+    found = f"flatten(flatten(transform(array(0), x -> array({', '.join(parts + always)}))))"
     if all(literals for literals, _ in groups):
         found = f"CASE WHEN size(_present) > 0 THEN {found} END"
     return F.expr(found)
