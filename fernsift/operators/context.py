@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fernsift.functions import text as T
 from fernsift.functions.frames import BLOCK, running_sum, sliding
 from fernsift.operators.lines import is_eligible
+from fernsift.operators.rules import anchors
 
 # Words for values that come from outside, words for cleaning them, security words.
 USER_INPUT_WORDS = [
@@ -128,11 +132,18 @@ def detect_chains(
         {"_near": lambda w: F.concat_ws(" ", F.collect_list("text").over(w))},
         block,
     )
+
+    def found(pattern: str) -> Column:
+        """The literals a chain needs are looked for before its regex, which goes back and forth."""
+        needed = [T.contains_any(F.col("_low"), words) for words in anchors(pattern)]
+        return reduce(and_, needed, F.lit(True)) & F.col("_near").rlike("(?isd)" + pattern)
+
+    near = near.withColumn("_low", F.lower("_near"))
     hits = F.array_compact(
         F.array(
             *[
                 F.when(
-                    F.col("_near").rlike("(?isd)" + pattern),
+                    found(pattern),
                     F.struct(
                         F.lit(name).alias("type"),
                         F.lit(severity).alias("severity"),
@@ -145,7 +156,8 @@ def detect_chains(
             ]
         )
     )
-    return near.select("file", "line", F.explode(hits).alias("_c")).select("file", "line", "_c.*")
+    chained = near.select("file", "line", F.explode_outer(hits).alias("_c"))
+    return chained.filter(F.col("_c").isNotNull()).select("file", "line", "_c.*")
 
 
 def first_security_word(text: Column, words=SECURITY_WORDS) -> Column:

@@ -90,17 +90,23 @@ def _found(sources: DataFrame, patterns: dict[str, str], flags: str) -> DataFram
             m["line"].alias("line"), F.lit(kind).alias("type"), m[f"g{group}"].alias("value")
         )
 
+    # one pass over the text finds which patterns can match at all
+    literals = sorted({w for p in patterns.values() for words in anchors(p)[:1] for w in words})
+    seen = F.array().cast("array<string>")
+    if literals:
+        seen = F.array_distinct(
+            F.regexp_extract_all(F.lower("text"), F.lit(f"(?=({T.one_of(literals)}))"), F.lit(1))
+        )
+    sources = sources.select("file", "text").withColumn("_found", seen)
     for kind, pattern in patterns.items():
         group = min(re.compile(pattern).groups, 1)
         hits = F.transform(
             T.matches(F.col("text"), flags + pattern, (group,)), as_row(kind, group)
         )
-        required = [
-            T.contains_any(F.col("text"), words, ignore_case=True) for words in anchors(pattern)[:1]
-        ]
         test = F.col("text").rlike(flags + pattern)
-        for condition in required:
-            test = condition & test
+        for words in anchors(pattern)[:1]:
+            implied = [w for w in literals if any(a in w for a in words)]
+            test = F.arrays_overlap("_found", F.array(*map(F.lit, implied))) & test
         parts.append(F.when(test, hits).otherwise(none))
     # the patterns run in the body of a lambda, which keeps the generated code small
     found = F.flatten(F.flatten(F.transform(F.array(F.lit(0)), lambda _: F.array(*parts))))
