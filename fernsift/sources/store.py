@@ -74,8 +74,7 @@ def hashed(submissions: DataFrame) -> DataFrame:
 def store_sources(submissions: DataFrame, stored: DataFrame) -> DataFrame:
     """Texts that are not stored yet, each once: (hash, content).
 
-    The hash decides before the texts move: distinct hashes are compared with the store, and one
-    text per new hash is picked by a partial aggregation.
+    One text per hash is picked by a partial aggregation, so of many copies each task sends one.
     """
     fresh = hashed(submissions).groupBy("hash").agg(F.first("code").alias("content"))
     return fresh.join(stored.select("hash"), "hash", "left_anti")
