@@ -20,6 +20,28 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.lookup(docs.select("doc_id"), folder, digest=True)
 
 
+def op2_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fernsift.llm import secret_owners
+
+    return secret_owners.scan(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+def op6_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fernsift.llm import url_vocabulary
+
+    return url_vocabulary.judge(read(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fernsift.llm import quality_cascade
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality_cascade.cascade(docs, measures=True)
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -30,7 +52,13 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op8_bpe_round_trip)
+    f.__name__: f for f in (
+        op1_token_files,
+        op2_secret_owners,
+        op6_url_vocabulary,
+        op7_quality_cascade,
+        op8_bpe_round_trip,
+    )
 }
 
 SQL: dict[str, str] = {}
