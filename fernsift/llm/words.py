@@ -34,11 +34,14 @@ def _tables():
     values = mix(np.arange(1, 257, dtype=np.uint64) * _BASE) | U(1)
     lowered = values.copy()
     lowered[0x41:0x5B] = values[0x61:0x7B]
+    other = np.ones(256, bool)  # what is no letter or digit, of ASCII
+    for a, b in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
+        other[a:b] = False
     base = np.full(CHUNK + 1, _BASE, np.uint64)
     base[0] = 1
     inverse = np.full(CHUNK + 1, U(pow(int(_BASE), -1, 1 << 64)), np.uint64)
     inverse[0] = 1
-    return space, values, lowered, np.cumprod(base), np.cumprod(inverse)
+    return space, other, values, lowered, np.cumprod(base), np.cumprod(inverse)
 
 
 @dataclass
@@ -67,11 +70,11 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body[at[0] : at[-1]], at - at[0]
 
 
-def words_of(texts: pa.Array, lower: bool = False) -> Words:
-    """All words of all texts; ``lower`` folds A-Z (only these)."""
+def words_of(texts: pa.Array, lower: bool = False, letters: bool = False) -> Words:
+    """All words of all texts; ``lower`` folds A-Z (only these). With ``letters`` all ASCII but letters and digits parts words."""
     body, at = raw(texts)
-    space, values, lowered, power, inverse = _tables()
-    blank = space[body]
+    space, other, values, lowered, power, inverse = _tables()
+    blank = (other if letters else space)[body]
     n = len(body)
     new = np.zeros(n + 1, bool)
     new[at] = True
