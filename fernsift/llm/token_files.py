@@ -36,7 +36,7 @@ from fernsift.llm.shared import column, pieces_of
 #: after a word of Latin letters, and all but the last of several blanks. Only for texts without other white space.
 _UNIT = re.compile(r"[ \n]?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,]?(?:[ \n]|\Z))|[.,](?=[ \n]|\Z)|[ \n]?[^ \n]+|[ \n]+(?=[ \n][^ \n])|[ \n]+")
 _OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
-KEPT_UNITS = 400_000
+KEPT_UNITS = 800_000
 LONGEST_UNIT = 48
 
 
@@ -65,7 +65,7 @@ class Encoder:
                 continue
             units = _UNIT.findall(piece)
             known = self.known
-            new = list({u for u in units if u not in known})
+            new = list(set(units).difference(known))
             made = dict(zip(new, self._plain(new), strict=True)) if new else {}
             if len(known) + len(made) > KEPT_UNITS:
                 known.clear()
