@@ -26,6 +26,12 @@ def op2_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_owners.scan(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fernsift.llm import vector_dedup
+
+    return vector_dedup.dedup(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op6_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fernsift.llm import url_vocabulary
 
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_token_files,
         op2_secret_owners,
+        op4_vector_dedup,
         op6_url_vocabulary,
         op7_quality_cascade,
         op8_bpe_round_trip,
