@@ -188,6 +188,15 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     )
 
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of which ``dedup`` keeps the key; rows without a key stay.
+
+    Rows that repeat a key are one document here, which goes if any of them has a smaller key in its component.
+    """
+    gone = store(dedup(docs, key, text, size, percent).filter(~F.col("kept") & F.col(key).isNotNull()).select(F.col(key).alias("_gone")), "gone")
+    return docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+
+
 def _sets(docs: DataFrame, about: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """``node`` and the full set of shingles of the classes that are in a list, from the texts themselves."""
 

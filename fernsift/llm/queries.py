@@ -26,12 +26,26 @@ def op2_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_owners.scan(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fernsift.llm import mixing
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "mixed.size", "mixed.source_size", "mixed.target", "mixed.taken")
+
+
 def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fernsift.llm import vector_dedup
 
     return vector_dedup.dedup(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fernsift.llm import line_templates
+
+    cleaned = line_templates.drop_recurring(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_dropped", "text")
+
+
 def op6_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fernsift.llm import url_vocabulary
 
@@ -76,7 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_token_files,
         op2_secret_owners,
+        op3_mixing,
         op4_vector_dedup,
+        op5_line_templates,
         op6_url_vocabulary,
         op7_quality_cascade,
         op8_bpe_round_trip,

@@ -12,6 +12,7 @@ examples get when they are left out themselves, each class weighted as it is amo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -240,6 +241,20 @@ def _document_frequencies(narrow: DataFrame, terms: np.ndarray) -> tuple[int, np
     return n_docs, out
 
 
+def _scores(own: Index, part: pa.RecordBatch, text: str, k: int) -> tuple[list[float], list[list[dict]]]:
+    words = words_of(column(part, text), lower=True, letters=True)
+    at = np.minimum(np.searchsorted(own.terms, words.hashes), max(len(own.terms) - 1, 0))
+    hit = np.flatnonzero(own.terms[at] == words.hashes) if len(own.terms) else np.zeros(0, np.int64)
+    bounds = np.searchsorted(hit, words.first)
+    scores, evidence = [], []
+    for i in range(part.num_rows):
+        mine = words.hashes[hit[bounds[i] : bounds[i + 1]]]
+        which, cosines = own.neighbours(*own.vector(*np.unique(mine, return_counts=True)), k) if len(mine) else (mine, mine)
+        scores.append(own.probability(own.vote(which, cosines) if len(which) else None))
+        evidence.append([{"id": int(own.ids[e]), "toxic": int(own.toxic[e]), "cosine": float(c)} for e, c in zip(which[:5], cosines[:5], strict=True)])
+    return scores, evidence
+
+
 def score(
     docs: DataFrame, index: Index, keys: tuple[str, ...] = ("doc_id",), text: str = "text", k: int = NEIGHBOURS, threshold: float = THRESHOLD
 ) -> DataFrame:
@@ -251,24 +266,26 @@ def score(
     sent = docs.sparkSession.sparkContext.broadcast(index)  # bounded by the sample and the vocabulary
 
     def make(batch: pa.RecordBatch):
-        own = sent.value
         for part in pieces_of(batch, text):
-            words = words_of(column(part, text), lower=True, letters=True)
-            at = np.minimum(np.searchsorted(own.terms, words.hashes), max(len(own.terms) - 1, 0))
-            hit = np.flatnonzero(own.terms[at] == words.hashes) if len(own.terms) else np.zeros(0, np.int64)
-            bounds = np.searchsorted(hit, words.first)
-            scores, evidence = [], []
-            for i in range(part.num_rows):
-                mine = words.hashes[hit[bounds[i] : bounds[i + 1]]]
-                which, cosines = own.neighbours(*own.vector(*np.unique(mine, return_counts=True)), k) if len(mine) else (mine, mine)
-                scores.append(own.probability(own.vote(which, cosines) if len(which) else None))
-                evidence.append([{"id": int(own.ids[e]), "toxic": int(own.toxic[e]), "cosine": float(c)} for e, c in zip(which[:5], cosines[:5], strict=True)])
+            scores, evidence = _scores(sent.value, part, text, k)
             yield {n: column(part, n) for n in keys} | {"score": scores, "predicted": [int(s >= threshold) for s in scores], "evidence": evidence}
 
     schema = "score DOUBLE, predicted INT, evidence ARRAY<STRUCT<id: LONG, toxic: INT, cosine: DOUBLE>>"
     return arrow_rows(docs.select(*keys, text), make, f"{_schema(docs, keys)}, {schema}")
 
 
+def keep_clean(docs: DataFrame, index: Index, text: str = "text", k: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` with a score below ``threshold``, with all of their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces_of(batch, text):
+                yield part.filter(pa.array([s < threshold for s in _scores(sent.value, part, text, k)[0]]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(key: str = "doc_id"):
     """Rows whose labels are never learnt from."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False))
