@@ -30,13 +30,14 @@ def word_count(text: Column) -> Column:
 
 def text_quality(text: Column) -> Column:
     """Between 0 and 1: the fewer of the characters are neither letters nor white space, the higher."""
-    odd = F.coalesce(F.regexp_count(text, F.lit(r"[^\p{L}\s]")), F.lit(0))
+    odd = F.coalesce(F.regexp_count(text, F.lit(r"[^\p{L}\x20\x09-\x0D]")), F.lit(0))
     return F.lit(1.0) / (1 + 10 * odd / F.greatest(F.coalesce(F.length(text), F.lit(0)), F.lit(1)))
 
 
 def sampling_key(key: Column, quality: Column, seed: int = SEED) -> Column:
     """-ln(u) / quality with u in (0, 1) from a hash; the smallest keys are taken first."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))), 1, 13)
+    u = (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
     return -F.log(u) / quality
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fernsift.llm import checks
 from fernsift.llm.shared import read, shared_folder
 
 
@@ -49,7 +50,8 @@ def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fernsift.llm import url_vocabulary
 
-    return url_vocabulary.judge(read(spark, sf_dir, "pages").select("page_id", "url"))
+    judged = url_vocabulary.judge(read(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
 def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,4 +103,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_mixing": checks.MIXING,
+    "op4_vector_dedup": checks.VECTORS,
+    "op5_line_templates": checks.LINES,
+    "op6_url_vocabulary": checks.URLS,
+    "op7_quality_cascade": checks.QUALITY,
+    "op9_minhash_dedup": checks.NEAR,
+}
