@@ -7,11 +7,13 @@ values left are out. Two classes that share ``MATCHES`` coordinates must meet in
 values: all but ``MATCHES - 1`` of its live ones (prefix). Only these lists are merged.
 
 A list isn't expanded into its pairs. Its classes are first compared to its most central one; lists whose classes all
-are in one component then are skipped, and only pairs of different components that share enough coordinates are
-left. Each link is confirmed on the two full sets.
+are in one component then are skipped. In the others, a class can only have further links if enough of its shingles occur
+in another class that is left, which drops strongly edited copies for good. What remains are pairs of different
+components that share enough coordinates, also of a finer signature that only listed classes have. Each link is confirmed
+on the two full sets.
 
-With 40 coordinates and 20 matches a pair of similarity 0.8 is overlooked with a probability of about 4e-6, one of 0.85 with
-about 1e-8.
+With 40 coordinates and 20 matches a pair of similarity 0.8 is overlooked with a probability of about 4e-6, with 176 of
+the finer 256 with as much again; at 0.85 both are below 1e-8.
 """
 
 from __future__ import annotations
@@ -31,17 +33,20 @@ COORDINATES = 40
 MATCHES = 20
 SHINGLE = 5
 PERCENT = 80
+FINER = 256  # coordinates of listed classes, the first ones included
+FINER_MATCHES = 176
 CENTRE_ROUNDS = 2
 
 
 @lru_cache(maxsize=4)
 def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
     seeds = mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * U(0xD1342543DE82EF95))
-    return seeds[:n, None], seeds[n:, None] | U(1)
+    return seeds[::2, None], seeds[1::2, None] | U(1)
 
 
-def signature(hashes: np.ndarray, n: int = COORDINATES) -> np.ndarray:
-    shift, factor = _functions(n)
+def signature(hashes: np.ndarray, n: int = COORDINATES, start: int = 0) -> np.ndarray:
+    shift, factor = (x[start:] for x in _functions(n))
+    n -= start
     least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(hashes), 4096):
         least = np.minimum(least, ((hashes[None, k : k + 4096] ^ shift) * factor).min(axis=1))
@@ -95,30 +100,50 @@ def _prefix_lists(classes: DataFrame) -> DataFrame:
     )
 
 
-def _matches(left: str, right: str) -> str:
-    return f"size(filter(zip_with({left}, {right}, (x, y) -> x = y), z -> z)) >= {MATCHES}"
+def _same(left: str, right: str) -> str:
+    return f"size(filter(zip_with({left}, {right}, (x, y) -> x = y), z -> z))"
 
 
-def _alike(a: str, b: str, percent: int) -> str:
-    """What two sets of these sizes need at least to be similar enough."""
-    return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
+def _likely(x: str, y: str, percent: int) -> str:
+    """Whether the sizes of two classes and the coordinates that they share allow a link; the cheap tests stand first."""
+    sizes = f"100 * least({x}n_shingles, {y}n_shingles) >= {percent} * greatest({x}n_shingles, {y}n_shingles)"
+    coarse, finer = _same(f"{x}signature", f"{y}signature"), _same(f"{x}finer", f"{y}finer")
+    return f"{sizes} and {coarse} >= {MATCHES} and {coarse} + {finer} >= {FINER_MATCHES}"
 
 
-def _confirm(pairs: DataFrame, about: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs ``(a, b)`` that share enough coordinates and whose full sets are similar enough."""
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those pairs ``(a, b)`` whose full sets are similar enough."""
     for x in "ab":
-        pairs = pairs.join(about.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}")), x)
-    likely = store(pairs.filter(_alike("n_a", "n_b", percent)).filter(_matches("s_a", "s_b")).select("a", "b"), "likely")
-    for x in "ab":
-        likely = likely.join(sets.select(F.col("node").alias(x), F.col("hashes").alias(f"set_{x}")), x)
+        pairs = pairs.join(sets.select(F.col("node").alias(x), F.col("hashes").alias(f"set_{x}")), x)
     common = F.size(F.array_intersect("set_a", "set_b"))
     return (
-        likely.select("a", "b", common.alias("common"), (F.size("set_a") + F.size("set_b")).alias("total"))
+        pairs.select("a", "b", common.alias("common"), (F.size("set_a") + F.size("set_b")).alias("total"))
         .filter(F.col("common") * 100 >= (F.col("total") - F.col("common")) * percent)
         .select("a", "b")
     )
 
 
+def _with_centre(lists: DataFrame, about: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each list's centre with the classes of its other components, as far as a link is likely."""
+    pairs = lists.join(_centres(lists), "list").filter("component <> c_component").select("node", "c_node").distinct()
+    pairs = pairs.join(about.select("node", F.struct("n_shingles", "signature", "finer").alias("x")), "node")
+    pairs = pairs.join(about.select(F.col("node").alias("c_node"), F.struct("n_shingles", "signature", "finer").alias("y")), "c_node")
+    pairs = pairs.filter(_likely("x.", "y.", percent))
+    return store(pairs.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct(), "likely")
+
+
+def _able(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Lists without the classes that can have no link to another class in them, by their shingles that none of these has.
+
+    ``live`` is the number of a class's shingles that occur in two or more classes of the lists: no similarity of
+    it is above ``live`` / size.
+    """
+    held = sets.join(lists.select("node").distinct(), "node", "left_semi").select("node", F.explode("hashes").alias("h"))
+    again = held.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    live = held.join(again, "h").groupBy("node").agg(F.count("*").alias("live"))
+    return lists.join(live, "node").filter(F.col("live") * 100 >= F.col("n_shingles") * percent)
+
+
 def _centres(lists: DataFrame) -> DataFrame:
     """The most central class of each list that no earlier centre's component holds, with its component."""
     best = lists.filter("not done").groupBy("list").agg(F.max(F.struct("centre", "node", "component")).alias("c"))
@@ -130,9 +155,22 @@ def _relabel(lists: DataFrame, links: DataFrame) -> DataFrame:
     labelled = lists.drop("component").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     seen = labelled.join(_centres(labelled), "list", "left")
     done = F.col("done") | F.coalesce(F.col("component") == F.col("c_component"), F.lit(False))
-    seen = store(seen.withColumn("done", done).drop("c_node", "c_component"), "lists")
-    several = seen.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    return seen.join(several.select("list"), "list", "left_semi")
+    return _several(store(seen.withColumn("done", done).drop("c_node", "c_component"), "lists"))
+
+
+def _several(lists: DataFrame) -> DataFrame:
+    """Lists that have more than one component."""
+    mixed = lists.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    return lists.join(mixed.select("list"), "list", "left_semi")
+
+
+def _rest(lists: DataFrame, about: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share a list and may have a link."""
+    left = lists.select("list", "node", "component", "n_shingles", "live").join(about.select("node", "signature", "finer"), "node")
+    apart = "x.list = y.list and x.node < y.node and x.component <> y.component"
+    able = f"100 * least(x.live, y.live) >= {percent} * (x.n_shingles + y.n_shingles - least(x.live, y.live))"
+    rest = left.alias("x").join(left.alias("y"), F.expr(f"{apart} and {able} and {_likely('x.', 'y.', percent)}"))
+    return store(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "likely")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -155,25 +193,22 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     about = classes.join(lists.select("node").distinct(), "node", "left_semi")
     about = store(about.select("node", "d1", "d2", "a_key", "n_shingles", "signature"), "listed")
     sets = _sets(docs, about, key, text, size)
+    about = about.join(sets.select("node", "finer"), "node")
 
-    lists = lists.withColumn("component", F.col("node")).withColumn("done", F.lit(False))
+    lists = lists.join(about.select("node", "n_shingles"), "node").withColumn("component", F.col("node")).withColumn("done", F.lit(False))
     links = None
-    for _ in range(CENTRE_ROUNDS):
-        to_centre = (
-            lists.join(_centres(lists), "list")
-            .filter("component <> c_component")
-            .select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b"))
-            .distinct()
-        )
-        found = store(_confirm(to_centre, about, sets, percent), "links")
+    for k in range(CENTRE_ROUNDS):
+        if lists.isEmpty():
+            break
+        found = store(_confirm(_with_centre(lists, about, percent), sets, percent), "links")
         links = found if links is None else links.unionByName(found)
         lists = store(_relabel(lists, links), "lists")
-    left = lists.select("list", "node", "component").join(about.select("node", "n_shingles", "signature"), "node")
-    apart = "x.list = y.list and x.node < y.node and x.component <> y.component"
-    enough = f"{_alike('x.n_shingles', 'y.n_shingles', percent)} and {_matches('x.signature', 'y.signature')}"
-    rest = left.alias("x").join(left.alias("y"), F.expr(f"{apart} and {enough}"))
-    rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    links = links.unionByName(_confirm(rest, about, sets, percent))
+        if k == 0:
+            lists = store(_several(store(_able(lists, sets, percent), "able")), "lists")
+    if links is None:
+        links = lists.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    elif not lists.isEmpty():
+        links = store(links.unionByName(_confirm(_rest(lists, about, percent), sets, percent)), "links")
     named = classes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = store(named.select("node", "d1", "d2", "component", "least_key"), "named")
     least = named.groupBy("component").agg(F.min("least_key").alias("component_id"))
@@ -198,17 +233,18 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
 
 
 def _sets(docs: DataFrame, about: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """``node`` and the full set of shingles of the classes that are in a list, from the texts themselves."""
+    """``node``, the full set of shingles and the finer signature of the classes that are in a list, from their texts."""
 
     def make(batch: pa.RecordBatch):
         for part in pieces_of(batch, "text"):
             sets = shingle_sets(column(part, "text"), size)
             digests = [_digest(s) for s in sets]
-            yield {"d1": [d[0] for d in digests], "d2": [d[1] for d in digests], "hashes": [s.view(np.int64) for s in sets]}
+            finer = [signature(s, FINER, COORDINATES).astype(np.uint32).view(np.int32) if len(s) else [] for s in sets]
+            yield {"d1": [d[0] for d in digests], "d2": [d[1] for d in digests], "hashes": [s.view(np.int64) for s in sets], "finer": finer}
 
     narrow = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).filter("text is not null")
     wanted = about.select("a_key").distinct().hint("shuffle_hash")
     picked = narrow.join(wanted, F.col("key").eqNullSafe(F.col("a_key")), "left_semi").select("text")
-    made = arrow_rows(picked, make, "d1 LONG, d2 LONG, hashes ARRAY<LONG>")
+    made = arrow_rows(picked, make, "d1 LONG, d2 LONG, hashes ARRAY<LONG>, finer ARRAY<INT>")
     of_node = about.select("node", "d1", "d2").join(made, ["d1", "d2"])
-    return store(of_node.select("node", "hashes").dropDuplicates(["node"]), "sets")
+    return store(of_node.select("node", "hashes", "finer").dropDuplicates(["node"]), "sets")
