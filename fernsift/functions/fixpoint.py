@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the folder the session names; a folder of our own only where none is named."""
+    """Keep the folder the session names; a folder of our own only on a local master, where all tasks see it."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir():
         return
+    if not named and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="fernsift-checkpoint-"))
 
 
@@ -27,10 +29,6 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-# Rows up to which a frontier is copied to all executors; a row holds a file, a name and a number.
-BROADCAST_ROWS = 200_000
-
-
 def smallest_labels(
     seeds: DataFrame,
     edges: DataFrame,
@@ -38,7 +36,6 @@ def smallest_labels(
     label: str,
     step: Callable[[Column], Column],
     compact_every: int = 8,
-    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Least label of every node that the seeds reach.
 
@@ -47,20 +44,19 @@ def smallest_labels(
     end, null where the edge cannot be taken. The first column of ``node`` is the file, which no
     edge leaves.
 
-    Each round joins only the nodes whose label has just improved (the frontier). It is counted, and
-    while it is large it is joined by a shuffle, which splits hot nodes; once small, it is
-    broadcast, and the edges stay where they are. Every few rounds the edges of files that
+    Each round joins only the nodes whose label has just improved (the frontier). How it is joined is left to
+    adaptive execution, which knows its bytes: by a shuffle that splits hot nodes, or, once it is small, by a
+    broadcast. Every few rounds the edges of files that
     are finished are dropped, so a few long chains do not keep reading all edges.
     """
     heads = [F.col(f"from_{c}") == F.col(f"f.{c}") for c in node]
     edges = pin(edges)
     frontier = pin(seeds.groupBy(*node).agg(F.min(label).alias(label)))
     log, rounds = [frontier], 0
-    while size := frontier.count():
-        head = F.broadcast(frontier) if size <= broadcast_rows else frontier
+    while not frontier.isEmpty():
         reached = (
             edges.alias("e")
-            .join(head.alias("f"), heads)
+            .join(frontier.alias("f"), heads)
             .select(*[F.col(f"e.to_{c}").alias(c) for c in node], step(F.col(f"f.{label}")).alias(label))
             .filter(F.col(label).isNotNull())
             .groupBy(*node)

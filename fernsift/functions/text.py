@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -16,6 +16,11 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
 
+def shown(text: Column, limit: int | None = None) -> Column:
+    """What is stored of a text as evidence: all of it, or its first ``limit`` characters where a caller asks."""
+    return text if limit is None else F.substring(text, 1, limit)
+
+
 def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
@@ -96,46 +101,78 @@ def matches(text: Column, pattern: str, groups: Iterable[int] = (0,)) -> Column:
     characters up to the end of the match. The text between two matches is what ``split`` leaves,
     so both are running counts over the gaps and matches before.
     """
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole))
-    pairs = F.zip_with(gaps, whole, lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
-    counted = F.aggregate(
-        pairs,
-        F.struct(
-            F.lit(1).alias("at"),
-            F.lit(0).alias("stop"),
-            F.array().cast("array<struct<line:int,stop:int>>").alias("out"),
-        ),
-        lambda acc, p: F.struct(
-            (acc["at"] + newlines(p["gap"]) + newlines(p["hit"])).alias("at"),
-            (acc["stop"] + F.length(p["gap"]) + F.length(p["hit"])).alias("stop"),
-            F.array_append(
-                acc["out"],
+    names = ["g0", *[f"g{g}" for g in groups if g]]
+
+    def rows(whole: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole))
+        pairs = F.zip_with(gaps, whole, lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
+        parts = [let(pairs, _places).alias("at"), whole.alias("g0")]
+        parts += [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in groups if g]
+        return F.transform(
+            F.arrays_zip(*parts),
+            lambda m: F.struct(m["at"]["line"].alias("line"), m["at"]["stop"].alias("stop"), *[m[n].alias(n) for n in names]),
+        )
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), rows)
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it.
+
+    A chain of plain columns would be copied into every mention when a filter is pushed below it.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+RUN = 256
+
+
+def _places(pairs: Column) -> Column:
+    """Line and end of each match. An array is copied when something is appended, so counts run inside
+    short runs of matches first and then over the runs."""
+    place = "array<struct<line:int,stop:int>>"
+
+    def counted(part: Column) -> Column:
+        return F.aggregate(
+            part,
+            F.struct(F.lit(0).alias("line"), F.lit(0).alias("stop"), F.array().cast(place).alias("out")),
+            lambda acc, p: let(
                 F.struct(
-                    (acc["at"] + newlines(p["gap"])).alias("line"),
+                    (acc["line"] + newlines(p["gap"])).alias("line"),
                     (acc["stop"] + F.length(p["gap"]) + F.length(p["hit"])).alias("stop"),
                 ),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    parts, names = [counted.alias("at"), whole.alias("g0")], ["g0"]
-    for g in groups:
-        if g:
-            parts.append(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}"))
-            names.append(f"g{g}")
-    return F.transform(
-        F.arrays_zip(*parts),
-        lambda m: F.struct(
-            m["at"]["line"].alias("line"), m["at"]["stop"].alias("stop"),
-            *[m[n].alias(n) for n in names],
-        ),
-    )
-
-
-def line_at(text: Column, line: Column) -> Column:
-    """The ``line``-th (1-based) line of a text."""
-    return F.element_at(F.split(text, "\n", -1), line)
+                lambda here: F.struct(
+                    (here["line"] + newlines(p["hit"])).alias("line"),
+                    here["stop"].alias("stop"),
+                    F.array_append(acc["out"], here).alias("out"),
+                ),
+            ),
+        )
+
+    def joined(runs: Column) -> Column:
+        starts = F.aggregate(
+            runs,
+            F.struct(F.lit(1).alias("line"), F.lit(0).alias("stop"), F.array().cast(place).alias("out")),
+            lambda acc, r: F.struct(
+                (acc["line"] + r["line"]).alias("line"),
+                (acc["stop"] + r["stop"]).alias("stop"),
+                F.array_append(acc["out"], F.struct(acc["line"].alias("line"), acc["stop"].alias("stop"))).alias("out"),
+            ),
+            lambda acc: acc["out"],
+        )
+        moved = F.zip_with(
+            runs,
+            starts,
+            lambda r, start: F.transform(
+                r["out"],
+                lambda x: F.struct((x["line"] + start["line"]).alias("line"), (x["stop"] + start["stop"]).alias("stop")),
+            ),
+        )
+        return F.flatten(moved)
+
+    count = F.ceil(F.size(pairs) / RUN).cast("int")
+    numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    return let(F.transform(numbers, lambda i: counted(F.slice(pairs, i * RUN + 1, F.lit(RUN)))), joined)
 
 
 def entropy(value: Column) -> Column:

@@ -54,7 +54,6 @@ TRANSFORMATIONS = {
     "JSON.parse": "JSON.parse",
     "atob(": "base64_decoded",
 }
-MAX_DEPTH = 20
 
 
 def label_transformations(expression: Column) -> Column:
@@ -102,12 +101,12 @@ def backtrack(
     sources: DataFrame,
     sinks=BACKTRACK_SINKS,
     source_words=BACKTRACK_SOURCES,
-    max_depth: int = MAX_DEPTH,
+    max_depth: int | None = None,
     compat: bool = True,
 ) -> DataFrame:
     """(file, sink, sink_line, variable, is_tainted, source, source_line, path, path_lines, transformations).
 
-    Ties between equally short ways go to the earlier line, then to the name.
+    Ways may be as long as they are, unless ``max_depth`` is given. Ties between equally short ways go to the earlier line, then to the name.
     """
     live = sources.filter(T.contains_any(F.col("text"), sinks))
     lines = explode_lines(live)
@@ -148,7 +147,7 @@ def backtrack(
             edges,
             ["file", "name"],
             "depth",
-            lambda d: F.when(d < max_depth, d + 1),
+            lambda d: d + 1 if max_depth is None else F.when(d < max_depth, d + 1),
         )
     )
     onward = (

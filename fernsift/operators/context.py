@@ -147,7 +147,7 @@ def detect_chains(
                     F.struct(
                         F.lit(name).alias("type"),
                         F.lit(severity).alias("severity"),
-                        F.concat(F.lit(f"\U0001f517 {what}: "), F.substring("text", 1, 200)).alias(
+                        F.concat(F.lit(f"\U0001f517 {what}: "), F.col("text")).alias(
                             "evidence"
                         ),
                     ),
@@ -178,6 +178,6 @@ def intel_keywords(lines: DataFrame, findings: DataFrame, words=SECURITY_WORDS)
         F.lit("INTEL_KEYWORD").alias("type"),
         F.lit("INFO").alias("severity"),
         F.concat(
-            F.lit("\U0001f50e '"), F.col("_word"), F.lit("': "), F.substring(T.strip(text), 1, 200)
+            F.lit("\U0001f50e '"), F.col("_word"), F.lit("': "), T.strip(text)
         ).alias("evidence"),
     )

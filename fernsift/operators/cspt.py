@@ -143,7 +143,7 @@ def cspt_scan(lines: DataFrame, tainted: DataFrame, sinks=URL_SINKS, path_source
             F.concat(F.lit("CSPT_"), F.replace(F.upper("sink"), F.lit(" "), F.lit("_"))).alias("type"),
             F.when(concat, F.when(checked, F.lit("MEDIUM")).otherwise(F.lit("HIGH")))
             .when(template, F.lit("HIGH")).otherwise(F.lit("CRITICAL")).alias("severity"),
-            F.substring("bare", 1, 200).alias("evidence"),
+            F.col("bare").alias("evidence"),
             "source",
             "sink",
             F.col("url").alias("url_construction"),

@@ -135,14 +135,6 @@ def _replaced(text: Column, pattern: str, decode: Callable) -> Column:
     )
 
 
-def _let(value: Column, use: Callable) -> Column:
-    """``use(value)`` with the value computed once, however often ``use`` mentions it.
-
-    A chain of plain columns would be copied into every mention when a filter is pushed below it.
-    """
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def apply_decoded(sources: DataFrame, compat: bool = True) -> DataFrame:
     """``sources`` with the encoded literals decoded, one kind after the other."""
 
@@ -154,12 +146,12 @@ def apply_decoded(sources: DataFrame, compat: bool = True) -> DataFrame:
     def with_arrays(pattern: str, decode: Callable) -> Callable:
         return lambda t: F.when(
             t.rlike(ARRAY),
-            _let(string_arrays(t), lambda arrays: _replaced(t, pattern, lambda raw: decode(raw, arrays))),
+            T.let(string_arrays(t), lambda arrays: _replaced(t, pattern, lambda raw: decode(raw, arrays))),
         ).otherwise(t)
 
     text = F.col("text")
     for kind, word, pattern, decode in _steps(compat):
-        text = _let(text, with_arrays(pattern, decode) if kind == "array" else plain(word, pattern, decode))
+        text = T.let(text, with_arrays(pattern, decode) if kind == "array" else plain(word, pattern, decode))
     return sources.withColumn("text", text)
 
 

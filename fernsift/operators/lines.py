@@ -16,7 +16,6 @@ NOISE_WORDS = [
     "license", "@license", "Copyright", "MIT License", "BSD License",
 ]
 
-MAX_LINE_LENGTH = 20000
 UNIVERSAL_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
@@ -35,17 +34,18 @@ def explode_lines(sources: DataFrame, mode: str = "newline") -> DataFrame:
     )
 
 
-def is_eligible(line: Column, noise=NOISE_WORDS, max_length: int = MAX_LINE_LENGTH) -> Column:
+def is_eligible(line: Column, noise=NOISE_WORDS, max_length: int | None = None) -> Column:
+    """Lines worth a scan; a longest length only where a caller sets one, as minified files are one line."""
     bare = T.strip(line)
     return (
-        (F.length(line) <= max_length)
+        (F.lit(True) if max_length is None else F.length(line) <= max_length)
         & (bare != "")
         & ~T.any_of(bare.startswith(p) for p in ("//", "/*", "*", "#"))
         & ~T.contains_any(line, noise, ignore_case=True)
     )
 
 
-def eligible_lines(lines: DataFrame, noise=NOISE_WORDS, max_length: int = MAX_LINE_LENGTH) -> DataFrame:
+def eligible_lines(lines: DataFrame, noise=NOISE_WORDS, max_length: int | None = None) -> DataFrame:
     return lines.filter(is_eligible(F.col("text"), noise, max_length))
 
 
@@ -63,7 +63,7 @@ def mask_match(matched: Column, evidence: Column) -> Column:
     """Evidence for a credential hit: both ends of the match, then the line."""
     short = F.concat(
         F.lit("\U0001f510 "), F.substring(matched, 1, 8), F.lit("..."), F.right(matched, F.lit(4)),
-        F.lit(" | "), F.substring(evidence, 1, 200),
+        F.lit(" | "), evidence,
     )
     return F.when(F.length(matched) > 15, short).otherwise(evidence)
 
@@ -79,15 +79,16 @@ def evidence_flags(severity: Column, user_input: Column, sanitized: Column, evid
     return F.when(severity.isin("CRITICAL", "HIGH") & (F.size(flags) > 0), marked).otherwise(evidence)
 
 
-def format_evidence(findings: DataFrame, limit: int = 1000) -> DataFrame:
-    """The stored evidence text: confidence, evidence, flow, first steps of the path, CWE."""
+def format_evidence(findings: DataFrame, limit: int | None = None, path_steps: int | None = None) -> DataFrame:
+    """The stored evidence text: confidence, evidence, flow, path, CWE; whole, unless a length or number of steps is given."""
+    steps = F.col("path") if path_steps is None else F.slice("path", 1, path_steps)
     filled = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c))
     flow = F.concat(filled("source"), F.lit(" → "), filled("sink"))
     path = F.when(
         F.size(F.coalesce("path", F.array().cast("array<string>"))) > 0,
-        F.concat(F.lit("Path: "), F.array_join(F.slice("path", 1, 3), " → ")),
+        F.concat(F.lit("Path: "), F.array_join(steps, " → ")),
     )
     head = F.concat(F.lit("["), F.col("confidence"), F.lit("] "), F.col("evidence"))
     return findings.withColumn(
-        "evidence", F.substring(F.concat_ws(" | ", head, flow, path, filled("cwe")), 1, limit)
+        "evidence", T.shown(F.concat_ws(" | ", head, flow, path, filled("cwe")), limit)
     )

@@ -57,8 +57,8 @@ def balanced(rest: Column) -> Column:
     return F.substring(rest, F.lit(1), stop)
 
 
-def postmessage_handlers(sources: DataFrame, reach: int = 2000) -> DataFrame:
-    """Message handlers with their body: (file, line, pattern, body).
+def postmessage_handlers(sources: DataFrame, reach: int | None = None) -> DataFrame:
+    """Message handlers with their body, however long: (file, line, pattern, body).
 
     The second and third pattern overlap, so a ``window.onmessage`` handler is found twice.
     """
@@ -69,7 +69,7 @@ def postmessage_handlers(sources: DataFrame, reach: int = 2000) -> DataFrame:
         return lambda m: F.struct(
             m["line"].alias("line"),
             F.lit(number).alias("pattern"),
-            balanced(F.substring(F.col("text"), m["stop"] + 1, F.lit(reach))).alias("body"),
+            balanced(F.substring(F.col("text"), m["stop"] + 1, F.length("text") if reach is None else F.lit(reach))).alias("body"),
         )
 
     for number, pattern in enumerate(HANDLER_PATTERNS):

@@ -227,7 +227,7 @@ def scan_structural_rules(lines: DataFrame) -> DataFrame:
         "line",
         F.col("rule_id").alias("type"),
         F.col("base_severity").alias("severity"),
-        F.substring(T.strip(F.col("text")), 1, 200).alias("evidence"),
+        T.strip(F.col("text")).alias("evidence"),
         F.lit("MEDIUM").alias("confidence"),
     )
 
@@ -252,8 +252,7 @@ def classify_severity(
 def rule_findings(hits: DataFrame) -> DataFrame:
     """Rule hits with context flags to findings with severity and evidence."""
     bare = T.strip(F.col("text"))
-    shown = F.substring(bare, 1, 400)
-    masked = F.when(F.col("family") == "SECRET", mask_match(F.col("matched"), shown)).otherwise(shown)
+    masked = F.when(F.col("family") == "SECRET", mask_match(F.col("matched"), bare)).otherwise(bare)
     rated = hits.withColumn(
         "severity",
         classify_severity(
@@ -273,11 +272,11 @@ def rule_findings(hits: DataFrame) -> DataFrame:
 
 
 def finding_key(rule: Column, line: Column, text: Column) -> Column:
-    return F.md5(F.concat_ws(":", rule, line.cast("string"), F.substring(T.strip(text), 1, 100)))
+    return F.md5(F.concat_ws(":", rule, line.cast("string"), T.strip(text)))
 
 
 def dedup_line_findings(hits: DataFrame) -> DataFrame:
-    """One row per file, rule, line and first 100 characters of the line."""
+    """One row per file, rule, line and text of the line."""
     return hits.withColumn(
         "finding_key", finding_key(F.col("rule_id"), F.col("line"), F.col("text"))
     ).dropDuplicates(["file", "finding_key"])

@@ -81,13 +81,13 @@ def is_likely_code(value: Column) -> Column:
 
 
 def _found(sources: DataFrame, patterns: dict[str, str], flags: str) -> DataFrame:
-    """All matches of all patterns: (file, text, line, nth, type, value)."""
-    none = F.array().cast("array<struct<line:int,type:string,value:string>>")
-    parts = []
+    """All matches of all patterns: (file, line, nth, type, value, whole_line). Each text is split into lines once."""
+    none = F.array().cast("array<struct<line:int,type:string,value:string,whole_line:string>>")
 
-    def as_row(kind: str, group: int):
+    def as_row(kind: str, group: int, lines: Column):
         return lambda m: F.struct(
-            m["line"].alias("line"), F.lit(kind).alias("type"), m[f"g{group}"].alias("value")
+            m["line"].alias("line"), F.lit(kind).alias("type"), m[f"g{group}"].alias("value"),
+            F.get(lines, m["line"] - 1).alias("whole_line"),
         )
 
     # one pass over the text finds which patterns can match at all
@@ -98,22 +98,25 @@ def _found(sources: DataFrame, patterns: dict[str, str], flags: str) -> DataFram
             F.regexp_extract_all(F.lower("text"), F.lit(f"(?=({T.one_of(literals)}))"), F.lit(1))
         )
     sources = sources.select("file", "text").withColumn("_found", seen)
-    for kind, pattern in patterns.items():
+
+    def of_pattern(kind: str, pattern: str, lines: Column) -> Column:
         group = min(re.compile(pattern).groups, 1)
-        hits = F.transform(
-            T.matches(F.col("text"), flags + pattern, (group,)), as_row(kind, group)
-        )
+        hits = F.transform(T.matches(F.col("text"), flags + pattern, (group,)), as_row(kind, group, lines))
         test = F.col("text").rlike(flags + pattern)
         for words in anchors(pattern)[:1]:
             implied = [w for w in literals if any(a in w for a in words)]
             test = F.arrays_overlap("_found", F.array(*map(F.lit, implied))) & test
-        parts.append(F.when(test, hits).otherwise(none))
+        return F.when(test, hits).otherwise(none)
+
     # the patterns run in the body of a lambda, which keeps the generated code small
-    found = F.flatten(F.flatten(F.transform(F.array(F.lit(0)), lambda _: F.array(*parts))))
+    def of_lines(lines: Column) -> Column:
+        return F.flatten(F.array(*[of_pattern(kind, pattern, lines) for kind, pattern in patterns.items()]))
+
+    found = T.let(F.split("text", "\n", -1), of_lines)
     return (
-        sources.select("file", "text", F.posexplode_outer(found).alias("nth", "_m"))
+        sources.select("file", F.posexplode_outer(found).alias("nth", "_m"))
         .filter(F.col("_m").isNotNull())
-        .select("file", "text", "nth", "_m.*")
+        .select("file", "nth", "_m.*")
     )
 
 
@@ -126,7 +129,7 @@ def _shaped(found: DataFrame, value: Column, confidence: Column) -> DataFrame:
         value.alias("value"),
         "entropy",
         confidence.alias("confidence"),
-        F.substring(T.strip(T.line_at(F.col("text"), F.col("line"))), 1, 100).alias("context"),
+        T.strip(F.col("whole_line")).alias("context"),
     )
 
 

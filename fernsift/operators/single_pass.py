@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernsift.functions import text as T
 from fernsift.functions.fixpoint import pin, smallest_labels
+from fernsift.functions.frames import last_before
 from fernsift.operators.context import SANITIZER_WORDS, USER_INPUT_WORDS
 from fernsift.operators.lines import is_code
 
@@ -21,31 +22,37 @@ FLOW_SINKS = [
 PARAMETER_WORDS = ["req", "request", "query", "params", "body", "data", "input"]
 HEADER = r"(?:function\s+(\w+)|(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?\()\s*\(([^)]*)\)"
 DECLARED = r"(?d)(?:var|let|const)\s+(\w+)\s*=\s*(.+?)(?:;|$)"
-MAX_LINES = 5000
 
 
-def flow_scan_single_pass(lines: DataFrame, max_lines: int = MAX_LINES) -> DataFrame:
-    """Flows of the first ``max_lines`` lines of each file, as findings ``TAINT_FLOW_HIGH``.
+def parameter_name(piece: Column) -> Column:
+    """The local name of one parameter: without default, rest dots, braces, and the property it is taken from."""
+    bare = F.element_at(F.split(F.regexp_replace(piece, r"[{}\[\]]|\.\.\.", ""), "="), 1)
+    return T.strip(F.element_at(F.split(bare, ":"), -1))
+
+
+def flow_scan_single_pass(lines: DataFrame, max_lines: int | None = None) -> DataFrame:
+    """Flows of each file, as findings ``TAINT_FLOW_HIGH``; of its first ``max_lines`` lines where that is given.
 
     A name is tainted by a source word or by a name tainted before; it counts as clean if its own
-    value has a sanitizer word. Names are kept per function, but matched by name alone. The line
-    limit is part of the operator and bounds what one file can put into a window or a join.
-    Parameters that are not plain names are left out.
+    value has a sanitizer word. Names are kept per function, but matched by name alone. Which function a line is in
+    comes from line numbers and headers only; texts stay where they are. Rest and destructured parameters count by
+    their local names, so a flow's name always stands in the line and there is no ``TAINT_FLOW_MEDIUM``.
     """
     text = F.col("text")
     header = F.when(
         text.rlike(HEADER),
         F.coalesce(F.nullif(F.regexp_extract(text, HEADER, 1), F.lit("")), F.regexp_extract(text, HEADER, 2)),
     )
-    read = lines.filter((F.col("line") <= max_lines) & (T.strip(text) != "") & is_code(text))
-    whole = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    read = pin(
-        read.withColumn("function", F.coalesce(F.last(header, ignorenulls=True).over(whole), F.lit("global")))
-    )
+    within = F.lit(True) if max_lines is None else F.col("line") <= max_lines
+    lines = lines.filter(within & (T.strip(text) != "") & is_code(text))
+    narrow = lines.select("file", "line", header.alias("_header"))
+    named = last_before(narrow, ["file"], "line", F.col("_header"), "function", inclusive=True)
+    named = pin(named.select("file", "line", F.coalesce("function", F.lit("global")).alias("function")))
+    read = lines.join(named, ["file", "line"])
     params = (
         read.filter(text.rlike(HEADER))
         .select("file", "line", "function", F.explode(F.split(F.regexp_extract(text, HEADER, 3), ",")).alias("_p"))
-        .select("file", "line", "function", T.strip(F.element_at(F.split("_p", "="), 1)).alias("name"))
+        .select("file", "line", "function", parameter_name(F.col("_p")).alias("name"))
         .filter(F.col("name").rlike(r"^\w+$") & T.contains_any(F.col("name"), PARAMETER_WORDS, ignore_case=True))
         .select(
             "file", "function", "name", (F.col("line") * 2).alias("moment"), "line",
@@ -87,7 +94,7 @@ def flow_scan_single_pass(lines: DataFrame, max_lines: int = MAX_LINES) -> DataF
     tainted = (
         declared.join(fed, ["file", "name", "moment"], "left")
         .filter(F.col("from_outside") | F.coalesce("fed", F.lit(False)))
-        .select("file", "function", "name", "moment", "line", F.substring("value", 1, 150).alias("source"), "sanitized")
+        .select("file", "function", "name", "moment", "line", F.col("value").alias("source"), "sanitized")
         .unionByName(params)
     )
     next_ = F.lead("line").over(Window.partitionBy("file", "function", "name").orderBy("moment"))
@@ -116,7 +123,7 @@ def flow_scan_single_pass(lines: DataFrame, max_lines: int = MAX_LINES) -> DataF
             F.lit("CRITICAL").alias("severity"),
             F.format_string(
                 "Tainted '%s' → %s | L%d→L%d | %s", "name", "sink", "source_line", "line",
-                F.substring(T.strip(text), 1, 300),
+                T.strip(text),
             ).alias("evidence"),
             F.col("name").alias("variable"),
             "sink",

@@ -55,7 +55,6 @@ SINKS = [
     "exec", "execSync", "spawn", "query", "raw",
 ]
 
-MAX_ROUNDS = 50
 ROUND = 1 << 32
 
 
@@ -225,15 +224,15 @@ def _sanitized(resolved: DataFrame, references: DataFrame, tainted: DataFrame) -
     )
 
 
-def _next_moment(line: Column, label: Column, max_rounds: int) -> Column:
+def _next_moment(line: Column, label: Column, max_rounds: int | None) -> Column:
     """When an assignment on ``line`` is next reached after ``label`` (round and line in one number)."""
     round_, at = F.shiftright(label, 32), label.bitwiseAND(ROUND - 1)
     moment = F.when(line > at, round_).otherwise(round_ + 1) * F.lit(ROUND) + line
-    return F.when(moment < (max_rounds + 1) * ROUND, moment)
+    return moment if max_rounds is None else F.when(moment < (max_rounds + 1) * ROUND, moment)
 
 
 def _assigned(
-    plain: DataFrame, visible: DataFrame, max_rounds: int
+    plain: DataFrame, visible: DataFrame, max_rounds: int | None
 ) -> DataFrame:
     """Taint through plain assignments: (file, name, source, source_line, steps) of tainted names.
 
@@ -442,7 +441,7 @@ def match_sinks(lines: DataFrame, symbols: DataFrame, sinks=SINKS) -> DataFrame:
         "source_line",
         "variable",
         "steps",
-        F.substring(T.strip(text), 1, 200).alias("evidence"),
+        T.strip(text).alias("evidence"),
         "text",
         "uses",
     )
@@ -467,7 +466,7 @@ def analyze(
     taint_sources=TAINT_SOURCES,
     sanitizers=SANITIZERS,
     sinks=SINKS,
-    max_rounds: int = MAX_ROUNDS,
+    max_rounds: int | None = None,
     block: int = BLOCK,
 ) -> Taint:
     """Symbols and flows of all files. Texts without a source word cannot have any and are left out."""
@@ -557,7 +556,7 @@ def analyze(
     return Taint(symbols, match_sinks(lines, symbols, sinks))
 
 
-def propagate_taint(sources: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def propagate_taint(sources: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """The symbols of all files with their final state."""
     return analyze(sources, max_rounds=max_rounds).symbols
 

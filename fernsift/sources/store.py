@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fernsift.functions import text as T
 from fernsift.functions.fixpoint import pin
 
 TABLES = {
@@ -74,10 +75,10 @@ def hashed(submissions: DataFrame) -> DataFrame:
 def store_sources(submissions: DataFrame, stored: DataFrame) -> DataFrame:
     """Texts that are not stored yet, each once: (hash, content).
 
-    One text per hash is picked by a partial aggregation, so of many copies each task sends one.
+    Texts that are stored already go before any is grouped; of many copies each task sends one.
     """
-    fresh = hashed(submissions).groupBy("hash").agg(F.first("code").alias("content"))
-    return fresh.join(stored.select("hash"), "hash", "left_anti")
+    fresh = hashed(submissions).join(stored.select("hash"), "hash", "left_anti")
+    return fresh.groupBy("hash").agg(F.first("code").alias("content"))
 
 
 def upsert_targets(submissions: DataFrame, stored: DataFrame) -> DataFrame:
@@ -103,12 +104,14 @@ def link_assets(submissions: DataFrame, scan_id: str) -> DataFrame:
     )
 
 
-def finding_rows(findings: DataFrame, limit: int = 1000) -> DataFrame:
-    """Findings with an ``asset_id`` as rows of the stored table, without a time."""
-    evidence = F.substring("evidence", 1, limit)
+def finding_rows(findings: DataFrame, limit: int | None = None) -> DataFrame:
+    """Findings with an ``asset_id`` as rows of the stored table, without a time.
+
+    The id is of the whole evidence, also where only its first ``limit`` characters are stored.
+    """
     return findings.select(
-        F.xxhash64("asset_id", "type", "line", evidence).alias("finding_id"),
-        "asset_id", "type", "severity", evidence.alias("evidence"), "line",
+        F.xxhash64("asset_id", "type", "line", "evidence").alias("finding_id"),
+        "asset_id", "type", "severity", T.shown(F.col("evidence"), limit).alias("evidence"), "line",
     )
 
 

@@ -137,7 +137,7 @@ add(
     s3 AS (SELECT *, CASE WHEN has_validation AND has_sanitization AND u2 = 'HIGH' THEN 'MEDIUM'
       WHEN has_validation AND has_sanitization AND u2 = 'CRITICAL' THEN 'HIGH' ELSE u2 END AS severity,
       CASE WHEN length(m) > 15 THEN concat(chr(128272), ' ', substr(m, 1, 8), '...', right(m, 4), ' | ',
-        substr({BARE}, 1, 200)) ELSE substr({BARE}, 1, 400) END AS shown FROM s2)
+        {BARE}) ELSE {BARE} END AS shown FROM s2)
     SELECT file, line, type, severity, CASE WHEN severity IN ('CRITICAL', 'HIGH') AND (has_user_input OR NOT has_sanitization)
       THEN concat('[', concat_ws(', ', CASE WHEN has_user_input THEN 'USER_INPUT' END,
         CASE WHEN NOT has_sanitization THEN 'NO_SANITIZE' END), '] ', shown) ELSE shown END AS evidence FROM s3""")

@@ -172,7 +172,7 @@ add(
 WORDS_ON = "unnest(list_distinct(regexp_extract_all(text, '\\w+')))"
 FLOWS = f""", used AS (SELECT file, line, text, {WORDS_ON} AS name FROM code_lines WHERE {has_any('text', X.SINKS)}),
 flows AS MATERIALIZED (SELECT u.file, k.sink, u.line AS sink_line, s.source, s.source_line, u.name AS variable, u.text,
-  substr({stripped('u.text')}, 1, 200) AS evidence, len(list_filter(regexp_extract_all(u.text, '\\w+'),
+  {stripped('u.text')} AS evidence, len(list_filter(regexp_extract_all(u.text, '\\w+'),
   lambda w: w = u.name))::INT AS uses FROM used u JOIN seeded s ON s.file = u.file AND s.name = u.name
   JOIN (SELECT unnest([{', '.join(q(s) for s in X.SINKS)}]) AS sink) k ON contains(u.text, k.sink))"""
 
@@ -266,7 +266,7 @@ add(
     with_assigned(
         f"""SELECT file, line, concat('CSPT_', replace(upper(k.name), ' ', '_')) AS type,
         CASE shape WHEN 0 THEN CASE WHEN {has_any('bare', ['startsWith', 'indexOf', 'includes'])} THEN 'MEDIUM' ELSE 'HIGH' END
-          WHEN 1 THEN 'HIGH' ELSE 'CRITICAL' END AS severity, substr(bare, 1, 200) AS evidence, source, k.name AS sink,
+          WHEN 1 THEN 'HIGH' ELSE 'CRITICAL' END AS severity, bare AS evidence, source, k.name AS sink,
         url AS url_construction, CASE shape WHEN 0 THEN CASE WHEN {has_any('bare', ['startsWith', 'indexOf', 'includes'])}
           THEN 'Concatenation with partial validation' ELSE 'String concatenation without validation' END
           WHEN 1 THEN 'Template literal interpolation' ELSE 'Direct user input as URL' END AS vulnerable_pattern
@@ -298,11 +298,12 @@ DIRECT = "(" + has_any("name", B.BACKTRACK_SOURCES) + " OR " + " OR ".join(f"con
 BACKTRACK = f""", uses AS MATERIALIZED (SELECT DISTINCT file, name, ref, {has_any('rhs', B.BACKTRACK_SOURCES)} AS ends FROM (
   SELECT file, name, rhs, unnest(regexp_extract_all(rhs, '\\w+')) AS ref FROM assigned
   WHERE NOT (kind = 'assign' AND regexp_matches(name, '^(if|for)')))),
+longest AS MATERIALIZED (SELECT file, count(DISTINCT name) AS n FROM uses GROUP BY file),
 back AS (SELECT file, name, 0 AS depth FROM (SELECT file, variable AS name FROM sink_vars UNION SELECT file, ref FROM uses
     WHERE ref NOT IN ({', '.join(q(w) for w in B.SKIPPED_WORDS)}) AND NOT regexp_matches(ref, '^[0-9]')
     UNION SELECT file, name FROM uses WHERE ends) n WHERE {DIRECT} OR EXISTS (SELECT 1 FROM uses u WHERE u.file = n.file AND u.name = n.name AND u.ends)
   UNION SELECT u.file, u.name, b.depth + 1 FROM back b JOIN uses u ON u.file = b.file AND u.ref = b.name AND u.name <> u.ref
-    WHERE b.depth < 20 AND u.ref NOT IN ({', '.join(q(w) for w in B.SKIPPED_WORDS)})),
+    JOIN longest l ON l.file = b.file WHERE b.depth < l.n AND u.ref NOT IN ({', '.join(q(w) for w in B.SKIPPED_WORDS)})),
 depths AS (SELECT file, name, min(depth) AS depth FROM back GROUP BY ALL)"""
 add(
     "backtrack",
@@ -348,8 +349,8 @@ add(
 # ── the single-pass scan ───────────────────────────────────────────────────────────────────────
 SINGLE = f"""READ_AS AS MATERIALIZED (SELECT file, line, text, coalesce(last_value(CASE WHEN {matched('text', S.HEADER)} THEN
     coalesce(nullif({group('text', S.HEADER, 1)}, ''), {group('text', S.HEADER, 2)}) END IGNORE NULLS)
-    OVER (PARTITION BY file ORDER BY line), 'global') AS fn FROM code_lines WHERE line <= 5000 AND {stripped('text')} <> '' AND {CODE}),
-params AS (SELECT * FROM (SELECT file, line, fn, {stripped("split_part(p, '=', 1)")} AS name FROM (SELECT file, line, fn,
+    OVER (PARTITION BY file ORDER BY line), 'global') AS fn FROM code_lines WHERE {stripped('text')} <> '' AND {CODE}),
+params AS (SELECT * FROM (SELECT file, line, fn, {stripped("string_split(split_part(regexp_replace(p, '[{{}}\\[\\]]|\\.\\.\\.', '', 'g'), '=', 1), ':')[-1]")} AS name FROM (SELECT file, line, fn,
     unnest(string_split({group('text', S.HEADER, 3)}, ',')) AS p FROM READ_AS WHERE {matched('text', S.HEADER)}))
     WHERE regexp_matches(name, '^\\w+$') AND {has_any('name', S.PARAMETER_WORDS, True)}),
 declared AS MATERIALIZED (SELECT *, {has_any('value', USER_INPUT_WORDS, True)} AS outside, {has_any('value', SANITIZER_WORDS, True)} AS clean
@@ -358,7 +359,7 @@ declared AS MATERIALIZED (SELECT *, {has_any('value', USER_INPUT_WORDS, True)} A
 reads AS MATERIALIZED (SELECT DISTINCT file, name, line * 2 + 1 AS moment, unnest(regexp_extract_all(value, '\\w+')) AS ref FROM declared),
 reach AS (SELECT file, name, line * 2 + 1 AS moment FROM declared WHERE outside UNION SELECT file, name, line * 2 FROM params
     UNION SELECT e.file, e.name, e.moment FROM reach r JOIN reads e ON e.file = r.file AND e.ref = r.name AND e.moment > r.moment),
-tainted AS MATERIALIZED (SELECT file, fn, name, line * 2 + 1 AS moment, line, substr(value, 1, 150) AS source, clean FROM declared d
+tainted AS MATERIALIZED (SELECT file, fn, name, line * 2 + 1 AS moment, line, value AS source, clean FROM declared d
     WHERE outside OR EXISTS (SELECT 1 FROM reach r WHERE r.file = d.file AND r.name = d.name AND r.moment = d.line * 2 + 1)
     UNION ALL SELECT file, fn, name, line * 2, line, concat('parameter: ', name), false FROM params),
 active AS (SELECT *, lead(line) OVER (PARTITION BY file, fn, name ORDER BY moment) AS until FROM tainted),
@@ -368,7 +369,7 @@ add(
     lambda spark, sf: S.flow_scan_single_pass(t.code_lines(spark, sf)),
     f"""WITH RECURSIVE {t.CODE_LINES}, {SINGLE}
     SELECT p.file, p.line, 'TAINT_FLOW_HIGH' AS type, 'CRITICAL' AS severity, concat('Tainted ''', p.name, ''' → ', k.sink,
-      ' | L', a.line, '→L', p.line, ' | ', substr({stripped('p.text')}, 1, 300)) AS evidence, p.name AS variable, k.sink,
+      ' | L', a.line, '→L', p.line, ' | ', {stripped('p.text')}) AS evidence, p.name AS variable, k.sink,
       a.source, a.line AS source_line, p.fn AS function, a.fn AS declared_in
     FROM places p JOIN active a ON a.file = p.file AND a.name = p.name AND a.line <= p.line AND (until IS NULL OR p.line < until)
     JOIN (SELECT unnest([{', '.join(q(s) for s in S.FLOW_SINKS)}]) AS sink) k ON contains(lower(p.text), lower(k.sink))

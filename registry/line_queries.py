@@ -40,7 +40,7 @@ add(
 )
 
 ELIGIBLE = (
-    f"length(text) <= 20000 AND {stripped('text')} <> '' AND NOT regexp_matches({stripped('text')}, "
+    f"{stripped('text')} <> '' AND NOT regexp_matches({stripped('text')}, "
     f"'^(//|/\\*|\\*|#)') AND NOT {has_any('text', L.NOISE_WORDS, True)}"
 )
 CODE = f"NOT regexp_matches({stripped('text')}, '^(//|/\\*)')"
@@ -81,7 +81,7 @@ add(
     ),
     with_lines(
         f"SELECT file, line, CASE WHEN length(m) > 15 THEN concat(chr(128272), ' ', substr(m, 1, 8), '...', "
-        f"right(m, 4), ' | ', substr(bare, 1, 200)) ELSE bare END AS evidence FROM (SELECT file, line, "
+        f"right(m, 4), ' | ', bare) ELSE bare END AS evidence FROM (SELECT file, line, "
         f"regexp_extract(text, '[\"''].*[\"'']', 0) AS m, {stripped('text')} AS bare FROM code_lines)"
     ),
 )
@@ -118,12 +118,12 @@ def shaped_findings(spark, sf):
 add(
     "format_evidence",
     lambda spark, sf: L.format_evidence(shaped_findings(spark, sf)).select("event_id", "evidence"),
-    """SELECT event_id, substr(concat_ws(' | ',
+    """SELECT event_id, concat_ws(' | ',
          concat('[', CASE WHEN value > 20 THEN 'HIGH' ELSE 'LOW' END, '] ', props),
          CASE WHEN event_type <> 'error' AND event_id % 4 <> 0 THEN concat(event_type, ' → eval') END,
          CASE WHEN event_id % 3 <> 0 THEN concat('Path: ', array_to_string(
-           list_transform(range(1, least(3, event_id % 5 + 1) + 1), lambda i: concat('v', i)), ' → ')) END,
-         CASE WHEN event_id % 2 = 0 THEN 'CWE-79' END), 1, 1000) AS evidence FROM events""",
+           list_transform(range(1, event_id % 5 + 2), lambda i: concat('v', i)), ' → ')) END,
+         CASE WHEN event_id % 2 = 0 THEN 'CWE-79' END) AS evidence FROM events""",
 )
 add(
     "tag_language",
@@ -180,15 +180,16 @@ add(
 # RE2 has no look-around: a rule becomes what must match and what must not. That is the same on lines
 # in which the first part occurs once; tests compare all 25 rules with Python's regexes.
 
+LOCAL_URL = r"['\"]https?://(?:localhost|127\.0\.0\.1)"
 NEGATIVE_SQL = {
     "XSS_INNERHTML_DIRECT": (r"\.innerHTML\s*=", r"\.innerHTML\s*=['\"]<?\s*['\"]"),
     "EVAL_FUNCTION_DIRECT": (r"Function\s*\(\s*['\"`]", r"new\sFunction\s*\(\s*['\"`]"),
     "EVAL_SCRIPT_SRC": (r"script\.src\s*=", r"script\.src\s*=['\"]https?://"),
-    "REDIRECT_LOCATION": (r"(?:window\.)?location\s*=", r"location\s*=" + K.LOCAL_URL),
-    "REDIRECT_LOCATION_HREF": (r"location\.href\s*=", r"location\.href\s*=" + K.LOCAL_URL),
-    "REDIRECT_LOCATION_REPLACE": (r"location\.replace\s*\(", r"location\.replace\s*\(" + K.LOCAL_URL),
-    "REDIRECT_LOCATION_ASSIGN": (r"location\.assign\s*\(", r"location\.assign\s*\(" + K.LOCAL_URL),
-    "REDIRECT_WINDOW_OPEN": (r"window\.open\s*\(", rf"window\.open\s*\((?:{K.LOCAL_URL}|['\"]_)"),
+    "REDIRECT_LOCATION": (r"(?:window\.)?location\s*=", r"location\s*=" + LOCAL_URL),
+    "REDIRECT_LOCATION_HREF": (r"location\.href\s*=", r"location\.href\s*=" + LOCAL_URL),
+    "REDIRECT_LOCATION_REPLACE": (r"location\.replace\s*\(", r"location\.replace\s*\(" + LOCAL_URL),
+    "REDIRECT_LOCATION_ASSIGN": (r"location\.assign\s*\(", r"location\.assign\s*\(" + LOCAL_URL),
+    "REDIRECT_WINDOW_OPEN": (r"window\.open\s*\(", rf"window\.open\s*\((?:{LOCAL_URL}|['\"]_)"),
     "COOKIE_NO_SECURE": (r"document\.cookie\s*=\s*['\"]", None),
 }
 
@@ -238,7 +239,7 @@ STRUCTURAL_SQL = {
 }
 STRUCTURAL_PARTS = "\nUNION ALL ".join(
     f"SELECT file, line, {q(r.rule_id)} AS type, {q(r.severity)} AS severity, "
-    f"substr({stripped('text')}, 1, 200) AS evidence, 'MEDIUM' AS confidence FROM code_lines "
+    f"{stripped('text')} AS evidence, 'MEDIUM' AS confidence FROM code_lines "
     f"WHERE {STRUCTURAL_SQL[r.rule_id]}"
     for r in K.STRUCTURAL_RULES
 )
@@ -287,7 +288,7 @@ add(
     )(R.scan_rules(t.code_lines(spark, sf), K.STRUCTURAL_RULES, eligible_only=False)),
     with_lines(
         f"SELECT DISTINCT s.file, s.line, type AS rule_id, md5(concat(type, ':', s.line, ':', "
-        f"substr({stripped('c.text')}, 1, 100))) AS finding_key FROM ({STRUCTURAL_PARTS}) s "
+        f"{stripped('c.text')})) AS finding_key FROM ({STRUCTURAL_PARTS}) s "
         "JOIN code_lines c ON c.file = s.file AND c.line = s.line"
     ),
 )
@@ -349,7 +350,7 @@ add(
     with_lines(
         NEAR_TEXT + "\nUNION ALL ".join(
             f"SELECT file, line, {q(name)} AS type, {q(severity)} AS severity, concat(chr(128279), ' ', {q(what + ': ')},"
-            f" substr(text, 1, 200)) AS evidence FROM near WHERE {matched('near', '(?is)' + pattern)}"
+            f" text) AS evidence FROM near WHERE {matched('near', '(?is)' + pattern)}"
             for pattern, name, severity, what in C.CHAINS[1:]
         )
     ).replace("code_lines)\n,", "code_lines),", 1),
@@ -361,7 +362,7 @@ add(
     lambda spark, sf: C.intel_keywords(t.code_lines(spark, sf), R.scan_structural_rules(t.code_lines(spark, sf))),
     with_lines(
         f"""SELECT file, line, 'INTEL_KEYWORD' AS type, 'INFO' AS severity,
-        concat(chr(128270), ' ''', word, ''': ', substr({stripped('text')}, 1, 200)) AS evidence FROM (
+        concat(chr(128270), ' ''', word, ''': ', {stripped('text')}) AS evidence FROM (
         SELECT *, {first_word('lower(text)', sorted(C.SECURITY_WORDS))} AS word FROM code_lines
         WHERE {ELIGIBLE} AND {matched('text', C.ASSIGNS)}) n
         WHERE word IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ({STRUCTURAL_PARTS}) s

@@ -49,7 +49,7 @@ LIKELY_CODE = (
 )
 SHAPED = (
     f"file, line, type, {{value}} AS value, round({entropy('value')}, 4) AS entropy, {{confidence}} AS confidence, "
-    f"substr({stripped('text')}, 1, 100) AS context"
+    f"{stripped('text')} AS context"
 )
 CONFIDENCE = f"CASE WHEN {entropy('value')} > 4.0 THEN 'HIGH' ELSE 'MEDIUM' END"
 SECRETS_SQL = (

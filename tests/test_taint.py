@@ -121,8 +121,8 @@ def shortest(text):
         more = {}
         for n, _, ws in uses:
             near = [depth[w] + 1 for w in ws if w in depth and w not in B.SKIPPED_WORDS and w != n]
-            if near and min(near) <= B.MAX_DEPTH and min(near) < depth.get(n, 99):
-                more[n] = min(min(near), more.get(n, 99))
+            if near and min(near) < depth.get(n, 10**6):
+                more[n] = min(min(near), more.get(n, 10**6))
         if not more:
             return depth
         depth.update(more)
