@@ -36,21 +36,17 @@ TEMPLATE = r"(fetch|axios[.\w]*)\s*\(\s*`([^`]*\$\{[^}]+\}[^`]*)`"
 DIRECT = r"(fetch|axios(?:\.get|\.post)?)\s*\(\s*(\w+)\s*[,)]"
 
 
-def _parts_up_to(text: Column, longest: Column) -> Column:
-    """All pieces of the words of a text that are at most ``longest`` characters long.
+PIECE = 3
+
+
+def _pieces(text: Column) -> Column:
+    """The distinct pieces of one to three characters of the words of a text, as many as it is long at most."""
 
-    A name occurs in the text exactly if it is one of these pieces, so that "contains one of the
-    file's names" is an equi-join.
-    """
     def of_word(word: Column) -> Column:
-        n = F.length(word)
         return F.flatten(
             F.transform(
-                F.sequence(F.lit(1), n),
-                lambda i: F.transform(
-                    F.sequence(F.lit(1), F.least(longest, n - i + 1)),
-                    lambda size: F.substring(word, i, size),
-                ),
+                F.sequence(F.lit(1), F.length(word)),
+                lambda i: F.array(*[F.substring(word, i, F.lit(size)) for size in range(1, PIECE + 1)]),
             )
         )
 
@@ -105,24 +101,15 @@ def cspt_scan(lines: DataFrame, tainted: DataFrame, sinks=URL_SINKS, path_source
         .select("file", "line", "bare", "_sinks", "_t.*")
     )
     path_word = F.when(F.col("shape") < 2, T.first_of(F.col("part"), path_sources))
-    names = tainted.select("file", "name").distinct()
-    longest = names.groupBy("file").agg(F.max(F.length("name")).alias("_longest"))
-    asked = (
-        candidates.filter(path_word.isNull())
-        .select("file", "line", "shape", "nth", "part")
-        .join(longest, "file")
-        .select(
-            "file", "line", "shape", "nth",
-            F.explode(
-                F.when(F.col("shape") == 2, F.array("part")).otherwise(
-                    _parts_up_to(F.col("part"), F.col("_longest"))
-                )
-            ).alias("name"),
-        )
-    )
-    named = asked.join(names, ["file", "name"]).groupBy("file", "line", "shape", "nth").agg(
-        F.min("name").alias("_name")
-    )
+    names = tainted.select("file", "name").distinct().withColumn("_piece", F.substring("name", 1, PIECE))
+    place = ["file", "line", "shape", "nth"]
+    open_ = candidates.filter(path_word.isNull()).select(*place, "part")
+    # the start of a name is a piece of the text, or the name is not in it; only then the text is looked at
+    asked = open_.filter("shape < 2").select(*place, F.explode(_pieces(F.col("part"))).alias("_piece"))
+    possible = asked.join(names, ["file", "_piece"]).select(*place, "name").distinct()
+    inside = possible.join(open_, place).filter(F.col("name").rlike(r"^\w+$") & F.contains("part", "name"))
+    whole = open_.filter("shape = 2").join(names.withColumnRenamed("name", "part").withColumn("name", F.col("part")), ["file", "part"])
+    named = inside.select(*place, "name").unionByName(whole.select(*place, "name")).groupBy(*place).agg(F.min("name").alias("_name"))
     judged = (
         candidates.withColumn("_path", path_word)
         .join(named, ["file", "line", "shape", "nth"], "left")

@@ -103,21 +103,14 @@ def definitions_of(assignments: DataFrame, sources=TAINT_SOURCES, sanitizers=SAN
 
 
 def _references(rows: DataFrame) -> DataFrame:
-    """Distinct words of ``rhs`` with their first and last position: adds (ref, first, last)."""
-    return (
-        rows.filter(F.col("rhs").isNotNull())
-        .select("file", "line", "name", "sanitizes", "source", T.words_in(F.col("rhs")).alias("_w"))
-        .select(
-            "file", "line", "name", "sanitizes", "source", F.size("_w").alias("_n"),
-            F.reverse("_w").alias("_back"), "_w",
-            F.explode(F.array_distinct("_w")).alias("ref"),
-        )
-        .select(
-            "file", "line", "name", "sanitizes", "source", "ref",
-            F.array_position("_w", F.col("ref")).alias("first"),
-            (F.col("_n") + 1 - F.array_position("_back", F.col("ref"))).alias("last"),
-        )
-    )
+    """Distinct words of ``rhs`` with their first and last position: adds (ref, first, last).
+
+    One row per word and position, so a long line costs what it is long.
+    """
+    keys = ["file", "line", "name", "sanitizes", "source"]
+    placed = rows.filter(F.col("rhs").isNotNull()).select(*keys, F.posexplode(T.words_in(F.col("rhs"))).alias("_at", "ref"))
+    at = (F.col("_at") + 1).cast("long")
+    return placed.groupBy(*keys, "ref").agg(F.min(at).alias("first"), F.max(at).alias("last"))
 
 
 def _resolve(definitions: DataFrame, references: DataFrame, block: int) -> DataFrame:
@@ -425,15 +418,14 @@ def match_sinks(lines: DataFrame, symbols: DataFrame, sinks=SINKS) -> DataFrame:
     tainted = symbols.filter(F.col("visible") & (F.col("state") == "TAINTED")).select(
         "file", F.col("name").alias("variable"), "source", "source_line", "steps"
     )
-    words = T.words_in(text)
+    dangerous = lines.filter(T.contains_any(text, sinks))
     used = (
-        lines.filter(T.contains_any(text, sinks))
-        .select("file", "line", "text", words.alias("_w"))
-        .withColumn("variable", F.explode(F.array_distinct("_w")))
-        .withColumn("uses", F.size(F.filter("_w", lambda w: w == F.col("variable"))))
-        .drop("_w")
+        dangerous.select("file", "line", F.explode(T.words_in(text)).alias("variable"))
+        .groupBy("file", "line", "variable")
+        .agg(F.count("*").cast("int").alias("uses"))
+        .join(tainted, ["file", "variable"])
     )
-    return used.join(tainted, ["file", "variable"]).select(
+    return used.join(dangerous.select("file", "line", "text"), ["file", "line"]).select(
         "file",
         F.explode(T.all_of(text, sinks)).alias("sink"),
         F.col("line").alias("sink_line"),

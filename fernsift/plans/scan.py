@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from fernsift.functions.fixpoint import pin
 from fernsift.operators import taint as taint_flow
-from fernsift.operators.backtrack import backtrack, enrich_with_backtrack
-from fernsift.operators.context import detect_chains, intel_keywords, line_context
+from fernsift.operators.backtrack import BACKTRACK_SINKS, BACKTRACK_SOURCES, backtrack, enrich_with_backtrack
+from fernsift.operators.context import CHAINS, detect_chains, intel_keywords, line_context
 from fernsift.operators.cspt import cspt_scan
 from fernsift.operators.decode import apply_decoded
 from fernsift.operators.dom import CWE, dom_context
@@ -16,12 +16,12 @@ from fernsift.operators.findings import all_findings, as_findings, dedup_finding
 from fernsift.operators.lines import explode_lines, format_evidence
 from fernsift.operators.messaging import postmessage_findings
 from fernsift.operators.rules import dedup_line_findings, rule_findings, scan_rules, scan_structural_rules
-from fernsift.operators.secrets import all_secrets, promote_secrets
+from fernsift.operators.secrets import promote_secrets, scan_secrets
 from fernsift.operators.single_pass import flow_scan_single_pass
 from fernsift.sources import store as tables
 
 
-def scan_v2(sources: DataFrame, rules=None, window: int = 25) -> DataFrame:
+def scan_v2(sources: DataFrame, rules=None, window: int = 25, chains=CHAINS) -> DataFrame:
     """Line rules with their surroundings, chains, security words and single-pass flows.
 
     (file, line, type, severity, evidence, phase).
@@ -33,19 +33,32 @@ def scan_v2(sources: DataFrame, rules=None, window: int = 25) -> DataFrame:
     by_rule = rule_findings(hits.join(line_context(lines, window), ["file", "line"])).select(
         *shape, F.lit(1).alias("phase")
     )
-    chains = detect_chains(lines).select(*shape, F.lit(2).alias("phase"))
-    found = pin(flows.unionByName(by_rule).unionByName(chains))
+    linked = detect_chains(lines, chains).select(*shape, F.lit(2).alias("phase"))
+    found = pin(flows.unionByName(by_rule).unionByName(linked))
     words = intel_keywords(lines, found).select(*shape, F.lit(3).alias("phase"))
     return found.unionByName(words)
 
 
-def scan(sources: DataFrame, decode: bool = True, compat: bool = True) -> DataFrame:
+def scan(
+    sources: DataFrame,
+    decode: bool = True,
+    compat: bool = True,
+    taint_sources=taint_flow.TAINT_SOURCES,
+    sanitizers=taint_flow.SANITIZERS,
+    sinks=taint_flow.SINKS,
+    back_sources=BACKTRACK_SOURCES,
+    back_sinks=BACKTRACK_SINKS,
+    secret_patterns=None,
+) -> DataFrame:
     """All analyzers of the live engine: decode, structure, flows, requests, messages, credentials,
-    backtracking; then one finding per type, line and sink, with confidence."""
-    # decoded again by every analyzer that reads it: far cheaper than a copy of all texts
-    texts = apply_decoded(sources, compat) if decode else sources
+    backtracking; then one finding per type, line and sink, with confidence.
+
+    The word lists and patterns that decide are parameters. Texts are decoded once and written to the shared folder, as a
+    dozen analyzers read them.
+    """
+    texts = pin(apply_decoded(sources, compat)) if decode else sources
     lines = explode_lines(texts)
-    tainted = taint_flow.analyze(texts)
+    tainted = taint_flow.analyze(texts, taint_sources, sanitizers, sinks)
     names = taint_flow.tainted_symbols(tainted.symbols).select("file", "name")
     found = all_findings(
         [
@@ -56,12 +69,12 @@ def scan(sources: DataFrame, decode: bool = True, compat: bool = True) -> DataFr
                 postmessage_findings(texts).withColumn("type", F.concat(F.lit("POSTMESSAGE_"), "type")),
                 8, "HIGH", CWE["POSTMESSAGE"],
             ),
-            as_findings(promote_secrets(all_secrets(texts, compat=compat)), 9, None, CWE["SECRET_EXPOSURE"]),
+            as_findings(promote_secrets(scan_secrets(texts, secret_patterns, compat)), 9, None, CWE["SECRET_EXPOSURE"]),
         ]
     )
     # two findings of one line and sink would meet the same way, so reducing first saves a larger join
     known = pin(dedup_findings(found))
-    ways = backtrack(texts, compat=compat)
+    ways = backtrack(texts, back_sinks, back_sources, compat=compat)
     return score_confidence(dedup_findings(enrich_with_backtrack(known, ways)))
 
 
