@@ -15,21 +15,30 @@ from fernsift.operators.dom import CWE, dom_context
 from fernsift.operators.findings import all_findings, as_findings, dedup_findings, score_confidence
 from fernsift.operators.lines import explode_lines, format_evidence
 from fernsift.operators.messaging import postmessage_findings
-from fernsift.operators.rules import dedup_line_findings, rule_findings, scan_rules, scan_structural_rules
+from fernsift.operators.rule_catalog import default_rules
+from fernsift.operators.rules import dedup_line_findings, rule_findings, scan_rules, scan_structural_rules, scan_texts
 from fernsift.operators.secrets import promote_secrets, scan_secrets
 from fernsift.operators.single_pass import flow_scan_single_pass
 from fernsift.sources import store as tables
 
 
-def scan_v2(sources: DataFrame, rules=None, window: int = 25, chains=CHAINS) -> DataFrame:
+def scan_v2(sources: DataFrame, rules=None, window: int = 25, chains=CHAINS, scope: str = "line") -> DataFrame:
     """Line rules with their surroundings, chains, security words and single-pass flows.
 
-    (file, line, type, severity, evidence, phase).
+    (file, line, type, severity, evidence, phase). With ``scope="rule"`` the rules that are written to span lines are
+    matched against whole texts, and credited to the line on which a match begins; else all are matched against lines.
     """
     lines = explode_lines(sources, mode="universal")
     shape = ["file", "line", "type", "severity", "evidence"]
     flows = flow_scan_single_pass(lines).select(*shape, F.lit(0).alias("phase"))
-    hits = dedup_line_findings(scan_rules(lines, rules)).drop("finding_key")
+    rules = default_rules() if rules is None else list(rules)
+    hits = scan_rules(lines, [r for r in rules if scope == "line" or r.scope == "line"])
+    if scope == "rule":
+        spanning = scan_texts(sources, [r for r in rules if r.scope == "file"]).dropDuplicates(["file", "line", "rule_id"])
+        family = F.element_at(F.split("rule_id", "_"), 1).alias("family")
+        spanning = spanning.select("file", "line", "rule_id", family, "base_severity", "matched")
+        hits = hits.unionByName(spanning.join(lines, ["file", "line"]).select(*hits.columns))
+    hits = dedup_line_findings(hits).drop("finding_key")
     by_rule = rule_findings(hits.join(line_context(lines, window), ["file", "line"])).select(
         *shape, F.lit(1).alias("phase")
     )

@@ -53,24 +53,47 @@ def read_finding_stream(spark: SparkSession, store: Store) -> DataFrame:
     return spark.readStream.schema(columns).parquet(store.folder("findings"))
 
 
+def _batches(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the batch folders that are whole, found by listing."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return []
+    names = [f.getPath().getName() for f in files.listStatus(root)]
+    done = [n for n in names if n.startswith("batch=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(root, f"{n}/_SUCCESS"))]
+    return sorted(int(n.removeprefix("batch=")) for n in done)
+
+
+def _drop(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stream_target_metrics(
     findings: DataFrame, folder: str, checkpoint: str, by: list[str], trigger: dict | None = None
 ) -> StreamingQuery:
-    """Running dashboard counts; ``folder`` always holds the latest, one folder per batch.
+    """Running dashboard counts; the newest folder below ``folder`` holds them for all targets.
 
-    The state is one row per target.
+    A batch brings the targets that changed (update mode), which take the place of their earlier rows. A batch that is
+    repeated starts from the folder before its own; older folders go. The state is one row per target.
     """
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        spark = batch.sparkSession
+        before = [n for n in _batches(spark, folder) if n < number]
+        rows = batch
+        if before:
+            old = spark.read.schema(batch.schema).parquet(f"{folder}/batch={before[-1]}")
+            rows = batch.unionByName(old.join(batch.select(*by), by, "left_anti"))
+        rows.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        for n in before[:-1]:
+            _drop(spark, f"{folder}/batch={n}")
 
     counts = target_metrics(findings, by)
-    writer = counts.writeStream.outputMode("complete").foreachBatch(keep)
+    writer = counts.writeStream.outputMode("update").foreachBatch(keep)
     return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def latest_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    """The counts of the last batch that stream_target_metrics has written."""
-    every = spark.read.parquet(folder)
-    newest = every.agg(F.max("batch").alias("batch"))
-    return every.join(F.broadcast(newest), "batch").drop("batch")
+    """The counts after the last batch that stream_target_metrics has written."""
+    return spark.read.parquet(f"{folder}/batch={_batches(spark, folder)[-1]}")

@@ -209,10 +209,17 @@ def domain_id(domain: str) -> int:
 
 
 DOMAIN = "src0"
+def submitted(spark, sf):
+    """The submissions as JSON files, read back by the reader."""
+    path = t.scratch(spark, "submissions")
+    submissions(spark, sf).write.json(path)
+    return B.as_sources(B.read_submissions(spark, path)).select("file", F.length("text").alias("chars"), F.md5("text").alias("md5"))
+
+
 add(
     "read_submissions",
-    lambda spark, sf: B.as_sources(submissions(spark, sf)).select("file", F.length("text").alias("chars")),
-    "SELECT concat(source, '/doc', doc_id) AS file, length(text) AS chars FROM documents",
+    submitted,
+    "SELECT concat(source, '/doc', doc_id) AS file, length(text) AS chars, md5(text) AS md5 FROM documents",
 )
 add(
     "store_sources",
@@ -269,10 +276,22 @@ add(
         "JOIN targets USING (target_id) GROUP BY ALL) JOIN source_files USING (hash)"
     ),
 )
+FETCHED = [(DOMAIN, f"/{lang}/{n}") for lang in ("en", "fr") for n in (0, 20, 40)] + [(DOMAIN, "/none"), ("none.example", "/en/0")]
+
+
+def fetched(spark, sf):
+    """Stored and missing assets, one after the other."""
+    one = lambda domain, url: W.fetch_source(source_files(spark, sf), assets(spark, sf), targets(spark, sf), domain, url)
+    return N.all_findings([one(d, u).withColumns({"domain": F.lit(d), "url": F.lit(u)}) for d, u in FETCHED])
+
+
 add(
     "fetch_source",
-    lambda spark, sf: W.fetch_source(source_files(spark, sf), assets(spark, sf), targets(spark, sf), "none.example", "/x"),
-    f"SELECT {q(W.NO_SOURCE)} AS content",
+    fetched,
+    with_stored(f""", asked(domain, url) AS (VALUES {', '.join(f"({q(d)}, {q(u)})" for d, u in FETCHED)}),
+      latest AS (SELECT domain, url, max_by(source_hash, asset_id) AS hash FROM assets JOIN targets USING (target_id) GROUP BY ALL)
+      SELECT domain, url, coalesce(content, {q(W.NO_SOURCE)}) AS content FROM asked LEFT JOIN latest USING (domain, url)
+      LEFT JOIN source_files USING (hash)""").replace("\n,", ",", 1),
 )
 add(
     "target_metrics",

@@ -80,3 +80,25 @@ def test_rules_as_a_table(spark):
     table = K.rules_table(spark)
     assert table.count() == len(K.RULE_TABLE) == len({r for r, _ in K.RULE_TABLE}) == 338
     assert {r.scope for r in table.select("scope").distinct().collect()} == {"line", "file"}
+
+
+def test_spanning_rules_in_a_whole_scan(sources):
+    from fernsift.plans.scan import scan_v2
+
+    df = sources(f="a\nx.onmessage = go;\nfoo();\neval(z)\n")
+    rules = [r for r in K.default_rules() if r.rule_id in ("WS_MSG_EVAL", "EVAL_DIRECT")]
+    found = {s: {(r.type, r.line) for r in scan_v2(df, rules, scope=s).filter("phase = 1").collect()} for s in ("line", "rule")}
+    assert found == {"line": {("EVAL_DIRECT", 4)}, "rule": {("EVAL_DIRECT", 4), ("WS_MSG_EVAL", 2)}}
+
+
+def test_metrics_of_several_batches(spark, tmp_path):
+    from fernsift.streaming.ingest import _batches, latest_metrics, stream_target_metrics
+
+    schema = "target_id LONG, type STRING, severity STRING"
+    for n, rows in enumerate([[(1, "A", "CRITICAL"), (2, "SHADOW_X", "LOW")], [(1, "A", "CRITICAL")], [(3, "A", "CRITICAL")]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        stream_target_metrics(stream, str(tmp_path / "out"), str(tmp_path / "log"), ["target_id"]).awaitTermination()
+        assert len(_batches(spark, str(tmp_path / "out"))) <= 2 and n < 3
+    got = {r.target_id: (r.critical, r.shadow) for r in latest_metrics(spark, str(tmp_path / "out")).collect()}
+    assert got == {1: (2, 0), 2: (0, 1), 3: (1, 0)}
