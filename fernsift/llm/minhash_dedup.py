@@ -7,13 +7,13 @@ values left are out. Two classes that share ``MATCHES`` coordinates must meet in
 values: all but ``MATCHES - 1`` of its live ones (prefix). Only these lists are merged.
 
 A list isn't expanded into its pairs. Its classes are first compared to its most central one; lists whose classes all
-are in one component then are skipped. In the others, a class can only have further links if enough of its shingles occur
+are known to be in one component then are skipped. In the others, a class can only have further links if enough of its shingles occur
 in another class that is left, which drops strongly edited copies for good. What remains are pairs of different
 components that share enough coordinates, also of a finer signature that only listed classes have. Each link is confirmed
 on the two full sets.
 
-With 40 coordinates and 20 matches a pair of similarity 0.8 is overlooked with a probability of about 4e-6, with 176 of
-the finer 256 with as much again; at 0.85 both are below 1e-8.
+With 40 coordinates and 20 matches a pair of similarity 0.8 is overlooked with a probability of about 5e-6, with 368 of
+the finer 512 with 4e-6; at 0.85 with less than 1e-7.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ COORDINATES = 40
 MATCHES = 20
 SHINGLE = 5
 PERCENT = 80
-FINER = 256  # coordinates of listed classes, the first ones included
-FINER_MATCHES = 176
+FINER = 512  # coordinates of listed classes, the first ones included
+FINER_MATCHES = 368
 CENTRE_ROUNDS = 2
 
 
@@ -125,7 +125,8 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _with_centre(lists: DataFrame, about: DataFrame, percent: int) -> DataFrame:
     """Pairs of each list's centre with the classes of its other components, as far as a link is likely."""
-    pairs = lists.join(_centres(lists), "list").filter("component <> c_component").select("node", "c_node").distinct()
+    best = lists.filter("not done").groupBy("list").agg(F.max(F.struct("centre", "node", "component")).alias("c"))
+    pairs = lists.join(best, "list").filter("component <> c.component").select("node", F.col("c.node").alias("c_node")).distinct()
     pairs = pairs.join(about.select("node", F.struct("n_shingles", "signature", "finer").alias("x")), "node")
     pairs = pairs.join(about.select(F.col("node").alias("c_node"), F.struct("n_shingles", "signature", "finer").alias("y")), "c_node")
     pairs = pairs.filter(_likely("x.", "y.", percent))
@@ -144,18 +145,24 @@ def _able(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return lists.join(live, "node").filter(F.col("live") * 100 >= F.col("n_shingles") * percent)
 
 
-def _centres(lists: DataFrame) -> DataFrame:
-    """The most central class of each list that no earlier centre's component holds, with its component."""
-    best = lists.filter("not done").groupBy("list").agg(F.max(F.struct("centre", "node", "component")).alias("c"))
-    return best.select("list", F.col("c.node").alias("c_node"), F.col("c.component").alias("c_component"))
+def _labels(links: DataFrame) -> DataFrame:
+    """``node``, ``component``: the smallest class within two links. Classes of one label are in one component, and all
+    classes around a centre have one label; whole components are only found at the end."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least"))
+    further = both.join(near.select(F.col("a").alias("b"), "least"), "b").groupBy("a").agg(F.min("least").alias("component"))
+    return further.select(F.col("a").alias("node"), "component")
 
 
 def _relabel(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """Lists with their classes' present components, and which of these a centre has been in; finished lists go."""
-    labelled = lists.drop("component").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    seen = labelled.join(_centres(labelled), "list", "left")
-    done = F.col("done") | F.coalesce(F.col("component") == F.col("c_component"), F.lit(False))
-    return _several(store(seen.withColumn("done", done).drop("c_node", "c_component"), "lists"))
+    """Lists with their classes' labels, and which of these a centre has had; lists with one label go."""
+    labelled = lists.drop("component").join(_labels(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = store(labelled, "labelled")
+    best = F.max(F.when(~F.col("done"), F.struct("centre", "node", "component"))).alias("c")
+    of_list = labelled.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), best).filter("lo < hi")
+    seen = labelled.join(of_list.select("list", "c"), "list")
+    done = F.col("done") | F.coalesce(F.col("component") == F.col("c.component"), F.lit(False))
+    return seen.withColumn("done", done).drop("c")
 
 
 def _several(lists: DataFrame) -> DataFrame:
