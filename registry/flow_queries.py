@@ -314,11 +314,41 @@ add(
     SELECT v.file, v.sink, v.sink_line, v.variable, d.depth IS NOT NULL AS is_tainted, (coalesce(d.depth, 0) + 1)::INT AS steps
     FROM sink_vars v LEFT JOIN depths d ON d.file = v.file AND d.name = v.variable""",
 )
+NAMED = " ".join(
+    f"WHEN contains(name, {q(x)}) OR contains({q(x.split('.')[-1])}, name) THEN {q(x)}" for x in B.BACKTRACK_SOURCES
+)
+READ = "NOT (kind = 'assign' AND regexp_matches(name, '^(if|for)'))"
+WORDS = f"ref NOT IN ({', '.join(q(w) for w in B.SKIPPED_WORDS)}) AND NOT regexp_matches(ref, '^[0-9]')"
+WAYS = f""", used AS MATERIALIZED (SELECT DISTINCT file, line, name, ref FROM (SELECT file, line, name, unnest(regexp_extract_all(rhs, '\\w+')) AS ref
+  FROM assigned WHERE {READ}) WHERE {WORDS}),
+direct AS MATERIALIZED (SELECT * FROM (SELECT DISTINCT file, name, CASE {NAMED} END AS source FROM
+  (SELECT file, variable AS name FROM sink_vars UNION SELECT file, ref FROM used) WHERE name <> '') WHERE source IS NOT NULL),
+valued AS (SELECT file, name, arg_min(struct_pack(source := source, line := line, rhs := rhs), line) AS s FROM
+  (SELECT file, name, line, rhs, {t.first_word('rhs', B.BACKTRACK_SOURCES)} AS source FROM assigned WHERE {READ}) v
+  WHERE source IS NOT NULL AND NOT EXISTS (SELECT 1 FROM direct d WHERE d.file = v.file AND d.name = v.name) GROUP BY ALL),
+ends AS MATERIALIZED (SELECT file, name, source, NULL::INT AS line, NULL::VARCHAR AS rhs FROM direct
+  UNION ALL SELECT file, name, s.source, s.line, s.rhs FROM valued),
+onward AS MATERIALIZED (SELECT u.file, u.name, min(struct_pack(line := u.line, ref := u.ref)) AS o FROM used u
+  JOIN depths d ON d.file = u.file AND d.name = u.name AND d.depth > 0
+  JOIN depths e ON e.file = u.file AND e.name = u.ref AND e.depth = d.depth - 1 GROUP BY ALL),
+way AS (SELECT DISTINCT file, variable AS start, variable AS here, [variable] AS path, []::INT[] AS lines FROM sink_vars
+  UNION ALL SELECT w.file, w.start, n.o.ref, list_append(w.path, n.o.ref), list_append(w.lines, n.o.line)
+  FROM way w JOIN onward n ON n.file = w.file AND n.name = w.here),
+found AS (SELECT w.file, w.start, w.path, CASE WHEN e.line IS NULL THEN w.lines ELSE list_append(w.lines, e.line) END AS lines, e.source, e.line, e.rhs
+  FROM way w JOIN ends e ON e.file = w.file AND e.name = w.here)"""
+LABELS = "concat_ws(',', " + ", ".join(f"CASE WHEN contains(rhs, {q(w)}) THEN {q(label)} END" for w, label in B.TRANSFORMATIONS.items()) + ")"
 add(
     "backtrack_paths",
     lambda spark, sf: B.backtrack(t.code_files(spark, sf)).withColumns(
         {c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("path", "path_lines", "transformations")}
     ),
+    f"""WITH RECURSIVE {t.CODE_LINES}, {ASSIGNMENTS}, {SINK_VARS}{BACKTRACK}{WAYS}
+    SELECT v.file, v.sink, v.sink_line, v.variable, f.file IS NOT NULL AS is_tainted, f.source,
+      CASE WHEN f.file IS NULL THEN 0 ELSE coalesce(f.line, list_append(f.lines, v.sink_line)[1]) END AS source_line,
+      array_to_string(coalesce(f.path, [v.variable]), ',') AS path,
+      CASE WHEN f.file IS NULL THEN '' ELSE array_to_string(CASE WHEN f.line IS NULL THEN list_append(f.lines, v.sink_line) ELSE f.lines END, ',') END AS path_lines,
+      CASE WHEN f.rhs IS NULL THEN '' ELSE {LABELS} END AS transformations
+    FROM sink_vars v LEFT JOIN found f ON f.file = v.file AND f.start = v.variable""",
 )
 add(
     "enrich_with_backtrack",
