@@ -355,8 +355,18 @@ add(
         )
     ).replace("code_lines)\n,", "code_lines),", 1),
 )
-# without SQL check: RE2 has no back-references
-add("detect_chains_repeated_name", lambda spark, sf: C.detect_chains(t.code_lines(spark, sf), C.CHAINS[:1]))
+# RE2 has no back-references. A repeated name repeats its first character, and the pattern is content with that, so the
+# first chain holds exactly where some word character comes again.
+AGAIN = "|".join(f"{c}[^\\n]*{c}" for c in "abcdefghijklmnopqrstuvwxyz0123456789_")
+REPEATED = C.CHAINS[0][0].replace(r"(\w+)[^\n]*\1", f"(?:{AGAIN})")
+add(
+    "detect_chains_repeated_name",
+    lambda spark, sf: C.detect_chains(t.code_lines(spark, sf), C.CHAINS[:1]),
+    with_lines(
+        NEAR_TEXT + f"SELECT file, line, {q(C.CHAINS[0][1])} AS type, {q(C.CHAINS[0][2])} AS severity, concat(chr(128279), ' ', "
+        f"{q(C.CHAINS[0][3] + ': ')}, text) AS evidence FROM near WHERE {matched('near', '(?is)' + REPEATED)}"
+    ).replace("code_lines)\n,", "code_lines),", 1),
+)
 add(
     "intel_keywords",
     lambda spark, sf: C.intel_keywords(t.code_lines(spark, sf), R.scan_structural_rules(t.code_lines(spark, sf))),
