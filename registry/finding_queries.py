@@ -15,7 +15,8 @@ from fernsift.sources import store as W
 from fernsift.sources import submissions as B
 from fernsift.streaming import ingest as I
 from registry import tables as t
-from registry.line_queries import CONTEXT_SQL, ELIGIBLE, RULES, STRUCTURAL_PARTS
+from registry.flow_queries import SINGLE, SINGLE_FLOWS
+from registry.line_queries import CONTEXT_SQL, ELIGIBLE, FIRST_CHAIN, NEAR_TEXT, OTHER_CHAINS, RULES, STRUCTURAL_PARTS, negative_condition
 from registry.tables import has_any, matched, q, stripped, with_lines
 from registry.text_queries import PROMOTED_SQL
 
@@ -123,24 +124,25 @@ def rule_rows() -> str:
 
 
 BARE = stripped("text")
-add(
-    "rule_findings",
-    lambda spark, sf: (
-        lambda lines: R.rule_findings(R.scan_rules(lines, RULES).join(C.line_context(lines), ["file", "line"]))
-    )(t.code_lines(spark, sf)),
-    with_lines(f""", picked AS MATERIALIZED (SELECT * FROM code_lines WHERE {ELIGIBLE})
-    {CONTEXT_SQL}, hits AS ({rule_rows()}),
-    s1 AS (SELECT *, CASE WHEN has_user_input AND NOT has_sanitization AND b = 'MEDIUM' THEN 'HIGH'
+RATED = f"""s1 AS (SELECT *, CASE WHEN has_user_input AND NOT has_sanitization AND b = 'MEDIUM' THEN 'HIGH'
       WHEN has_user_input AND NOT has_sanitization AND b = 'LOW' THEN 'MEDIUM' ELSE b END AS u1 FROM hits JOIN near USING (file, line)),
     s2 AS (SELECT *, {has_any('text', R.AUTH_WORDS, True)} AS auth, CASE WHEN auth AND u1 = 'LOW' THEN 'MEDIUM'
       WHEN auth AND u1 = 'MEDIUM' THEN 'HIGH' ELSE u1 END AS u2 FROM s1),
     s3 AS (SELECT *, CASE WHEN has_validation AND has_sanitization AND u2 = 'HIGH' THEN 'MEDIUM'
       WHEN has_validation AND has_sanitization AND u2 = 'CRITICAL' THEN 'HIGH' ELSE u2 END AS severity,
       CASE WHEN length(m) > 15 THEN concat(chr(128272), ' ', substr(m, 1, 8), '...', right(m, 4), ' | ',
-        {BARE}) ELSE {BARE} END AS shown FROM s2)
-    SELECT file, line, type, severity, CASE WHEN severity IN ('CRITICAL', 'HIGH') AND (has_user_input OR NOT has_sanitization)
+        {BARE}) ELSE {BARE} END AS shown FROM s2)"""
+SHOWN = """SELECT file, line, type, severity, CASE WHEN severity IN ('CRITICAL', 'HIGH') AND (has_user_input OR NOT has_sanitization)
       THEN concat('[', concat_ws(', ', CASE WHEN has_user_input THEN 'USER_INPUT' END,
-        CASE WHEN NOT has_sanitization THEN 'NO_SANITIZE' END), '] ', shown) ELSE shown END AS evidence FROM s3""")
+        CASE WHEN NOT has_sanitization THEN 'NO_SANITIZE' END), '] ', shown) ELSE shown END AS evidence FROM s3"""
+add(
+    "rule_findings",
+    lambda spark, sf: (
+        lambda lines: R.rule_findings(R.scan_rules(lines, RULES).join(C.line_context(lines), ["file", "line"]))
+    )(t.code_lines(spark, sf)),
+    with_lines(f""", picked AS MATERIALIZED (SELECT * FROM code_lines WHERE {ELIGIBLE})
+    {CONTEXT_SQL}, hits AS ({rule_rows()}), {RATED}
+    {SHOWN}""")
     .replace("code_lines\n, picked", "code_lines, picked"),
 )
 
@@ -362,7 +364,23 @@ def reported(spark, sf):
 add("write_report", reported, f"WITH {FOUND} SELECT file, line, type, severity FROM found")
 
 # ── whole scans; their parts have SQL checks, tests compare the whole on small files ───────────
-add("scan_v2", lambda spark, sf: P.scan_v2(t.code_files(spark, sf)))
+NEGATIVE_ROWS = "\nUNION ALL ".join(
+    f"SELECT file, line, text, {q(r.rule_id)} AS type, {q(R.base_severity(r.rule_id))} AS b, NULL::VARCHAR AS m "
+    f"FROM picked WHERE {negative_condition(r)}"
+    for r in K.negative(K.default_rules())
+)
+NEAR_LINES = NEAR_TEXT.replace("near AS MATERIALIZED", "near_text AS MATERIALIZED")
+V2 = f"""WITH RECURSIVE {t.CODE_LINES}, {SINGLE.replace("READ_AS", "read_lines")}, picked AS MATERIALIZED (SELECT * FROM code_lines WHERE {ELIGIBLE})
+    {CONTEXT_SQL}, hits AS ({rule_rows()}
+    UNION ALL {NEGATIVE_ROWS}), {RATED}{NEAR_LINES}, v2_found AS MATERIALIZED (
+    SELECT file, line, type, severity, evidence, 0 AS phase FROM ({SINGLE_FLOWS.replace("READ_AS", "read_lines")})
+    UNION ALL SELECT file, line, type, severity, evidence, 1 FROM ({SHOWN})
+    UNION ALL SELECT file, line, type, severity, evidence, 2 FROM ({FIRST_CHAIN.replace("FROM near", "FROM near_text")}
+      UNION ALL {OTHER_CHAINS.replace("FROM near", "FROM near_text")}))
+    SELECT * FROM v2_found UNION ALL SELECT file, line, 'INTEL_KEYWORD', 'INFO', concat(chr(128270), ' \'\'', word, '\'\': ', {BARE}), 3
+    FROM (SELECT *, {t.first_word('lower(text)', sorted(C.SECURITY_WORDS))} AS word FROM picked WHERE {t.matched('text', C.ASSIGNS)}) n
+    WHERE word IS NOT NULL AND NOT EXISTS (SELECT 1 FROM v2_found s WHERE s.file = n.file AND s.line = n.line)"""
+add("scan_v2", lambda spark, sf: P.scan_v2(t.code_files(spark, sf)), V2)
 add(
     "scan",
     lambda spark, sf: P.scan(t.code_files(spark, sf)).withColumn("path", F.array_join("path", ",")),

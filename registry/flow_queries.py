@@ -394,14 +394,15 @@ tainted AS MATERIALIZED (SELECT file, fn, name, line * 2 + 1 AS moment, line, va
     UNION ALL SELECT file, fn, name, line * 2, line, concat('parameter: ', name), false FROM params),
 active AS (SELECT *, lead(line) OVER (PARTITION BY file, fn, name ORDER BY moment) AS until FROM tainted),
 places AS (SELECT file, line, text, fn, {WORDS_ON} AS name FROM READ_AS)"""
-add(
-    "flow_scan_single_pass",
-    lambda spark, sf: S.flow_scan_single_pass(t.code_lines(spark, sf)),
-    f"""WITH RECURSIVE {t.CODE_LINES}, {SINGLE}
-    SELECT p.file, p.line, 'TAINT_FLOW_HIGH' AS type, 'CRITICAL' AS severity, concat('Tainted ''', p.name, ''' → ', k.sink,
+SINGLE_FLOWS = f"""SELECT p.file, p.line, 'TAINT_FLOW_HIGH' AS type, 'CRITICAL' AS severity, concat('Tainted ''', p.name, ''' → ', k.sink,
       ' | L', a.line, '→L', p.line, ' | ', {stripped('p.text')}) AS evidence, p.name AS variable, k.sink,
       a.source, a.line AS source_line, p.fn AS function, a.fn AS declared_in
     FROM places p JOIN active a ON a.file = p.file AND a.name = p.name AND a.line <= p.line AND (until IS NULL OR p.line < until)
     JOIN (SELECT unnest([{', '.join(q(s) for s in S.FLOW_SINKS)}]) AS sink) k ON contains(lower(p.text), lower(k.sink))
-    WHERE NOT clean""".replace("READ_AS", "read_lines"),
+    WHERE NOT clean"""
+add(
+    "flow_scan_single_pass",
+    lambda spark, sf: S.flow_scan_single_pass(t.code_lines(spark, sf)),
+    f"""WITH RECURSIVE {t.CODE_LINES}, {SINGLE}
+    {SINGLE_FLOWS}""".replace("READ_AS", "read_lines"),
 )

@@ -194,7 +194,7 @@ NEGATIVE_SQL = {
 }
 
 
-def negative_sql(rule) -> str:
+def negative_condition(rule) -> str:
     must, must_not = NEGATIVE_SQL.get(rule.rule_id) or (
         rule.pattern[: rule.pattern.rindex("(?!")],
         rule.pattern.replace("(?!", "(?:"),
@@ -202,7 +202,11 @@ def negative_sql(rule) -> str:
     condition = matched("text", K.FLAGS + must)
     if must_not:
         condition += f" AND NOT {matched('text', K.FLAGS + must_not)}"
-    return f"SELECT file, line, {q(rule.rule_id)} AS rule_id FROM picked WHERE {condition}"
+    return condition
+
+
+def negative_sql(rule) -> str:
+    return f"SELECT file, line, {q(rule.rule_id)} AS rule_id FROM picked WHERE {negative_condition(rule)}"
 
 
 add(
@@ -344,28 +348,28 @@ NEAR_TEXT = f""", kept AS (SELECT * FROM code_lines WHERE {ELIGIBLE}),
 near AS MATERIALIZED (SELECT file, line, text, array_to_string(array_agg(text) OVER (PARTITION BY file ORDER BY line
   ROWS BETWEEN 10 PRECEDING AND CURRENT ROW), ' ') AS near FROM kept)
 """
+OTHER_CHAINS = "\nUNION ALL ".join(
+    f"SELECT file, line, {q(name)} AS type, {q(severity)} AS severity, concat(chr(128279), ' ', {q(what + ': ')},"
+    f" text) AS evidence FROM near WHERE {matched('near', '(?is)' + pattern)}"
+    for pattern, name, severity, what in C.CHAINS[1:]
+)
 add(
     "detect_chains",
     lambda spark, sf: C.detect_chains(t.code_lines(spark, sf), C.CHAINS[1:]),
-    with_lines(
-        NEAR_TEXT + "\nUNION ALL ".join(
-            f"SELECT file, line, {q(name)} AS type, {q(severity)} AS severity, concat(chr(128279), ' ', {q(what + ': ')},"
-            f" text) AS evidence FROM near WHERE {matched('near', '(?is)' + pattern)}"
-            for pattern, name, severity, what in C.CHAINS[1:]
-        )
-    ).replace("code_lines)\n,", "code_lines),", 1),
+    with_lines(NEAR_TEXT + OTHER_CHAINS).replace("code_lines)\n,", "code_lines),", 1),
 )
 # RE2 has no back-references. A repeated name repeats its first character, and the pattern is content with that, so the
 # first chain holds exactly where some word character comes again.
 AGAIN = "|".join(f"{c}[^\\n]*{c}" for c in "abcdefghijklmnopqrstuvwxyz0123456789_")
 REPEATED = C.CHAINS[0][0].replace(r"(\w+)[^\n]*\1", f"(?:{AGAIN})")
+FIRST_CHAIN = (
+    f"SELECT file, line, {q(C.CHAINS[0][1])} AS type, {q(C.CHAINS[0][2])} AS severity, concat(chr(128279), ' ', "
+    f"{q(C.CHAINS[0][3] + ': ')}, text) AS evidence FROM near WHERE {matched('near', '(?is)' + REPEATED)}"
+)
 add(
     "detect_chains_repeated_name",
     lambda spark, sf: C.detect_chains(t.code_lines(spark, sf), C.CHAINS[:1]),
-    with_lines(
-        NEAR_TEXT + f"SELECT file, line, {q(C.CHAINS[0][1])} AS type, {q(C.CHAINS[0][2])} AS severity, concat(chr(128279), ' ', "
-        f"{q(C.CHAINS[0][3] + ': ')}, text) AS evidence FROM near WHERE {matched('near', '(?is)' + REPEATED)}"
-    ).replace("code_lines)\n,", "code_lines),", 1),
+    with_lines(NEAR_TEXT + FIRST_CHAIN).replace("code_lines)\n,", "code_lines),", 1),
 )
 add(
     "intel_keywords",
