@@ -126,15 +126,15 @@ _LEAST = line_templates.LEAST_DOCUMENTS
 LINES = f"""
 WITH l AS MATERIALIZED (SELECT doc_id, place, line, {_words("line")} AS raw FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
     generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents)),
-m AS MATERIALIZED (SELECT doc_id, place, len(raw) AS n, list_transform(raw, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '{line_templates.FIELD}' ELSE x END) AS words
+m AS MATERIALIZED (SELECT doc_id, place, length(line) AS chars, len(raw) AS n, list_transform(raw, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '{line_templates.FIELD}' ELSE x END) AS words
   FROM l WHERE len(raw) >= {line_templates.LEAST_WORDS}),
 h AS MATERIALIZED (SELECT *, words[1 : {line_templates.DEPTH}] AS head FROM m),
 left0 AS MATERIALIZED (SELECT h.* FROM h JOIN (SELECT n, head FROM h GROUP BY ALL HAVING count(DISTINCT doc_id) >= {_LEAST}) USING (n, head)),
 {_round(0, _LEAST)}, {_round(1, _LEAST)},
-found AS (SELECT doc_id, place, n, head, 0 AS round FROM tried0 WHERE agrees UNION ALL SELECT doc_id, place, n, head, 1 FROM tried1 WHERE agrees),
+found AS (SELECT doc_id, place, chars, n, head, 0 AS round FROM tried0 WHERE agrees UNION ALL SELECT doc_id, place, chars, n, head, 1 FROM tried1 WHERE agrees),
 recurring AS MATERIALIZED (SELECT found.* FROM found JOIN (SELECT n, head, round FROM found GROUP BY ALL HAVING count(DISTINCT doc_id) >= {_LEAST}) USING (n, head, round)),
-partly AS MATERIALIZED (SELECT doc_id FROM (SELECT doc_id, sum(n) AS words FROM h GROUP BY doc_id) JOIN
-  (SELECT doc_id, sum(n) AS held FROM recurring GROUP BY doc_id) USING (doc_id) WHERE held < {line_templates.COPY} * words),
+partly AS MATERIALIZED (SELECT doc_id FROM (SELECT doc_id, sum(chars) AS chars FROM h GROUP BY doc_id) JOIN
+  (SELECT doc_id, sum(chars) AS held FROM recurring GROUP BY doc_id) USING (doc_id) WHERE held < {line_templates.COPY} * chars),
 inside AS MATERIALIZED (SELECT * FROM recurring WHERE doc_id IN (SELECT doc_id FROM partly)),
 drops AS (SELECT doc_id, place FROM inside JOIN (SELECT n, head, round FROM inside GROUP BY ALL HAVING count(DISTINCT doc_id) >= {_LEAST}) USING (n, head, round)),
 kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY place) FILTER (WHERE drops.place IS NULL) AS text, count(drops.place) AS n_dropped

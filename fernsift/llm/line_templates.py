@@ -6,7 +6,7 @@ variable field too; these make the leaf's template. Lines that agree with it in
 others of a leaf are tried once more among themselves. Templates with instances in several documents recur, and their
 lines are dropped.
 
-Copies of whole documents would make all of their lines recur. A document most of whose words are in recurring lines is
+Copies of whole documents would make all of their lines recur. A document most of whose text is in recurring lines is
 taken for such a copy: it is left whole, for the removal of near-duplicate documents, and it doesn't count for others.
 """
 
@@ -23,7 +23,7 @@ DEPTH = 4  # leading words that part the tree below the number of words
 LEAST_DOCUMENTS = 4
 LEAST_WORDS = 3  # shorter lines are left alone
 AGREE = 0.7  # share of positions in which an instance has the template's word
-COPY = 0.8  # share of a document's words in recurring lines from which it is a copy
+COPY = 0.8  # share of a document's lines, by length, in recurring ones from which it is a copy
 ROUNDS = 2
 
 BLANK = r"[\x20\x09-\x0D]+"
@@ -38,15 +38,16 @@ def _words(line: Column, limit: int = -1) -> Column:
     return F.split(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), BLANK, limit)
 
 
-def _leaf(line: Column, n: Column) -> Column:
-    return F.xxhash64(n, F.transform(F.slice(_words(line, DEPTH + 1), 1, DEPTH), _word))
-
-
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """A row per line with enough words: the document by key and content, place, words, leaf, and the line itself."""
+    """A row per line with enough words: the document by key and content, place, length, the line, and its branch.
+
+    A branch holds all leaves with the same leading words. It needs only these, so a line is split as a whole only if
+    its branch is in several documents.
+    """
     narrow = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("body"), F.posexplode(F.split(F.col(text), "\n")).alias("place", "line"))
-    counted = narrow.withColumn("n", F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+"))).filter(F.col("n") >= LEAST_WORDS)
-    return counted.withColumn("leaf", _leaf(F.col("line"), F.col("n")))
+    headed = narrow.withColumn("head", _words(F.col("line"), DEPTH + 1)).filter(F.size("head") >= LEAST_WORDS)
+    branch = F.xxhash64(F.transform(F.slice("head", 1, DEPTH), _word))
+    return headed.select("key", "body", "place", "line", F.length("line").alias("chars"), branch.alias("branch"))
 
 
 def _in_documents(lines: DataFrame, by: list[str], least: int) -> DataFrame:
@@ -73,23 +74,25 @@ def _instances(lines: DataFrame) -> DataFrame:
 def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
     """``key``, ``body`` (hash of the text) and ``places`` of the lines to drop, for documents that have such lines."""
     lines = _lines(docs, key, text)
-    light = store(lines.select("key", "body", "place", "n", "leaf"), "lines")
-    leaves = _in_documents(light, ["leaf"], least_documents)
-    held = lines.join(leaves, "leaf").withColumn("words", F.transform(_words(F.col("line")), _word)).drop("line")
-    left = store(held, "leaf-lines")
+    light = store(lines.drop("line"), "lines")
+    shared = lines.join(_in_documents(light, ["branch"], least_documents), "branch")
+    held = shared.select("key", "body", "place", "chars", F.transform(_words(F.col("line")), _word).alias("words"))
+    leaf = F.xxhash64(F.size("words"), F.slice("words", 1, DEPTH))
+    left = store(held.withColumns({"n": F.size("words"), "leaf": leaf}), "branch-lines")
+    left = left.join(_in_documents(left, ["leaf"], least_documents), "leaf")
     found = []
     for k in range(ROUNDS):
         tried = store(_instances(left), "tried-lines")
-        found.append(tried.filter("agrees").select("key", "body", "place", "n", "leaf", F.lit(k).alias("round")))
+        found.append(tried.filter("agrees").select("key", "body", "place", "chars", "leaf", F.lit(k).alias("round")))
         left = tried.filter("not agrees").drop("agrees")
         left = left.join(_in_documents(left, ["leaf"], least_documents), "leaf")
     instances = store(reduce(DataFrame.unionByName, found), "instances")
     group = ["leaf", "round"]
     recurring = instances.join(_in_documents(instances, group, least_documents), group)
-    whole = light.groupBy("key", "body").agg(F.sum("n").alias("words"))
-    in_recurring = recurring.groupBy("key", "body").agg(F.sum("n").alias("held"))
+    whole = light.groupBy("key", "body").agg(F.sum("chars").alias("chars"))
+    in_recurring = recurring.groupBy("key", "body").agg(F.sum("chars").alias("held"))
     same = F.col("w.key").eqNullSafe(F.col("r.key")) & (F.col("w.body") == F.col("r.body"))
-    partly = whole.alias("w").join(in_recurring.alias("r"), same).filter(F.col("held") < COPY * F.col("words")).select("w.key", "w.body")
+    partly = whole.alias("w").join(in_recurring.alias("r"), same).filter(F.col("held") < COPY * F.col("chars")).select("w.key", "w.body")
     partly = store(partly, "not-copies")
     same = F.col("w.key").eqNullSafe(F.col("p.key")) & (F.col("w.body") == F.col("p.body"))
     inside = recurring.alias("w").join(partly.alias("p"), same, "left_semi")

@@ -87,13 +87,13 @@ def test_mix_edges(spark, edge_docs, no_docs):
 
 def test_lines_of_recurring_templates_go(spark):
     notice = "This page number {} was made by the site engine on some day"
-    rows = [(i, f"own words of text {'x' * i} alpha\n{notice.format(i)}\n\nmore own {'y' * i} words here") for i in range(1, 7)]
+    rows = [(i, f"{'x' * i} own words of this text only\n{notice.format(i)}\n\nmore own {'y' * i} words here") for i in range(1, 7)]
     rows += [(20 + i, "copied first line of words\ncopied second line of words\ncopied third line of words") for i in range(6)]
-    rows += [(40, f"another opening for this text\n{notice.format('none')}"), (41, "copied first line of words\nand something else that is its own here")]
+    rows += [(40, f"another opening for this text\n{notice.format(9).replace('some', 'one')}"), (41, "copied first line of words\nand something else that is its own here")]
     docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id LONG, text STRING, n_dropped INT")
     got = {r.doc_id: r for r in line_templates.drop_recurring(docs).collect()}
     for i in range(1, 7):
-        assert got[i].text == f"own words of text {'x' * i} alpha\n\nmore own {'y' * i} words here"
+        assert got[i].text == f"{'x' * i} own words of this text only\n\nmore own {'y' * i} words here"
         assert got[i].n_dropped == 1
     assert all(got[20 + i].text == rows[6][1] and got[20 + i].n_dropped == 0 for i in range(6))
     assert got[40].text == "another opening for this text"
