@@ -7,13 +7,13 @@ values left are out. Two classes that share ``MATCHES`` coordinates must meet in
 values: all but ``MATCHES - 1`` of its live ones (prefix). Only these lists are merged.
 
 A list isn't expanded into its pairs. Its classes are first compared to its most central one; lists whose classes all
-are known to be in one component then are skipped. In the others, a class can only have further links if enough of its shingles occur
-in another class that is left, which drops strongly edited copies for good. What remains are pairs of different
-components that share enough coordinates, also of a finer signature that only listed classes have. Each link is confirmed
-on the two full sets.
+are known to be in one component then are skipped. In the others, a class can only have further links if enough of its
+shingles occur in another class that is left, which drops strongly edited copies for good. What remains is compared pair
+by pair inside the join, each pair in the first list that it shares, and only links come out of it: those of different
+components that share enough coordinates and enough of their full sets.
 
-With 40 coordinates and 20 matches a pair of similarity 0.8 is overlooked with a probability of about 5e-6, with 368 of
-the finer 512 with 4e-6; at 0.85 with less than 1e-7.
+With 40 coordinates and 20 matches a pair of similarity 0.8 is overlooked with a probability of about 5e-6, one of 0.85 with
+4e-8.
 """
 
 from __future__ import annotations
@@ -33,8 +33,6 @@ COORDINATES = 40
 MATCHES = 20
 SHINGLE = 5
 PERCENT = 80
-FINER = 512  # coordinates of listed classes, the first ones included
-FINER_MATCHES = 368
 CENTRE_ROUNDS = 2
 
 
@@ -44,9 +42,8 @@ def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
     return seeds[::2, None], seeds[1::2, None] | U(1)
 
 
-def signature(hashes: np.ndarray, n: int = COORDINATES, start: int = 0) -> np.ndarray:
-    shift, factor = (x[start:] for x in _functions(n))
-    n -= start
+def signature(hashes: np.ndarray, n: int = COORDINATES) -> np.ndarray:
+    shift, factor = _functions(n)
     least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(hashes), 4096):
         least = np.minimum(least, ((hashes[None, k : k + 4096] ^ shift) * factor).min(axis=1))
@@ -107,8 +104,7 @@ def _same(left: str, right: str) -> str:
 def _likely(x: str, y: str, percent: int) -> str:
     """Whether the sizes of two classes and the coordinates that they share allow a link; the cheap tests stand first."""
     sizes = f"100 * least({x}n_shingles, {y}n_shingles) >= {percent} * greatest({x}n_shingles, {y}n_shingles)"
-    coarse, finer = _same(f"{x}signature", f"{y}signature"), _same(f"{x}finer", f"{y}finer")
-    return f"{sizes} and {coarse} >= {MATCHES} and {coarse} + {finer} >= {FINER_MATCHES}"
+    return f"{sizes} and {_same(f'{x}signature', f'{y}signature')} >= {MATCHES}"
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -127,8 +123,8 @@ def _with_centre(lists: DataFrame, about: DataFrame, percent: int) -> DataFrame:
     """Pairs of each list's centre with the classes of its other components, as far as a link is likely."""
     best = lists.filter("not done").groupBy("list").agg(F.max(F.struct("centre", "node", "component")).alias("c"))
     pairs = lists.join(best, "list").filter("component <> c.component").select("node", F.col("c.node").alias("c_node")).distinct()
-    pairs = pairs.join(about.select("node", F.struct("n_shingles", "signature", "finer").alias("x")), "node")
-    pairs = pairs.join(about.select(F.col("node").alias("c_node"), F.struct("n_shingles", "signature", "finer").alias("y")), "c_node")
+    pairs = pairs.join(about.select("node", F.struct("n_shingles", "signature").alias("x")), "node")
+    pairs = pairs.join(about.select(F.col("node").alias("c_node"), F.struct("n_shingles", "signature").alias("y")), "c_node")
     pairs = pairs.filter(_likely("x.", "y.", percent))
     return store(pairs.select(F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")).distinct(), "likely")
 
@@ -171,13 +167,19 @@ def _several(lists: DataFrame) -> DataFrame:
     return lists.join(mixed.select("list"), "list", "left_semi")
 
 
-def _rest(lists: DataFrame, about: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a list and may have a link."""
-    left = lists.select("list", "node", "component", "n_shingles", "live").join(about.select("node", "signature", "finer"), "node")
-    apart = "x.list = y.list and x.node < y.node and x.component <> y.component"
-    able = f"100 * least(x.live, y.live) >= {percent} * (x.n_shingles + y.n_shingles - least(x.live, y.live))"
-    rest = left.alias("x").join(left.alias("y"), F.expr(f"{apart} and {able} and {_likely('x.', 'y.', percent)}"))
-    return store(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "likely")
+def _rest(lists: DataFrame, about: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, b)`` of different components that share a list; the costly tests stand last."""
+    own = lists.groupBy("node").agg(F.collect_list("list").alias("own"))
+    left = lists.select("list", "node", "component", "n_shingles", "live").join(own, "node")
+    left = left.join(about.select("node", "signature"), "node").join(sets, "node")
+    tests = [
+        "x.list = y.list and x.node < y.node and x.component <> y.component",
+        f"100 * least(x.live, y.live) >= {percent} * (x.n_shingles + y.n_shingles - least(x.live, y.live))",
+        "x.list = array_min(array_intersect(x.own, y.own))",
+        _likely("x.", "y.", percent),
+        f"{100 + percent} * size(array_intersect(x.hashes, y.hashes)) >= {percent} * (x.n_shingles + y.n_shingles)",
+    ]
+    return left.alias("x").join(left.alias("y"), F.expr(" and ".join(tests))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -200,8 +202,6 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     about = classes.join(lists.select("node").distinct(), "node", "left_semi")
     about = store(about.select("node", "d1", "d2", "a_key", "n_shingles", "signature"), "listed")
     sets = _sets(docs, about, key, text, size)
-    about = about.join(sets.select("node", "finer"), "node")
-
     lists = lists.join(about.select("node", "n_shingles"), "node").withColumn("component", F.col("node")).withColumn("done", F.lit(False))
     links = None
     for k in range(CENTRE_ROUNDS):
@@ -215,7 +215,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     if links is None:
         links = lists.select(F.col("node").alias("a"), F.col("node").alias("b"))
     elif not lists.isEmpty():
-        links = store(links.unionByName(_confirm(_rest(lists, about, percent), sets, percent)), "links")
+        links = store(links.unionByName(_rest(lists, about, sets, percent)), "links")
     named = classes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = store(named.select("node", "d1", "d2", "component", "least_key"), "named")
     least = named.groupBy("component").agg(F.min("least_key").alias("component_id"))
@@ -240,18 +240,17 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
 
 
 def _sets(docs: DataFrame, about: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """``node``, the full set of shingles and the finer signature of the classes that are in a list, from their texts."""
+    """``node`` and the full set of shingles of the classes that are in a list, from their texts."""
 
     def make(batch: pa.RecordBatch):
         for part in pieces_of(batch, "text"):
             sets = shingle_sets(column(part, "text"), size)
             digests = [_digest(s) for s in sets]
-            finer = [signature(s, FINER, COORDINATES).astype(np.uint32).view(np.int32) if len(s) else [] for s in sets]
-            yield {"d1": [d[0] for d in digests], "d2": [d[1] for d in digests], "hashes": [s.view(np.int64) for s in sets], "finer": finer}
+            yield {"d1": [d[0] for d in digests], "d2": [d[1] for d in digests], "hashes": [s.view(np.int64) for s in sets]}
 
     narrow = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).filter("text is not null")
     wanted = about.select("a_key").distinct().hint("shuffle_hash")
     picked = narrow.join(wanted, F.col("key").eqNullSafe(F.col("a_key")), "left_semi").select("text")
-    made = arrow_rows(picked, make, "d1 LONG, d2 LONG, hashes ARRAY<LONG>, finer ARRAY<INT>")
+    made = arrow_rows(picked, make, "d1 LONG, d2 LONG, hashes ARRAY<LONG>")
     of_node = about.select("node", "d1", "d2").join(made, ["d1", "d2"])
-    return store(of_node.select("node", "hashes", "finer").dropDuplicates(["node"]), "sets")
+    return store(of_node.select("node", "hashes").dropDuplicates(["node"]), "sets")
