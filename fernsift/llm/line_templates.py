@@ -1,10 +1,11 @@
 """Line dedup by a tree of line templates. DataFrame operations only.
 
 A line goes down a tree of fixed depth: by its number of words, then by its first words, with words that hold a digit as
-variable fields. In each leaf, a position whose most frequent word is in at least half of the lines is constant, else it is a
-variable field too; these make the leaf's template. Lines that agree with it in most positions are its instances; the
-others of a leaf are tried once more among themselves. Templates with instances in several documents recur, and their
-lines are dropped.
+variable fields. A leaf has any number of templates: lines that stand in enough documents as they are; the words that at least
+half of its lines have in their positions; and what lines have in common without the words that are too rare to recur.
+Lines that agree with a template in most positions, variable fields included, are its instances. Templates with instances
+in several documents recur, and their lines are dropped; the other lines of the leaf are tried again among themselves
+until no template recurs.
 
 Copies of whole documents would make all of their lines recur. A document most of whose text is in recurring lines is
 taken for such a copy: it is left whole, for the removal of near-duplicate documents, and it doesn't count for others.
@@ -24,7 +25,6 @@ LEAST_DOCUMENTS = 4
 LEAST_WORDS = 3  # shorter lines are left alone
 AGREE = 0.7  # share of positions in which an instance has the template's word
 COPY = 0.8  # share of a document's lines, by length, in recurring ones from which it is a copy
-ROUNDS = 2
 
 BLANK = r"[\x20\x09-\x0D]+"
 FIELD = "<*>"
@@ -55,20 +55,46 @@ def _in_documents(lines: DataFrame, by: list[str], least: int) -> DataFrame:
     return lines.select(*by, "key", "body").distinct().groupBy(*by).agg(F.count("*").alias("docs")).filter(F.col("docs") >= least).select(*by)
 
 
-def _templates(lines: DataFrame) -> DataFrame:
-    """``leaf``, ``template``: the constant word of each position, null where it varies. Equal lines are counted first."""
-    equal = lines.groupBy("leaf", "words").agg(F.count("*").alias("times"))
-    each = equal.select("leaf", "times", F.posexplode("words").alias("i", "word")).groupBy("leaf", "i", "word").agg(F.sum("times").alias("times"))
-    most = each.groupBy("leaf", "i").agg(F.max(F.struct("times", "word")).alias("top"), F.sum("times").alias("all"))
-    constant = F.when((F.col("top.times") * 2 >= F.col("all")) & (F.col("top.word") != FIELD), F.col("top.word"))
-    ordered = F.sort_array(F.collect_list(F.struct("i", constant.alias("word"))))
-    return most.groupBy("leaf").agg(F.transform(ordered, lambda x: x["word"]).alias("template"))
+def _patterns(lines: DataFrame, least_documents: int) -> DataFrame:
+    """``leaf``, ``template``: the word of each position, null where it varies. Equal lines are counted first.
 
-
-def _instances(lines: DataFrame) -> DataFrame:
-    """Lines with a column ``agrees``: whether the line is an instance of its leaf's template."""
+    A leaf gives the words that hold its majority, and each row of words that several lines have in common when every word
+    too rare to recur is left out: other lines of the leaf, however many, don't change the latter.
+    """
+    equal = store(lines.groupBy("leaf", "same").agg(F.count("*").alias("times"), F.first("words").alias("words")), "equal-lines")
+    each = equal.select("leaf", "same", "times", F.posexplode("words").alias("i", "word"))
+    counted = store(each.groupBy("leaf", "i", "word").agg(F.sum("times").alias("all_times")), "words-of-places")
+    most = counted.groupBy("leaf", "i").agg(F.max(F.struct("all_times", "word")).alias("top"), F.sum("all_times").alias("all"))
+    constant = F.when(F.col("top.all_times") * 2 >= F.col("all"), F.col("top.word"))
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]).alias("template")
+    majority = most.select("leaf", "i", constant.alias("word")).groupBy("leaf").agg(in_order)
+    common = F.when(F.col("all_times") >= least_documents, F.col("word"))
+    kept = each.join(counted, ["leaf", "i", "word"]).select("leaf", "same", "times", "i", common.alias("word"))
+    of_line = kept.groupBy("leaf", "same").agg(F.first("times").alias("times"), in_order)
+    several = of_line.groupBy("leaf", "template").agg(F.sum("times").alias("times")).filter("times > 1").drop("times")
+    return majority.unionByName(several)
+
+
+def _parts(words: Column, n: Column) -> Column:
+    """Hashes of stretches of the words behind the leading ones, null where a word is missing.
+
+    There is one stretch more than positions that may differ, so a line has a stretch in common with each template it agrees with.
+    """
+    parts = n - F.ceil(AGREE * n).cast("int") + 1
+    end = lambda k: DEPTH + F.floor((n - DEPTH) * k / parts).cast("int")
+    stretch = lambda k: F.slice(words, end(k) + 1, F.greatest(end(k + 1) - end(k), F.lit(0)))
+    hashed = lambda k: F.when(~F.exists(stretch(k), lambda w: w.isNull()), F.xxhash64(k, stretch(k)))
+    return F.when(n <= DEPTH, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), parts - 1), hashed))
+
+
+def _instances(lines: DataFrame, templates: DataFrame) -> DataFrame:
+    """The lines with ``template``, the hash of one they agree with; a row for each of them."""
+    narrow = templates.filter(F.size(F.filter("template", lambda w: w.isNotNull())) >= AGREE * F.size("template")).distinct()
+    given = narrow.withColumn("part", F.explode(_parts(F.col("template"), F.size("template")))).filter("part is not null")
+    each = lines.groupBy("leaf", "same").agg(F.first("words").alias("words")).withColumn("part", F.explode(_parts(F.col("words"), F.size("words"))))
     same = F.size(F.filter(F.zip_with("words", "template", lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x))
-    return lines.join(_templates(lines), "leaf").withColumn("agrees", same >= AGREE * F.col("n")).drop("template")
+    pairs = each.join(given, ["leaf", "part"]).filter(same >= AGREE * F.size("words"))
+    return lines.drop("words").join(pairs.select("leaf", "same", F.xxhash64("leaf", "template").alias("template")).distinct(), ["leaf", "same"])
 
 
 def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
@@ -78,25 +104,30 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     shared = lines.join(_in_documents(light, ["branch"], least_documents), "branch")
     held = shared.select("key", "body", "place", "chars", F.transform(_words(F.col("line")), _word).alias("words"))
     leaf = F.xxhash64(F.size("words"), F.slice("words", 1, DEPTH))
-    left = store(held.withColumns({"n": F.size("words"), "leaf": leaf}), "branch-lines")
-    left = left.join(_in_documents(left, ["leaf"], least_documents), "leaf")
+    left = store(held.withColumns({"leaf": leaf, "same": F.xxhash64("words")}), "branch-lines")
+    left = store(left.join(_in_documents(left, ["leaf"], least_documents), "leaf"), "leaf-lines")
+    equal = _in_documents(left, ["leaf", "same"], least_documents)
+    templates = left.join(equal, ["leaf", "same"], "left_semi").groupBy("leaf", "same").agg(F.first("words").alias("template")).drop("same")
     found = []
-    for k in range(ROUNDS):
-        tried = store(_instances(left), "tried-lines")
-        found.append(tried.filter("agrees").select("key", "body", "place", "chars", "leaf", F.lit(k).alias("round")))
-        left = tried.filter("not agrees").drop("agrees")
-        left = left.join(_in_documents(left, ["leaf"], least_documents), "leaf")
-    instances = store(reduce(DataFrame.unionByName, found), "instances")
-    group = ["leaf", "round"]
-    recurring = instances.join(_in_documents(instances, group, least_documents), group)
+    while True:  # each round takes lines away, and the last one finds none
+        templates = store(templates.unionByName(_patterns(left, least_documents)), "templates")
+        instances = store(_instances(left, templates), "instances")
+        new = store(instances.join(_in_documents(instances, ["template"], least_documents), "template"), "recurring")
+        if new.isEmpty():
+            break
+        found.append(new.select("key", "body", "place", "chars", "template"))
+        left = left.join(new.select("leaf", "same").distinct(), ["leaf", "same"], "left_anti")
+        left = store(left.join(_in_documents(left, ["leaf"], least_documents), "leaf"), "left-lines")
+        templates = templates.limit(0)
+    recurring = reduce(DataFrame.unionByName, found or [new.select("key", "body", "place", "chars", "template")])
     whole = light.groupBy("key", "body").agg(F.sum("chars").alias("chars"))
-    in_recurring = recurring.groupBy("key", "body").agg(F.sum("chars").alias("held"))
+    in_recurring = recurring.select("key", "body", "place", "chars").distinct().groupBy("key", "body").agg(F.sum("chars").alias("held"))
     same = F.col("w.key").eqNullSafe(F.col("r.key")) & (F.col("w.body") == F.col("r.body"))
     partly = whole.alias("w").join(in_recurring.alias("r"), same).filter(F.col("held") < COPY * F.col("chars")).select("w.key", "w.body")
     partly = store(partly, "not-copies")
     same = F.col("w.key").eqNullSafe(F.col("p.key")) & (F.col("w.body") == F.col("p.body"))
     inside = recurring.alias("w").join(partly.alias("p"), same, "left_semi")
-    inside = inside.join(_in_documents(inside, group, least_documents), group)
+    inside = inside.join(_in_documents(inside, ["template"], least_documents), "template")
     return inside.groupBy("key", "body").agg(F.collect_set("place").alias("places"))
 
 

@@ -1,6 +1,7 @@
 """Mixing, line templates, toxicity and the pipeline."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -100,6 +101,29 @@ def test_lines_of_recurring_templates_go(spark):
     assert got[41].text == rows[13][1]  # copies do not make a line recur
 
 
+def agree(words, others):
+    return 10 * sum(a == b for a, b in zip(words, others, strict=True)) >= 7 * len(words)
+
+
+@pytest.mark.parametrize("mates", [0, 11, 30, 300])
+def test_lines_recur_beside_any_number_of_leaf_mates(spark, mates):
+    rng = random.Random(mates)
+    made = lambda n: [f"{rng.choice('bcdfgh')}{''.join(rng.choices('aeioulmnrst', k=9))}" for _ in range(n)]
+    head = ["all", "lines", "open", "alike"]
+    kinds = [made(16) for _ in range(3)]
+    recurring = [" ".join(head + kinds[0])] * 10 + [" ".join(head + kinds[1])] * 4
+    recurring += [" ".join(head + kinds[2][:i] + made(3) + kinds[2][i + 3 :]) for i in [5] * 6]  # never twice the same line
+    recurring += [" ".join([*head, *("9" + w for w in made(12)), f"end{'x'}", *kinds[0][:3]]) for _ in range(5)]  # mostly fields
+    recurring += [" ".join(head + kinds[0][:14] + made(2))]  # one variant
+    lines = recurring + [" ".join(head + made(16)) for _ in range(mates)]
+    rng.shuffle(lines)
+    docs = spark.createDataFrame([(i, f"{' '.join(made(60))}\n{x}") for i, x in enumerate(lines)], "doc_id LONG, text STRING")
+    got = {r.doc_id: r.n_dropped for r in line_templates.drop_recurring(docs).collect()}
+    masked = [["<*>" if re.search("[0-9]", w) else w for w in x.split()] for x in lines]
+    for i, words in enumerate(masked):
+        assert got[i] == (sum(agree(words, x) for x in masked) >= 4 or lines[i] in recurring), lines[i]
+
+
 def test_line_edges(spark, edge_docs, no_docs):
     got = line_templates.drop_recurring(edge_docs, into="kept")
     assert sorted(map(str, (r.text for r in got.collect()))) == sorted(map(str, (r.text for r in edge_docs.collect())))
