@@ -13,6 +13,7 @@ taken for such a copy: it is left whole, for the removal of near-duplicate docum
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,8 @@ from fernsift.llm.shared import store
 
 DEPTH = 4  # leading words that part the tree below the number of words
 LEAST_DOCUMENTS = 4
+LONG_WORDS = 50  # lines of so many words recur from LONG_DOCUMENTS on
+LONG_DOCUMENTS = 2
 LEAST_WORDS = 3  # shorter lines are left alone
 AGREE = 0.7  # share of positions in which an instance has the template's word
 COPY = 0.8  # share of a document's lines, by length, in recurring ones from which it is a copy
@@ -52,23 +55,36 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def _in_documents(lines: DataFrame, by: list[str], least: int) -> DataFrame:
     """Keys ``by`` that occur in at least ``least`` different documents; counted once per document before they meet."""
-    return lines.select(*by, "key", "body").distinct().groupBy(*by).agg(F.count("*").alias("docs")).filter(F.col("docs") >= least).select(*by)
+    return _enough(lines, by, lambda docs: docs >= least)
 
 
-def _patterns(lines: DataFrame, least_documents: int) -> DataFrame:
+def _in_enough(lines: DataFrame, by: list[str]) -> DataFrame:
+    """As above, with the least number in ``need``, which is the same for all lines of a key."""
+    return _enough(lines, [*by, "need"], lambda docs: docs >= F.col("need")).drop("need")
+
+
+def _enough(lines: DataFrame, by: list[str], holds: Callable[[Column], Column]) -> DataFrame:
+    return lines.select(*by, "key", "body").distinct().groupBy(*by).agg(F.count("*").alias("docs")).filter(holds(F.col("docs"))).select(*by)
+
+
+def _need(words: Column, least_documents: int) -> Column:
+    return F.when(F.size(words) >= LONG_WORDS, F.lit(min(LONG_DOCUMENTS, least_documents))).otherwise(F.lit(least_documents))
+
+
+def _patterns(lines: DataFrame) -> DataFrame:
     """``leaf``, ``template``: the word of each position, null where it varies. Equal lines are counted first.
 
     A leaf gives the words that hold its majority, and each row of words that several lines have in common when every word
     too rare to recur is left out: other lines of the leaf, however many, don't change the latter.
     """
-    equal = store(lines.groupBy("leaf", "same").agg(F.count("*").alias("times"), F.first("words").alias("words")), "equal-lines")
-    each = equal.select("leaf", "same", "times", F.posexplode("words").alias("i", "word"))
+    equal = store(lines.groupBy("leaf", "same", "need").agg(F.count("*").alias("times"), F.first("words").alias("words")), "equal-lines")
+    each = equal.select("leaf", "same", "need", "times", F.posexplode("words").alias("i", "word"))
     counted = store(each.groupBy("leaf", "i", "word").agg(F.sum("times").alias("all_times")), "words-of-places")
     most = counted.groupBy("leaf", "i").agg(F.max(F.struct("all_times", "word")).alias("top"), F.sum("all_times").alias("all"))
-    constant = F.when(F.col("top.all_times") * 2 >= F.col("all"), F.col("top.word"))
+    constant = F.when((F.col("top.all_times") * 2 >= F.col("all")) & (F.col("top.all_times") > 1), F.col("top.word"))
     in_order = F.transform(F.sort_array(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]).alias("template")
     majority = most.select("leaf", "i", constant.alias("word")).groupBy("leaf").agg(in_order)
-    common = F.when(F.col("all_times") >= least_documents, F.col("word"))
+    common = F.when(F.col("all_times") >= F.col("need"), F.col("word"))
     kept = each.join(counted, ["leaf", "i", "word"]).select("leaf", "same", "times", "i", common.alias("word"))
     of_line = kept.groupBy("leaf", "same").agg(F.first("times").alias("times"), in_order)
     several = of_line.groupBy("leaf", "template").agg(F.sum("times").alias("times")).filter("times > 1").drop("times")
@@ -101,25 +117,28 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     """``key``, ``body`` (hash of the text) and ``places`` of the lines to drop, for documents that have such lines."""
     lines = _lines(docs, key, text)
     light = store(lines.drop("line"), "lines")
-    shared = lines.join(_in_documents(light, ["branch"], least_documents), "branch")
-    held = shared.select("key", "body", "place", "chars", F.transform(_words(F.col("line")), _word).alias("words"))
+    maybe_long = F.col("chars") >= 2 * LONG_WORDS - 1
+    shared = _in_documents(light, ["branch"], least_documents).withColumn("all", F.lit(True))
+    of_long = _in_documents(light.filter(maybe_long), ["branch"], min(LONG_DOCUMENTS, least_documents)).withColumn("all", F.lit(False))
+    branches = shared.unionByName(of_long).groupBy("branch").agg(F.max("all").alias("all"))
+    held = lines.join(branches, "branch").filter(F.col("all") | maybe_long).select("key", "body", "place", "chars", F.transform(_words(F.col("line")), _word).alias("words"))
     leaf = F.xxhash64(F.size("words"), F.slice("words", 1, DEPTH))
-    left = store(held.withColumns({"leaf": leaf, "same": F.xxhash64("words")}), "branch-lines")
-    left = store(left.join(_in_documents(left, ["leaf"], least_documents), "leaf"), "leaf-lines")
-    equal = _in_documents(left, ["leaf", "same"], least_documents)
+    left = store(held.withColumns({"leaf": leaf, "same": F.xxhash64("words"), "need": _need(F.col("words"), least_documents)}), "branch-lines")
+    left = store(left.join(_in_enough(left, ["leaf"]), "leaf"), "leaf-lines")
+    equal = _in_enough(left, ["leaf", "same"])
     templates = left.join(equal, ["leaf", "same"], "left_semi").groupBy("leaf", "same").agg(F.first("words").alias("template")).drop("same")
     found = []
     while True:  # each round takes lines away, and the last one finds none
-        templates = store(templates.unionByName(_patterns(left, least_documents)), "templates")
+        templates = store(templates.unionByName(_patterns(left)), "templates")
         instances = store(_instances(left, templates), "instances")
-        new = store(instances.join(_in_documents(instances, ["template"], least_documents), "template"), "recurring")
+        new = store(instances.join(_in_enough(instances, ["template"]), "template"), "recurring")
         if new.isEmpty():
             break
-        found.append(new.select("key", "body", "place", "chars", "template"))
+        found.append(new.select("key", "body", "place", "chars", "need", "template"))
         left = left.join(new.select("leaf", "same").distinct(), ["leaf", "same"], "left_anti")
-        left = store(left.join(_in_documents(left, ["leaf"], least_documents), "leaf"), "left-lines")
+        left = store(left.join(_in_enough(left, ["leaf"]), "leaf"), "left-lines")
         templates = templates.limit(0)
-    recurring = reduce(DataFrame.unionByName, found or [new.select("key", "body", "place", "chars", "template")])
+    recurring = reduce(DataFrame.unionByName, found or [new.select("key", "body", "place", "chars", "need", "template")])
     whole = light.groupBy("key", "body").agg(F.sum("chars").alias("chars"))
     in_recurring = recurring.select("key", "body", "place", "chars").distinct().groupBy("key", "body").agg(F.sum("chars").alias("held"))
     same = F.col("w.key").eqNullSafe(F.col("r.key")) & (F.col("w.body") == F.col("r.body"))
@@ -127,7 +146,7 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     partly = store(partly, "not-copies")
     same = F.col("w.key").eqNullSafe(F.col("p.key")) & (F.col("w.body") == F.col("p.body"))
     inside = recurring.alias("w").join(partly.alias("p"), same, "left_semi")
-    inside = inside.join(_in_documents(inside, ["template"], least_documents), "template")
+    inside = inside.join(_in_enough(inside, ["template"]), "template")
     return inside.groupBy("key", "body").agg(F.collect_set("place").alias("places"))
 
 

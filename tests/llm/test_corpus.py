@@ -124,6 +124,21 @@ def test_lines_recur_beside_any_number_of_leaf_mates(spark, mates):
         assert got[i] == (sum(agree(words, x) for x in masked) >= 4 or lines[i] in recurring), lines[i]
 
 
+@pytest.mark.parametrize("copies", [2, 3])
+def test_passages_of_many_words_recur_from_two_documents(spark, copies):
+    rng = random.Random(copies)
+    made = lambda n: " ".join("".join(rng.choices("abcdefghij", k=8)) for _ in range(n))
+    passage, short = made(52), made(20)
+    edited = " ".join(w if i % 9 or i < 5 else "other" for i, w in enumerate(passage.split()))
+    texts = [[made(70), passage, short, made(40)] for _ in range(copies)] + [[made(70), edited], [passage[:-1] + " " + made(3), made(90)]]
+    docs = spark.createDataFrame([(i, "\n".join(x)) for i, x in enumerate(texts)], "doc_id LONG, text STRING")
+    got = {r.doc_id: r.text for r in line_templates.drop_recurring(docs).collect()}
+    for i in range(copies):
+        assert got[i].split("\n") == [texts[i][0], short, texts[i][3]]
+    assert got[copies] == texts[copies][0]
+    assert got[copies + 1] == "\n".join(texts[copies + 1])
+
+
 def test_line_edges(spark, edge_docs, no_docs):
     got = line_templates.drop_recurring(edge_docs, into="kept")
     assert sorted(map(str, (r.text for r in got.collect()))) == sorted(map(str, (r.text for r in edge_docs.collect())))
