@@ -7,8 +7,8 @@ Lines that agree with a template in most positions, variable fields included, ar
 in several documents recur, and their lines are dropped; the other lines of the leaf are tried again among themselves
 until no template recurs.
 
-Copies of whole documents would make all of their lines recur. A document most of whose text is in recurring lines is
-taken for such a copy: it is left whole, for the removal of near-duplicate documents, and it doesn't count for others.
+Copies of whole documents would make all of their lines recur. So documents that share most of their text count as one, and
+lines that only they have are left for the removal of near-duplicate documents. Lines that recur elsewhere go from copies too.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fernsift.llm.graph import components
 from fernsift.llm.shared import store
 
 DEPTH = 4  # leading words that part the tree below the number of words
@@ -27,7 +28,7 @@ LONG_WORDS = 50  # lines of so many words recur from LONG_DOCUMENTS on
 LONG_DOCUMENTS = 2
 LEAST_WORDS = 3  # shorter lines are left alone
 AGREE = 0.7  # share of positions in which an instance has the template's word
-COPY = 0.8  # share of a document's lines, by length, in recurring ones from which it is a copy
+COPY = 0.8  # share of the longer of two documents, by length of lines, in lines they share from which they are copies
 
 BLANK = r"[\x20\x09-\x0D]+"
 FIELD = "<*>"
@@ -50,11 +51,11 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     narrow = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("body"), F.posexplode(F.split(F.col(text), "\n")).alias("place", "line"))
     headed = narrow.withColumn("head", _words(F.col("line"), DEPTH + 1)).filter(F.size("head") >= LEAST_WORDS)
     branch = F.xxhash64(F.transform(F.slice("head", 1, DEPTH), _word))
-    return headed.select("key", "body", "place", "line", F.length("line").alias("chars"), branch.alias("branch"))
+    return headed.select("key", "body", "place", "line", F.length("line").alias("chars"), F.xxhash64("line").alias("whole_line"), branch.alias("branch"))
 
 
 def _in_documents(lines: DataFrame, by: list[str], least: int) -> DataFrame:
-    """Keys ``by`` that occur in at least ``least`` different documents; counted once per document before they meet."""
+    """Keys ``by`` that occur in at least ``least`` different texts; counted once per text before they meet."""
     return _enough(lines, by, lambda docs: docs >= least)
 
 
@@ -64,7 +65,7 @@ def _in_enough(lines: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _enough(lines: DataFrame, by: list[str], holds: Callable[[Column], Column]) -> DataFrame:
-    return lines.select(*by, "key", "body").distinct().groupBy(*by).agg(F.count("*").alias("docs")).filter(holds(F.col("docs"))).select(*by)
+    return lines.select(*by, "body").distinct().groupBy(*by).agg(F.count("*").alias("docs")).filter(holds(F.col("docs"))).select(*by)
 
 
 def _need(words: Column, least_documents: int) -> Column:
@@ -139,15 +140,35 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         left = store(left.join(_in_enough(left, ["leaf"]), "leaf"), "left-lines")
         templates = templates.limit(0)
     recurring = reduce(DataFrame.unionByName, found or [new.select("key", "body", "place", "chars", "need", "template")])
-    whole = light.groupBy("key", "body").agg(F.sum("chars").alias("chars"))
-    in_recurring = recurring.select("key", "body", "place", "chars").distinct().groupBy("key", "body").agg(F.sum("chars").alias("held"))
-    same = F.col("w.key").eqNullSafe(F.col("r.key")) & (F.col("w.body") == F.col("r.body"))
-    partly = whole.alias("w").join(in_recurring.alias("r"), same).filter(F.col("held") < COPY * F.col("chars")).select("w.key", "w.body")
-    partly = store(partly, "not-copies")
-    same = F.col("w.key").eqNullSafe(F.col("p.key")) & (F.col("w.body") == F.col("p.body"))
-    inside = recurring.alias("w").join(partly.alias("p"), same, "left_semi")
-    inside = inside.join(_in_enough(inside, ["template"]), "template")
-    return inside.groupBy("key", "body").agg(F.collect_set("place").alias("places"))
+    recurring = store(recurring.join(_copies(light, recurring), "body", "left").withColumn("text_id", F.coalesce("copy_of", "body")), "counted-lines")
+    several = recurring.select("template", "need", "text_id").distinct().groupBy("template", "need").agg(F.count("*").alias("docs")).filter("docs >= need")
+    return recurring.join(several.select("template"), "template").groupBy("key", "body").agg(F.collect_set("place").alias("places"))
+
+
+def _copies(lines: DataFrame, recurring: DataFrame) -> DataFrame:
+    """``body``, ``copy_of``: one text for all that are copies of each other, for texts that have copies which are not equal.
+
+    Of the texts of about the same length that hold a template, each is compared to the one with the smallest hash, and of
+    these a text takes the one that leads most of it. The two are copies if lines they share are ``COPY`` of the longer.
+    """
+    chars = lines.groupBy("key", "body").agg(F.sum("chars").alias("chars")).groupBy("body").agg(F.max("chars").alias("whole"))
+    chars = store(chars.join(recurring.select("body").distinct(), "body"), "lengths")
+    octave = F.log2(F.greatest(F.col("whole"), F.lit(1)))
+    sizes = F.array(2 * F.floor(octave), 2 * F.floor(octave + 0.5) + 1)
+    held = recurring.select("body", "place", "chars", "template").distinct().join(chars, "body").withColumn("size", F.explode(sizes))
+    held = store(held.drop("whole"), "held-lines")
+    led = held.join(held.groupBy("template", "size").agg(F.min("body").alias("other")), ["template", "size"]).filter("other <> body")
+    each = led.select("body", "other", "place", "chars").distinct().groupBy("body", "other").agg(F.sum("chars").alias("chars"))
+    pairs = store(each.groupBy("body").agg(F.max(F.struct("chars", "other")).alias("top")).select("body", "top.other"), "pairs")
+    either = pairs.select("body").unionByName(pairs.select(F.col("other").alias("body"))).distinct()
+    marks = lines.select("body", "place", "chars", F.col("whole_line").alias("mark")).unionByName(recurring.select("body", "place", "chars", F.col("template").alias("mark")))
+    marks = store(marks.join(either, "body", "left_semi").distinct(), "marks")
+    theirs = marks.select(F.col("body").alias("other"), "mark").distinct()
+    shared = pairs.join(marks, "body").join(theirs, ["other", "mark"]).select("body", "other", "place", "chars").distinct()
+    both = shared.groupBy("body", "other").agg(F.sum("chars").alias("shared")).join(chars, "body")
+    both = both.join(chars.select(F.col("body").alias("other"), F.col("whole").alias("others")), "other")
+    links = both.filter(F.col("shared") >= COPY * F.greatest("whole", "others")).select(F.col("body").alias("a"), F.col("other").alias("b"))
+    return components(links).select(F.col("node").alias("body"), F.col("component").alias("copy_of"))
 
 
 def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text", least_documents: int = LEAST_DOCUMENTS, into: str = "n_dropped") -> DataFrame:
@@ -155,7 +176,7 @@ def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
 
     Lines are parted by ``\\n``; the others keep their order, blank ones too. A null text stays null and drops nothing.
     Documents are told apart by key and text: repeated rows count once and get the same result; null keys are a key.
-    No document loses all of its words. All other columns stay; one named like ``into`` is replaced.
+    A document that consists of recurring lines alone ends without words. All other columns stay; one named like ``into`` is replaced.
     """
     drops = store(recurring_lines(docs, key, text, least_documents), "drops").select(F.struct("key", "body", "places").alias("_drop"))
     rows = docs.drop(into).withColumn("_body", F.xxhash64(F.col(text)))
