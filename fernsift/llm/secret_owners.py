@@ -2,7 +2,7 @@
 
 Three base kinds are found by pattern in every text. Further candidates, long mixed tokens, are common in harmless
 text, so patterns alone can't tell; the corpus can: a value that several owners have is a copied example, one that
-a single owner has, in few of its repositories, looks live. Candidates that look live are added to the base spans. The same
+a single owner has, in any number of its repositories, looks live. Candidates that look live are added to the base spans. The same
 counts say for base spans how many of a document's are live-looking or copied.
 """
 
@@ -29,9 +29,6 @@ KINDS = ("assign", "access", "hex", "mixed")
 MIXED = re.compile(r"(?<![A-Za-z0-9+_=-])[A-Za-z0-9+_-]{24,}={0,2}(?![A-Za-z0-9+_=-])")
 _KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 
-#: A value looks live if one owner has it, in at most so many repositories.
-MOST_REPOSITORIES = 3
-
 
 def base_spans(text: str) -> Iterator[tuple[int, int, str, str]]:
     """(start, end, kind, value): leftmost matches that do not overlap, of each kind by itself."""
@@ -92,9 +89,10 @@ def candidates(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("do
     return store(arrow_rows(narrow, make, schema).withColumn("_row", F.monotonically_increasing_id()), "secret-candidates")
 
 
-def ownership(found: DataFrame, most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
+def ownership(found: DataFrame, most_repositories: int | None = None) -> DataFrame:
     """``value``, ``owners``, ``repositories``, ``live``: over all documents, each owner's repositories counted first.
 
+    One owner makes a value live, in at most ``most_repositories`` if that is given.
     A value in a third of all documents costs one row per task and owner; null owners or repositories count as one.
     """
     narrow = F.coalesce(F.col("_owner"), F.lit("")), F.coalesce(F.col("_repository"), F.lit(""))
@@ -105,7 +103,7 @@ def ownership(found: DataFrame, most_repositories: int = MOST_REPOSITORIES) -> D
         .agg(F.count("*").alias("repositories"))
         .groupBy("value")
         .agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
-        .withColumn("live", (F.col("owners") == 1) & (F.col("repositories") <= most_repositories))
+        .withColumn("live", (F.col("owners") == 1) & (F.lit(most_repositories is None) | (F.col("repositories") <= F.lit(most_repositories))))
     )
 
 
@@ -115,7 +113,7 @@ def scan(
     keys: tuple[str, ...] = ("doc_id",),
     owner: str = "source",
     repository: str = "doc_id",
-    most_repositories: int = MOST_REPOSITORIES,
+    most_repositories: int | None = None,
 ) -> DataFrame:
     """``keys``, ``n_assign``, ``n_access``, ``n_hex``, ``base_sha256``, ``spans``, ``n_live``, ``n_copied``.
 

@@ -56,6 +56,15 @@ def test_ownership_parts_examples_from_live_values(spark):
     assert (got[4].n_live, got[4].n_copied) == (1, 1)
 
 
+@pytest.mark.parametrize("documents", [4, 1000])
+def test_values_of_one_owner_are_live_in_any_number_of_documents(spark, documents):
+    live, copied = "Zk3nQ8vLw2Rt7Yx5Bc9Md1Hf", "Pq7Rs2Tu8Vw3Xy9Za4Bc1De5"
+    rows = [(i, f"key {live} of {i} and {copied}", "a") for i in range(documents)] + [(documents, f"see {copied}", "b")]
+    got = {r.doc_id: r for r in secret_owners.scan(spark.createDataFrame(rows, "doc_id LONG, text STRING, source STRING")).collect()}
+    assert all((got[i].spans, got[i].n_live, got[i].n_copied) == ("mixed:4:28", 1, 1) for i in range(documents))
+    assert (got[documents].spans, got[documents].n_live, got[documents].n_copied) == ("", 0, 1)
+
+
 def test_secret_edges(spark, edge_docs, no_docs):
     got = secret_owners.scan(edge_docs).collect()
     assert len(got) == edge_docs.count() and all(r.spans == "" for r in got)
