@@ -13,7 +13,6 @@ lines that only they have are left for the removal of near-duplicate documents.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -38,34 +37,26 @@ def _word(token: Column) -> Column:
     return F.when(token.rlike("[0-9]"), F.lit(FIELD)).otherwise(token)
 
 
-def _words(line: Column, limit: int = -1) -> Column:
-    return F.split(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), BLANK, limit)
+def _words(line: Column) -> Column:
+    return F.split(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), BLANK)
 
 
-def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """A row per line with enough words: the document by key and content, place, length, the line, and its branch.
+def _lines(docs: DataFrame, key: str, text: str, least_documents: int) -> DataFrame:
+    """A row per line with enough words: the document by key and content, place, length, the line and its hash, and its leaf.
 
-    A branch holds all leaves with the same leading words. It needs only these, so a line is split as a whole only if
-    its branch is in several documents.
+    Words behind the leading ones are looked at only if the leaf is in several documents.
     """
     narrow = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("body"), F.posexplode(F.split(F.col(text), "\n")).alias("place", "line"))
-    headed = narrow.withColumn("head", _words(F.col("line"), DEPTH + 1)).filter(F.size("head") >= LEAST_WORDS)
-    branch = F.xxhash64(F.transform(F.slice("head", 1, DEPTH), _word))
-    return headed.select("key", "body", "place", "line", F.length("line").alias("chars"), F.xxhash64("line").alias("whole_line"), branch.alias("branch"))
-
-
-def _in_documents(lines: DataFrame, by: list[str], least: int) -> DataFrame:
-    """Keys ``by`` that occur in at least ``least`` different texts; counted once per text before they meet."""
-    return _enough(lines, by, lambda docs: docs >= least)
+    split = narrow.withColumn("raw", _words(F.col("line"))).filter(F.size("raw") >= LEAST_WORDS)
+    leaf = F.xxhash64(F.size("raw"), F.transform(F.slice("raw", 1, DEPTH), _word)).alias("leaf")
+    chars, whole_line = F.length("line").alias("chars"), F.xxhash64("line").alias("whole_line")
+    return split.select("key", "body", "place", "line", chars, whole_line, leaf, _need(F.col("raw"), least_documents).alias("need"))
 
 
 def _in_enough(lines: DataFrame, by: list[str]) -> DataFrame:
-    """As above, with the least number in ``need``, which is the same for all lines of a key."""
-    return _enough(lines, [*by, "need"], lambda docs: docs >= F.col("need")).drop("need")
-
-
-def _enough(lines: DataFrame, by: list[str], holds: Callable[[Column], Column]) -> DataFrame:
-    return lines.select(*by, "body").distinct().groupBy(*by).agg(F.count("*").alias("docs")).filter(holds(F.col("docs"))).select(*by)
+    """Keys ``by`` in at least ``need`` different texts, a number that all lines of a key have; counted once per text before they meet."""
+    once = lines.select(*by, "need", "body").distinct()
+    return once.groupBy(*by, "need").agg(F.count("*").alias("docs")).filter("docs >= need").select(*by)
 
 
 def _need(words: Column, least_documents: int) -> Column:
@@ -107,25 +98,22 @@ def _parts(words: Column, n: Column) -> Column:
 def _instances(lines: DataFrame, templates: DataFrame) -> DataFrame:
     """The lines with ``template``, the hash of one they agree with; a row for each of them."""
     narrow = templates.filter(F.size(F.filter("template", lambda w: w.isNotNull())) >= AGREE * F.size("template")).distinct()
-    given = narrow.withColumn("part", F.explode(_parts(F.col("template"), F.size("template")))).filter("part is not null")
-    each = lines.groupBy("leaf", "same").agg(F.first("words").alias("words")).withColumn("part", F.explode(_parts(F.col("words"), F.size("words"))))
+    given = narrow.withColumn("id", F.xxhash64("leaf", "template"))
+    parts = given.select("leaf", "id", F.explode(_parts(F.col("template"), F.size("template"))).alias("part")).filter("part is not null")
+    each = lines.groupBy("leaf", "same").agg(F.first("words").alias("words"))
+    of_line = each.select("leaf", "same", F.explode(_parts(F.col("words"), F.size("words"))).alias("part"))
+    pairs = of_line.join(parts, ["leaf", "part"]).select("leaf", "same", "id").distinct()
     same = F.size(F.filter(F.zip_with("words", "template", lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x))
-    pairs = each.join(given, ["leaf", "part"]).filter(same >= AGREE * F.size("words"))
-    return lines.drop("words").join(pairs.select("leaf", "same", F.xxhash64("leaf", "template").alias("template")).distinct(), ["leaf", "same"])
+    agreed = pairs.join(each, ["leaf", "same"]).join(given.drop("leaf"), "id").filter(same >= AGREE * F.size("words"))
+    return lines.drop("words").join(agreed.select("leaf", "same", F.col("id").alias("template")), ["leaf", "same"])
 
 
 def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
     """``key``, ``body`` (hash of the text) and ``places`` of the lines to drop, for documents that have such lines."""
-    lines = _lines(docs, key, text)
+    lines = _lines(docs, key, text, least_documents)
     light = store(lines.drop("line"), "lines")
-    maybe_long = F.col("chars") >= 2 * LONG_WORDS - 1
-    shared = _in_documents(light, ["branch"], least_documents).withColumn("all", F.lit(True))
-    of_long = _in_documents(light.filter(maybe_long), ["branch"], min(LONG_DOCUMENTS, least_documents)).withColumn("all", F.lit(False))
-    branches = shared.unionByName(of_long).groupBy("branch").agg(F.max("all").alias("all"))
-    held = lines.join(branches, "branch").filter(F.col("all") | maybe_long).select("key", "body", "place", "chars", F.transform(_words(F.col("line")), _word).alias("words"))
-    leaf = F.xxhash64(F.size("words"), F.slice("words", 1, DEPTH))
-    left = store(held.withColumns({"leaf": leaf, "same": F.xxhash64("words"), "need": _need(F.col("words"), least_documents)}), "branch-lines")
-    left = store(left.join(_in_enough(left, ["leaf"]), "leaf"), "leaf-lines")
+    held = lines.drop("whole_line").join(_in_enough(light, ["leaf"]), "leaf").withColumn("words", F.transform(_words(F.col("line")), _word))
+    left = store(held.drop("line").withColumn("same", F.xxhash64("words")), "leaf-lines")
     equal = _in_enough(left, ["leaf", "same"])
     templates = left.join(equal, ["leaf", "same"], "left_semi").groupBy("leaf", "same").agg(F.first("words").alias("template")).drop("same")
     found = []
