@@ -141,3 +141,42 @@ kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY place) FILTER (WHERE d
   FROM l LEFT JOIN drops USING (doc_id, place) GROUP BY doc_id)
 SELECT documents.doc_id, coalesce(n_dropped, 0) AS n_dropped, kept.text FROM documents LEFT JOIN kept USING (doc_id)
 """
+
+NEGATIVES = """
+WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+    CAST(list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) QUALIFY row_number() OVER w <= 5
+"""
+
+# CRC-32 byte by byte; its table is made by the rule of the polynomial
+SPELLING = """
+WITH RECURSIVE bits AS (SELECT range AS i, range AS c, 0 AS k FROM range(256)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+runs AS MATERIALIZED (SELECT doc_id, run, count(*) AS times FROM (SELECT doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
+hashed AS (SELECT run, times, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(concat(doc_id, ':', run), ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195, CAST(unicode(c) AS BIGINT) - 64] END))),
+    lambda x, b: xor(x >> 8, t[1 + (xor(x, b) & 255)]))) AS h FROM runs, crc WHERE doc_id IS NOT NULL
+  UNION ALL SELECT run, times, 1 FROM runs WHERE doc_id IS NULL),
+v AS MATERIALIZED (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM (SELECT times,
+    CASE WHEN h % 199 = 0 THEN concat(left(run, CAST(h % length(run) AS INT)), substr(run, CAST(h % length(run) AS INT) + 2)) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+cut AS MATERIALIZED (SELECT DISTINCT word, n, i, concat(left(word, i), substr(word, i + 2)) AS short FROM (SELECT word, n, unnest(range(CAST(length(word) AS INT))) AS i FROM v)),
+near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.i = b.i AND a.short = b.short AND a.word <> b.word AND length(a.word) = length(b.word)
+  UNION SELECT cut.word, v.word, v.n FROM cut JOIN v ON cut.short = v.word
+  UNION SELECT v.word, cut.word, cut.n FROM cut JOIN v ON cut.short = v.word),
+best AS (SELECT word, count(*) AS n_near, first(struct_pack(w := other, n := other_n) ORDER BY other_n DESC, other) AS b FROM near GROUP BY word),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.n >= 5 * v.n THEN b.w END AS form, CASE WHEN b.n >= 5 * v.n THEN b.n END AS form_n
+  FROM v LEFT JOIN best USING (word)),
+ways AS (SELECT word, word AS root, form AS further FROM f UNION ALL SELECT ways.word, f.word, f.form FROM ways JOIN f ON ways.further = f.word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, root FROM ways WHERE further IS NULL) USING (word)
+"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fernsift.llm import checks
 from fernsift.llm.shared import read, shared_folder
@@ -88,6 +89,28 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "evidence")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fernsift.llm import hard_negatives
+
+    key, label = F.col("vec_id"), F.col("label").cast("long")
+    shifted = F.when(key % 7 == 0, F.pmod(label + 1, F.lit(10))).otherwise(label)
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings"), anchors=key % 100 == 0, label=shifted)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fernsift.llm import spelling
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.group(docs, damage_every=spelling.DAMAGED)
+
+
+def op13_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fernsift.llm import permutation_index
+
+    table = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return permutation_index.search(table, asking=F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_token_files,
@@ -100,6 +123,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_bpe_round_trip,
         op9_minhash_dedup,
         op10_toxicity,
+        op11_hard_negatives,
+        op12_spelling_variants,
+        op13_permutation_index,
     )
 }
 
@@ -110,4 +136,6 @@ SQL: dict[str, str] = {
     "op6_url_vocabulary": checks.URLS,
     "op7_quality_cascade": checks.QUALITY,
     "op9_minhash_dedup": checks.NEAR,
+    "op11_hard_negatives": checks.NEGATIVES,
+    "op12_spelling_variants": checks.SPELLING,
 }
