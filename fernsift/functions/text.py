@@ -175,6 +175,35 @@ def _places(pairs: Column) -> Column:
     return let(F.transform(numbers, lambda i: counted(F.slice(pairs, i * RUN + 1, F.lit(RUN)))), joined)
 
 
+def running(values: Column) -> Column:
+    """Running sums of an array of whole numbers. As for places, runs are summed first and then moved by the sums before them."""
+
+    def summed(part: Column) -> Column:
+        none = F.array().cast("array<int>")
+        return F.aggregate(part, none, lambda acc, x: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x))
+
+    def joined(runs: Column) -> Column:
+        ends = summed(F.transform(runs, lambda r: F.element_at(r, -1)))
+        return let(ends, lambda e: F.flatten(F.transform(runs, lambda r, i: F.transform(r, lambda x: x + F.coalesce(F.get(e, i - 1), F.lit(0))))))
+
+    count = F.ceil(F.size(values) / RUN).cast("int")
+    numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    return let(F.transform(numbers, lambda i: summed(F.slice(values, i * RUN + 1, F.lit(RUN)))), joined)
+
+
+def first_at_least(ordered: Column, value: Column) -> Column:
+    """Number of entries of a sorted array that are below ``value``: the place, from 0, of the first that is not. By halving."""
+    span = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["lo"] + s["hi"], 1)
+        below = F.get(ordered, middle) < value
+        return F.when(s["lo"] >= s["hi"], s).when(below, span(middle + 1, s["hi"])).otherwise(span(s["lo"], middle))
+
+    rounds = F.length(F.bin(F.size(ordered).cast("long")))
+    return F.aggregate(F.sequence(F.lit(1), rounds), span(F.lit(0), F.size(ordered)), halve, lambda s: s["lo"])
+
+
 def entropy(value: Column) -> Column:
     """Shannon entropy in bits per character; 0 for the empty string."""
     size = F.greatest(F.length(value), F.lit(1)).cast("double")

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fernsift.functions import text as T
 from fernsift.functions.frames import BLOCK, running_sum, sliding
+from fernsift.operators.chains import FLAGS, advances, completes, echo_facts, echoes, is_echo, steps_of
 from fernsift.operators.lines import is_eligible
-from fernsift.operators.rules import anchors
 
 # Words for values that come from outside, words for cleaning them, security words.
 USER_INPUT_WORDS = [
@@ -119,45 +116,49 @@ def context_tainted_vars(lines: DataFrame, window: int = 25) -> DataFrame:
 def detect_chains(
     lines: DataFrame, chains=CHAINS, look_back: int = 10, block: int = BLOCK
 ) -> DataFrame:
-    """Chains of steps within the last ``look_back`` eligible lines and the line itself."""
-    eligible = is_eligible(F.col("text"))
-    counted = running_sum(lines, ["file"], "line", eligible.cast("int"), "_nth", block)
-    kept = counted.filter(is_eligible(F.col("text")))
-    near = sliding(
-        kept,
-        ["file"],
-        "_nth",
-        look_back,
-        0,
-        {"_near": lambda w: F.concat_ws(" ", F.collect_list("text").over(w))},
-        block,
-    )
-
-    def found(pattern: str) -> Column:
-        """The literals a chain needs are looked for before its regex, which goes back and forth."""
-        needed = [T.contains_any(F.col("_low"), words) for words in anchors(pattern)]
-        return reduce(and_, needed, F.lit(True)) & F.col("_near").rlike("(?isd)" + pattern)
+    """Chains of steps within the last ``look_back`` eligible lines and the line itself.
 
-    near = near.withColumn("_low", F.lower("_near"))
+    Texts are not shuffled for this: windows see what a line does to each chain, in a few numbers. Only the lines on which a chain
+    holds are joined with their texts, for the evidence.
+    """
+    steps = [steps_of(pattern) for pattern, *_ in chains]
+    plain = [k for k, s in enumerate(steps) if not is_echo(s)]
+    echo = [k for k, s in enumerate(steps) if is_echo(s)]
+    text = F.col("text")
+    codes = [advances(text, steps[k]).cast("long") for k in plain]
+    any_step = text.rlike(FLAGS + "(?:" + "|".join(x for k in plain for x in steps[k]) + ")") if plain else F.lit(False)
+    compact = lines.select(
+        "file",
+        "line",
+        is_eligible(text).alias("_is"),
+        F.when(any_step, F.array(*codes)).alias("_codes"),
+        *[F.when(is_eligible(text), echo_facts(text, steps[k])).alias(f"_echo{k}") for k in echo],
+    )
+    counted = running_sum(compact, ["file"], "line", F.col("_is").cast("int"), "_nth", block).filter("_is")
+    windows = {"_all": lambda w: F.collect_list("_codes").over(w)}
+    for k in echo:
+        windows[f"_starts{k}"] = lambda w, k=k: F.bool_or(f"_echo{k}.starts").over(w)
+        windows[f"_ends{k}"] = lambda w, k=k: F.bool_or(f"_echo{k}.ends").over(w)
+        windows[f"_facts{k}"] = lambda w, k=k: F.collect_list(f"_echo{k}").over(w)
+    near = sliding(counted, ["file"], "_nth", look_back, 0, windows, block)
+
+    def of_chain(at: int) -> Column:
+        return F.filter(F.transform("_all", lambda c: F.get(c, F.lit(at))), lambda c: c.isNotNull())
+
+    held = {k: (F.size("_all") > 0) & completes(of_chain(at), steps[k]) for at, k in enumerate(plain)}
+    held |= {k: F.col(f"_starts{k}") & F.col(f"_ends{k}") & F.when(F.col(f"_starts{k}") & F.col(f"_ends{k}"), echoes(F.col(f"_facts{k}"))) for k in echo}
     hits = F.array_compact(
         F.array(
             *[
-                F.when(
-                    found(pattern),
-                    F.struct(
-                        F.lit(name).alias("type"),
-                        F.lit(severity).alias("severity"),
-                        F.concat(F.lit(f"\U0001f517 {what}: "), F.col("text")).alias(
-                            "evidence"
-                        ),
-                    ),
-                )
-                for pattern, name, severity, what in chains
+                F.when(held[k], F.struct(F.lit(name).alias("type"), F.lit(severity).alias("severity"), F.lit(f"\U0001f517 {what}: ").alias("what")))
+                for k, (_, name, severity, what) in enumerate(chains)
             ]
         )
     )
-    chained = near.select("file", "line", F.explode_outer(hits).alias("_c"))
-    return chained.filter(F.col("_c").isNotNull()).select("file", "line", "_c.*")
+    chained = near.select("file", "line", F.explode_outer(hits).alias("_c")).filter(F.col("_c").isNotNull())
+    return chained.join(lines.select("file", "line", "text"), ["file", "line"]).select(
+        "file", "line", "_c.type", "_c.severity", F.concat("_c.what", "text").alias("evidence")
+    )
 
 
 def first_security_word(text: Column, words=SECURITY_WORDS) -> Column:

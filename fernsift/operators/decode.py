@@ -46,42 +46,54 @@ def decode_unicode(raw: Column) -> Column:
 
 
 def string_arrays(text: Column) -> Column:
-    """The string arrays of a text as ``array<struct<name, elements>>``; the last of a name counts."""
+    """The string arrays of a text as ``array<struct<name, nth, elements>>`` in order of names; the last of a name counts.
+
+    ``nth`` is the array's place in the text.
+    """
     found = F.arrays_zip(
         F.regexp_extract_all(text, F.lit(ARRAY), F.lit(1)).alias("name"),
         F.regexp_extract_all(text, F.lit(ARRAY), F.lit(2)).alias("inside"),
     )
-    last = F.filter(
-        found,
-        lambda a, i: ~F.exists(F.slice(found, i + 2, F.greatest(F.size(found), F.lit(1))), lambda b: b["name"] == a["name"]),
-    )
+    placed = F.array_sort(F.transform(found, lambda a, i: F.struct(a["name"].alias("name"), i.alias("nth"), a["inside"].alias("inside"))))
+    last = T.let(placed, lambda p: F.filter(p, lambda a, i: ~F.coalesce(F.get(p, i + 1)["name"] == a["name"], F.lit(False))))
     return F.transform(
         last,
         lambda a: F.struct(
-            a["name"].alias("name"),
-            F.regexp_extract_all(a["inside"], F.lit(r"['\"]([^'\"]*)['\"]"), F.lit(1)).alias("elements"),
+            a["name"].alias("name"), a["nth"].alias("nth"), F.regexp_extract_all(a["inside"], F.lit(r"['\"]([^'\"]*)['\"]"), F.lit(1)).alias("elements")
         ),
     )
 
 
-def decode_access(raw: Column, arrays: Column, compat: bool = True) -> Column:
-    """``a[1]`` to the element, for a word that ends in the name of a known array.
+def decode_access(raw: Column, arrays: Column, names: Column, compat: bool = True) -> Column:
+    """``a[1]`` to the element, for a word that ends in the name of a known array (the first in the text that has the element).
 
-    With ``compat`` the digits of a hex index are read as decimal.
+    Every end of the word is looked up in the sorted ``names``. With ``compat`` the digits of a hex index are read as decimal.
     """
     pattern = ACCESS if compat else ACCESS_WITH_HEX
-    word, digits = F.regexp_extract(raw, pattern, 1), F.regexp_extract(raw, pattern, 2)
-    index = digits.try_cast("int")
-    if not compat:
-        index = F.when(
-            digits.startswith("0x"), F.conv(F.substring(digits, 3, 8), 16, 10).try_cast("int")
-        ).otherwise(index)
-    fits = F.filter(arrays, lambda a: word.endswith(a["name"]) & (index < F.size(a["elements"])))
-    hit = F.get(fits, F.lit(0))
-    prefix = F.substring(word, F.lit(1), F.length(word) - F.length(hit["name"]))
-    return F.when(
-        F.size(fits) > 0, F.concat(prefix, _quoted(F.get(hit["elements"], index)))
-    ).otherwise(raw)
+
+    def decoded(word: Column, digits: Column) -> Column:
+        index = digits.try_cast("int")
+        if not compat:
+            index = F.when(
+                digits.startswith("0x"), F.conv(F.substring(digits, 3, 8), 16, 10).try_cast("int")
+            ).otherwise(index)
+        ends = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(word, i, F.length(word)))
+        named = F.transform(ends, lambda w: T.let(T.first_at_least(names, w), lambda k: F.when(F.get(names, k) == w, F.get(arrays, k))))
+        fits = F.filter(named, lambda a: F.coalesce(index < F.size(a["elements"]), F.lit(False)))
+        first = F.array_min(F.transform(fits, lambda a: F.struct(a["nth"].alias("nth"), a["name"].alias("name"), F.get(a["elements"], index).alias("element"))))
+        return T.let(
+            first,
+            lambda hit: F.when(
+                hit.isNotNull(), F.concat(F.substring(word, F.lit(1), F.length(word) - F.length(hit["name"])), _quoted(hit["element"]))
+            ).otherwise(raw),
+        )
+
+    parts = F.struct(F.regexp_extract(raw, pattern, 1).alias("word"), F.regexp_extract(raw, pattern, 2).alias("digits"))
+    return T.let(parts, lambda p: decoded(p["word"], p["digits"]))
+
+
+def names_of(arrays: Column) -> Column:
+    return F.transform(arrays, lambda a: a["name"])
 
 
 def decode_bracket(raw: Column) -> Column:
@@ -112,13 +124,17 @@ def decode_char_codes(raw: Column) -> Column:
     return F.when(good, _quoted(F.decode(F.unhex(digits), "UTF-32"))).otherwise(raw)
 
 
+def known_arrays(text: Column) -> Column:
+    return T.let(string_arrays(text), lambda a: F.struct(a.alias("arrays"), names_of(a).alias("names")))
+
+
 def _steps(compat: bool) -> list[tuple[str, str, str, Callable]]:
     """Kinds in order of application: name, a word that must be there, pattern, decoder of (raw, text)."""
     return [
         ("hex", "\\x", HEX, lambda raw, text: decode_hex(raw)),
         ("unicode", "\\u", UNICODE, lambda raw, text: decode_unicode(raw)),
         ("array", "[", ACCESS if compat else ACCESS_WITH_HEX,
-         lambda raw, arrays: decode_access(raw, arrays, compat)),
+         lambda raw, known: decode_access(raw, known["arrays"], known["names"], compat)),
         ("bracket", "[", BRACKET, lambda raw, text: decode_bracket(raw)),
         ("concat", "+", CHAIN, lambda raw, text: fold_chain(raw)),
         ("base64", "atob", BASE64, lambda raw, text: decode_base64(raw)),
@@ -146,7 +162,7 @@ def apply_decoded(sources: DataFrame, compat: bool = True) -> DataFrame:
     def with_arrays(pattern: str, decode: Callable) -> Callable:
         return lambda t: F.when(
             t.rlike(ARRAY),
-            T.let(string_arrays(t), lambda arrays: _replaced(t, pattern, lambda raw: decode(raw, arrays))),
+            T.let(known_arrays(t), lambda known: _replaced(t, pattern, lambda raw: decode(raw, known))),
         ).otherwise(t)
 
     text = F.col("text")
@@ -157,13 +173,13 @@ def apply_decoded(sources: DataFrame, compat: bool = True) -> DataFrame:
 
 def decode_literals(sources: DataFrame, compat: bool = True) -> DataFrame:
     """(file, line, kind, raw, decoded) of the literals of the unchanged texts that can be decoded."""
-    text, arrays = F.col("text"), F.col("_arrays")
+    text, known = F.col("text"), F.col("_known")
     none = F.array().cast("array<struct<line:int,kind:string,raw:string,decoded:string>>")
 
     def as_row(kind: str, decode: Callable):
         return lambda m: F.struct(
             m["line"].alias("line"), F.lit(kind).alias("kind"), m["g0"].alias("raw"),
-            decode(m["g0"], arrays).alias("decoded"),
+            decode(m["g0"], known).alias("decoded"),
         )
 
     parts = [
@@ -173,10 +189,10 @@ def decode_literals(sources: DataFrame, compat: bool = True) -> DataFrame:
         ).otherwise(none)
         for kind, word, pattern, decode in _steps(compat)
     ]
-    empty = F.array().cast("array<struct<name:string,elements:array<string>>>")
+    empty = F.struct(F.array().cast("array<struct<name:string,nth:int,elements:array<string>>>").alias("arrays"), F.array().cast("array<string>").alias("names"))
     found = F.flatten(F.flatten(F.transform(F.array(F.lit(0)), lambda _: F.array(*parts))))
     return (
-        sources.withColumn("_arrays", F.when(text.rlike(ARRAY), string_arrays(text)).otherwise(empty))
+        sources.withColumn("_known", F.when(text.rlike(ARRAY), known_arrays(text)).otherwise(empty))
         .select("file", F.explode_outer(found).alias("_m"))
         .filter(F.col("_m").isNotNull() & (F.col("_m.raw") != F.col("_m.decoded")))
         .select("file", "_m.*")

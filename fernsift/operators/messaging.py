@@ -32,51 +32,87 @@ ADVICE = {
 }
 
 
-def balanced(rest: Column) -> Column:
-    """The start of a text up to the brace that closes its first open one; '' if none closes."""
-    pieces = F.regexp_extract_all(rest, F.lit(r"[^{}]*[{}]"), F.lit(0))
-
-    def advance(acc: Column, piece: Column) -> Column:
-        opens = F.endswith(piece, F.lit("{"))
-        depth = acc["depth"] + F.when(opens, 1).otherwise(-1)
-        started = acc["started"] | opens
-        at = acc["at"] + F.length(piece)
-        closes = (acc["stop"] == 0) & ~opens & started & (depth == 0)
-        return F.struct(
-            depth.alias("depth"),
-            started.alias("started"),
-            at.alias("at"),
-            F.when(closes, at).otherwise(acc["stop"]).alias("stop"),
+_DEPTH = 1 << 32  # a closing brace is ordered by depth, then by place
+
+
+def _braces(text: Column) -> Column:
+    """The braces of a text: ``pieces`` (the text up to and with each), where each ends (``at``), how deep it is after each (``depth``), which
+    open (``opens``, by number), and all that close, by depth and number (``closes``)."""
+    pieces = F.regexp_extract_all(text, F.lit(r"[^{}]*+[{}]"), F.lit(0))
+
+    def arrays(p: Column) -> Column:
+        turns = F.transform(p, lambda x: F.when(F.endswith(x, F.lit("{")), 1).otherwise(-1))
+        return T.let(
+            F.struct(p.alias("pieces"), T.running(F.transform(p, F.length)).alias("at"), T.running(turns).alias("depth"), turns.alias("turns")),
+            lambda b: F.struct(
+                b["pieces"].alias("pieces"),
+                b["at"].alias("at"),
+                b["depth"].alias("depth"),
+                _numbers(b["turns"], 1).alias("opens"),
+                F.sort_array(
+                    F.transform(_numbers(b["turns"], -1), lambda i: F.get(b["depth"], i).cast("long") * _DEPTH + i)
+                ).alias("closes"),
+            ),
         )
 
-    start = F.struct(
-        F.lit(0).alias("depth"), F.lit(False).alias("started"), F.lit(0).alias("at"),
-        F.lit(0).alias("stop"),
-    )
-    stop = F.aggregate(pieces, start, advance, lambda acc: acc["stop"])
-    return F.substring(rest, F.lit(1), stop)
+    return T.let(pieces, arrays)
+
+
+def _numbers(turns: Column, of: int) -> Column:
+    return F.filter(F.transform(turns, lambda x, i: F.when(x == of, i)), lambda i: i.isNotNull())
+
+
+def _body(braces: Column, start: Column, reach: int | None) -> Column:
+    """The text behind ``start`` characters up to the brace that closes the first one opened there; '' if none closes.
+
+    That is the first closing brace behind it after which it is as deep as at ``start``.
+    """
+
+    def to_close(first: Column) -> Column:
+        depth = F.coalesce(F.get(braces["depth"], first - 1), F.lit(0)).cast("long")
+        opened = F.get(braces["opens"], T.first_at_least(braces["opens"], first))
+        wanted = F.get(braces["closes"], T.first_at_least(braces["closes"], depth * _DEPTH + opened))
+        last = F.when(opened.isNotNull() & (F.floor(wanted / _DEPTH) == depth), F.pmod(wanted, F.lit(_DEPTH)).cast("int"))
+        begun = start - F.coalesce(F.get(braces["at"], first - 1), F.lit(0))
+
+        def joined(end: Column) -> Column:
+            piece = F.get(braces["pieces"], first)
+            whole = F.concat(
+                F.substring(piece, begun + 1, F.length(piece)), F.array_join(F.slice(braces["pieces"], first + 2, end - first), "")
+            )
+            within = F.lit(True) if reach is None else F.get(braces["at"], end) <= start + reach
+            return F.when(end.isNotNull() & within, whole).otherwise("")
+
+        return T.let(last, joined)
+
+    return T.let(T.first_at_least(braces["at"], start + 1), to_close)
 
 
 def postmessage_handlers(sources: DataFrame, reach: int | None = None) -> DataFrame:
     """Message handlers with their body, however long: (file, line, pattern, body).
 
-    The second and third pattern overlap, so a ``window.onmessage`` handler is found twice.
+    The braces of a text are read once, for all of its handlers. The second and third pattern overlap, so a ``window.onmessage`` handler
+    is found twice.
     """
-    none = F.array().cast("array<struct<line:int,pattern:int,body:string>>")
-    parts = []
-
-    def as_row(number: int):
-        return lambda m: F.struct(
-            m["line"].alias("line"),
-            F.lit(number).alias("pattern"),
-            balanced(F.substring(F.col("text"), m["stop"] + 1, F.length("text") if reach is None else F.lit(reach))).alias("body"),
+    text = F.col("text")
+    none = F.array().cast("array<struct<line:int,stop:int,pattern:int>>")
+
+    def hit(number: int):
+        return lambda m: F.struct(m["line"].alias("line"), m["stop"].alias("stop"), F.lit(number).alias("pattern"))
+
+    parts = [
+        F.when(text.rlike(pattern), F.transform(T.matches(text, pattern), hit(number))).otherwise(none)
+        for number, pattern in enumerate(HANDLER_PATTERNS)
+    ]
+
+    def rows(hits: Column) -> Column:
+        return T.let(
+            _braces(text),
+            lambda b: F.transform(hits, lambda m: F.struct(m["line"].alias("line"), m["pattern"].alias("pattern"), _body(b, m["stop"], reach).alias("body"))),
         )
 
-    for number, pattern in enumerate(HANDLER_PATTERNS):
-        hits = F.transform(T.matches(F.col("text"), pattern), as_row(number))
-        parts.append(F.when(F.col("text").rlike(pattern), hits).otherwise(none))
-    found = sources.select("file", F.explode_outer(F.concat(*parts)).alias("_m"))
-    return found.filter(F.col("_m").isNotNull()).select("file", "_m.*")
+    found = T.let(F.concat(*parts), lambda hits: F.when(F.size(hits) > 0, rows(hits)))
+    return sources.select("file", F.explode_outer(found).alias("_m")).filter(F.col("_m").isNotNull()).select("file", "_m.*")
 
 
 def check_handlers(handlers: DataFrame) -> DataFrame:

@@ -285,12 +285,48 @@ add(
     f"WITH {t.CODE_LINES}{ARRAYS_SQL} {ARRAY_ROWS} UNION ALL "
     + "\nUNION ALL ".join(literal_rows(kind) for kind in KIND_SQL),
 )
-# without SQL check: seven rewriting steps in a row; tests compare them with a small interpreter
-add("apply_decoded", lambda spark, sf: D.apply_decoded(t.code_files(spark, sf)))
+# the seven steps in a row: each splits a text at its matches and puts what they decode to in between
+
+
+def put_in(pattern: str, decoded: str, text: str) -> str:
+    """The text with every match (``raw``) replaced by ``decoded``."""
+    gaps, hits = f"regexp_split_to_array({text}, {re2(pattern)})", f"list_transform(regexp_extract_all({text}, {re2(pattern)}), lambda raw: {decoded})"
+    return (
+        f"CASE WHEN regexp_matches({text}, {re2(pattern)}) THEN array_to_string(list_transform(list_zip({gaps}, {hits}), "
+        f"lambda z: concat(z[1], coalesce(z[2], ''))), '') ELSE {text} END"
+    )
+
+
+ACCESS_RAW = r"\w+\[(?:0x)?\d+\]"
+FOUND_ARRAYS = f"""list_transform(list_zip(regexp_extract_all(text, {re2(D.ARRAY)}, 1), regexp_extract_all(text, {re2(D.ARRAY)}, 2)),
+  lambda z: struct_pack(name := z[1], elements := regexp_extract_all(z[2], '[\'\'"]([^\'\'"]*)[\'\'"]', 1)))"""
+LAST_ARRAYS = "list_filter(found, lambda a, i: NOT list_contains(list_transform(found[i + 1:], lambda b: b.name), a.name))"
+ELEMENT = r"""(list_filter(arrays, lambda a: ends_with(regexp_extract(raw, '^(\w+)', 1), a.name) AND regexp_extract(raw, '(\d+)\]', 1)::INT < len(a.elements)))[1]"""
+DECODED_ACCESS = rf"""CASE WHEN {ELEMENT} IS NULL THEN raw ELSE concat(left(regexp_extract(raw, '^(\w+)', 1),
+  length(regexp_extract(raw, '^(\w+)', 1)) - length(({ELEMENT}).name)), '"', ({ELEMENT}).elements[regexp_extract(raw, '(\d+)\]', 1)::INT + 1], '"') END"""
+
+
+def decoded_steps(source: str) -> str:
+    """CTEs from ``source(file, text)`` to ``decoded(file, text)``."""
+    out, at = [], source
+    for kind in ["hex", "unicode", "array", "bracket", "concat", "base64", "charcode"]:
+        if kind == "array":
+            out.append(f"with_arrays AS MATERIALIZED (SELECT file, text, {LAST_ARRAYS} AS arrays FROM (SELECT file, text, {FOUND_ARRAYS} AS found FROM {at}))")
+            pattern, decoded, at = ACCESS_RAW, DECODED_ACCESS, "with_arrays"
+        else:
+            pattern, decoded = KIND_SQL[kind]
+        name = "decoded" if kind == "charcode" else f"after_{kind}"
+        out.append(f"{name} AS MATERIALIZED (SELECT file, {put_in(pattern, decoded, 'text')} AS text FROM {at})")
+        at = name
+    return ",\n".join(out)
+
+
+DECODED = f"WITH {t.CODE_FILES},\n{decoded_steps('code_files')}\n"
+add("apply_decoded", lambda spark, sf: D.apply_decoded(t.code_files(spark, sf)), DECODED + "SELECT file, text FROM decoded")
 add(
     "obfuscation_stats",
-    lambda spark, sf: (lambda f: D.obfuscation_stats(f, D.apply_decoded(f)))(t.pages(spark, sf)),
-    "SELECT page_id::VARCHAR AS file, false AS changed, 0 AS chars_changed FROM pages",
+    lambda spark, sf: (lambda f: D.obfuscation_stats(f, D.apply_decoded(f)))(t.code_files(spark, sf)),
+    DECODED + "SELECT file, c.text <> d.text AS changed, abs(length(c.text) - length(d.text))::INT AS chars_changed FROM code_files c JOIN decoded d USING (file)",
 )
 
 # ── short names ────────────────────────────────────────────────────────────────────────────────

@@ -151,5 +151,8 @@ def test_backtrack_chain_and_cycle(sources):
     assert (hit.source, hit.path, hit.path_lines, hit.source_line) == (
         "document.cookie", ["w3", "w2", "w1", "w0"], [4, 3, 2, 1], 1)
     assert hit.transformations == ["split"]
-    assert not rows["f", "w25"].is_tainted  # more than twenty steps
+    far = rows["f", "w25"]  # ways have no longest length
+    assert far.is_tainted and far.path == [f"w{i}" for i in range(25, -1, -1)] and far.path_lines == list(range(26, 0, -1))
+    short = {(r.file, r.variable): r.is_tainted for r in B.backtrack(df, max_depth=20).collect()}
+    assert short["f", "w3"] and not short["f", "w25"]
     assert not rows["g", "z1"].is_tainted

@@ -75,7 +75,9 @@ def test_handlers(sources):
     assert bodies == [
         ("a", 0, ", e => { if (x) { eval(e.data) } }"),
         ("b", 1, " function (e) { if (e.origin !== 'x') return; }"),
-        ("b", 2, " function (e) { if (e.origin !== 'x') return; }"), ("c", 1, ""), ("d", 1, ""), ("e", 1, "")]
+        ("b", 2, " function (e) { if (e.origin !== 'x') return; }"), ("c", 1, ""), ("d", 1, ""),
+        ("e", 1, " function () {" + " " * 3000 + "}")]
+    assert rows(M.postmessage_handlers(df, reach=2000), "file", "pattern", "body")[-1] == ("e", 1, "")
     kinds = rows(M.check_handlers(M.postmessage_handlers(df)), "file", "type")
     assert [k for f, k in kinds if f == "a"] == ["DANGEROUS_DATA_HANDLING", "NO_ORIGIN_CHECK", "NO_SOURCE_CHECK"]
     assert [k for f, k in kinds if f == "b"] == []
