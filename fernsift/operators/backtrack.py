@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fernsift.functions import text as T
-from fernsift.functions.fixpoint import pin, roots, smallest_labels
+from fernsift.functions.fixpoint import counted, pin, roots, smallest_labels
 from fernsift.operators.assignments import extract_assignments
 from fernsift.operators.lines import explode_lines
 
@@ -147,7 +147,7 @@ def backtrack(
             edges,
             ["file", "name"],
             "depth",
-            lambda d: d + 1 if max_depth is None else F.when(d < max_depth, d + 1),
+            counted(max_depth),
         )
     )
     onward = (

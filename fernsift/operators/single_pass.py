@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernsift.functions import text as T
-from fernsift.functions.fixpoint import pin, smallest_labels
+from fernsift.functions.fixpoint import increasing, pin, smallest_labels
 from fernsift.functions.frames import last_before
 from fernsift.operators.context import SANITIZER_WORDS, USER_INPUT_WORDS
 from fernsift.operators.lines import is_code
@@ -80,9 +80,7 @@ def flow_scan_single_pass(lines: DataFrame, max_lines: int | None = None) -> Dat
         params.select("file", "name", "moment")
     )
     first = pin(
-        smallest_labels(
-            seeds, edges, ["file", "name"], "moment", lambda m: F.when(F.col("at") > m, F.col("at"))
-        )
+        smallest_labels(seeds, edges, ["file", "name"], "moment", increasing("at"))
     )
     fed = (
         reads.join(first.select("file", F.col("name").alias("ref"), F.col("moment").alias("since")), ["file", "ref"])

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fernsift.functions import text as T
-from fernsift.functions.fixpoint import pin, roots, smallest_labels
+from fernsift.functions.fixpoint import ROUND, in_rounds, increasing, pin, roots, smallest_labels, unchanged
 from fernsift.functions.frames import BLOCK, last_before, running_sum
 from fernsift.operators.assignments import (
     extract_assignments,
@@ -55,8 +55,6 @@ SINKS = [
     "exec", "execSync", "spawn", "query", "raw",
 ]
 
-ROUND = 1 << 32
-
 
 def _no_steps() -> Column:
     return F.array().cast("array<string>")
@@ -159,7 +157,7 @@ def _declared(definitions: DataFrame, resolved: DataFrame, references: DataFrame
     clean = pin(self_washed)
     while True:
         start = seeds.join(clean, node, "left_anti").select(*node, F.lit(0).alias("label"))
-        tainted = smallest_labels(start, edges, node, "label", lambda label: label).select(*node)
+        tainted = smallest_labels(start, edges, node, "label", unchanged()).select(*node)
         if back.isEmpty():
             return tainted
         reached = tainted.select("file", F.col("line").alias("ref_line"), F.col("name").alias("ref"))
@@ -217,13 +215,6 @@ def _sanitized(resolved: DataFrame, references: DataFrame, tainted: DataFrame) -
     )
 
 
-def _next_moment(line: Column, label: Column, max_rounds: int | None) -> Column:
-    """When an assignment on ``line`` is next reached after ``label`` (round and line in one number)."""
-    round_, at = F.shiftright(label, 32), label.bitwiseAND(ROUND - 1)
-    moment = F.when(line > at, round_).otherwise(round_ + 1) * F.lit(ROUND) + line
-    return moment if max_rounds is None else F.when(moment < (max_rounds + 1) * ROUND, moment)
-
-
 def _assigned(
     plain: DataFrame, visible: DataFrame, max_rounds: int | None
 ) -> DataFrame:
@@ -246,7 +237,7 @@ def _assigned(
             edges,
             node,
             "moment",
-            lambda label: _next_moment(F.col("at_line"), label, max_rounds),
+            in_rounds("at_line", max_rounds),
         )
     )
     reached = moments.join(start.select(*node), node, "left_anti").withColumn(
@@ -353,7 +344,7 @@ def propagate_calls(
             edges,
             key,
             "moment",
-            lambda label: F.when(F.col("at") > label, F.col("at")),
+            increasing("at"),
         )
     )
     # every call that hands over a tainted value, linked to the one that last tainted its argument
