@@ -109,37 +109,60 @@ FROM b
 """
 
 
-def _round(k: int, least: int) -> str:
-    """One pass over the lines left: templates of their leaves, instances, and the leaves that go on."""
-    return f"""
-each{k} AS (SELECT n, head, i, word, count(*) AS times FROM (SELECT n, head, unnest(range(1, n + 1)) AS i, unnest(words) AS word FROM left{k}) GROUP BY ALL),
-place{k} AS (SELECT n, head, i, max(struct_pack(times := times, word := word)) AS top, sum(times) AS every FROM each{k} GROUP BY ALL),
-template{k} AS (SELECT n, head, list(CASE WHEN top.times * 2 >= every AND top.word <> '{line_templates.FIELD}' THEN top.word END ORDER BY i) AS template
-  FROM place{k} GROUP BY ALL),
-tried{k} AS MATERIALIZED (SELECT left{k}.*, len(list_filter(list_zip(words, template), lambda z: z[1] = z[2])) >= {line_templates.AGREE} * n AS agrees
-  FROM left{k} JOIN template{k} USING (n, head)),
-left{k + 1} AS MATERIALIZED (SELECT * EXCLUDE (agrees) FROM tried{k} JOIN (SELECT n, head FROM tried{k} WHERE NOT agrees
-  GROUP BY ALL HAVING count(DISTINCT doc_id) >= {least}) USING (n, head) WHERE NOT agrees)"""
+_LEAST = line_templates.LEAST_DOCUMENTS
+_DEPTH, _AGREE = line_templates.DEPTH, f"{line_templates.AGREE}::DOUBLE"
 
 
-_LEAST = line_templates.LEAST_DOCUMENTS
+def _line_round(i: int) -> str:
+    """Lines that agree with the template of their stretch, where that recurs; and what is left for the next round."""
+    end = lambda k: f"CAST({_DEPTH} + floor((n - {_DEPTH}) * {k} / parts) AS INT)"
+    return f"""each{i} AS MATERIALIZED (SELECT n, head, words, need, docs, k, CASE WHEN n <= {_DEPTH} THEN [] ELSE words[{end("k")} + 1 : {end("(k + 1)")}] END AS stretch
+  FROM (SELECT *, unnest(range(CASE WHEN n <= {_DEPTH} THEN 1 ELSE parts END)) AS k FROM (SELECT *, CAST(n - ceil({_AGREE} * n) + 1 AS INT) AS parts FROM left{i}))),
+weight{i} AS (SELECT n, head, k, stretch, sum(docs) AS weight FROM each{i} GROUP BY ALL HAVING sum(docs) > 1),
+chosen{i} AS (SELECT n, words, need, docs, (arg_max(struct_pack(w := weight, g := concat_ws('|', n, head::VARCHAR, k, stretch::VARCHAR)), struct_pack(w := weight, k := -k))) AS top
+  FROM each{i} JOIN weight{i} USING (n, head, k, stretch) GROUP BY n, words, need, docs),
+grouped{i} AS MATERIALIZED (SELECT n, words, docs, concat('{i}|', top.g) AS template FROM chosen{i} WHERE top.w >= need),
+fixed{i} AS (SELECT template, list(CASE WHEN 2 * top.docs >= every THEN top.word END ORDER BY i) AS fixed FROM (SELECT template, i, max(struct_pack(docs := docs, word := word)) AS top, sum(docs) AS every
+  FROM (SELECT template, i, word, sum(docs) AS docs FROM (SELECT template, docs, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM grouped{i}) GROUP BY ALL) GROUP BY ALL) GROUP BY template),
+agreed{i} AS MATERIALIZED (SELECT words, template FROM grouped{i} JOIN fixed{i} USING (template)
+  WHERE len(list_filter(list_zip(words, fixed), lambda z: coalesce(z[1] = z[2], false))) >= {_AGREE} * n),
+new{i} AS MATERIALIZED (SELECT words, template FROM agreed{i} SEMI JOIN (SELECT template FROM agreed{i} JOIN of_text USING (words) GROUP BY template, need HAVING count(DISTINCT body) >= need) USING (template)),
+rest{i} AS MATERIALIZED (SELECT * FROM left{i} ANTI JOIN new{i} USING (words)),
+left{i + 1} AS MATERIALIZED (SELECT * FROM rest{i} SEMI JOIN (SELECT n, head FROM rest{i} JOIN of_text USING (words, n, head, need) GROUP BY n, head, need HAVING count(DISTINCT body) >= need) USING (n, head))"""
+
+
+_ROUNDS = 4  # further ones find nothing in these tables
+
 LINES = f"""
-WITH l AS MATERIALIZED (SELECT doc_id, place, line, {_words("line")} AS raw FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
-    generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents)),
-m AS MATERIALIZED (SELECT doc_id, place, length(line) AS chars, len(raw) AS n, list_transform(raw, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '{line_templates.FIELD}' ELSE x END) AS words
-  FROM l WHERE len(raw) >= {line_templates.LEAST_WORDS}),
-h AS MATERIALIZED (SELECT *, words[1 : {line_templates.DEPTH}] AS head FROM m),
-left0 AS MATERIALIZED (SELECT h.* FROM h JOIN (SELECT n, head FROM h GROUP BY ALL HAVING count(DISTINCT doc_id) >= {_LEAST}) USING (n, head)),
-{_round(0, _LEAST)}, {_round(1, _LEAST)},
-found AS (SELECT doc_id, place, chars, n, head, 0 AS round FROM tried0 WHERE agrees UNION ALL SELECT doc_id, place, chars, n, head, 1 FROM tried1 WHERE agrees),
-recurring AS MATERIALIZED (SELECT found.* FROM found JOIN (SELECT n, head, round FROM found GROUP BY ALL HAVING count(DISTINCT doc_id) >= {_LEAST}) USING (n, head, round)),
-partly AS MATERIALIZED (SELECT doc_id FROM (SELECT doc_id, sum(chars) AS chars FROM h GROUP BY doc_id) JOIN
-  (SELECT doc_id, sum(chars) AS held FROM recurring GROUP BY doc_id) USING (doc_id) WHERE held < {line_templates.COPY} * chars),
-inside AS MATERIALIZED (SELECT * FROM recurring WHERE doc_id IN (SELECT doc_id FROM partly)),
-drops AS (SELECT doc_id, place FROM inside JOIN (SELECT n, head, round FROM inside GROUP BY ALL HAVING count(DISTINCT doc_id) >= {_LEAST}) USING (n, head, round)),
-kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY place) FILTER (WHERE drops.place IS NULL) AS text, count(drops.place) AS n_dropped
-  FROM l LEFT JOIN drops USING (doc_id, place) GROUP BY doc_id)
-SELECT documents.doc_id, coalesce(n_dropped, 0) AS n_dropped, kept.text FROM documents LEFT JOIN kept USING (doc_id)
+WITH RECURSIVE t AS MATERIALIZED (SELECT DISTINCT CAST('0x' || substr(md5(text), 1, 15) AS BIGINT) AS body, text FROM documents WHERE text IS NOT NULL),
+l AS MATERIALIZED (SELECT body, place, line, list_transform({_words("line")}, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '{line_templates.FIELD}' ELSE x END) AS words
+  FROM (SELECT body, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM t)),
+m AS MATERIALIZED (SELECT body, place, line, length(line) AS chars, words, len(words) AS n, words[1 : {_DEPTH}] AS head,
+    CASE WHEN len(words) >= {line_templates.LONG_WORDS} THEN {min(line_templates.LONG_DOCUMENTS, _LEAST)} WHEN len(words) < {line_templates.SHORT_WORDS} THEN {line_templates.SHORT_DOCUMENTS} ELSE {_LEAST} END AS need
+  FROM l WHERE len(words) > 0),
+held AS MATERIALIZED (SELECT * FROM m SEMI JOIN (SELECT n, head FROM m GROUP BY n, head, need HAVING count(DISTINCT body) >= need) USING (n, head)),
+of_text AS MATERIALIZED (SELECT DISTINCT n, head, words, need, body FROM held),
+equal AS MATERIALIZED (SELECT n, head, words, need, count(*) AS docs FROM of_text GROUP BY ALL),
+left0 AS MATERIALIZED (SELECT * FROM equal WHERE n >= {line_templates.SHORT_WORDS}),
+{", ".join(_line_round(i) for i in range(_ROUNDS))},
+one AS MATERIALIZED (SELECT words, arg_min(template, own) AS template FROM (SELECT words, concat('own|', words::VARCHAR) AS template, 1 AS own FROM equal WHERE docs >= need
+  {" ".join(f"UNION ALL SELECT words, template, 0 FROM new{i}" for i in range(_ROUNDS))}) GROUP BY words),
+recurring AS MATERIALIZED (SELECT body, place, chars, need, template FROM held JOIN one USING (words)),
+beside AS MATERIALIZED (SELECT body, place, chars, line FROM m SEMI JOIN recurring USING (body)),
+lengths AS MATERIALIZED (SELECT body, sum(chars) AS whole, log2(greatest(sum(chars), 1)) AS octave FROM beside GROUP BY body),
+sized AS MATERIALIZED (SELECT recurring.*, unnest([2 * floor(octave), 2 * floor(octave + 0.5) + 1]) AS size FROM recurring JOIN lengths USING (body)),
+led AS (SELECT DISTINCT body, other, place, chars FROM sized JOIN (SELECT template, size, min(body) AS other FROM sized GROUP BY ALL) USING (template, size) WHERE other <> body),
+pairs AS MATERIALIZED (SELECT body, max(struct_pack(chars := chars, other := other)).other AS other FROM (SELECT body, other, sum(chars) AS chars FROM led GROUP BY ALL) GROUP BY body),
+marks AS MATERIALIZED (SELECT DISTINCT body, place, chars, concat('w', line) AS mark FROM beside UNION SELECT body, place, chars, concat('t', template) FROM recurring),
+shared AS (SELECT body, other, sum(chars) AS shared FROM (SELECT DISTINCT a.body, other, a.place, a.chars FROM pairs JOIN marks a USING (body) JOIN marks b ON b.body = other AND b.mark = a.mark) GROUP BY ALL),
+links AS MATERIALIZED (SELECT s.body AS a, s.other AS b FROM shared s JOIN lengths x ON x.body = s.body JOIN lengths y ON y.body = s.other WHERE shared >= {line_templates.COPY}::DOUBLE * greatest(x.whole, y.whole)),
+either AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a AS id, a AS other FROM either UNION SELECT id, b FROM reach JOIN either ON other = a),
+counted AS MATERIALIZED (SELECT recurring.*, coalesce(copy_of, body) AS text_id FROM recurring LEFT JOIN (SELECT id AS body, min(other) AS copy_of FROM reach GROUP BY id) USING (body)),
+drops AS MATERIALIZED (SELECT DISTINCT body, place FROM recurring SEMI JOIN (SELECT template FROM counted GROUP BY template, need HAVING count(DISTINCT text_id) >= need) USING (template)),
+kept AS (SELECT body, coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE drops.place IS NULL), '') AS text, count(drops.place) AS n_dropped
+  FROM l LEFT JOIN drops USING (body, place) GROUP BY body)
+SELECT doc_id, coalesce(n_dropped, 0) AS n_dropped, kept.text FROM documents LEFT JOIN t ON t.text = documents.text LEFT JOIN kept USING (body)
 """
 
 NEGATIVES = """

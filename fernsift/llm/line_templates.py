@@ -1,10 +1,13 @@
 """Line dedup by a tree of line templates. DataFrame operations only.
 
 A line goes down a tree of fixed depth: by its number of words, then by its first words, with words that hold a digit as
-variable fields. A leaf has any number of templates: lines that stand in enough documents as they are; the words that at least
-half of its lines have in their positions; and what lines have in common without the words that are too rare to recur.
-Lines that agree with a template in most positions, variable fields included, are its instances. Templates with instances
-in several documents recur, and their lines are dropped; the other lines of the leaf are tried again among themselves
+variable fields. The lines of a leaf that is in enough documents are told apart by stretches of their other words, one stretch more than words
+that may vary: a line belongs to the stretch that most documents of the leaf have in that place. The lines of one stretch
+have one template, the words that at least half of them have in their positions, and those that agree with it in most positions, variable fields
+included, are its instances. So each line has one template at most, and nothing is compared pairwise. Lines that are the same but for fields are
+a template by themselves.
+
+Templates with instances in several documents recur, and their lines are dropped; the other lines of the leaf are tried again among themselves
 until no template recurs.
 
 Copies of whole documents would make all of their lines recur. So documents that share most of their text count as one, and
@@ -25,7 +28,8 @@ DEPTH = 4  # leading words that part the tree below the number of words
 LEAST_DOCUMENTS = 4
 LONG_WORDS = 50  # lines of so many words recur from LONG_DOCUMENTS on
 LONG_DOCUMENTS = 2
-LEAST_WORDS = 3  # shorter lines are left alone
+SHORT_WORDS = 3  # lines of fewer words recur from SHORT_DOCUMENTS on, and only as they are
+SHORT_DOCUMENTS = 8
 AGREE = 0.7  # share of positions in which an instance has the template's word
 COPY = 0.8  # share of the longer of two documents, by length of lines, in lines they share from which they are copies
 
@@ -37,20 +41,28 @@ def _word(token: Column) -> Column:
     return F.when(token.rlike("[0-9]"), F.lit(FIELD)).otherwise(token)
 
 
-def _words(line: Column) -> Column:
-    return F.split(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), BLANK)
+def _tidy(line: Column) -> Column:
+    """The words of a line with single blanks between them; most lines are so already and are not gone through by a pattern."""
+    bare = F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(bare.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(bare, BLANK, " ")).otherwise(bare)
 
 
-def _lines(docs: DataFrame, key: str, text: str, least_documents: int) -> DataFrame:
-    """A row per line with enough words: the document by key and content, place, length, the line and its hash, and its leaf.
+def body_of(text: Column) -> Column:
+    """A number of 60 bits for a text."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
-    Words behind the leading ones are looked at only if the leaf is in several documents.
-    """
-    narrow = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("body"), F.posexplode(F.split(F.col(text), "\n")).alias("place", "line"))
-    split = narrow.withColumn("raw", _words(F.col("line"))).filter(F.size("raw") >= LEAST_WORDS)
-    leaf = F.xxhash64(F.size("raw"), F.transform(F.slice("raw", 1, DEPTH), _word)).alias("leaf")
-    chars, whole_line = F.length("line").alias("chars"), F.xxhash64("line").alias("whole_line")
-    return split.select("key", "body", "place", "line", chars, whole_line, leaf, _need(F.col("raw"), least_documents).alias("need"))
+
+def _lines(docs: DataFrame, text: str, least_documents: int) -> DataFrame:
+    """A row per line with words: the text it is in, place, length, the line, its words as ``tidy``, leaf, and how many documents it needs."""
+    narrow = docs.select(body_of(F.col(text)).alias("body"), F.posexplode(F.split(F.col(text), "\n")).alias("place", "line"))
+    tidy = narrow.withColumn("tidy", _tidy(F.col("line"))).filter("tidy <> ''")
+    n = F.length("tidy") - F.length(F.replace(F.col("tidy"), F.lit(" "), F.lit(""))) + 1
+    first = F.transform(F.split(F.substring_index(F.col("tidy"), " ", DEPTH), " "), _word)
+    counted = tidy.withColumn("n", n)
+    need = F.when(F.col("n") >= LONG_WORDS, F.lit(min(LONG_DOCUMENTS, least_documents))).when(F.col("n") < SHORT_WORDS, F.lit(max(SHORT_DOCUMENTS, least_documents)))
+    return counted.select(
+        "body", "place", F.length("line").alias("chars"), "line", "tidy", F.xxhash64("n", first).alias("leaf"), need.otherwise(F.lit(least_documents)).alias("need")
+    )
 
 
 def _in_enough(lines: DataFrame, by: list[str]) -> DataFrame:
@@ -59,78 +71,61 @@ def _in_enough(lines: DataFrame, by: list[str]) -> DataFrame:
     return once.groupBy(*by, "need").agg(F.count("*").alias("docs")).filter("docs >= need").select(*by)
 
 
-def _need(words: Column, least_documents: int) -> Column:
-    return F.when(F.size(words) >= LONG_WORDS, F.lit(min(LONG_DOCUMENTS, least_documents))).otherwise(F.lit(least_documents))
-
-
-def _patterns(lines: DataFrame) -> DataFrame:
-    """``leaf``, ``template``: the word of each position, null where it varies. Equal lines are counted first.
-
-    A leaf gives the words that hold its majority, and each row of words that several lines have in common when every word
-    too rare to recur is left out: other lines of the leaf, however many, don't change the latter.
-    """
-    equal = store(lines.groupBy("leaf", "same", "need").agg(F.count("*").alias("times"), F.first("words").alias("words")), "equal-lines")
-    each = equal.select("leaf", "same", "need", "times", F.posexplode("words").alias("i", "word"))
-    counted = store(each.groupBy("leaf", "i", "word").agg(F.sum("times").alias("all_times")), "words-of-places")
-    most = counted.groupBy("leaf", "i").agg(F.max(F.struct("all_times", "word")).alias("top"), F.sum("all_times").alias("all"))
-    constant = F.when((F.col("top.all_times") * 2 >= F.col("all")) & (F.col("top.all_times") > 1), F.col("top.word"))
-    in_order = F.transform(F.sort_array(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]).alias("template")
-    majority = most.select("leaf", "i", constant.alias("word")).groupBy("leaf").agg(in_order)
-    common = F.when(F.col("all_times") >= F.col("need"), F.col("word"))
-    kept = each.join(counted, ["leaf", "i", "word"]).select("leaf", "same", "times", "i", common.alias("word"))
-    of_line = kept.groupBy("leaf", "same").agg(F.first("times").alias("times"), in_order)
-    several = of_line.groupBy("leaf", "template").agg(F.sum("times").alias("times")).filter("times > 1").drop("times")
-    return majority.unionByName(several)
-
-
-def _parts(words: Column, n: Column) -> Column:
-    """Hashes of stretches of the words behind the leading ones, null where a word is missing.
-
-    There is one stretch more than positions that may differ, so a line has a stretch in common with each template it agrees with.
-    """
+def _stretches(words: Column, n: Column) -> Column:
+    """The stretches of the words behind the leading ones, one more than positions that may differ; a line that differs from
+    another in no more positions has one in common with it."""
     parts = n - F.ceil(AGREE * n).cast("int") + 1
     end = lambda k: DEPTH + F.floor((n - DEPTH) * k / parts).cast("int")
     stretch = lambda k: F.slice(words, end(k) + 1, F.greatest(end(k + 1) - end(k), F.lit(0)))
-    hashed = lambda k: F.when(~F.exists(stretch(k), lambda w: w.isNull()), F.xxhash64(k, stretch(k)))
-    return F.when(n <= DEPTH, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), parts - 1), hashed))
-
-
-def _instances(lines: DataFrame, templates: DataFrame) -> DataFrame:
-    """The lines with ``template``, the hash of one they agree with; a row for each of them."""
-    narrow = templates.filter(F.size(F.filter("template", lambda w: w.isNotNull())) >= AGREE * F.size("template")).distinct()
-    given = narrow.withColumn("id", F.xxhash64("leaf", "template"))
-    parts = given.select("leaf", "id", F.explode(_parts(F.col("template"), F.size("template"))).alias("part")).filter("part is not null")
-    each = lines.groupBy("leaf", "same").agg(F.first("words").alias("words"))
-    of_line = each.select("leaf", "same", F.explode(_parts(F.col("words"), F.size("words"))).alias("part"))
-    pairs = of_line.join(parts, ["leaf", "part"]).select("leaf", "same", "id").distinct()
-    same = F.size(F.filter(F.zip_with("words", "template", lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x))
-    agreed = pairs.join(each, ["leaf", "same"]).join(given.drop("leaf"), "id").filter(same >= AGREE * F.size("words"))
-    return lines.drop("words").join(agreed.select("leaf", "same", F.col("id").alias("template")), ["leaf", "same"])
-
-
-def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
-    """``key``, ``body`` (hash of the text) and ``places`` of the lines to drop, for documents that have such lines."""
-    lines = _lines(docs, key, text, least_documents)
-    light = store(lines.drop("line"), "lines")
-    held = lines.drop("whole_line").join(_in_enough(light, ["leaf"]), "leaf").withColumn("words", F.transform(_words(F.col("line")), _word))
-    left = store(held.drop("line").withColumn("same", F.xxhash64("words")), "leaf-lines")
-    equal = _in_enough(left, ["leaf", "same"])
-    templates = left.join(equal, ["leaf", "same"], "left_semi").groupBy("leaf", "same").agg(F.first("words").alias("template")).drop("same")
-    found = []
+    none = F.array(F.lit(0).cast("long"))
+    return F.when(n <= DEPTH, none).otherwise(F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.xxhash64(stretch(k))))
+
+
+def _instances(equal: DataFrame) -> DataFrame:
+    """``leaf``, ``same``, ``template`` of the lines that agree with the template of their stretch."""
+    each = equal.select("leaf", "same", "need", "docs", F.posexplode(_stretches(F.col("words"), F.size("words"))).alias("k", "part"))
+    weight = each.groupBy("leaf", "k", "part").agg(F.sum("docs").alias("weight")).filter("weight > 1")
+    chosen = each.join(weight, ["leaf", "k", "part"]).groupBy("leaf", "same", "need").agg(F.max(F.struct("weight", -F.col("k"), "part")).alias("top"))
+    group = F.xxhash64("leaf", "top.col2", "top.part").alias("template")
+    grouped = chosen.filter("top.weight >= need").select("leaf", "same", group).join(equal.select("leaf", "same", "docs", "words"), ["leaf", "same"])
+    grouped = store(grouped, "grouped-lines")
+    words = grouped.select("template", "docs", F.posexplode("words").alias("i", "word")).groupBy("template", "i", "word").agg(F.sum("docs").alias("docs"))
+    most = words.groupBy("template", "i").agg(F.max(F.struct("docs", "word")).alias("top"), F.sum("docs").alias("all"))
+    fixed = most.select("template", "i", F.when(F.col("top.docs") * 2 >= F.col("all"), F.col("top.word")).alias("word"))
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]).alias("fixed")
+    templates = fixed.groupBy("template").agg(in_order)
+    same = F.size(F.filter(F.zip_with("words", "fixed", lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x))
+    return grouped.join(templates, "template").filter(same >= AGREE * F.size("words")).select("leaf", "same", "template")
+
+
+def recurring_lines(docs: DataFrame, text: str = "text", least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
+    """``body`` (of the text) and ``places`` of the lines to drop, for texts that have such lines."""
+    lines = _lines(docs, text, least_documents)
+    light = store(lines.select("body", "place", "chars", "leaf", "need", F.xxhash64("line").alias("whole_line")), "lines")
+    words = F.transform(F.split("tidy", " "), _word).alias("words")
+    held = lines.join(_in_enough(light, ["leaf"]), "leaf", "left_semi").select("body", "place", "chars", "leaf", "need", words)
+    held = store(held.withColumn("same", F.xxhash64("words")), "leaf-lines")
+    of_text = store(held.select("leaf", "same", "need", "body").distinct(), "lines-of-texts")
+    counts = of_text.groupBy("leaf", "same").agg(F.count("*").alias("docs"))
+    equal = store(held.groupBy("leaf", "same", "need").agg(F.first("words").alias("words")).join(counts, ["leaf", "same"]), "equal-lines")
+    found = [equal.filter("docs >= need").select("leaf", "same", F.xxhash64("leaf", "same").alias("template"), F.lit(1).alias("own"))]
+    left = equal.filter(F.size("words") >= SHORT_WORDS)
     while True:  # each round takes lines away, and the last one finds none
-        templates = store(templates.unionByName(_patterns(left)), "templates")
-        instances = store(_instances(left, templates), "instances")
-        new = store(instances.join(_in_enough(instances, ["template"]), "template"), "recurring")
+        instances = store(_instances(left), "instances")
+        several = _in_enough(instances.join(of_text, ["leaf", "same"]), ["template"])
+        new = store(instances.join(several, "template").select("leaf", "same", "template", F.lit(0).alias("own")), "recurring")
         if new.isEmpty():
             break
-        found.append(new.select("key", "body", "place", "chars", "need", "template"))
-        left = left.join(new.select("leaf", "same").distinct(), ["leaf", "same"], "left_anti")
-        left = store(left.join(_in_enough(left, ["leaf"]), "leaf"), "left-lines")
-        templates = templates.limit(0)
-    recurring = reduce(DataFrame.unionByName, found or [new.select("key", "body", "place", "chars", "need", "template")])
-    recurring = store(recurring.join(_copies(light, recurring), "body", "left").withColumn("text_id", F.coalesce("copy_of", "body")), "counted-lines")
-    several = recurring.select("template", "need", "text_id").distinct().groupBy("template", "need").agg(F.count("*").alias("docs")).filter("docs >= need")
-    return recurring.join(several.select("template"), "template").groupBy("key", "body").agg(F.collect_set("place").alias("places"))
+        found.append(new)
+        left = left.join(new, ["leaf", "same"], "left_anti")
+        still = of_text.join(left.select("leaf", "same"), ["leaf", "same"], "left_semi")
+        left = store(left.join(_in_enough(still, ["leaf"]), "leaf", "left_semi"), "left-lines")
+    # the template of a stretch holds all lines that are the same, so it stands for both
+    one = reduce(DataFrame.unionByName, found).groupBy("leaf", "same").agg(F.min_by("template", "own").alias("template"))
+    recurring = store(held.drop("words").join(one, ["leaf", "same"]).select("body", "place", "chars", "need", "template").distinct(), "recurring-lines")
+    counted = recurring.join(_copies(light, recurring), "body", "left").withColumn("text_id", F.coalesce("copy_of", "body"))
+    several = counted.select("template", "need", "text_id").distinct().groupBy("template", "need").agg(F.count("*").alias("docs")).filter("docs >= need")
+    return recurring.join(several.select("template"), "template", "left_semi").groupBy("body").agg(F.collect_set("place").alias("places"))
 
 
 def _copies(lines: DataFrame, recurring: DataFrame) -> DataFrame:
@@ -139,11 +134,11 @@ def _copies(lines: DataFrame, recurring: DataFrame) -> DataFrame:
     Of the texts of about the same length that hold a template, each is compared to the one with the smallest hash, and of
     these a text takes the one that leads most of it. The two are copies if lines they share are ``COPY`` of the longer.
     """
-    chars = lines.groupBy("key", "body").agg(F.sum("chars").alias("chars")).groupBy("body").agg(F.max("chars").alias("whole"))
-    chars = store(chars.join(recurring.select("body").distinct(), "body"), "lengths")
+    lines = store(lines.join(recurring.select("body").distinct(), "body", "left_semi").distinct(), "lines-beside")
+    chars = store(lines.groupBy("body").agg(F.sum("chars").alias("whole")), "lengths")
     octave = F.log2(F.greatest(F.col("whole"), F.lit(1)))
     sizes = F.array(2 * F.floor(octave), 2 * F.floor(octave + 0.5) + 1)
-    held = recurring.select("body", "place", "chars", "template").distinct().join(chars, "body").withColumn("size", F.explode(sizes))
+    held = recurring.drop("need").join(chars, "body").withColumn("size", F.explode(sizes))
     held = store(held.drop("whole"), "held-lines")
     led = held.join(held.groupBy("template", "size").agg(F.min("body").alias("other")), ["template", "size"]).filter("other <> body")
     each = led.select("body", "other", "place", "chars").distinct().groupBy("body", "other").agg(F.sum("chars").alias("chars"))
@@ -159,17 +154,16 @@ def _copies(lines: DataFrame, recurring: DataFrame) -> DataFrame:
     return components(links).select(F.col("node").alias("body"), F.col("component").alias("copy_of"))
 
 
-def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text", least_documents: int = LEAST_DOCUMENTS, into: str = "n_dropped") -> DataFrame:
+def drop_recurring(docs: DataFrame, text: str = "text", least_documents: int = LEAST_DOCUMENTS, into: str = "n_dropped") -> DataFrame:
     """``docs`` with recurring lines taken out of ``text`` and their number in ``into``.
 
     Lines are parted by ``\\n``; the others keep their order, blank ones too. A null text stays null and drops nothing.
-    Documents are told apart by key and text: repeated rows count once and get the same result; null keys are a key.
+    Equal texts count once and get the same result, whatever their keys, which play no part and may be null.
     A document that consists of recurring lines alone ends without words. All other columns stay; one named like ``into`` is replaced.
     """
-    drops = store(recurring_lines(docs, key, text, least_documents), "drops").select(F.struct("key", "body", "places").alias("_drop"))
-    rows = docs.drop(into).withColumn("_body", F.xxhash64(F.col(text)))
-    same = F.col(key).eqNullSafe(F.col("_drop.key")) & (F.col("_body") == F.col("_drop.body"))
-    joined = rows.join(drops, same, "left")
+    drops = store(recurring_lines(docs, text, least_documents), "drops").select(F.struct("body", "places").alias("_drop"))
+    rows = docs.drop(into).withColumn("_body", body_of(F.col(text)))
+    joined = rows.join(drops, F.col("_body") == F.col("_drop.body"), "left")
     lines = F.split(F.col(text), "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop.places"))
     cleaned = F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n")
