@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,6 +40,9 @@ _UNIT = re.compile(r"[ \n]?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,]?(?:[ \n]|\Z))|[.,](?=
 _OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
 KEPT_UNITS = 800_000
 LONGEST_UNIT = 48
+AT_ONCE = 1 << 20  # ids of neighbouring rows that are read in one request
+LOOKED_UP = 1 << 24  # ids that a task looks up, about
+LONGEST_PART = 1 << 23  # characters of texts that are cut into units at once
 
 
 class Encoder:
@@ -51,11 +56,26 @@ class Encoder:
 
         self.library = Tokenizer.from_file(file)
         self.type = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.type.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.type).tobytes() for x in found]
+        found = [array(self.code, x.ids) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        if sys.byteorder == "big":
+            for ids in found:
+                ids.byteswap()
+        return [ids.tobytes() for ids in found]
+
+    def _learn(self, units: set[str]) -> list[str]:
+        """Make all of these units known; returns those that are too long to be kept."""
+        known = self.known
+        new = list(units.difference(known))
+        if len(known) + len(new) > KEPT_UNITS:
+            known.clear()
+            new = list(units)
+        if new:
+            known.update(zip(new, self._plain(new), strict=True))
+        return [u for u in new if len(u) > LONGEST_UNIT]
 
     def encode(self, text: str) -> Iterator[bytes]:
         """Raw ids of a text, piece by piece."""
@@ -64,17 +84,25 @@ class Encoder:
                 yield from self._plain([piece])
                 continue
             units = _UNIT.findall(piece)
-            known = self.known
-            new = list(set(units).difference(known))
-            made = dict(zip(new, self._plain(new), strict=True)) if new else {}
-            if len(known) + len(made) > KEPT_UNITS:
-                known.clear()
-                known.update(dict(zip(rest := list(set(units) - made.keys()), self._plain(rest), strict=True)))
-            known.update(made)
-            yield b"".join(map(known.__getitem__, units))
-            for u in made:
-                if len(u) > LONGEST_UNIT:
-                    del known[u]
+            long = self._learn(set(units))
+            yield b"".join(map(self.known.__getitem__, units))
+            for u in long:
+                del self.known[u]
+
+    def encode_all(self, texts: list[str]) -> Iterator[Iterator[bytes]]:
+        """Raw ids of several texts, whose new units are given to the library together."""
+        if sum(map(len, texts)) > LONGEST_PART:
+            yield from map(self.encode, texts)
+            return
+        odd = [bool(_OTHER_SPACE.search(t)) for t in texts]
+        units = [[] if o else _UNIT.findall(t) for t, o in zip(texts, odd, strict=True)]
+        long = self._learn(set().union(*units))
+        known = self.known.__getitem__
+        made = [None if o else b"".join(map(known, u)) for u, o in zip(units, odd, strict=True)]
+        for u in long:
+            del self.known[u]
+        for text, ids in zip(texts, made, strict=True):
+            yield iter((ids,)) if ids is not None else self.encode(text)
 
 
 @lru_cache(maxsize=2)
@@ -153,8 +181,8 @@ def write(
         def rows():
             for batch in batches:
                 for part in pieces_of(batch, "text"):
-                    for k, t in zip(column(part, "key").to_pylist(), column(part, "text"), strict=True):
-                        yield k, own.encode(t.as_py() or "")
+                    texts = [t or "" for t in column(part, "text").to_pylist()]
+                    yield from zip(column(part, "key").to_pylist(), own.encode_all(texts), strict=True)
 
         told = _write_shard(folder, TaskContext.get().partitionId(), rows(), own.type, end_id)
         if told:
@@ -192,11 +220,11 @@ class Shard:
         right = (places >= 0) & (entry["print"] == fingerprints(hashes))
         return [(int(r), int(n) if ok else 0) for r, n, ok in zip(entry["row"], entry["rows"], right, strict=True)]
 
-    def read(self, row: int) -> tuple[int, np.ndarray]:
-        """(ids of all rows before it in all shards, its ids)."""
-        a, b = int(self.starts[row]), int(self.starts[row + 1])
-        self.ids.seek(a * self.type.itemsize)
-        return self.base + a, np.frombuffer(self.ids.read((b - a) * self.type.itemsize), self.type)
+    def read(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """(where each row from ``first`` up to ``last`` begins among the shard's ids, and where the last ends; the ids), in one request."""
+        places = self.starts[first : last + 2]
+        self.ids.seek(int(places[0]) * self.type.itemsize)
+        return places, np.frombuffer(self.ids.read(int(places[-1] - places[0]) * self.type.itemsize), self.type)
 
 
 class Reader:
@@ -220,9 +248,16 @@ class Reader:
     def _in(self, at: int, keys: list) -> Iterator[tuple[object, int, np.ndarray]]:
         if at != self.at:
             self.at, self.shard = at, Shard(self.folder, self.manifest[at])
-        for k, (row, n) in zip(keys, self.shard.rows_of(keys), strict=True):
-            for r in range(row, row + n):
-                yield (k, *self.shard.read(r))
+        asked = [(k, r) for k, (row, n) in zip(keys, self.shard.rows_of(keys), strict=True) for r in range(row, row + n)]
+        starts, done = self.shard.starts, 0
+        while done < len(asked):
+            first, upto = asked[done][1], done + 1
+            while upto < len(asked) and asked[upto][1] == asked[upto - 1][1] + 1 and starts[asked[upto][1] + 1] - starts[first] <= AT_ONCE:
+                upto += 1
+            places, ids = self.shard.read(first, asked[upto - 1][1])
+            for (k, _), a, b in zip(asked[done:upto], places[:-1].tolist(), places[1:].tolist(), strict=True):
+                yield k, self.shard.base + a, ids[a - int(places[0]) : b - int(places[0])]
+            done = upto
 
 
 def lookup(keys: DataFrame, folder: str, key: str = "doc_id", digest: bool = False) -> DataFrame:
@@ -230,7 +265,8 @@ def lookup(keys: DataFrame, folder: str, key: str = "doc_id", digest: bool = Fal
 
     ``start`` is the number of ids of all rows before. With ``digest`` the ids are given by ``ids_crc32`` instead, the
     unsigned CRC-32 of the ids as little-endian unsigned 32-bit integers. Keys that are not there give no row; a key
-    asked for twice is answered once. Keys are sorted over the cluster first, so that a task opens few shards.
+    asked for twice is answered once. Keys are sorted over the cluster first, so that a task opens few shards; the number of tasks
+    follows the ids that the folder holds, as keys tell little of them.
     """
     kind = keys.schema[key].dataType.simpleString()
     last = "ids_crc32 LONG" if digest else "ids ARRAY<INT>"
@@ -261,4 +297,5 @@ def lookup(keys: DataFrame, folder: str, key: str = "doc_id", digest: bool = Fal
 
     narrow = keys.select(key)
     as_arrow = to_arrow_schema(narrow.schema)
-    return narrow.repartitionByRange(key).sortWithinPartitions(key).mapInArrow(run, f"`{key}` {kind}, start LONG, n_tokens LONG, {last}")
+    ranges = max(1, -(-sum(x["tokens"] for x in Reader(folder).manifest) // LOOKED_UP), int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return narrow.repartitionByRange(ranges, key).sortWithinPartitions(key).mapInArrow(run, f"`{key}` {kind}, start LONG, n_tokens LONG, {last}")
