@@ -41,10 +41,15 @@ def _word(token: Column) -> Column:
     return F.when(token.rlike("[0-9]"), F.lit(FIELD)).otherwise(token)
 
 
-def _tidy(line: Column) -> Column:
-    """The words of a line with single blanks between them; most lines are so already and are not gone through by a pattern."""
+def _uneven(text: Column) -> Column:
+    """Whether words stand apart by anything but single blanks; few texts have to be gone through by a pattern for it."""
+    return reduce(Column.__or__, [F.contains(text, F.lit(x)) for x in ("  ", "\t", "\x0b", "\x0c", "\r")])
+
+
+def _tidy(line: Column, uneven: Column) -> Column:
+    """The words of a line with single blanks between them."""
     bare = F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
-    return F.when(bare.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(bare, BLANK, " ")).otherwise(bare)
+    return F.when(uneven, F.regexp_replace(bare, BLANK, " ")).otherwise(bare)
 
 
 def body_of(text: Column) -> Column:
@@ -54,8 +59,11 @@ def body_of(text: Column) -> Column:
 
 def _lines(docs: DataFrame, text: str, least_documents: int) -> DataFrame:
     """A row per line with words: the text it is in, place, length, the line, its words as ``tidy``, leaf, and how many documents it needs."""
-    narrow = docs.select(body_of(F.col(text)).alias("body"), F.posexplode(F.split(F.col(text), "\n")).alias("place", "line"))
-    tidy = narrow.withColumn("tidy", _tidy(F.col("line"))).filter("tidy <> ''")
+    body, uneven = body_of(F.col(text)).alias("body"), _uneven(F.col(text)).alias("uneven")
+    whole = docs.select(F.col(text).alias("text"), body, uneven)  # below the generator, else worked out again for each line
+    narrow = whole.select("body", "uneven", F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    # one filled array keeps the filter from working the words out a second time
+    tidy = narrow.withColumn("tidy", F.explode(F.array(_tidy(F.col("line"), F.col("uneven"))))).filter("tidy <> ''")
     n = F.length("tidy") - F.length(F.replace(F.col("tidy"), F.lit(" "), F.lit(""))) + 1
     first = F.transform(F.split(F.substring_index(F.col("tidy"), " ", DEPTH), " "), _word)
     counted = tidy.withColumn("n", n)
@@ -103,7 +111,8 @@ def recurring_lines(docs: DataFrame, text: str = "text", least_documents: int =
     lines = _lines(docs, text, least_documents)
     light = store(lines.select("body", "place", "chars", "leaf", "need", F.xxhash64("line").alias("whole_line")), "lines")
     words = F.transform(F.split("tidy", " "), _word).alias("words")
-    held = lines.join(_in_enough(light, ["leaf"]), "leaf", "left_semi").select("body", "place", "chars", "leaf", "need", words)
+    # by a shuffle whatever the number of leaves, so that the plan for much text is that for little
+    held = lines.join(_in_enough(light, ["leaf"]).hint("merge"), "leaf", "left_semi").select("body", "place", "chars", "leaf", "need", words)
     held = store(held.withColumn("same", F.xxhash64("words")), "leaf-lines")
     of_text = store(held.select("leaf", "same", "need", "body").distinct(), "lines-of-texts")
     counts = of_text.groupBy("leaf", "same").agg(F.count("*").alias("docs"))
@@ -163,7 +172,7 @@ def drop_recurring(docs: DataFrame, text: str = "text", least_documents: int = L
     """
     drops = store(recurring_lines(docs, text, least_documents), "drops").select(F.struct("body", "places").alias("_drop"))
     rows = docs.drop(into).withColumn("_body", body_of(F.col(text)))
-    joined = rows.join(drops, F.col("_body") == F.col("_drop.body"), "left")
+    joined = rows.join(drops.hint("merge"), F.col("_body") == F.col("_drop.body"), "left")
     lines = F.split(F.col(text), "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop.places"))
     cleaned = F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n")
