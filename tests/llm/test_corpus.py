@@ -159,6 +159,18 @@ def test_line_edges(spark, edge_docs, no_docs):
     assert line_templates.drop_recurring(no_docs).count() == 0
 
 
+def test_recurring_lines_of_awkward_rows(spark):
+    """Null and repeated keys, repeated rows, odd blanks and clashing columns; short lines recur in eight documents only."""
+    line = "shared notice of the site with number {}"
+    rows = [(None if i % 2 else 1, f"own text {'z' * i} of document\n {line.format(i)}\t \n\nend" + "!" * i) for i in range(5)]
+    rows += [rows[0], rows[1], (9, None), (9, "")] + [(20 + i, f"{'q' * (i + 1)} w w w\nok\n" + ("yes" if i < 7 else "")) for i in range(8)]
+    docs = spark.createDataFrame([(*r, 1, 2, 3, "x") for r in rows], "doc_id LONG, text STRING, body INT, place INT, leaf INT, n_dropped STRING")
+    got = line_templates.drop_recurring(docs)
+    assert got.columns == [*[c for c in docs.columns if c != "n_dropped"], "n_dropped"]
+    wanted = [(k, None if t is None else "\n".join(x for x in t.split("\n") if "notice" not in x and x != "ok")) for k, t in rows]
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(wanted)
+
+
 def test_lines_use_no_python(spark):
     plan = queries.op5_line_templates(spark, SMALL)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
