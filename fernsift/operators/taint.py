@@ -434,6 +434,12 @@ def tainted_symbols(symbols: DataFrame) -> DataFrame:
     return symbols.filter(F.col("state") == "TAINTED")
 
 
+def tainted_on_lines(lines: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Visible tainted names with the lines on which they stand, each once: (file, line, name, source)."""
+    names = tainted_symbols(symbols).filter("visible").select("file", "name", "source")
+    return lines.select("file", "line", F.explode(F.array_distinct(T.words_in(F.col("text")))).alias("name")).join(names, ["file", "name"])
+
+
 def _scopes_of(functions: DataFrame, assignments: DataFrame, block: int) -> DataFrame:
     """(file, line, scope_ord) of the lines that define something, without looking at the others."""
     entered = functions.select("file", "line", (F.col("kind") == "function").cast("int").alias("_enters"))

@@ -16,6 +16,7 @@ from fernsift.operators.lines import explode_lines
 from fernsift.functions import text as T
 from registry import tables as t
 from registry.line_queries import CODE
+from registry.taint_sql import SYMBOLS
 from registry.tables import first_word, has_any, matched, q, re2, stripped, with_files, with_lines
 
 QUERIES: dict[str, tuple] = {}
@@ -99,8 +100,17 @@ UNION SELECT file, line, prop, rhs FROM (SELECT *, regexp_extract(rhs, '^(.*)\\.
 seeded AS MATERIALIZED (SELECT file, name, max_by(source, line) AS source, max(line) AS source_line FROM seeds GROUP BY ALL)"""
 
 
+def tainted(spark, sf):
+    """Visible tainted names after propagation, as input of the operators that come after it."""
+    return X.tainted_symbols(X.analyze(t.code_files(spark, sf)).symbols).filter("visible")
+
+
+def with_symbols(sql: str, more: str = "") -> str:
+    return f"WITH RECURSIVE {t.CODE_FILES}, {ASSIGNMENTS}, {FUNCTIONS}{SYMBOLS}{more}\n{sql}"
+
+
 def seeded(spark, sf):
-    """Symbols by their latest seed alone, as input of the operators that come after propagation."""
+    """Symbols by their latest seed alone."""
     return (
         X.seed_taint(t.code_lines(spark, sf))
         .groupBy("file", "name")
@@ -117,20 +127,21 @@ add(
     lambda spark, sf: X.seed_taint(t.code_lines(spark, sf)),
     with_assigned("SELECT * FROM seeds", SEEDS),
 )
-# without SQL check: fixpoints over the reading order; tests compare them with a small interpreter
 add(
     "propagate_taint",
     lambda spark, sf: X.propagate_taint(t.code_files(spark, sf)).withColumn("steps", F.array_join("steps", "; ")),
+    with_symbols("SELECT * FROM symbols"),
+)
+add(
+    "mark_sanitized",
+    lambda spark, sf: X.mark_sanitized(t.code_files(spark, sf)),
+    with_symbols("SELECT file, scope_ord, name, visible FROM symbols WHERE state = 'SANITIZED'"),
 )
-add("mark_sanitized", lambda spark, sf: X.mark_sanitized(t.code_files(spark, sf)))
 add(
     "tainted_symbols",
     lambda spark, sf: X.tainted_symbols(X.analyze(t.code_files(spark, sf)).symbols)
     .select("file", "scope_ord", "name", "source", "source_line"),
-)
-add(
-    "taint_flows",
-    lambda spark, sf: X.analyze(t.code_files(spark, sf)).flows.drop("steps", "text"),
+    with_symbols("SELECT file, scope_ord, name, source, source_line FROM symbols WHERE state = 'TAINTED'"),
 )
 
 
@@ -171,36 +182,39 @@ add(
 )
 WORDS_ON = "unnest(list_distinct(regexp_extract_all(text, '\\w+')))"
 FLOWS = f""", used AS (SELECT file, line, text, {WORDS_ON} AS name FROM code_lines WHERE {has_any('text', X.SINKS)}),
-flows AS MATERIALIZED (SELECT u.file, k.sink, u.line AS sink_line, s.source, s.source_line, u.name AS variable, u.text,
+flows AS MATERIALIZED (SELECT u.file, k.sink, u.line AS sink_line, s.source, s.source_line, s.steps, u.name AS variable, u.text,
   {stripped('u.text')} AS evidence, len(list_filter(regexp_extract_all(u.text, '\\w+'),
   lambda w: w = u.name))::INT AS uses FROM used u JOIN seeded s ON s.file = u.file AND s.name = u.name
   JOIN (SELECT unnest([{', '.join(q(s) for s in X.SINKS)}]) AS sink) k ON contains(u.text, k.sink))"""
 
 
-def seeded_flows(spark, sf):
-    return X.match_sinks(t.code_lines(spark, sf), seeded(spark, sf))
+def flows(spark, sf):
+    return X.analyze(t.code_files(spark, sf)).flows
 
 
+add(
+    "taint_flows",
+    lambda spark, sf: flows(spark, sf).withColumn("steps", F.array_join("steps", "; ")).drop("text"),
+    with_symbols("SELECT file, sink, sink_line, source, source_line, variable, steps, evidence, uses FROM flows", FLOWS),
+)
 add(
     "match_sinks",
-    lambda spark, sf: seeded_flows(spark, sf).drop("steps", "text"),
-    with_assigned("SELECT file, sink, sink_line, source, source_line, variable, evidence, uses FROM flows", SEEDS + FLOWS),
+    lambda spark, sf: X.match_sinks(t.code_lines(spark, sf), tainted(spark, sf)).drop("steps", "text"),
+    with_symbols("SELECT file, sink, sink_line, source, source_line, variable, evidence, uses FROM flows", FLOWS),
 )
 add(
     "tainted_on_lines",
-    lambda spark, sf: t.code_lines(spark, sf)
-    .select("file", "line", F.explode(F.array_distinct(T.words_in(F.col("text")))).alias("name"))
-    .join(seeded(spark, sf).select("file", "name", "source"), ["file", "name"]),
-    with_assigned(
+    lambda spark, sf: X.tainted_on_lines(t.code_lines(spark, sf), tainted(spark, sf)),
+    with_symbols(
         f"SELECT w.file, w.line, w.name, s.source FROM (SELECT file, line, {WORDS_ON} AS name FROM code_lines) w "
-        "JOIN seeded s ON s.file = w.file AND s.name = w.name", SEEDS
+        "JOIN seeded s ON s.file = w.file AND s.name = w.name"
     ),
 )
 add(
     "flows_with_line",
-    lambda spark, sf: D.flows_with_line(seeded_flows(spark, sf), t.code_lines(spark, sf))
+    lambda spark, sf: D.flows_with_line(flows(spark, sf).drop("text"), t.code_lines(spark, sf))
     .select("file", "sink_line", "sink", "variable", "text"),
-    with_assigned("SELECT file, sink_line, sink, variable, text FROM flows", SEEDS + FLOWS),
+    with_symbols("SELECT file, sink_line, sink, variable, text FROM flows", FLOWS),
 )
 SCRIPT = """, script AS (SELECT file, line, sum(len(regexp_extract_all(text, '(?i)<script[^>]*>'))
   - len(regexp_extract_all(text, '(?i)</script>'))) OVER (PARTITION BY file ORDER BY line) > 0 AS in_script FROM {lines})"""
@@ -229,8 +243,8 @@ dom AS (SELECT file, sink_line AS line, concat('XSS_', context) AS type, {rated(
   {rated(1)} AS exploitable, {rated(2)} AS bypass_needed, 'CWE-79' AS cwe FROM placed)"""
 add(
     "dom_context",
-    lambda spark, sf: D.dom_context(seeded_flows(spark, sf), t.code_files(spark, sf)),
-    with_assigned("SELECT * FROM dom", SEEDS + FLOWS + DOM),
+    lambda spark, sf: D.dom_context(flows(spark, sf), t.code_files(spark, sf)),
+    with_symbols("SELECT * FROM dom", FLOWS + DOM),
 )
 add(
     "in_script_tag",
@@ -262,8 +276,8 @@ judged AS (SELECT p.*, coalesce(CASE WHEN p.shape < 2 THEN {first_word('part', P
   QUALIFY source IS NOT NULL AND row_number() OVER (PARTITION BY file, line, source IS NULL ORDER BY p.shape, p.nth) = 1)"""
 add(
     "cspt_scan",
-    lambda spark, sf: P.cspt_scan(t.code_lines(spark, sf), seeded(spark, sf)).drop("recommendation", "cwe"),
-    with_assigned(
+    lambda spark, sf: P.cspt_scan(t.code_lines(spark, sf), tainted(spark, sf)).drop("recommendation", "cwe"),
+    with_symbols(
         f"""SELECT file, line, concat('CSPT_', replace(upper(k.name), ' ', '_')) AS type,
         CASE shape WHEN 0 THEN CASE WHEN {has_any('bare', ['startsWith', 'indexOf', 'includes'])} THEN 'MEDIUM' ELSE 'HIGH' END
           WHEN 1 THEN 'HIGH' ELSE 'CRITICAL' END AS severity, bare AS evidence, source, k.name AS sink,
@@ -272,7 +286,7 @@ add(
           WHEN 1 THEN 'Template literal interpolation' ELSE 'Direct user input as URL' END AS vulnerable_pattern
         FROM judged JOIN (SELECT unnest([{', '.join(q(k) for k in P.URL_SINKS)}]) AS sink,
           unnest([{', '.join(q(v) for v in P.URL_SINKS.values())}]) AS name) k ON contains(text, k.sink)""",
-        SEEDS + CSPT,
+        CSPT,
     ),
 )
 
@@ -353,10 +367,10 @@ add(
 add(
     "enrich_with_backtrack",
     lambda spark, sf: B.enrich_with_backtrack(
-        as_findings(D.dom_context(seeded_flows(spark, sf), t.code_files(spark, sf)), 6, "MEDIUM"),
+        as_findings(D.dom_context(flows(spark, sf), t.code_files(spark, sf)), 6, "MEDIUM"),
         B.backtrack(t.code_files(spark, sf)),
     ).select("file", "line", "type", "sink", "confidence", F.col("path").isNotNull().alias("has_path")),
-    f"""WITH RECURSIVE {t.CODE_LINES}, {ASSIGNMENTS}, {SINK_VARS}{BACKTRACK}{SEEDS}{FLOWS}{DOM},
+    f"""WITH RECURSIVE {t.CODE_FILES}, {ASSIGNMENTS}, {FUNCTIONS}{SYMBOLS}, {SINK_VARS}{BACKTRACK}{FLOWS}{DOM},
     ways AS (SELECT DISTINCT v.file, v.sink_line AS line, v.sink FROM sink_vars v
       JOIN depths d ON d.file = v.file AND d.name = v.variable)
     SELECT f.file, f.line, f.type, f.sink, CASE WHEN w.file IS NULL THEN 'MEDIUM' ELSE 'HIGH' END AS confidence,
