@@ -2,7 +2,8 @@
 
 Each rule's cost and the share it rejects are estimated on a sample; rules then run in order of rejection per cost, and a
 document that one rule rejects is not looked at by the next. Which documents stay doesn't depend on the order;
-what a rejected one costs does.
+what a rejected one costs does. Every task takes its sample from its own rows, so nothing is read twice or sent for it, and
+sources that differ may get orders of their own.
 
 Words are runs of characters other than space and ``\\x09-\\x0D``.
 """
@@ -128,8 +129,8 @@ RULES = (
     Rule("few letters", few_letters),
 )
 
-#: Rows of the sample that costs are estimated on; it has no bearing on which documents stay.
-SAMPLE_ROWS = 500
+#: Rows of a task's sample, spread over its first batch; they have no bearing on which documents stay.
+SAMPLE_ROWS = 64
 
 
 def texts_of(batch: pa.RecordBatch, text: str) -> Iterator[Text]:
@@ -140,23 +141,37 @@ def texts_of(batch: pa.RecordBatch, text: str) -> Iterator[Text]:
         yield Text(body[at[i] : at[i + 1]], words.of(i), int(words.chars[i]))
 
 
-def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", rows: int = SAMPLE_ROWS) -> dict[str, tuple[float, float]]:
-    """(seconds per document, share rejected) of each rule by name, on the first rows at hand; each rule alone."""
+def measure(batch: pa.RecordBatch, rules: tuple[Rule, ...], text: str) -> tuple[list[float], list[int]]:
+    """Seconds and rejected rows of each rule over a batch; each rule alone."""
+    cost, hits = [0.0] * len(rules), [0] * len(rules)
+    for part in pieces_of(batch, text):
+        for i, rule in enumerate(rules):
+            texts = list(texts_of(part, text))
+            began = time.perf_counter()
+            hits[i] += sum(map(rule.rejects, texts))
+            cost[i] += time.perf_counter() - began
+    return cost, hits
+
+
+def sample_of(batch: pa.RecordBatch, rows: int = SAMPLE_ROWS) -> pa.RecordBatch:
+    """At most so many rows at even distances."""
+    if batch.num_rows <= rows:
+        return batch
+    return batch.take(pa.array(np.linspace(0, batch.num_rows - 1, rows).astype(np.int64)))
+
+
+def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", one_in: int = 1) -> dict[str, tuple[float, float]]:
+    """(seconds per document, share rejected) of each rule by name, on one row in ``one_in``, picked by a hash of the text.
+
+    Rows are measured where they are; only sums leave a task. Without rows there is no estimate.
+    """
 
     def make(batch: pa.RecordBatch):
-        names, cost, hits, n = [], [], [], []
-        for rule in rules:
-            texts = list(texts_of(batch, text))
-            began = time.perf_counter()
-            rejected = sum(map(rule.rejects, texts))
-            cost.append(time.perf_counter() - began)
-            names.append(rule.name)
-            hits.append(rejected)
-            n.append(len(texts))
-        yield {"name": names, "cost": cost, "hits": hits, "n": n}
+        cost, hits = measure(batch, rules, text)
+        yield {"name": [r.name for r in rules], "cost": cost, "hits": hits, "n": [batch.num_rows] * len(rules)}
 
     told = (
-        arrow_rows(docs.select(text).limit(rows), make, "name STRING, cost DOUBLE, hits LONG, n LONG")
+        arrow_rows(docs.select(text).filter(F.pmod(F.xxhash64(text), F.lit(one_in)) == 0), make, "name STRING, cost DOUBLE, hits LONG, n LONG")
         .groupBy("name")
         .agg(F.sum("cost").alias("cost"), F.sum("hits").alias("hits"), F.sum("n").alias("n"))
         .collect()
@@ -185,12 +200,17 @@ def cascade(
     """``keys``, ``kept``, ``failed_rule`` (the first that rejected it in the order used) and ``n_tried`` rules.
 
     A null text is an empty one. Rows are judged one by one: repeated ones alike, null keys like others, other columns
-    are not returned. With ``measures`` the counts of the base rules come along for every document: ``n_words``,
+    are not returned. Without ``estimates`` each task makes its own on a sample of its first batch. With ``measures`` the counts of the base rules come along for every document: ``n_words``,
     ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``, ``base_failed``.
     """
-    ordered = order(rules, estimate(docs, rules, text) if estimates is None else estimates)
+    ordered = [] if estimates is None else order(rules, estimates)
 
     def make(batch: pa.RecordBatch):
+        if not ordered and batch.num_rows:
+            picked = sample_of(batch)
+            cost, hits = measure(picked, rules, text)
+            n = picked.num_rows
+            ordered.extend(order(rules, {r.name: (c / n, h / n) for r, c, h in zip(rules, cost, hits, strict=True)}))
         for part in pieces_of(batch, text):
             out: dict = {k: column(part, k) for k in keys}
             rows = []

@@ -147,3 +147,25 @@ def test_quality_edges(edge_docs, no_docs, measures):
     got = quality_cascade.cascade(edge_docs, measures=measures).collect()
     assert len(got) == edge_docs.count()
     assert quality_cascade.cascade(no_docs, measures=measures).count() == 0
+
+
+def test_quality_estimates_by_task(spark):
+    """Every task orders the rules by its own rows; that is one plan without a shuffle, with the same verdicts."""
+    rows = [(i, "short" if i % 2 else "one two three four five " * 40 if i % 3 else None) for i in range(400)]
+    rows += [(1000, "word%d " * 3 + "\n" + " ".join(f"w{i}" for i in range(200_000))), (1000, "### $$$ " * 30)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(7)
+    judged = quality_cascade.cascade(docs)
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    assert exchanges(judged) == exchanges(docs)
+    given = quality_cascade.cascade(docs, estimates=quality_cascade.estimate(docs, one_in=3))
+    key = lambda df: sorted((r.doc_id, r.kept, r.failed_rule is None) for r in df.collect())
+    assert key(judged) == key(given)
+
+
+def test_quality_sample_is_spread():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"text": [str(i) for i in range(1000)]})
+    picked = [int(x) for x in quality_cascade.sample_of(batch, 10).column(0).to_pylist()]
+    assert picked[0] == 0 and picked[-1] == 999 and len(set(picked)) == 10
+    assert quality_cascade.sample_of(batch, 2000).num_rows == 1000
