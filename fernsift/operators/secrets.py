@@ -113,6 +113,8 @@ def _found(sources: DataFrame, patterns: dict[str, str], flags: str) -> DataFram
         return F.flatten(F.array(*[of_pattern(kind, pattern, lines) for kind, pattern in patterns.items()]))
 
     found = T.let(F.split("text", "\n", -1), of_lines)
+    if all(anchors(pattern) for pattern in patterns.values()):
+        found = F.when(F.size("_found") > 0, found)  # texts without any of the words are not split into lines
     return (
         sources.select("file", F.posexplode_outer(found).alias("nth", "_m"))
         .filter(F.col("_m").isNotNull())
