@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from fernsift.functions import text as T
 from fernsift.operators.lines import evidence_flags, is_eligible, mask_match
@@ -70,11 +73,15 @@ def _required(tree) -> list[frozenset[str]]:
 def anchors(pattern: str) -> tuple[tuple[str, ...], ...]:
     """Cheap substring tests to run before a rule's regex: one literal of every inner tuple.
 
-    The most selective test comes first; () where the pattern requires no literal.
+    The most selective test comes first; () where the pattern requires no literal, or only Java's engine can read it.
     """
     if _parser is None:
         return ()
-    found = {tuple(sorted(s)) for s in _required(_parser.parse(pattern))}
+    try:
+        tree = _parser.parse(pattern)
+    except re.error:
+        return ()
+    found = {tuple(sorted(s)) for s in _required(tree)}
     return tuple(sorted(found, key=lambda s: (-min(map(len, s)), len(s), s)))
 
 
@@ -162,18 +169,98 @@ def _hits(groups: list[tuple[tuple[str, ...], list[Rule]]]) -> Column:
     return F.expr(found)
 
 
+GRAM = 3
+
+
+def base_severity_of(rule_id: Column) -> Column:
+    """As ``base_severity``, of a column."""
+    level = F.when(T.contains_any(rule_id, CRITICAL_PARTS), "CRITICAL").when(T.contains_any(rule_id, HIGH_PARTS), "HIGH")
+    return level.when(T.contains_any(rule_id, MEDIUM_PARTS), "MEDIUM").otherwise("LOW")
+
+
+@F.pandas_udf(ArrayType(ArrayType(StringType())))
+def _anchors_of(patterns: pd.Series) -> pd.Series:
+    return patterns.map(lambda p: [list(words) for words in anchors(p)])
+
+
+def rule_index(rules: DataFrame) -> DataFrame:
+    """A table of rules by the literals their matches contain: one row per rule and literal.
+
+    ``rules`` has ``rule_id`` and ``pattern``, and may have ``severity`` and ``family``, which null or missing are those
+    that the id tells. Rows without id or pattern are no rules, and equal rows are one. Of the literals of a rule the most selective set is
+    posted under the first ``GRAM`` characters of each; ``_earlier`` are the ones before it, ``_needs`` the other sets. A rule
+    without literals is posted under ''. The index has rows in proportion to the rules, whatever the texts are.
+    """
+    given = {c: F.col(c) if c in rules.columns else F.lit(None).cast("string") for c in ("severity", "family")}
+    known = rules.select("rule_id", "pattern", *[c.alias(n) for n, c in given.items()]).na.drop(subset=["rule_id", "pattern"])
+    parsed = known.distinct().withColumn("_sets", _anchors_of("pattern"))
+    first = F.coalesce(F.get("_sets", F.lit(0)), F.array(F.lit("")))
+    return (
+        parsed.withColumn("_words", first)
+        .select("*", F.posexplode("_words").alias("_at", "_word"))
+        .select(
+            "rule_id",
+            F.coalesce("family", F.element_at(F.split("rule_id", "_"), 1)).alias("family"),
+            F.coalesce("severity", base_severity_of(F.col("rule_id"))).alias("base_severity"),
+            F.concat(F.lit(FLAGS), "pattern").alias("_pattern"),
+            F.substring("_word", 1, GRAM).alias("_gram"),
+            "_word",
+            F.expr("slice(_words, 1, _at)").alias("_earlier"),
+            F.expr("slice(_sets, 2, greatest(size(_sets) - 1, 0))").alias("_needs"),
+        )
+    )
+
+
+def _grams(lower: str) -> str:
+    """SQL: the different runs of up to GRAM characters of a line, and ''. One cut per character."""
+    runs = [f"regexp_extract_all({lower}, '(?s)(?=(.{{{n}}}))', 1)" for n in range(1, GRAM + 1)]
+    return f"array_distinct(concat(array(''), {', '.join(runs)}))"
+
+
+def _scan_table(lines: DataFrame, rules: DataFrame) -> DataFrame:
+    """Lines and rules meet where a line has a rule's gram; what meets is tested for its literals, then by its pattern.
+
+    The index is far smaller than the lines, so Spark broadcasts it while it knows it to be below its threshold and shuffles
+    grams beyond it. A line meets a rule once: under the first of its literals that the line holds.
+    """
+    own = "_"
+    while any(c.startswith(own) for c in lines.columns):
+        own += "_"
+    index = rule_index(rules)
+    index = index.select(*[F.col(c).alias(own + c) for c in index.columns])
+    lower, word, pattern, family = (own + c for c in ("_lower", "_word", "_pattern", "family"))
+    found = (
+        f"contains({lower}, {word}) AND NOT exists({own}_earlier, w -> contains({lower}, w))"
+        f" AND forall({own}_needs, s -> exists(s, w -> contains({lower}, w))) AND text RLIKE {pattern}"
+    )
+    matched = f"CASE WHEN {family} = 'SECRET' THEN regexp_extract(text, {pattern}, 0) END"
+    return (
+        lines.withColumn(lower, F.lower("text"))
+        .withColumn(f"{own}_gram", F.explode(F.expr(_grams(lower))))
+        .join(index, f"{own}_gram")
+        .filter(F.expr(found))
+        .select(
+            *lines.columns, *[F.col(own + c).alias(c) for c in ("rule_id", "family", "base_severity")],
+            F.expr(matched).alias("matched"),
+        )
+    )
+
+
 def scan_rules(
     lines: DataFrame,
-    rules: Iterable[Rule] | None = None,
+    rules: Iterable[Rule] | DataFrame | None = None,
     eligible_only: bool = True,
 ) -> DataFrame:
     """One row per line and rule that matches somewhere in it; the columns of ``lines`` are kept.
 
-    Adds ``rule_id``, ``family``, ``base_severity`` and, for credential rules, ``matched``.
+    Adds ``rule_id``, ``family``, ``base_severity`` and, for credential rules, ``matched``. Rules may be a table (see
+    ``rule_index``): then they are data and not part of the plan, so there may be tens of thousands.
     """
-    rules = list(default_rules() if rules is None else rules)
     if eligible_only:
         lines = lines.filter(is_eligible(F.col("text")))
+    if isinstance(rules, DataFrame):
+        return _scan_table(lines, rules)
+    rules = list(default_rules() if rules is None else rules)
     groups = _grouped(rules)
     return (
         lines.withColumn("_lower", F.lower("text"))

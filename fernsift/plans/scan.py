@@ -27,12 +27,17 @@ def scan_v2(sources: DataFrame, rules=None, window: int = 25, chains=CHAINS, sco
 
     (file, line, type, severity, evidence, phase). With ``scope="rule"`` the rules that are written to span lines are
     matched against whole texts, and credited to the line on which a match begins; else all are matched against lines.
+    Rules given as a table are matched against lines.
     """
+    as_table = isinstance(rules, DataFrame)
+    if as_table and scope == "rule":
+        raise ValueError("rules that span lines are given as a list, not as a table")
     lines = explode_lines(sources, mode="universal")
     shape = ["file", "line", "type", "severity", "evidence"]
     flows = flow_scan_single_pass(lines).select(*shape, F.lit(0).alias("phase"))
-    rules = default_rules() if rules is None else list(rules)
-    hits = scan_rules(lines, [r for r in rules if scope == "line" or r.scope == "line"])
+    if not as_table:
+        rules = default_rules() if rules is None else list(rules)
+    hits = scan_rules(lines, rules if as_table else [r for r in rules if scope == "line" or r.scope == "line"])
     if scope == "rule":
         spanning = scan_texts(sources, [r for r in rules if r.scope == "file"]).dropDuplicates(["file", "line", "rule_id"])
         family = F.element_at(F.split("rule_id", "_"), 1).alias("family")

@@ -162,6 +162,14 @@ add(
     with_lines(rule_sql(RULES, ELIGIBLE, "file, line, {id} AS rule_id, {sev} AS base_severity"))
     .replace("code_lines\n, picked", "code_lines, picked"),
 )
+add(
+    "scan_rules_table",
+    lambda spark, sf: R.scan_rules(t.code_lines(spark, sf), K.rules_table(spark, RULES)).select(
+        "file", "line", "rule_id", "base_severity"
+    ),
+    with_lines(rule_sql(RULES, ELIGIBLE, "file, line, {id} AS rule_id, {sev} AS base_severity"))
+    .replace("code_lines\n, picked", "code_lines, picked"),
+)
 add(
     "scan_rules_documents",
     lambda spark, sf: R.scan_rules(L.explode_lines(t.documents(spark, sf)), RULES)

@@ -45,6 +45,54 @@ def test_scan_equals_python(lines, rules):
     assert set(map(tuple, got)) == by_python(lines, rules)
 
 
+def test_rules_as_a_table(lines, spark):
+    """All rules as a table give the rows of the rules in the plan, whatever joins the index."""
+    rules = K.default_rules() + K.STRUCTURAL_RULES + [K.Rule("ONE_OR_TWO", "q|zz"), K.Rule("ANY", r"\w{9}")]
+    columns = ["file", "line", "text", "rule_id", "family", "base_severity", "matched"]
+    want = sorted(map(repr, R.scan_rules(lines, rules, eligible_only=False).select(*columns).collect()))
+    for limit in ("-1", "10m"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            got = R.scan_rules(lines, K.rules_table(spark, rules), eligible_only=False).select(*columns).collect()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert sorted(map(repr, got)) == want
+
+
+def test_awkward_rule_tables(spark):
+    """Empty tables, repeated rows, nulls, ids alone, clashing names of the lines' own columns, null and empty lines."""
+    lines = spark.createDataFrame(
+        [("f", 1, "eval(x)", "a"), ("f", 2, None, "b"), ("f", 3, "", "c"), ("f", 4, "EVAL(eval(" + "x" * 50_000, None)],
+        "file STRING, line INT, text STRING, _word STRING")
+    table = spark.createDataFrame(
+        [("EVAL_A", r"eval\("), ("EVAL_A", r"eval\("), (None, "x"), ("NONE", None), ("EMPTY", r"\A\z")], "rule_id STRING, pattern STRING")
+    got = R.scan_rules(lines, table, eligible_only=False).select("line", "_word", "rule_id", "base_severity", "matched").collect()
+    assert sorted(map(tuple, got)) == [
+        (1, "a", "EVAL_A", "CRITICAL", None), (3, "c", "EMPTY", "LOW", None), (4, None, "EVAL_A", "CRITICAL", None)]
+    assert R.scan_rules(lines, table.limit(0)).count() == R.scan_rules(lines.limit(0), table).count() == 0
+    own = table.limit(1).selectExpr("rule_id", "pattern", "'INFO' AS severity", "'SECRET' AS family")
+    assert R.scan_rules(lines.limit(1), own).select("base_severity", "family", "matched").first() == ("INFO", "SECRET", "eval(")
+
+
+def test_many_rules(spark):
+    """10,000 rules are data: the plan does not grow with them."""
+    lines = spark.range(2000).selectExpr("'f' AS file", "CAST(id AS INT) AS line", "concat('call word', id * 7, '(x)') AS text")
+    table = spark.range(10_000).selectExpr("concat('R_', id) AS rule_id", "concat('word', id, r'\\(x\\)') AS pattern")
+    found = R.scan_rules(lines, table)
+    assert len(found._jdf.queryExecution().toString()) < 60_000
+    assert {(r.line, r.rule_id) for r in found.collect()} == {(n, f"R_{7 * n}") for n in range(2000) if 7 * n < 10_000}
+
+
+def test_rules_of_a_whole_scan_as_a_table(sources, spark):
+    from fernsift.plans.scan import scan_v2
+
+    df = sources(f="const x = location.hash;\nel.innerHTML = x;\neval(x)\n")
+    rows = lambda rules: sorted(map(tuple, scan_v2(df, rules).collect()))
+    assert rows(K.rules_table(spark)) == rows(None)
+    with pytest.raises(ValueError):
+        scan_v2(df, K.rules_table(spark), scope="rule")
+
+
 def test_only_eligible_lines(lines):
     got = {(r.file, r.line) for r in R.scan_rules(lines).collect()}
     assert got <= {(r.file, r.line) for r in L.eligible_lines(lines).collect()}
