@@ -99,19 +99,21 @@ def run_job(
 
     Every text is scanned once, however many submissions share it, and its findings are joined to
     their assets. Rows of a scan replace those of an earlier run with the same ``scan_id``, so a
-    repeated run adds nothing. With ``new_only`` texts that are stored already are not scanned.
+    repeated run adds nothing. Of stored texts and targets only the buckets that the submissions touch are read. With ``new_only`` texts that are stored already are not scanned.
     """
     submissions = submissions.select("domain", "filename", "code")
-    fresh = tables.store_sources(submissions, store.read("source_files"))
-    now = F.current_timestamp()
-    store.append("targets", tables.upsert_targets(submissions, store.read("targets")).withColumn("created_at", now))
     assets = pin(tables.link_assets(submissions, scan_id))
+    fresh = tables.store_sources(submissions, store.near("source_files", assets.select("source_hash")))
+    now = F.current_timestamp()
+    known = store.near("targets", assets.select("target_id"))
+    store.append("targets", tables.upsert_targets(submissions, known).withColumn("created_at", now))
     store.write_scan("assets", assets, scan_id)
     texts = fresh if new_only else tables.hashed(submissions).groupBy("hash").agg(
         F.first("code").alias("content")
     )
     sources = texts.select(F.col("hash").alias("file"), F.col("content").alias("text"))
-    found = scan_v2(sources) if engine == "v2" else format_evidence(scan(sources))
+    # the earlier engine reads its texts several times, the live one writes them decoded
+    found = scan_v2(pin(sources)) if engine == "v2" else format_evidence(scan(sources))
     placed = found.withColumnRenamed("file", "source_hash").join(
         assets.select("asset_id", "source_hash"), "source_hash"
     )

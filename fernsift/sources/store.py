@@ -1,17 +1,15 @@
 """The four stored tables: targets, source files, assets, findings.
 
-Ids are hashes of the natural key, so a re-run after a lost executor gives the same rows.
+Ids are hashes of the natural key, so a re-run after a lost executor gives the same rows. What is deleted is noted and left out when
+read; no table is written anew from itself, so a driver that is lost in between loses nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernsift.functions import text as T
-from fernsift.functions.fixpoint import pin
 
 TABLES = {
     "targets": "target_id BIGINT, domain STRING, created_at TIMESTAMP",
@@ -20,52 +18,108 @@ TABLES = {
     "findings": "finding_id BIGINT, asset_id BIGINT, type STRING, severity STRING, evidence STRING, "
     "line INT, created_at TIMESTAMP",
 }
-PARTITIONS = {"assets": ["scan_id"], "findings": ["scan_id", "severity"]}
+PARTITIONS = {"targets": ["bucket"], "source_files": ["bucket"], "assets": ["scan_id"], "findings": ["scan_id", "severity"]}
+#: The key that a row is looked up and deleted by.
+KEYS = {"targets": "target_id", "source_files": "hash", "assets": "asset_id", "findings": "finding_id"}
+DELETED = "id STRING, deleted_at TIMESTAMP"
 NO_SOURCE = (
     "// Source code not found in database.\n"
     "// It may have been cleaned up or the scan failed."
 )
 
 
+def _digits(name: str, key: Column) -> Column:
+    """A key as evenly spread hexadecimal digits: texts are known by such a hash, targets by a number that is one."""
+    return key if name == "source_files" else F.lower(F.lpad(F.hex(key), 16, "0"))
+
+
 class Store:
-    """The tables as Parquet folders under one path."""
+    """The tables as Parquet folders under one path.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    Targets and source files lie in buckets by the first ``prefix`` digits of their key (256 buckets for two), so what a batch
+    has to be compared with is read from the buckets it touches. A store that has rows keeps the prefix it began with.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, prefix: int = 2):
+        self.spark, self.path, self._given = spark, path.rstrip("/"), prefix
 
     def folder(self, name: str) -> str:
         return f"{self.path}/{name}"
 
     def read(self, name: str) -> DataFrame:
-        """A table; empty if nothing has been written yet."""
-        return self._stored(name).select(*self.columns(name))
+        """A table without what has been deleted; empty if nothing has been written yet."""
+        return self._current(name, self._stored(name)).select(*self.columns(name))
+
+    def near(self, name: str, keys: DataFrame) -> DataFrame:
+        """The part of a bucketed table in which the keys (the only column of ``keys``) are, if they are stored.
+
+        Only numbers of buckets come to the driver, at most 16 ** prefix.
+        """
+        key = _digits(name, F.col(keys.columns[0]))
+        bucket = F.substring(key, 1, self.prefix(name)).alias("bucket")
+        touched = [r.bucket for r in keys.select(bucket).distinct().collect() if r.bucket is not None]
+        rows = self._stored(name).filter(F.col("bucket").isin(touched))
+        return self._current(name, rows).select(*self.columns(name))
+
+    def prefix(self, name: str) -> int:
+        """The length of the names of the table's buckets."""
+        names = [n for n in self._listed(name) if n.startswith("bucket=")]
+        return len(names[0].removeprefix("bucket=")) if names else self._given
+
+    def _listed(self, name: str) -> list[str]:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder(name))
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
 
     def _stored(self, name: str) -> DataFrame:
-        """A table with the columns it is partitioned by."""
-        schema = TABLES[name] + "".join(f", {c} STRING" for c in PARTITIONS.get(name, []) if c == "scan_id")
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder(name))
-        files = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(hadoop):
+        """All rows of a table, with the columns it is partitioned by and the time at which they were written."""
+        parts = [c for c in PARTITIONS[name] if c not in self.columns(name)]
+        schema = ", ".join([TABLES[name], "written_at TIMESTAMP", *[f"{c} STRING" for c in parts]])
+        if not self._listed(name):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(self.folder(name))
 
+    def _current(self, name: str, rows: DataFrame) -> DataFrame:
+        """Rows that were written after they were last deleted."""
+        notes = f"deleted/{name}"
+        if not self._listed(notes):
+            return rows
+        gone = self.spark.read.schema(DELETED).parquet(self.folder(notes))
+        last = gone.groupBy("id").agg(F.max("deleted_at").alias("deleted_at"))
+        wiped = last.filter("id IS NULL").select("deleted_at").scalar()
+        rows = rows.filter(wiped.isNull() | (F.col("written_at") > wiped))
+        by_id = (F.col(KEYS[name]).cast("string") == last["id"]) & (F.col("written_at") <= last["deleted_at"])
+        return rows.join(last, by_id, "left_anti")
+
     def columns(self, name: str) -> list[str]:
         return [f.split()[0] for f in TABLES[name].split(", ")]
 
     def append(self, name: str, rows: DataFrame) -> None:
-        rows.select(*self.columns(name)).write.mode("append").parquet(self.folder(name))
+        """Rows into their buckets; each bucket gets few files, large ones are written by several tasks."""
+        bucket = F.substring(_digits(name, F.col(KEYS[name])), 1, self.prefix(name))
+        placed = self._timed(name, rows).withColumn("bucket", bucket).hint("rebalance", "bucket")
+        placed.write.mode("append").partitionBy("bucket").parquet(self.folder(name))
 
     def write_scan(self, name: str, rows: DataFrame, scan_id: str) -> None:
         """Assets or findings of one scan, in place of those of an earlier run of the same scan."""
-        self._overwrite(name, rows.select(*self.columns(name)).withColumn("scan_id", F.lit(scan_id)), "dynamic")
+        placed = self._timed(name, rows).withColumn("scan_id", F.lit(scan_id))
+        writer = placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(*PARTITIONS[name]).parquet(self.folder(name))
 
-    def rewrite(self, name: str, change: Callable[[DataFrame], DataFrame]) -> None:
-        """Write a table anew from itself. The changed rows are pinned before the old ones go."""
-        self._overwrite(name, pin(change(self._stored(name))), "static")
+    def delete(self, name: str, ids: DataFrame | None = None) -> None:
+        """Leave out rows whose key is in the only column of ``ids``, all rows if it is None.
 
-    def _overwrite(self, name: str, rows: DataFrame, mode: str) -> None:
-        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", mode)
-        writer.partitionBy(*PARTITIONS.get(name, [])).parquet(self.folder(name))
+        Rows that are written later are read again, also under the same key.
+        """
+        if ids is None:
+            keys = self.spark.range(1).select(F.lit(None).cast("string").alias("id"))
+        else:
+            keys = ids.select(F.col(ids.columns[0]).cast("string").alias("id")).filter("id IS NOT NULL")
+        noted = keys.withColumn("deleted_at", F.current_timestamp())
+        noted.write.mode("append").parquet(self.folder(f"deleted/{name}"))
+
+    def _timed(self, name: str, rows: DataFrame) -> DataFrame:
+        return rows.select(*self.columns(name)).withColumn("written_at", F.current_timestamp())
 
 
 def hashed(submissions: DataFrame) -> DataFrame:
@@ -181,7 +235,18 @@ def clear_target(findings: DataFrame, assets: DataFrame, target_id: int) -> Data
     return findings.join(assets.filter(F.col("target_id") == target_id), "asset_id", "left_anti")
 
 
+def delete_from(store: Store, finding_ids: DataFrame) -> None:
+    """Single findings out of the store."""
+    store.delete("findings", finding_ids)
+
+
+def clear_target_from(store: Store, target_id: int) -> None:
+    """All findings of a target out of the store."""
+    theirs = findings_of_target_semi(store.read("findings"), store.read("assets"), target_id)
+    store.delete("findings", theirs.select("finding_id"))
+
+
 def wipe(store: Store) -> None:
     """Empty targets, assets and findings; the source files stay."""
     for name in ("targets", "assets", "findings"):
-        store.rewrite(name, lambda rows: rows.limit(0))
+        store.delete(name)

@@ -69,25 +69,65 @@ def _drop(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+BUCKETS = 64
+
+
+def _versions(spark: SparkSession, folder: str, below: int | None = None) -> dict[int, list[int]]:
+    """bucket -> the whole batches that hold it, rising. Found by listing at most a few names per bucket."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    held: dict[int, list[int]] = {}
+    for batch in _batches(spark, folder):
+        if below is not None and batch >= below:
+            continue
+        names = [f.getPath().getName() for f in files.listStatus(spark._jvm.org.apache.hadoop.fs.Path(root, f"batch={batch}"))]
+        for name in names:
+            if name.startswith("_bucket="):
+                held.setdefault(int(name.removeprefix("_bucket=")), []).append(batch)
+    return held
+
+
+def _newest(spark: SparkSession, folder: str, held: dict[int, list[int]], schema) -> DataFrame:
+    paths = [f"{folder}/batch={batches[-1]}/_bucket={bucket}" for bucket, batches in sorted(held.items())]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def _merge_metrics(batch: DataFrame, number: int, folder: str, by: list[str]) -> None:
+    """The rows of a batch in place of their earlier ones; only the buckets it touches are written, below its number."""
+    spark = batch.sparkSession
+    batch.limit(0).write.mode("ignore").parquet(f"{folder}/schema")
+    placed = batch.withColumn("_bucket", F.pmod(F.xxhash64(*by), F.lit(BUCKETS)).cast("int")).persist()
+    touched = [r[0] for r in placed.select("_bucket").distinct().collect()]  # at most BUCKETS
+    before = {b: n for b, n in _versions(spark, folder, number).items() if b in touched}
+    old = _newest(spark, folder, before, batch.schema).withColumn("_bucket", F.pmod(F.xxhash64(*by), F.lit(BUCKETS)).cast("int"))
+    changed = placed.select(*[F.col(c).alias(f"_new_{i}") for i, c in enumerate(by)])
+    same = [F.col(c).eqNullSafe(F.col(f"_new_{i}")) for i, c in enumerate(by)]
+    rows = placed.unionByName(old.join(changed, same, "left_anti"))
+    writer = rows.hint("rebalance", "_bucket").write.mode("overwrite").partitionBy("_bucket")
+    writer.parquet(f"{folder}/batch={number}")
+    placed.unpersist()
+    # a repeat of this batch needs the version before its own, nothing needs the ones before that
+    for bucket, batches in before.items():
+        for n in batches[:-1]:
+            _drop(spark, f"{folder}/batch={n}/_bucket={bucket}")
+    kept = {n for batches in _versions(spark, folder).values() for n in batches}
+    for n in _batches(spark, folder):
+        if n not in kept and n < number:
+            _drop(spark, f"{folder}/batch={n}")
+
+
 def stream_target_metrics(
     findings: DataFrame, folder: str, checkpoint: str, by: list[str], trigger: dict | None = None
 ) -> StreamingQuery:
-    """Running dashboard counts; the newest folder below ``folder`` holds them for all targets.
+    """Running dashboard counts, kept below ``folder`` in buckets of targets.
 
-    A batch brings the targets that changed (update mode), which take the place of their earlier rows. A batch that is
-    repeated starts from the folder before its own; older folders go. The state is one row per target.
+    A batch brings the targets that changed (update mode), which take the place of their earlier rows. It writes the buckets of
+    those targets into a folder of its own, which counts once it is whole; the others stay where they are. A batch that is
+    repeated starts from the versions before its own. Of each bucket the last two versions are kept; the state is one row per target.
     """
 
     def keep(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = [n for n in _batches(spark, folder) if n < number]
-        rows = batch
-        if before:
-            old = spark.read.schema(batch.schema).parquet(f"{folder}/batch={before[-1]}")
-            rows = batch.unionByName(old.join(batch.select(*by), by, "left_anti"))
-        rows.write.mode("overwrite").parquet(f"{folder}/batch={number}")
-        for n in before[:-1]:
-            _drop(spark, f"{folder}/batch={n}")
+        _merge_metrics(batch, number, folder, by)
 
     counts = target_metrics(findings, by)
     writer = counts.writeStream.outputMode("update").foreachBatch(keep)
@@ -96,4 +136,4 @@ def stream_target_metrics(
 
 def latest_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """The counts after the last batch that stream_target_metrics has written."""
-    return spark.read.parquet(f"{folder}/batch={_batches(spark, folder)[-1]}")
+    return _newest(spark, folder, _versions(spark, folder), spark.read.parquet(f"{folder}/schema").schema)

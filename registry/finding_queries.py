@@ -355,6 +355,34 @@ add(
 )
 
 
+def deleted(spark, sf):
+    """Deleting is noted: one finding, then those of a target, which are written again by a later scan of theirs."""
+    store = W.Store(spark, t.scratch(spark, "deleted"))
+    store.write_scan("assets", assets(spark, sf), "scan-1")
+    W.write_findings(store, stored_findings(spark, sf), "scan-1")
+    rows = store.read("findings")
+    W.delete_from(store, rows.filter("line % 5 = 0").select("finding_id"))
+    W.clear_target_from(store, domain_id(DOMAIN))
+    left = store.read("findings").drop("created_at").withColumn("again", F.lit(False))
+    theirs = W.findings_of_target_semi(rows, assets(spark, sf), domain_id(DOMAIN))
+    back = W.Store(spark, t.scratch(spark, "deleted-again"))
+    W.write_findings(back, theirs.limit(0), "scan-1")
+    W.wipe(back)
+    W.write_findings(back, stored_findings(spark, sf), "scan-1")
+    shown = W.findings_of_target_semi(back.read("findings"), assets(spark, sf), domain_id(DOMAIN))
+    both = left.unionByName(shown.drop("created_at").withColumn("again", F.lit(True)))
+    return both.groupBy("again", "severity", "type").agg(F.count("*").alias("n"), F.max("line").alias("line"))
+
+
+add(
+    "delete_from_store",
+    deleted,
+    with_stored(f"""SELECT false AS again, severity, type, count(*) AS n, max(line) AS line FROM findings
+    WHERE NOT {OF_TARGET} AND finding_id NOT IN (SELECT finding_id FROM findings WHERE line % 5 = 0) GROUP BY ALL
+    UNION ALL SELECT true, severity, type, count(*), max(line) FROM findings WHERE {OF_TARGET} GROUP BY ALL"""),
+)
+
+
 def reported(spark, sf):
     path = t.scratch(spark, "report")
     W.write_report(findings(spark, sf).select("file", "line", "type", "severity"), path)
@@ -412,6 +440,20 @@ add(
                  "UNION ALL SELECT 'assets', count(*) FROM code_files"),
 )
 
+def found_by_url(store: W.Store) -> DataFrame:
+    found = W.target_findings(store.read("findings"), store.read("assets"))
+    return found.select(F.col("url").alias("file"), "line", "type", "severity", "evidence")
+
+
+def job_findings(spark, sf):
+    store = W.Store(spark, t.scratch(spark, "job-findings"))
+    P.run_job(code_submissions(spark, sf), store, "scan-1", engine="v2")
+    return found_by_url(store)
+
+
+V2_SHOWN = f"SELECT file, line, type, severity, evidence FROM ({V2}) v"
+add("run_job_findings", job_findings, V2_SHOWN)
+
 
 # ── streams ────────────────────────────────────────────────────────────────────────────────────
 def document_stream(spark, sf):
@@ -427,6 +469,17 @@ def ingested(spark, sf):
     return stored_counts(store)
 
 
+def ingested_findings(spark, sf):
+    """Submissions of code as files of a stream, several batches of them."""
+    folder = t.scratch(spark, "code-in")
+    code_submissions(spark, sf).repartition(3, "filename").write.json(folder)
+    store = W.Store(spark, t.scratch(spark, "ingest-code"))
+    stream = I.read_submission_stream(spark, folder, files_per_batch=2)
+    I.stream_ingest(stream, store, t.scratch(spark, "ingest-code-log"), engine="v2").awaitTermination()
+    return found_by_url(store)
+
+
+add("stream_ingest_findings", ingested_findings, V2_SHOWN)
 INGESTED = """SELECT 'targets' AS name, count(DISTINCT source) AS n FROM documents UNION ALL SELECT 'source_files',
 count(DISTINCT text) FROM documents UNION ALL SELECT 'assets', {copies}count(*) FROM documents"""
 add("stream_ingest", ingested, INGESTED.format(copies=""))

@@ -83,10 +83,10 @@ def test_job_is_repeatable(spark, submitted, tmp_path):
     text = W.fetch_source(store.read("source_files"), store.read("assets"), store.read("targets"), "a.example", "x.js")
     assert text.first().content == CODE
     gone = store.read("findings").first().finding_id
-    store.rewrite("findings", lambda rows: W.delete_finding(rows, gone))
+    W.delete_from(store, store.read("findings").filter(F.col("finding_id") == gone).select("finding_id"))
     assert store.read("findings").filter(F.col("finding_id") == gone).count() == 0
     target = store.read("targets").filter("domain = 'a.example'").first().target_id
-    store.rewrite("findings", lambda rows: W.clear_target(rows, store.read("assets"), target))
+    W.clear_target_from(store, target)
     assert {r["url"] for r in W.target_findings(store.read("findings"), store.read("assets")).collect()} == {"y.js"}
     W.wipe(store)
     assert counts(store) == {"targets": 0, "source_files": 2, "assets": 0, "findings": 0}
@@ -94,6 +94,65 @@ def test_job_is_repeatable(spark, submitted, tmp_path):
     assert counts(store) == first
 
 
+def test_deleted_rows_come_back_when_written_again(spark, submitted, tmp_path):
+    store = W.Store(spark, str(tmp_path / "store"))
+    P.run_job(submitted, store, "one", engine="v2")
+    first, ids = counts(store), store.read("findings").select("finding_id")
+    W.delete_from(store, ids)
+    W.delete_from(store, ids)  # nothing is left to delete
+    assert counts(store) == {**first, "findings": 0}
+    P.run_job(submitted, store, "one", engine="v2")
+    assert counts(store) == first
+    W.delete_from(store, spark.createDataFrame([(None,), (-1,)], "finding_id BIGINT"))
+    assert counts(store) == first
+
+
+def test_lookups_read_the_buckets_they_touch(spark, tmp_path):
+    """What one text is compared with is one bucket, whatever else is stored; the prefix is that of the stored rows."""
+    made = spark.range(3000).selectExpr("concat('text ', id) AS code", "'d' AS domain", "'f' AS filename")
+    texts = W.hashed(made).select("hash", F.col("code").alias("content"), F.current_timestamp().alias("created_at"))
+    store = W.Store(spark, str(tmp_path / "store"), prefix=1)
+    empty = texts.select("hash").limit(0)
+    assert store.near("source_files", texts.select("hash")).count() == 0
+    store.append("source_files", texts)
+    again = W.Store(spark, store.path)  # 256 buckets by default, but the table has 16
+    one = made.limit(1)
+    near = again.near("source_files", W.hashed(one).select("hash"))
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan
+    assert near.select(F.substring("hash", 1, 1)).distinct().count() == 1 and 100 < near.count() < 300
+    assert W.store_sources(one, near).count() == 0 and again.near("source_files", empty).count() == 0
+    some = made.limit(50).unionByName(made.limit(1).withColumn("code", F.lit("new"))).withColumn("code", F.col("code"))
+    fresh = W.store_sources(some, again.near("source_files", W.hashed(some).select("hash"))).collect()
+    assert [r.content for r in fresh] == ["new"]
+    nulls = spark.createDataFrame([(None,)], "hash STRING")
+    assert again.near("source_files", nulls).count() == 0
+    deep = W.Store(spark, str(tmp_path / "deep"))  # buckets as 00, 1e, 1d stay texts
+    deep.append("source_files", texts)
+    assert deep.near("source_files", texts.select("hash")).count() == deep.read("source_files").count() == 3000
+    assert deep.read("source_files").join(texts, ["hash", "content"]).count() == 3000 and deep.prefix("source_files") == 2
+
+
+def test_metrics_write_the_buckets_that_change(spark, tmp_path):
+    """A batch writes the buckets of its targets, a repeated one changes nothing, null is a target like others."""
+    out, schema = str(tmp_path / "m"), "target_id LONG, critical LONG"
+    put = lambda rows, n: I._merge_metrics(spark.createDataFrame(rows, schema), n, out, ["target_id"])
+    now = lambda: {r.target_id: r.critical for r in I.latest_metrics(spark, out).collect()}
+    put([], 0)
+    assert now() == {}
+    put([(n, 1) for n in range(500)] + [(None, 1)], 1)
+    put([(7, 2), (None, 2)], 2)
+    want = {n: 1 for n in range(500)} | {7: 2, None: 2}
+    assert now() == want and len(I._versions(spark, out)) == I.BUCKETS
+    assert sum(2 in batches for batches in I._versions(spark, out).values()) <= 2
+    put([(7, 2), (None, 2)], 2)
+    assert now() == want and I.latest_metrics(spark, out).count() == 501
+    for n in range(3, 7):
+        put([(7, n)], n)
+    assert now() == want | {7: 6} and max(map(len, I._versions(spark, out).values())) == 2
+    assert len(I._batches(spark, out)) <= 4
+
+
 def test_stream_equals_batch(spark, submitted, tmp_path):
     submitted.coalesce(1).write.json(str(tmp_path / "in"))
     streamed, batch = (W.Store(spark, str(tmp_path / n)) for n in ("streamed", "batch"))
