@@ -3,17 +3,18 @@
 Three base kinds are found by pattern in every text. Further candidates, long mixed tokens, are common in harmless
 text, so patterns alone can't tell; the corpus can: a value that several owners have is a copied example, one that
 a single owner has, in any number of its repositories, looks live. Candidates that look live are added to the base spans. The same
-counts say for base spans how many of a document's are live-looking or copied.
+counts say for base spans how many of a document's are live-looking or copied, and the owners and repositories of each span's value
+stand beside it, so that a reader can tell a key of one repository from one that an owner has everywhere.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fernsift.llm.shared import arrow_rows, column, pieces_of, store
@@ -93,11 +94,10 @@ def ownership(found: DataFrame, most_repositories: int | None = None) -> DataFra
     """``value``, ``owners``, ``repositories``, ``live``: over all documents, each owner's repositories counted first.
 
     One owner makes a value live, in at most ``most_repositories`` if that is given.
-    A value in a third of all documents costs one row per task and owner; null owners or repositories count as one.
+    A value in a third of all documents costs one row per task, owner and repository; null is an owner and a repository of its own.
     """
-    narrow = F.coalesce(F.col("_owner"), F.lit("")), F.coalesce(F.col("_repository"), F.lit(""))
     return (
-        found.select(F.explode("found.value").alias("value"), narrow[0].alias("owner"), narrow[1].alias("repository"))
+        found.select(F.explode("found.value").alias("value"), F.col("_owner").alias("owner"), F.col("_repository").alias("repository"))
         .distinct()
         .groupBy("value", "owner")
         .agg(F.count("*").alias("repositories"))
@@ -115,9 +115,10 @@ def scan(
     repository: str = "doc_id",
     most_repositories: int | None = None,
 ) -> DataFrame:
-    """``keys``, ``n_assign``, ``n_access``, ``n_hex``, ``base_sha256``, ``spans``, ``n_live``, ``n_copied``.
+    """``keys``, ``n_assign``, ``n_access``, ``n_hex``, ``base_sha256``, ``spans``, ``n_live``, ``n_copied``, ``owners``, ``repositories``.
 
-    ``spans`` holds the base spans and the further candidates that look live, as kind:start:end in code points. One
+    ``spans`` holds the base spans and the further candidates that look live, as kind:start:end in code points; ``owners`` and
+    ``repositories`` hold, in the order of the spans, how many over the corpus have the value of each. One
     row per input row, repeated ones and null keys too; a null text is an empty one and holds nothing.
     """
     found = candidates(docs, text, keys, owner, repository)
@@ -130,21 +131,30 @@ def scan(
         .agg(
             F.sum(F.col("live").cast("long")).alias("n_live"),
             F.sum((~F.col("live")).cast("long")).alias("n_copied"),
-            F.collect_list(F.when((F.col("kind") != "mixed") | F.col("live"), F.struct("start", "kind", "end"))).alias("all"),
+            F.collect_list(F.when((F.col("kind") != "mixed") | F.col("live"), F.struct("start", "kind", "end", "owners", "repositories"))).alias("all"),
         )
     )
     rank = F.array(*[F.lit(k) for k in KINDS])
     ordered = F.array_sort(
-        F.transform("all", lambda x: F.struct(x["start"], F.array_position(rank, x["kind"]).alias("nth"), x["kind"], x["end"]))
+        F.transform(
+            "all",
+            lambda x: F.struct(x["start"], F.array_position(rank, x["kind"]).alias("nth"), x["kind"], x["end"], x["owners"], x["repositories"]),
+        )
     )
-    spans = F.array_join(F.transform(ordered, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    def joined(item: Callable[[Column], Column]) -> Column:
+        return F.coalesce(F.array_join(F.transform("all", item), ","), F.lit(""))
+
+    judged = judged.withColumn("all", ordered)
     return found.join(judged, "_row", "left").select(
         *keys,
         "n_assign",
         "n_access",
         "n_hex",
         "base_sha256",
-        F.coalesce(spans, F.lit("")).alias("spans"),
+        joined(lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])).alias("spans"),
         F.coalesce("n_live", F.lit(0)).alias("n_live"),
         F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
+        joined(lambda x: x["owners"].cast("string")).alias("owners"),
+        joined(lambda x: x["repositories"].cast("string")).alias("repositories"),
     )

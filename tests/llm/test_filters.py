@@ -65,6 +65,41 @@ def test_values_of_one_owner_are_live_in_any_number_of_documents(spark, document
     assert (got[documents].spans, got[documents].n_live, got[documents].n_copied) == ("", 0, 1)
 
 
+def test_ownership_equals_counting(spark):
+    """Owners and repositories of every span against plain sets: hot values, ties, null and empty owners, repeated rows."""
+    pick = random.Random(5)
+    values = [f"aB3{n:02d}" + "xY7" * 8 for n in range(12)] + [f"AKIA{n:02d}ABCDEFGHIJKLMNOP" for n in range(4)]
+    owners = ["a", "b", "c", "", None]
+    rows = []
+    for n in range(400):
+        at = pick.randrange(5)
+        # values of one owner each, of which a few stray, and one that a third of all rows has
+        pool = values[1:] if n % 50 == 0 else [v for i, v in enumerate(values[1:]) if i % 5 == at]
+        held = [values[0]] * (n % 3 == 0) + pick.sample(pool, pick.randrange(3)) * pick.randrange(1, 3)
+        owner = owners[at]
+        rows.append((n % 350 or None, " ".join(["é", *held, "end"]), owner))
+    having: dict[str, set] = {}
+    for key, text, owner in rows:
+        for word in text.split()[1:-1]:
+            having.setdefault(word, set()).add((owner, key))
+    want = []
+    for key, text, owner in rows:
+        spans, at, live = [], 2, 0
+        for word in text.split()[1:-1]:
+            n_owners, n_repositories = len({o for o, _ in having[word]}), len(having[word])
+            live += n_owners == 1
+            kind = "access" if word.startswith("AKIA") else "mixed"
+            if kind == "access" or n_owners == 1:
+                spans.append((f"{kind}:{at}:{at + len(word)}", str(n_owners), str(n_repositories)))
+            at += len(word) + 1
+        joined = [",".join(s[i] for s in spans) for i in range(3)]
+        want.append((key, joined[0], live, len(text.split()) - 2 - live, joined[1], joined[2]))
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, source STRING").repartition(7)
+    got = secret_owners.scan(docs).select("doc_id", "spans", "n_live", "n_copied", "owners", "repositories").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert any(w[2] for w in want) and any(w[3] for w in want)
+
+
 def test_secret_edges(spark, edge_docs, no_docs):
     got = secret_owners.scan(edge_docs).collect()
     assert len(got) == edge_docs.count() and all(r.spans == "" for r in got)
