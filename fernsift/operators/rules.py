@@ -7,7 +7,7 @@ from collections import defaultdict
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -187,13 +187,15 @@ def rule_index(rules: DataFrame) -> DataFrame:
     """A table of rules by the literals their matches contain: one row per rule and literal.
 
     ``rules`` has ``rule_id`` and ``pattern``, and may have ``severity`` and ``family``, which null or missing are those
-    that the id tells. Rows without id or pattern are no rules, and equal rows are one. Of the literals of a rule the most selective set is
+    that the id tells. ``literals`` may hold what ``literal_table`` gives; else the patterns are read in the tasks, whose Python
+    must find this package. Rows without id or pattern are no rules, and equal rows are one. Of the literals of a rule the most selective set is
     posted under the first ``GRAM`` characters of each; ``_earlier`` are the ones before it, ``_needs`` the other sets. A rule
     without literals is posted under ''. The index has rows in proportion to the rules, whatever the texts are.
     """
     given = {c: F.col(c) if c in rules.columns else F.lit(None).cast("string") for c in ("severity", "family")}
-    known = rules.select("rule_id", "pattern", *[c.alias(n) for n, c in given.items()]).na.drop(subset=["rule_id", "pattern"])
-    parsed = known.distinct().withColumn("_sets", _anchors_of("pattern"))
+    read = [F.col("literals").alias("_sets")] if "literals" in rules.columns else []
+    known = rules.select("rule_id", "pattern", *[c.alias(n) for n, c in given.items()], *read).na.drop(subset=["rule_id", "pattern"])
+    parsed = known.distinct() if read else known.distinct().withColumn("_sets", _anchors_of("pattern"))
     first = F.coalesce(F.get("_sets", F.lit(0)), F.array(F.lit("")))
     return (
         parsed.withColumn("_words", first)
@@ -211,6 +213,14 @@ def rule_index(rules: DataFrame) -> DataFrame:
     )
 
 
+def literal_table(spark: SparkSession, rules: Iterable[Rule] | None = None) -> DataFrame:
+    """``rules_table`` with ``literals``, the sets of literals of each pattern: rules as a table that is read once."""
+    rules = list(default_rules() if rules is None else rules)
+    rows = [(r.rule_id, r.family, r.severity, r.pattern, [list(words) for words in anchors(r.pattern)]) for r in rules]
+    schema = "rule_id STRING, family STRING, severity STRING, pattern STRING, literals ARRAY<ARRAY<STRING>>"
+    return spark.createDataFrame(rows, schema)
+
+
 def _grams(lower: str) -> str:
     """SQL: the different runs of up to GRAM characters of a line, and ''. One cut per character."""
     runs = [f"regexp_extract_all({lower}, '(?s)(?=(.{{{n}}}))', 1)" for n in range(1, GRAM + 1)]

@@ -164,7 +164,7 @@ add(
 )
 add(
     "scan_rules_table",
-    lambda spark, sf: R.scan_rules(t.code_lines(spark, sf), K.rules_table(spark, RULES)).select(
+    lambda spark, sf: R.scan_rules(t.code_lines(spark, sf), R.literal_table(spark, RULES)).select(
         "file", "line", "rule_id", "base_severity"
     ),
     with_lines(rule_sql(RULES, ELIGIBLE, "file, line, {id} AS rule_id, {sev} AS base_severity"))

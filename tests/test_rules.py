@@ -57,6 +57,8 @@ def test_rules_as_a_table(lines, spark):
         finally:
             spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         assert sorted(map(repr, got)) == want
+    read = R.scan_rules(lines, R.literal_table(spark, rules), eligible_only=False).select(*columns).collect()
+    assert sorted(map(repr, read)) == want
 
 
 def test_awkward_rule_tables(spark):
