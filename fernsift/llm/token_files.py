@@ -37,9 +37,10 @@ from fernsift.llm.shared import column, pieces_of
 #: Parts of a text that the vocabulary's pattern never joins: a word with the blank before it, the full stop or comma
 #: after a word of Latin letters, and all but the last of several blanks. Only for texts without other white space.
 _UNIT = re.compile(r"[ \n]?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,]?(?:[ \n]|\Z))|[.,](?=[ \n]|\Z)|[ \n]?[^ \n]+|[ \n]+(?=[ \n][^ \n])|[ \n]+")
-_OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
+_OTHER_SPACE = re.compile("[\\t\\x0b-\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")  # white space but blank and line feed
 KEPT_UNITS = 800_000
 LONGEST_UNIT = 48
+JOINED_UNITS = 1000  # new units that the library gets as one text
 AT_ONCE = 1 << 20  # ids of neighbouring rows that are read in one request
 LOOKED_UP = 1 << 24  # ids that a task looks up, about
 LONGEST_PART = 1 << 23  # characters of texts that are cut into units at once
@@ -58,6 +59,9 @@ class Encoder:
         self.type = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.type.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {}
+        tokens = self.library.get_vocab()
+        self.length = np.zeros(max(tokens.values(), default=-1) + 1, np.int64)  # bytes that each id stands for, in a byte-level vocabulary
+        self.length[list(tokens.values())] = [len(t) for t in tokens]
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         found = [array(self.code, x.ids) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -66,6 +70,22 @@ class Encoder:
                 ids.byteswap()
         return [ids.tobytes() for ids in found]
 
+    def _joined(self, units: list[str]) -> list[bytes]:
+        """Raw ids of short units that begin with their only blank or line feed. The pattern parts a text before it, so many units are one
+        text, whose ids are dealt out by the bytes they stand for. Where an id reaches over the end of a unit each unit is encoded by itself."""
+        parts = [units[i : i + JOINED_UNITS] for i in range(0, len(units), JOINED_UNITS)]
+        out: list[bytes] = []
+        for part, ids in zip(parts, self._plain(["".join(p) for p in parts]), strict=True):
+            lengths = np.fromiter((len(u) if u.isascii() else len(u.encode()) for u in part), np.int64, len(part))
+            upto, ends = np.cumsum(lengths), np.cumsum(self.length[np.frombuffer(ids, self.type)])
+            at = np.searchsorted(ends, upto)
+            if len(ends) and ends[-1] == upto[-1] and np.array_equal(ends[at], upto):
+                cuts = [0, *((at + 1) * self.type.itemsize).tolist()]
+                out += map(ids.__getitem__, map(slice, cuts, cuts[1:]))
+            else:
+                out += self._plain(part)
+        return out
+
     def _learn(self, units: set[str]) -> list[str]:
         """Make all of these units known; returns those that are too long to be kept."""
         known = self.known
@@ -73,8 +93,11 @@ class Encoder:
         if len(known) + len(new) > KEPT_UNITS:
             known.clear()
             new = list(units)
-        if new:
-            known.update(zip(new, self._plain(new), strict=True))
+        apart = [u for u in new if u[0] in " \n" and len(u) <= LONGEST_UNIT and u[-1] not in " \n"]
+        known.update(zip(apart, self._joined(apart), strict=True))
+        if len(apart) < len(new):
+            others = list(set(new).difference(apart))
+            known.update(zip(others, self._plain(others), strict=True))
         return [u for u in new if len(u) > LONGEST_UNIT]
 
     def encode(self, text: str) -> Iterator[bytes]:

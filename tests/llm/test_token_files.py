@@ -34,6 +34,22 @@ def test_units_do_not_change_ids():
         assert ids == own.library.encode(text, add_special_tokens=False).ids
 
 
+def test_units_joined_for_the_library(monkeypatch):
+    monkeypatch.setattr(token_files, "JOINED_UNITS", 7)
+    own, rng = token_files.Encoder(FILE), random.Random(5)
+    units = {rng.choice(" \n") + "".join(rng.choice("abA1'.,é中|<>-s") for _ in range(rng.randint(1, 9))) for _ in range(500)}
+    units = [*units, " <|endoftext|>", " a<|endoftext|>b"]
+    assert own._joined(units) == own._plain(units)
+    own.length[:] += 1  # no unit ends where an id does
+    assert own._joined(units) == own._plain(units)
+    assert own._joined([]) == []
+
+
+def test_white_space_that_parts_no_units():
+    other = {c for c in map(chr, range(0x110000)) if c.isspace()} - {" ", "\n"}
+    assert {c for c in map(chr, range(0x110000)) if token_files._OTHER_SPACE.search(c)} == other
+
+
 def test_bounded_cache(monkeypatch):
     monkeypatch.setattr(token_files, "KEPT_UNITS", 5)
     own = token_files.Encoder(FILE)
