@@ -21,6 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fernsift.functions.text import let
 from fernsift.llm.graph import components
 from fernsift.llm.shared import store
 
@@ -174,9 +175,8 @@ def drop_recurring(docs: DataFrame, text: str = "text", least_documents: int = L
     rows = docs.drop(into).withColumn("_body", body_of(F.col(text)))
     joined = rows.join(drops.hint("merge"), F.col("_body") == F.col("_drop.body"), "left")
     lines = F.split(F.col(text), "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop.places"))
-    cleaned = F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n")
-    done = joined.withColumn("_lines", F.when(F.col("_drop.places").isNotNull(), lines))
-    done = done.withColumn(into, F.coalesce(F.size("_drop.places"), F.lit(0)).cast("long"))
+    kept = lambda found: F.array_except(F.sequence(F.lit(0), F.size(found) - 1), F.col("_drop.places"))
+    cleaned = let(lines, lambda found: F.array_join(F.transform(kept(found), lambda i: F.get(found, i)), "\n"))
+    done = joined.withColumn(into, F.coalesce(F.size("_drop.places"), F.lit(0)).cast("long"))
     done = done.withColumn(text, F.when(F.col("_drop.places").isNotNull(), cleaned).otherwise(F.col(text)))
-    return done.drop("_lines", "_drop", "_body")
+    return done.drop("_drop", "_body")
