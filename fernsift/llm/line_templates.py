@@ -48,9 +48,9 @@ def _uneven(text: Column) -> Column:
 
 
 def _tidy(line: Column, uneven: Column) -> Column:
-    """The words of a line with single blanks between them."""
+    """The words of a line with single blanks between them; a line of an even text can only begin or end with a blank."""
     bare = F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
-    return F.when(uneven, F.regexp_replace(bare, BLANK, " ")).otherwise(bare)
+    return F.when(uneven, F.regexp_replace(bare, BLANK, " ")).otherwise(F.trim(line))
 
 
 def body_of(text: Column) -> Column:
@@ -65,7 +65,7 @@ def _lines(docs: DataFrame, text: str, least_documents: int) -> DataFrame:
     narrow = whole.select("body", "uneven", F.posexplode(F.split("text", "\n")).alias("place", "line"))
     # one filled array keeps the filter from working the words out a second time
     tidy = narrow.withColumn("tidy", F.explode(F.array(_tidy(F.col("line"), F.col("uneven"))))).filter("tidy <> ''")
-    n = F.length("tidy") - F.length(F.replace(F.col("tidy"), F.lit(" "), F.lit(""))) + 1
+    n = F.octet_length("tidy") - F.octet_length(F.replace(F.col("tidy"), F.lit(" "), F.lit(""))) + 1
     first = F.transform(F.split(F.substring_index(F.col("tidy"), " ", DEPTH), " "), _word)
     counted = tidy.withColumn("n", n)
     need = F.when(F.col("n") >= LONG_WORDS, F.lit(min(LONG_DOCUMENTS, least_documents))).when(F.col("n") < SHORT_WORDS, F.lit(max(SHORT_DOCUMENTS, least_documents)))
