@@ -109,8 +109,9 @@ def _instances(equal: DataFrame) -> DataFrame:
 
 def recurring_lines(docs: DataFrame, text: str = "text", least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
     """``body`` (of the text) and ``places`` of the lines to drop, for texts that have such lines."""
-    lines = _lines(docs, text, least_documents)
-    light = store(lines.select("body", "place", "chars", "leaf", "need", F.xxhash64("line").alias("whole_line")), "lines")
+    # texts are cut once; what reads the numbers of lines alone leaves their words in the files
+    lines = store(_lines(docs, text, least_documents).select("body", "place", "chars", "leaf", "need", F.xxhash64("line").alias("whole_line"), "tidy"), "lines")
+    light = lines.drop("tidy")
     words = F.transform(F.split("tidy", " "), _word).alias("words")
     # by a shuffle whatever the number of leaves, so that the plan for much text is that for little
     held = lines.join(_in_enough(light, ["leaf"]).hint("merge"), "leaf", "left_semi").select("body", "place", "chars", "leaf", "need", words)
