@@ -126,12 +126,13 @@ def mix(
     """``docs`` with a struct ``into`` of ``size`` (words), ``source_size``, ``target``, ``copies`` and ``taken`` words.
 
     ``quality`` is a positive weight per row, by default from the text. A null text has no words and is taken in whole epochs only, as
-    is any without words; null sources are one source, the last; rows with a null id share one key. Runs with the same
+    is any without words; null sources are one source, the last; rows with a null id go by their texts, so equal ones are taken together. Runs with the same
     seed agree. Only one row per source moves between the two readings of ``docs``; ``into`` replaces a column of that name.
     """
     size = word_count(F.col(text))
-    e = sampling_key(F.col(key), text_quality(F.col(text)) if quality is None else quality, seed)
-    who = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
+    named = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text), F.lit("")))))
+    e = sampling_key(named, text_quality(F.col(text)) if quality is None else quality, seed)
+    who = F.coalesce(F.col(key).cast("long"), F.xxhash64(text))
     sized = docs.select(who.alias("id"), F.col(source).cast("string").alias("source"), size.alias("size"), e.alias("e"))
     return taken(docs, plan(store(sized, "sizes"), weights, total, most), who, size, e, F.col(source).cast("string"), into)
 

@@ -73,6 +73,14 @@ def test_better_documents_are_taken_more_often(spark):
     assert taken[0, 2] > 1.5 * taken[1, 2] and sum(taken.values()) == 2000
 
 
+def test_mix_without_ids(spark):
+    docs = spark.createDataFrame([(None, f"w{i} " * (1 + i % 7), "a" if i % 3 else "b") for i in range(600)], "doc_id LONG, text STRING, source STRING")
+    runs = [sorted(map(repr, mixing.mix(docs).select("text", "mixed.*", "source").collect())) for _ in range(2)]
+    assert runs[0] == runs[1]
+    for r in mixing.mix(docs).groupBy("source").agg(F.sum("mixed.taken").alias("taken"), F.max("mixed.target").alias("target")).collect():
+        assert abs(r.taken - r.target) <= 7 / 2
+
+
 def test_mix_edges(spark, edge_docs, no_docs):
     got = mixing.mix(edge_docs, into="score")
     assert got.columns == [*[c for c in edge_docs.columns if c != "score"], "score"]
