@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from fernsift.functions import text as T
+from fernsift.functions.fixpoint import stored
 from fernsift.operators.lines import evidence_flags, is_eligible, mask_match
 from fernsift.operators.rule_catalog import FLAGS, STRUCTURAL_RULES, Rule, default_rules
 
@@ -230,14 +231,16 @@ def _grams(lower: str) -> str:
 def _scan_table(lines: DataFrame, rules: DataFrame) -> DataFrame:
     """Lines and rules meet where a line has a rule's gram; what meets is tested for its literals, then by its pattern.
 
-    The index is far smaller than the lines, so Spark broadcasts it while it knows it to be below its threshold and shuffles
-    grams beyond it. A line meets a rule once: under the first of its literals that the line holds.
+    The index is stored first, so Spark knows its size and broadcasts it while it is below its threshold. The grams of lines that no
+    rule has are dropped where they are made, by the index's grams, which the alphabet of literals bounds: beyond the
+    threshold only grams that rules have are shuffled. A line meets a rule once: under the first of its literals that the line holds.
     """
     own = "_"
     while any(c.startswith(own) for c in lines.columns):
         own += "_"
-    index = rule_index(rules)
+    index = stored(rule_index(rules))
     index = index.select(*[F.col(c).alias(own + c) for c in index.columns])
+    grams = F.broadcast(index.select(f"{own}_gram").distinct())
     lower, word, pattern, family = (own + c for c in ("_lower", "_word", "_pattern", "family"))
     found = (
         f"contains({lower}, {word}) AND NOT exists({own}_earlier, w -> contains({lower}, w))"
@@ -247,6 +250,7 @@ def _scan_table(lines: DataFrame, rules: DataFrame) -> DataFrame:
     return (
         lines.withColumn(lower, F.lower("text"))
         .withColumn(f"{own}_gram", F.explode(F.expr(_grams(lower))))
+        .join(grams, f"{own}_gram", "left_semi")
         .join(index, f"{own}_gram")
         .filter(F.expr(found))
         .select(

@@ -131,3 +131,16 @@ def test_file_scope_reaches_over_lines(sources):
 )
 def test_base_severity(rule_id, level):
     assert R.base_severity(rule_id) == level
+
+
+def test_lines_stay_where_they_are_for_a_rule_table(lines, spark):
+    """Neither a small table nor one beyond the threshold shuffles the grams of lines that no rule has."""
+    table = R.literal_table(spark, K.default_rules())
+    small = R.scan_rules(lines, table)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in small and "ShuffledHashJoin" not in small
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = R.scan_rules(lines, table)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "LeftSemi" in large.split("SortMergeJoin", 1)[1]
