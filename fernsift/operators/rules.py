@@ -129,18 +129,24 @@ def _present(groups: list[tuple[tuple[str, ...], list[Rule]]]) -> Column:
     )
 
 
-BUCKET = 16
+def _chosen(tests: list[str], first: int = 0) -> str:
+    """SQL: the test of the group whose number is g, found by halving."""
+    if len(tests) == 1:
+        return tests[0]
+    middle = len(tests) // 2
+    return f"IF(g < {first + middle}, {_chosen(tests[:middle], first)}, {_chosen(tests[middle:], first + middle)})"
 
 
 def _hits(groups: list[tuple[tuple[str, ...], list[Rule]]]) -> Column:
     """Array of the rules that match one line, from the columns text, _lower and _present.
 
     The tests are the body of a lambda, which Spark evaluates without generating code for it: some
-    hundred regexes in one generated method would exceed the size limit of the JVM.
+    hundred regexes in one generated method would exceed the size limit of the JVM. A line takes the numbers of the groups that are
+    present in it to their tests, so the groups that are not cost nothing.
     """
     none = "CAST(array() AS array<struct<rule_id:string,family:string,base_severity:string,matched:string>>)"
-    buckets, always = defaultdict(list), []
-    for number, (literals, members) in enumerate(groups):
+    tested = []
+    for literals, members in groups:
         tests = []
         for rule in members:
             severity = rule.severity or base_severity(rule.rule_id)
@@ -152,21 +158,13 @@ def _hits(groups: list[tuple[tuple[str, ...], list[Rule]]]) -> Column:
                 f" 'family', {_text(rule.family)}, 'base_severity', {_text(severity)},"
                 f" 'matched', {matched}) END"
             )
-        tested = f"array_compact(array({', '.join(tests)}))"
-        if literals:
-            tested = f"CASE WHEN array_contains(_present, {number}) THEN {tested} ELSE {none} END"
-            buckets[number // BUCKET].append(tested)
-        else:
-            always.append(tested)
-    # few groups are present in a line, so most buckets are passed over as a whole
-    parts = [
-        f"CASE WHEN exists(_present, g -> g DIV {BUCKET} = {bucket})"
-        f" THEN flatten(array({', '.join(tests)})) ELSE {none} END"
-        for bucket, tests in buckets.items()
-    ]
-    found = f"flatten(flatten(transform(array(0), x -> array({', '.join(parts + always)}))))"
-    if all(literals for literals, _ in groups):
-        found = f"CASE WHEN size(_present) > 0 THEN {found} END"
+        tested.append(f"array_compact(array({', '.join(tests)}))")
+    always = [tests for (literals, _), tests in zip(groups, tested, strict=True) if not literals]
+    listed = f"flatten(transform(_present, g -> {_chosen(tested)}))" if tested else none
+    found = f"CASE WHEN size(_present) > 0 THEN {listed} END"
+    if always:
+        plain = f"flatten(transform(array(0), x -> {always[0]}))"
+        found = f"concat(coalesce({found}, {none}), {plain})"
     return F.expr(found)
 
 
