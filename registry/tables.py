@@ -118,6 +118,29 @@ FROM (SELECT event_id, md5(CAST(event_id AS STRING)) AS h,
       FROM {events}) e) x"""
 
 
+def _made_sql(events: str) -> str:
+    """The rows of ``code_lines_sql`` for Spark: the template of a line is looked up by its number and its parts are put in.
+
+    One branch per template is more code than the JVM compiles. ``$`` becomes ``!``, as Spark puts variables in for ``${...}`` in SQL.
+    """
+    quoted = ", ".join("'" + x.replace("$", "!") + "'" for x in TEMPLATES)
+    of = lambda part: ", ".join(str(i) for i, x in enumerate(TEMPLATES) if "{%s}" % part in x)
+    step = len(TEMPLATES)
+    translated = lambda of, start, to: f"translate(substr(md5(CAST({of} AS STRING)), {start}, 14), '0123456789abcdef', '{to}')"
+    m = ", ".join([translated("event_id", 1, "gh1jZkVm7nQpwRtX"), translated("event_id", 15, "KyuLsWBDF3G5HJ8a"),
+                   translated("event_id + 1", 1, "CNvxTEM2zbcdfq6P")])
+    hashed = "replace(replace(t, '{h}', md5(CAST(event_id AS STRING))), '{H}', upper(substr(md5(CAST(event_id AS STRING)), 1, 16)))"
+    return f"""
+SELECT concat('f', CAST(CAST(floor(event_id / {LINES_PER_FILE}) AS BIGINT) AS STRING), '.js') AS file,
+       CAST(event_id % {LINES_PER_FILE} + 1 AS INT) AS line,
+       translate(CASE WHEN k IN ({of('h')}, {of('H')}) THEN {hashed} WHEN k IN ({of('m')}) THEN replace(t, '{{m}}', concat({m})) ELSE t END,
+                 '~^!', concat(chr(39), chr(92), '$')) AS text
+FROM (SELECT event_id, k, replace(replace(get(array({quoted}), CAST(k AS INT)),
+             '{{n}}', CAST((event_id * 7 + CAST(floor(event_id / 11) AS BIGINT)) % 6 AS STRING)),
+             '{{p}}', CAST((event_id * 3 + CAST(floor(event_id / 7) AS BIGINT)) % 6 AS STRING)) AS t
+      FROM (SELECT event_id, (event_id + CAST(floor(event_id / {step}) AS BIGINT) * 5) % {step} AS k FROM {events}) e) x"""
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -130,7 +153,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     spread(read(spark, sf_dir, "events").select("event_id")).createOrReplaceTempView("fernsift_events")
-    made = spark.sql(code_lines_sql("fernsift_events"))
+    made = spark.sql(_made_sql("fernsift_events"))
     # a stored table has its text as a column; the one-element array keeps filters from copying
     # the long expression that makes it here
     return made.select("file", "line", F.explode(F.array("text")).alias("text"))
