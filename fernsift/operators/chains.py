@@ -69,6 +69,13 @@ def completes(codes: Column, steps: list[str]) -> Column:
     return end == len(steps)
 
 
+def ends_made(code: Column, steps: list[str]) -> Column:
+    """Bit 0: the line has the first step; bit 1: it has the last. Lines that make a chain have both between them."""
+    last = _digit(code, F.lit(len(steps) - 1)) == len(steps)
+    made = F.when(_digit(code, F.lit(0)) > 0, 1).otherwise(0).cast("long")
+    return F.coalesce(made.bitwiseOR(F.when(last, 2).otherwise(0).cast("long")), F.lit(0).cast("long"))
+
+
 def _digit(code: Column, place: Column) -> Column:
     return F.call_function("shiftright", code, place * _BITS).bitwiseAND((1 << _BITS) - 1)
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fernsift.functions import text as T
 from fernsift.functions.frames import BLOCK, running_sum, sliding
-from fernsift.operators.chains import FLAGS, advances, completes, echo_facts, echoes, is_echo, steps_of
+from fernsift.operators.chains import FLAGS, advances, completes, echo_facts, echoes, ends_made, is_echo, steps_of
 from fernsift.operators.lines import is_eligible
 
 # Words for values that come from outside, words for cleaning them, security words.
@@ -113,6 +115,9 @@ def context_tainted_vars(lines: DataFrame, window: int = 25) -> DataFrame:
     )
 
 
+MARKS = 30  # chains in one number, two bits each
+
+
 def detect_chains(
     lines: DataFrame, chains=CHAINS, look_back: int = 10, block: int = BLOCK
 ) -> DataFrame:
@@ -120,6 +125,7 @@ def detect_chains(
 
     Texts are not shuffled for this: windows see what a line does to each chain, in a few numbers. Only the lines on which a chain
     holds are joined with their texts, for the evidence.
+    A window is gone through for a chain only if one of its lines has the first step and one has the last.
     """
     steps = [steps_of(pattern) for pattern, *_ in chains]
     plain = [k for k, s in enumerate(steps) if not is_echo(s)]
@@ -127,15 +133,21 @@ def detect_chains(
     text = F.col("text")
     codes = [advances(text, steps[k]).cast("long") for k in plain]
     any_step = text.rlike(FLAGS + "(?:" + "|".join(x for k in plain for x in steps[k]) + ")") if plain else F.lit(False)
-    compact = lines.select(
+    compact = lines.filter(is_eligible(text)).select(
         "file",
         "line",
-        is_eligible(text).alias("_is"),
         F.when(any_step, F.array(*codes)).alias("_codes"),
-        *[F.when(is_eligible(text), echo_facts(text, steps[k])).alias(f"_echo{k}") for k in echo],
+        *[echo_facts(text, steps[k]).alias(f"_echo{k}") for k in echo],
+    )
+    counted = running_sum(compact, ["file"], "line", F.lit(1), "_nth", block)
+    ends_of = [ends_made(F.get("_codes", F.lit(at)), steps[k]) for at, k in enumerate(plain)]
+    marks = [ends_of[at : at + MARKS] for at in range(0, len(plain), MARKS)]
+    counted = counted.withColumns(
+        {f"_ends_of{i}": reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(e, 2 * j) for j, e in enumerate(part)]) for i, part in enumerate(marks)}
     )
-    counted = running_sum(compact, ["file"], "line", F.col("_is").cast("int"), "_nth", block).filter("_is")
     windows = {"_all": lambda w: F.collect_list("_codes").over(w)}
+    for i in range(len(marks)):
+        windows[f"_some{i}"] = lambda w, i=i: F.bit_or(f"_ends_of{i}").over(w)
     for k in echo:
         windows[f"_starts{k}"] = lambda w, k=k: F.bool_or(f"_echo{k}.starts").over(w)
         windows[f"_ends{k}"] = lambda w, k=k: F.bool_or(f"_echo{k}.ends").over(w)
@@ -145,7 +157,10 @@ def detect_chains(
     def of_chain(at: int) -> Column:
         return F.filter(F.transform("_all", lambda c: F.get(c, F.lit(at))), lambda c: c.isNotNull())
 
-    held = {k: (F.size("_all") > 0) & completes(of_chain(at), steps[k]) for at, k in enumerate(plain)}
+    def both_ends(at: int) -> Column:
+        return F.shiftright(f"_some{at // MARKS}", 2 * (at % MARKS)).bitwiseAND(3) == 3
+
+    held = {k: both_ends(at) & F.when(both_ends(at), completes(of_chain(at), steps[k])) for at, k in enumerate(plain)}
     held |= {k: F.col(f"_starts{k}") & F.col(f"_ends{k}") & F.when(F.col(f"_starts{k}") & F.col(f"_ends{k}"), echoes(F.col(f"_facts{k}"))) for k in echo}
     hits = F.array_compact(
         F.array(

@@ -27,11 +27,12 @@ def scan_v2(sources: DataFrame, rules=None, window: int = 25, chains=CHAINS, sco
 
     (file, line, type, severity, evidence, phase). With ``scope="rule"`` the rules that are written to span lines are
     matched against whole texts, and credited to the line on which a match begins; else all are matched against lines.
-    Rules given as a table are matched against lines.
+    Rules given as a table are matched against lines. Texts are written to the shared folder once, as every part reads them.
     """
     as_table = isinstance(rules, DataFrame)
     if as_table and scope == "rule":
         raise ValueError("rules that span lines are given as a list, not as a table")
+    sources = pin(sources)
     lines = explode_lines(sources, mode="universal")
     shape = ["file", "line", "type", "severity", "evidence"]
     flows = flow_scan_single_pass(lines).select(*shape, F.lit(0).alias("phase"))
@@ -112,8 +113,7 @@ def run_job(
         F.first("code").alias("content")
     )
     sources = texts.select(F.col("hash").alias("file"), F.col("content").alias("text"))
-    # the earlier engine reads its texts several times, the live one writes them decoded
-    found = scan_v2(pin(sources)) if engine == "v2" else format_evidence(scan(sources))
+    found = scan_v2(sources) if engine == "v2" else format_evidence(scan(sources))
     placed = found.withColumnRenamed("file", "source_hash").join(
         assets.select("asset_id", "source_hash"), "source_hash"
     )

@@ -147,3 +147,12 @@ def test_running_and_halving(spark):
     found = spark.createDataFrame([(ordered, x) for x in range(-5, 12)], "o ARRAY<INT>, x INT").select("x", T.first_at_least(F.col("o"), F.col("x")).alias("k")).collect()
     assert {r.x: r.k for r in found} == {x: sum(o < x for o in ordered) for x in range(-5, 12)}
     assert spark.createDataFrame([([], 1)], "o ARRAY<INT>, x INT").select(T.first_at_least(F.col("o"), F.col("x")).alias("k")).first().k == 0
+
+
+def test_more_chains_than_one_number_marks(sources, monkeypatch):
+    """Which chains a window may hold is kept in numbers of a few chains each; a window without both ends is not gone through."""
+    monkeypatch.setattr(C, "MARKS", 2)
+    own = [(rf"a{i}[^\n]*b{i}[^\n]*c{i}", f"C{i}", "LOW", "mine") for i in range(5)]
+    lines = explode_lines(sources(f="a0 a3\nb0 b3 c4\nc0 c3 // a4", g="c1\nb1\na1", h="a2 c2", i="a2\n\nb2\nwww.w3.org\nc2"))
+    found = C.detect_chains(lines, own)
+    assert sorted((r.file, r.line, r.type) for r in found.collect()) == [("f", 3, "C0"), ("f", 3, "C3"), ("i", 5, "C2")]
