@@ -108,7 +108,7 @@ def backtrack(
 
     Ways may be as long as they are, unless ``max_depth`` is given. Ties between equally short ways go to the earlier line, then to the name.
     """
-    live = sources.filter(T.contains_any(F.col("text"), sinks))
+    live = pin(sources.filter(T.contains_any(F.col("text"), sinks)))
     lines = explode_lines(live)
     starts = pin(find_sink_vars(lines, sinks))
     assigned = extract_assignments(lines).filter(

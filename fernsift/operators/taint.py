@@ -458,8 +458,11 @@ def analyze(
     max_rounds: int | None = None,
     block: int = BLOCK,
 ) -> Taint:
-    """Symbols and flows of all files. Texts without a source word cannot have any and are left out."""
-    live = sources.filter(T.contains_any(F.col("text"), taint_sources))
+    """Symbols and flows of all files. Texts without a source word cannot have any and are left out.
+
+    The others are written to the shared folder once, as functions, assignments, calls and sinks are read from them.
+    """
+    live = pin(sources.filter(T.contains_any(F.col("text"), taint_sources)))
     lines = explode_lines(live)
     functions = pin(extract_functions(lines))
     found = pin(extract_assignments(lines))
@@ -473,7 +476,7 @@ def analyze(
         .unionByName(in_functions)
         .dropDuplicates(["file", "line", "name"])
     )
-    references = _references(definitions)
+    references = pin(_references(definitions))
     resolved = pin(_resolve(definitions, references, block))
     tainted = _declared(definitions, resolved, references)
     credited = _credited(definitions, resolved, tainted)

@@ -14,6 +14,7 @@ from fernsift.operators.context import SANITIZER_WORDS, USER_INPUT_WORDS
 from fernsift.operators.findings import as_findings
 from fernsift.operators.lines import explode_lines
 from fernsift.functions import text as T
+from fernsift.functions.fixpoint import pin
 from registry import tables as t
 from registry.line_queries import CODE
 from registry.taint_sql import SYMBOLS
@@ -147,9 +148,9 @@ add(
 
 def calls_alone(spark, sf):
     """Taint through calls only: names of one seed each, functions and calls of the files."""
-    files = t.code_files(spark, sf)
+    files = pin(t.code_files(spark, sf))
     lines = explode_lines(files)
-    symbols = (
+    symbols = pin(
         A.function_params(A.extract_functions(lines)).select("file", F.col("param").alias("name")).distinct()
         .join(seeded(spark, sf).drop("visible", "scope_ord"), ["file", "name"], "full")
         .select(
