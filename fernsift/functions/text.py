@@ -90,6 +90,16 @@ def group_or_null(text: Column, pattern: str, group: int) -> Column:
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
 
 
+def at_word_starts(pattern: str) -> str:
+    """A pattern that begins with ``(\\w+`` and goes on with what is no part of a word, tried at the starts of words only.
+
+    What matches from within a word matches from its start too, so the matches are the same, as long as none ends within a word; but a
+    word is read once, not once for each of its characters.
+    """
+    assert pattern.startswith(r"(\w+")
+    return r"(?<!\w)(\w++" + pattern.removeprefix(r"(\w+")
+
+
 def newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
@@ -99,9 +109,10 @@ def matches(text: Column, pattern: str, groups: Iterable[int] = (0,)) -> Column:
 
     Array of ``struct(line INT, stop INT, g0 STRING, g<i> STRING ...)``; ``stop`` is the number of
     characters up to the end of the match. The text between two matches is what ``split`` leaves,
-    so both are running counts over the gaps and matches before.
+    so both are running counts over the gaps and matches before. A text without a match is read once.
     """
     names = ["g0", *[f"g{g}" for g in groups if g]]
+    none = F.array().cast(f"array<struct<line:int,stop:int,{','.join(f'{n}:string' for n in names)}>>")
 
     def rows(whole: Column) -> Column:
         gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole))
@@ -113,7 +124,7 @@ def matches(text: Column, pattern: str, groups: Iterable[int] = (0,)) -> Column:
             lambda m: F.struct(m["at"]["line"].alias("line"), m["at"]["stop"].alias("stop"), *[m[n].alias(n) for n in names]),
         )
 
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), rows)
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda whole: F.when(F.size(whole) == 0, none).otherwise(rows(whole)))
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

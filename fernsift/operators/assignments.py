@@ -121,10 +121,10 @@ def assign_scopes(lines: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def extract_calls(sources: DataFrame) -> DataFrame:
     """(file, nth, name, args) of the calls in a text, in text order; calls may span lines."""
-    text = F.col("text")
+    text, pattern = F.col("text"), F.lit(T.at_word_starts(CALL))
     calls = F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(CALL), F.lit(1)).alias("name"),
-        F.regexp_extract_all(text, F.lit(CALL), F.lit(2)).alias("inside"),
+        F.regexp_extract_all(text, pattern, F.lit(1)).alias("name"),
+        F.regexp_extract_all(text, pattern, F.lit(2)).alias("inside"),
     )
     return (
         sources.select("file", F.posexplode(calls).alias("nth", "_c"))

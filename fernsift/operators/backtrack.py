@@ -94,7 +94,10 @@ def named_source(name: Column, sources=BACKTRACK_SOURCES, compat: bool = True) -
         tail = F.lit(source.split(".")[-1])
         return name.contains(source) | (tail.contains(name) if compat else tail == name)
 
-    return F.when(name != "", F.coalesce(*[F.when(fits(s), F.lit(s)) for s in sources]))
+    # most names fit none: one look at the ends of all words tells that
+    ends = list(dict.fromkeys(s.split(".")[-1] for s in sources))
+    likely = T.contains_any(name, sources) | (F.lit("\n".join(ends)).contains(name) if compat else name.isin(ends))
+    return F.when((name != "") & likely, F.coalesce(*[F.when(fits(s), F.lit(s)) for s in sources]))
 
 
 def backtrack(
@@ -124,10 +127,12 @@ def backtrack(
         .union(uses.select("file", F.col("ref").alias("name")))
         .distinct()
     )
-    direct = names.select(
-        "file", "name", named_source(F.col("name"), source_words, compat).alias("source"),
-        F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("rhs"),
-    ).filter(F.col("source").isNotNull())
+    direct = pin(
+        names.select(
+            "file", "name", named_source(F.col("name"), source_words, compat).alias("source"),
+            F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("rhs"),
+        ).filter(F.col("source").isNotNull())
+    )
     from_value = (
         assigned.withColumn("source", T.first_of(F.col("rhs"), source_words))
         .filter(F.col("source").isNotNull())

@@ -133,9 +133,9 @@ def _steps(compat: bool) -> list[tuple[str, str, str, Callable]]:
     return [
         ("hex", "\\x", HEX, lambda raw, text: decode_hex(raw)),
         ("unicode", "\\u", UNICODE, lambda raw, text: decode_unicode(raw)),
-        ("array", "[", ACCESS if compat else ACCESS_WITH_HEX,
+        ("array", "[", T.at_word_starts(ACCESS if compat else ACCESS_WITH_HEX),
          lambda raw, known: decode_access(raw, known["arrays"], known["names"], compat)),
-        ("bracket", "[", BRACKET, lambda raw, text: decode_bracket(raw)),
+        ("bracket", "[", T.at_word_starts(BRACKET), lambda raw, text: decode_bracket(raw)),
         ("concat", "+", CHAIN, lambda raw, text: fold_chain(raw)),
         ("base64", "atob", BASE64, lambda raw, text: decode_base64(raw)),
         ("charcode", "fromCharCode", CHAR_CODES, lambda raw, text: decode_char_codes(raw)),

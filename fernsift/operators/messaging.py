@@ -95,15 +95,11 @@ def postmessage_handlers(sources: DataFrame, reach: int | None = None) -> DataFr
     is found twice.
     """
     text = F.col("text")
-    none = F.array().cast("array<struct<line:int,stop:int,pattern:int>>")
 
     def hit(number: int):
         return lambda m: F.struct(m["line"].alias("line"), m["stop"].alias("stop"), F.lit(number).alias("pattern"))
 
-    parts = [
-        F.when(text.rlike(pattern), F.transform(T.matches(text, pattern), hit(number))).otherwise(none)
-        for number, pattern in enumerate(HANDLER_PATTERNS)
-    ]
+    parts = [F.transform(T.matches(text, pattern), hit(number)) for number, pattern in enumerate(HANDLER_PATTERNS)]
 
     def rows(hits: Column) -> Column:
         return T.let(
@@ -162,14 +158,16 @@ def check_handlers(handlers: DataFrame) -> DataFrame:
 def postmessage_calls(sources: DataFrame) -> DataFrame:
     """Calls that send a message: (file, line, target, data, origin)."""
     text = F.col("text")
-    hits = F.when(text.contains(".postMessage"), T.matches(text, CALL_PATTERN, (1, 2, 3)))
+    pattern = T.at_word_starts(CALL_PATTERN)
+    hits = F.when(text.contains(".postMessage"), T.matches(text, pattern))
     found = sources.select("file", F.explode_outer(hits).alias("_m")).filter(F.col("_m").isNotNull())
+    part = lambda group: F.regexp_extract(F.col("_m.g0"), pattern, group)
     return found.select(
         "file",
         "_m.line",
-        F.col("_m.g1").alias("target"),
-        T.strip(F.col("_m.g2")).alias("data"),
-        T.strip(F.col("_m.g3")).alias("origin"),
+        part(1).alias("target"),
+        T.strip(part(2)).alias("data"),
+        T.strip(part(3)).alias("origin"),
     )
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fernsift.functions import text as T
+from fernsift.operators import assignments as A
 from fernsift.operators import chains
 from fernsift.operators import context as C
 from fernsift.operators import decode as D
@@ -175,3 +176,30 @@ def test_texts_are_made_once(spark, sources, name):
     derived_texts = texts.select("file", derived.asNondeterministic()("text").alias("text"))
     {"analyze": lambda s: X.analyze(s).flows, "scan_v2": scan_v2}[name](derived_texts).collect()
     assert made.value == 2
+
+
+@pytest.mark.parametrize("pattern", [A.CALL, M.CALL_PATTERN, D.ACCESS, D.ACCESS_WITH_HEX, D.BRACKET])
+def test_patterns_at_word_starts_find_the_same(spark, pattern):
+    rng = random.Random(pattern)
+    parts = ["a", "b_1", "w", ".", ".postMessage", "postMessage", "(", ")", ",", "[", "]", "0x1", "7", "'k'", "['k']", "'k\"", " ", "\n", "é", "$"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 60))) for _ in range(2000)]
+    texts += ["a.w.postMessage(x, y)(b)", "ab(c)[0]d['k']['k']", "a[0][0x1]b.c[7]"]
+    df = spark.createDataFrame([(x,) for x in texts], "text STRING")
+    both = [F.transform(T.matches(F.col("text"), p), lambda m: F.concat_ws(":", m["line"], m["stop"], m["g0"])) for p in (pattern, T.at_word_starts(pattern))]
+    got = df.select("text", both[0].alias("a"), both[1].alias("b")).collect()
+    assert [r.text for r in got if r.a != r.b] == []
+    assert sum(len(r.a) for r in got) > 5
+
+
+def test_a_long_word_is_read_once(sources):
+    """Patterns that begin with a word were tried at each of its characters: 4 * 10 ** 10 steps."""
+    word = "a" * 300_000
+    assert seconds(A.extract_calls(sources(f=word))) < 15
+    assert seconds(M.postmessage_calls(sources(f=word + "; a.postMessage"))) < 15
+    assert seconds(D.apply_decoded(sources(f="var a = ['x', 'y']; b[0] + " + word))) < 15
+
+
+def test_matches_of_nothing(spark):
+    df = spark.createDataFrame([("a\nb1",), ("",), ("c",), (None,)], "text STRING")
+    got = df.select(F.transform(T.matches(F.col("text"), r"b(\d)", (1,)), lambda m: F.concat_ws(":", m["line"], m["stop"], m["g1"])).alias("m"))
+    assert [r.m for r in got.collect()] == [["2:4:1"], [], [], None]
