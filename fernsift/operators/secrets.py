@@ -102,11 +102,10 @@ def _found(sources: DataFrame, patterns: dict[str, str], flags: str) -> DataFram
     def of_pattern(kind: str, pattern: str, lines: Column) -> Column:
         group = min(re.compile(pattern).groups, 1)
         hits = F.transform(T.matches(F.col("text"), flags + pattern, (group,)), as_row(kind, group, lines))
-        test = F.col("text").rlike(flags + pattern)
         for words in anchors(pattern)[:1]:
             implied = [w for w in literals if any(a in w for a in words)]
-            test = F.arrays_overlap("_found", F.array(*map(F.lit, implied))) & test
-        return F.when(test, hits).otherwise(none)
+            hits = F.when(F.arrays_overlap("_found", F.array(*map(F.lit, implied))), hits).otherwise(none)
+        return hits
 
     # the patterns run in the body of a lambda, which keeps the generated code small
     def of_lines(lines: Column) -> Column:
