@@ -42,6 +42,15 @@ def _word(token: Column) -> Column:
     return F.when(token.rlike("[0-9]"), F.lit(FIELD)).otherwise(token)
 
 
+def _masked(tidy: Column) -> Column:
+    """A tidy line with its variable fields masked; most lines have no digit, and their words are not gone through."""
+    return F.when(tidy.rlike("[0-9]"), F.array_join(F.transform(F.split(tidy, " "), _word), " ")).otherwise(tidy)
+
+
+def _words(masked: Column) -> Column:
+    return F.split(masked, " ")
+
+
 def _uneven(text: Column) -> Column:
     """Whether words stand apart by anything but single blanks; few texts have to be gone through by a pattern for it."""
     return reduce(Column.__or__, [F.contains(text, F.lit(x)) for x in ("  ", "\t", "\x0b", "\x0c", "\r")])
@@ -66,7 +75,7 @@ def _lines(docs: DataFrame, text: str, least_documents: int) -> DataFrame:
     # one filled array keeps the filter from working the words out a second time
     tidy = narrow.withColumn("tidy", F.explode(F.array(_tidy(F.col("line"), F.col("uneven"))))).filter("tidy <> ''")
     n = F.octet_length("tidy") - F.octet_length(F.replace(F.col("tidy"), F.lit(" "), F.lit(""))) + 1
-    first = F.transform(F.split(F.substring_index(F.col("tidy"), " ", DEPTH), " "), _word)
+    first = _words(_masked(F.substring_index(F.col("tidy"), " ", DEPTH)))
     counted = tidy.withColumn("n", n)
     need = F.when(F.col("n") >= LONG_WORDS, F.lit(min(LONG_DOCUMENTS, least_documents))).when(F.col("n") < SHORT_WORDS, F.lit(max(SHORT_DOCUMENTS, least_documents)))
     return counted.select(
@@ -90,21 +99,53 @@ def _stretches(words: Column, n: Column) -> Column:
     return F.when(n <= DEPTH, none).otherwise(F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.xxhash64(stretch(k))))
 
 
-def _instances(equal: DataFrame) -> DataFrame:
-    """``leaf``, ``same``, ``template`` of the lines that agree with the template of their stretch."""
-    each = equal.select("leaf", "same", "need", "docs", F.posexplode(_stretches(F.col("words"), F.size("words"))).alias("k", "part"))
+def _chosen(equal: DataFrame) -> DataFrame:
+    """``leaf``, ``same``, ``need``, ``docs``, ``template``: the stretch of each line that most documents have, the first of several."""
+    each = equal.select("leaf", "same", "need", "docs", F.posexplode("parts").alias("k", "part"))
     weight = each.groupBy("leaf", "k", "part").agg(F.sum("docs").alias("weight")).filter("weight > 1")
-    chosen = each.join(weight, ["leaf", "k", "part"]).groupBy("leaf", "same", "need").agg(F.max(F.struct("weight", -F.col("k"), "part")).alias("top"))
-    group = F.xxhash64("leaf", "top.col2", "top.part").alias("template")
-    grouped = chosen.filter("top.weight >= need").select("leaf", "same", group).join(equal.select("leaf", "same", "docs", "words"), ["leaf", "same"])
-    grouped = store(grouped, "grouped-lines")
-    words = grouped.select("template", "docs", F.posexplode("words").alias("i", "word")).groupBy("template", "i", "word").agg(F.sum("docs").alias("docs"))
+    # numbers alone, so that they are summed up in place and not sorted
+    order = (F.col("weight") * F.lit(1 << 31) + (F.lit((1 << 31) - 1) - F.col("k"))).alias("order")
+    sized = each.join(weight, ["leaf", "k", "part"]).select("leaf", "same", "need", "docs", order, F.xxhash64("leaf", -F.col("k"), "part").alias("template"))
+    top = sized.groupBy("leaf", "same", "need", "docs").agg(F.max("order").alias("order"), F.max_by("template", "order").alias("template"))
+    return top.filter(F.col("order") >= F.col("need") * F.lit(1 << 31)).select("leaf", "same", "need", "docs", "template")
+
+
+def _instances(equal: DataFrame) -> DataFrame:
+    """``leaf``, ``same``, ``template`` of the lines that agree with the template of their stretch, where enough documents may have it.
+
+    A template is voted for word by word only where it takes a vote. A line in more than half of the documents has the most
+    frequent word everywhere; of two lines in equally many documents it is the greater word.
+    """
+    chosen = store(_chosen(equal), "chosen-lines")
+    by_template = chosen.groupBy("template", "need").agg(
+        F.count("*").alias("lines"), F.sum("docs").alias("all"), F.max("docs").alias("most"), F.max_by("same", "docs").alias("leader")
+    )
+    grouped = chosen.join(by_template.filter(F.col("all") >= F.col("need")), ["template", "need"])
+    alone = grouped.filter("lines = 1").select("leaf", "same", "template")
+    led, words = F.col("most") * 2 > F.col("all"), equal.select("leaf", "same", "words")
+    several = grouped.filter("lines > 1").select("leaf", "same", "docs", "template", led.alias("led"), (F.col("lines") == 2).alias("pair"), "leader")
+    several = store(several.join(words, ["leaf", "same"]), "grouped-lines")
+    plain = several.filter("led OR pair").drop("docs", "pair")
+    beside = several.filter("led AND same = leader OR pair AND NOT led").select("template", F.col("same").alias("other"), F.col("words").alias("theirs"))
+    both = plain.join(beside, "template").filter("led OR same <> other")
+    alike = F.zip_with(_words(F.col("words")), _words(F.col("theirs")), lambda a, b: (a == b) | (~F.col("led") & (a > b)))
+    return alone.unionByName(_agreeing(both, alike)).unionByName(_voted(several.filter("NOT (led OR pair)")))
+
+
+def _agreeing(lines: DataFrame, alike: Column) -> DataFrame:
+    """Lines that have the template's word in enough of their positions; ``alike`` says it for each."""
+    enough = F.size(F.filter(alike, lambda x: x)) >= AGREE * F.size(_words(F.col("words")))
+    return lines.filter(enough).select("leaf", "same", "template")
+
+
+def _voted(grouped: DataFrame) -> DataFrame:
+    words = grouped.select("template", "docs", F.posexplode(_words(F.col("words"))).alias("i", "word")).groupBy("template", "i", "word").agg(F.sum("docs").alias("docs"))
     most = words.groupBy("template", "i").agg(F.max(F.struct("docs", "word")).alias("top"), F.sum("docs").alias("all"))
     fixed = most.select("template", "i", F.when(F.col("top.docs") * 2 >= F.col("all"), F.col("top.word")).alias("word"))
     in_order = F.transform(F.sort_array(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]).alias("fixed")
     templates = fixed.groupBy("template").agg(in_order)
-    same = F.size(F.filter(F.zip_with("words", "fixed", lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x))
-    return grouped.join(templates, "template").filter(same >= AGREE * F.size("words")).select("leaf", "same", "template")
+    alike = F.zip_with(_words(F.col("words")), "fixed", lambda a, b: F.coalesce(a == b, F.lit(False)))
+    return _agreeing(grouped.join(templates, "template"), alike)
 
 
 def recurring_lines(docs: DataFrame, text: str = "text", least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
@@ -112,15 +153,18 @@ def recurring_lines(docs: DataFrame, text: str = "text", least_documents: int =
     # texts are cut once; what reads the numbers of lines alone leaves their words in the files
     lines = store(_lines(docs, text, least_documents).select("body", "place", "chars", "leaf", "need", F.xxhash64("line").alias("whole_line"), "tidy"), "lines")
     light = lines.drop("tidy")
-    words = F.transform(F.split("tidy", " "), _word).alias("words")
-    # by a shuffle whatever the number of leaves, so that the plan for much text is that for little
-    held = lines.join(_in_enough(light, ["leaf"]).hint("merge"), "leaf", "left_semi").select("body", "place", "chars", "leaf", "need", words)
+    words = _masked(F.col("tidy")).alias("words")
+    # by a shuffle whatever the number of leaves, so that the plan for much text is that for little; only the leaves are held, lines are not sorted
+    held = lines.join(_in_enough(light, ["leaf"]).hint("shuffle_hash"), "leaf", "left_semi").select("body", "place", "chars", "leaf", "need", words)
     held = store(held.withColumn("same", F.xxhash64("words")), "leaf-lines")
     of_text = store(held.select("leaf", "same", "need", "body").distinct(), "lines-of-texts")
     counts = of_text.groupBy("leaf", "same").agg(F.count("*").alias("docs"))
-    equal = store(held.groupBy("leaf", "same", "need").agg(F.first("words").alias("words")).join(counts, ["leaf", "same"]), "equal-lines")
+    equal = held.groupBy("leaf", "same", "need").agg(F.first("words").alias("words")).join(counts, ["leaf", "same"])
+    split = F.explode(F.array(_words(F.col("words")))).alias("each")  # once, also for the length
+    equal = equal.select("*", split).withColumn("n", F.size("each"))
+    equal = store(equal.withColumn("parts", _stretches(F.col("each"), F.col("n"))).drop("each"), "equal-lines")
     found = [equal.filter("docs >= need").select("leaf", "same", F.xxhash64("leaf", "same").alias("template"), F.lit(1).alias("own"))]
-    left = equal.filter(F.size("words") >= SHORT_WORDS)
+    left = equal.filter(F.col("n") >= SHORT_WORDS).drop("n")
     while True:  # each round takes lines away, and the last one finds none
         instances = store(_instances(left), "instances")
         several = _in_enough(instances.join(of_text, ["leaf", "same"]), ["template"])
@@ -134,7 +178,7 @@ def recurring_lines(docs: DataFrame, text: str = "text", least_documents: int =
     # the template of a stretch holds all lines that are the same, so it stands for both
     one = reduce(DataFrame.unionByName, found).groupBy("leaf", "same").agg(F.min_by("template", "own").alias("template"))
     recurring = store(held.drop("words").join(one, ["leaf", "same"]).select("body", "place", "chars", "need", "template").distinct(), "recurring-lines")
-    counted = recurring.join(_copies(light, recurring), "body", "left").withColumn("text_id", F.coalesce("copy_of", "body"))
+    counted = recurring.join(_copies(light.drop("leaf", "need"), recurring), "body", "left").withColumn("text_id", F.coalesce("copy_of", "body"))
     several = counted.select("template", "need", "text_id").distinct().groupBy("template", "need").agg(F.count("*").alias("docs")).filter("docs >= need")
     return recurring.join(several.select("template"), "template", "left_semi").groupBy("body").agg(F.collect_set("place").alias("places"))
 
@@ -145,7 +189,7 @@ def _copies(lines: DataFrame, recurring: DataFrame) -> DataFrame:
     Of the texts of about the same length that hold a template, each is compared to the one with the smallest hash, and of
     these a text takes the one that leads most of it. The two are copies if lines they share are ``COPY`` of the longer.
     """
-    lines = store(lines.join(recurring.select("body").distinct(), "body", "left_semi").distinct(), "lines-beside")
+    lines = store(lines.join(recurring.select("body").distinct().hint("shuffle_hash"), "body", "left_semi").distinct(), "lines-beside")
     chars = store(lines.groupBy("body").agg(F.sum("chars").alias("whole")), "lengths")
     octave = F.log2(F.greatest(F.col("whole"), F.lit(1)))
     sizes = F.array(2 * F.floor(octave), 2 * F.floor(octave + 0.5) + 1)
@@ -156,7 +200,7 @@ def _copies(lines: DataFrame, recurring: DataFrame) -> DataFrame:
     pairs = store(each.groupBy("body").agg(F.max(F.struct("chars", "other")).alias("top")).select("body", "top.other"), "pairs")
     either = pairs.select("body").unionByName(pairs.select(F.col("other").alias("body"))).distinct()
     marks = lines.select("body", "place", "chars", F.col("whole_line").alias("mark")).unionByName(recurring.select("body", "place", "chars", F.col("template").alias("mark")))
-    marks = store(marks.join(either, "body", "left_semi").distinct(), "marks")
+    marks = store(marks.join(either, "body", "left_semi"), "marks")
     theirs = marks.select(F.col("body").alias("other"), "mark").distinct()
     shared = pairs.join(marks, "body").join(theirs, ["other", "mark"]).select("body", "other", "place", "chars").distinct()
     both = shared.groupBy("body", "other").agg(F.sum("chars").alias("shared")).join(chars, "body")
@@ -174,7 +218,7 @@ def drop_recurring(docs: DataFrame, text: str = "text", least_documents: int = L
     """
     drops = store(recurring_lines(docs, text, least_documents), "drops").select(F.struct("body", "places").alias("_drop"))
     rows = docs.drop(into).withColumn("_body", body_of(F.col(text)))
-    joined = rows.join(drops.hint("merge"), F.col("_body") == F.col("_drop.body"), "left")
+    joined = rows.join(drops.hint("shuffle_hash"), F.col("_body") == F.col("_drop.body"), "left")
     lines = F.split(F.col(text), "\n")
     kept = lambda found: F.array_except(F.sequence(F.lit(0), F.size(found) - 1), F.col("_drop.places"))
     cleaned = let(lines, lambda found: F.array_join(F.transform(kept(found), lambda i: F.get(found, i)), "\n"))

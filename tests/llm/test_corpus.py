@@ -161,6 +161,39 @@ def test_only_documents_like_one_other_are_copies(spark):
         assert got[i] == "\n".join(lines[-1:] if i < 20 else lines[:-1])
 
 
+def test_templates_are_voted_for_only_where_no_line_leads(spark, monkeypatch):
+    """Lines in half of the documents or more, pairs and votes, against the plain rule; the words of few templates are counted."""
+    rng = random.Random(5)
+    groups = {}
+    for leaf in range(150):
+        base = rng.choices("abcdef", k=10)
+        lines = {tuple(rng.choice("abcdef") if rng.random() < 0.35 else w for w in base): rng.choice([1, 1, 1, 2, 5]) for _ in range(1 + leaf % 5)}
+        groups[leaf] = (2 + leaf % 3, lines)
+    rows = [(leaf, i, need, docs, " ".join(words), [7]) for leaf, (need, lines) in groups.items() for i, (words, docs) in enumerate(lines.items())]
+    equal = spark.createDataFrame(rows, "leaf LONG, same LONG, need INT, docs LONG, words STRING, parts ARRAY<LONG>")
+    vote, voted = line_templates._voted, set()
+    monkeypatch.setattr(line_templates, "_voted", lambda lines: voted.update(r.leaf for r in lines.select("leaf").collect()) or vote(lines))
+    got = line_templates._instances(equal).collect()
+    wanted, open_ = set(), set()
+    for leaf, (need, lines) in groups.items():
+        total = sum(lines.values())
+        if total < max(need, 2):
+            continue
+        fixed = []
+        for i in range(10):
+            count = Counter()
+            for words, docs in lines.items():
+                count[words[i]] += docs
+            docs, word = max((d, w) for w, d in count.items())
+            fixed.append(word if 2 * docs >= total else None)
+        wanted |= {(leaf, k) for k, words in enumerate(lines) if agree(words, fixed)}
+        if len(lines) > 2 and 2 * max(lines.values()) <= total:
+            open_.add(leaf)
+    assert len(got) == len(wanted) and {(r.leaf, r.same) for r in got} == wanted
+    assert len({r.template for r in got}) == len({leaf for leaf, _ in wanted})
+    assert voted == open_ and 10 < len(open_) < 75
+
+
 def test_line_edges(spark, edge_docs, no_docs):
     got = line_templates.drop_recurring(edge_docs, into="kept")
     assert sorted(map(str, (r.text for r in got.collect()))) == sorted(map(str, (r.text for r in edge_docs.collect())))
