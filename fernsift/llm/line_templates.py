@@ -103,7 +103,7 @@ def _chosen(equal: DataFrame) -> DataFrame:
     """``leaf``, ``same``, ``need``, ``docs``, ``template``: the stretch of each line that most documents have, the first of several."""
     each = equal.select("leaf", "same", "need", "docs", F.posexplode("parts").alias("k", "part"))
     weight = each.groupBy("leaf", "k", "part").agg(F.sum("docs").alias("weight")).filter("weight > 1")
-    # numbers alone, so that they are summed up in place and not sorted
+    # one number for both, which is summed up in place and not sorted; it holds weights below 2**32, beyond that Spark's ANSI mode stops
     order = (F.col("weight") * F.lit(1 << 31) + (F.lit((1 << 31) - 1) - F.col("k"))).alias("order")
     sized = each.join(weight, ["leaf", "k", "part"]).select("leaf", "same", "need", "docs", order, F.xxhash64("leaf", -F.col("k"), "part").alias("template"))
     top = sized.groupBy("leaf", "same", "need", "docs").agg(F.max("order").alias("order"), F.max_by("template", "order").alias("template"))
