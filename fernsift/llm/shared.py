@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def file_system(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder that all executors share: a local mount, or whatever pyarrow can reach."""
+    if "://" not in folder:
+        return fs.LocalFileSystem(), folder.removeprefix("file:")
+    return fs.FileSystem.from_uri(folder)
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession, name)

@@ -25,14 +25,13 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fernsift.llm.bpe import safe_pieces
 from fernsift.llm.perfect_hash import PerfectHash, build, fingerprints, key_hashes
-from fernsift.llm.shared import column, pieces_of
+from fernsift.llm.shared import column, file_system, pieces_of
 
 #: Parts of a text that the vocabulary's pattern never joins: a word with the blank before it, the full stop or comma
 #: after a word of Latin letters, and all but the last of several blanks. Only for texts without other white space.
@@ -133,15 +132,8 @@ def encoder(file: str) -> Encoder:
     return Encoder(file)
 
 
-def _open(folder: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a folder that all executors share: a local mount, or whatever pyarrow can reach."""
-    if "://" not in folder:
-        return fs.LocalFileSystem(), folder.removeprefix("file:")
-    return fs.FileSystem.from_uri(folder)
-
-
 def _write_shard(folder: str, shard: int, rows: Iterator[tuple[object, Iterator[bytes]]], kind: np.dtype, end: int | None) -> dict | None:
-    files, path = _open(folder)
+    files, path = file_system(folder)
     name, mine = f"{shard:06d}", f"{path}/.{shard:06d}-{TaskContext.get().taskAttemptId()}"
     starts, keys, first_row, at = [0], [], [], 0
     tail = b"" if end is None else np.array([end], kind).tobytes()
@@ -195,7 +187,7 @@ def write(
     ranges, by default what the session's shuffle settings give.
     """
     spark = docs.sparkSession
-    files, path = _open(folder)
+    files, path = file_system(folder)
     files.create_dir(path, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +218,7 @@ class Shard:
     """One shard opened for reading."""
 
     def __init__(self, folder: str, told: dict):
-        files, path = _open(folder)
+        files, path = file_system(folder)
         with files.open_input_file(f"{path}/{told['shard']}.idx") as index:
             head = json.loads(index.read(int.from_bytes(index.read(8), "little")))
             self.starts = np.frombuffer(index.read(8 * (head["rows"] + 1)), "<u8").astype(np.int64)
@@ -254,7 +246,7 @@ class Reader:
     """Keyed access to a written folder; holds one open shard."""
 
     def __init__(self, folder: str):
-        files, path = _open(folder)
+        files, path = file_system(folder)
         with files.open_input_file(f"{path}/manifest.json") as f:
             self.manifest = json.loads(f.read())
         self.folder, self.at, self.shard = folder, -1, None

@@ -152,3 +152,27 @@ def test_vector_edges(spark):
     assert vector_dedup.dedup(none).count() == 0
     useless = spark.createDataFrame([(1, None), (2, [0.0, 0.0])], "vec_id LONG, embedding ARRAY<FLOAT>")
     assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in vector_dedup.dedup(useless).collect()} == {(1, 0, 1, True), (2, 0, 2, True)}
+
+
+def test_vectors_do_not_move_with_pairs(spark, monkeypatch):
+    """What compares pairs of runs is given their numbers; vectors near the bound are told apart as in double precision."""
+    made = {}
+
+    def noted(df, name, keep=vector_dedup.store):
+        made[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return keep(df, name)
+
+    monkeypatch.setattr(vector_dedup, "store", noted)
+    monkeypatch.setattr(vector_dedup, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    base, rows = rng.normal(size=24), []
+    for n in range(300):
+        side = rng.normal(size=24)
+        side -= side @ base / (base @ base) * base
+        angle = np.arccos(0.95 + (n % 7 - 3) * 1e-7)
+        rows.append((n, (np.cos(angle) * base / np.linalg.norm(base) + np.sin(angle) * side / np.linalg.norm(side)).astype(np.float32).tolist()))
+    rows.append((300, base.astype(np.float32).tolist()))
+    vectors = spark.createDataFrame(rows, "vec_id LONG, embedding ARRAY<FLOAT>")
+    got = vector_dedup.dedup(vectors).collect()
+    assert sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in got) == plain_vectors(rows)
+    assert "rows#" not in made["vector-links"] and "Join" not in made["vector-links"]
