@@ -11,6 +11,7 @@ from fernsift.functions import text as T
 from fernsift.functions.frames import BLOCK, running_sum, sliding
 from fernsift.operators.chains import FLAGS, advances, completes, echo_facts, echoes, ends_made, is_echo, steps_of
 from fernsift.operators.lines import is_eligible
+from fernsift.operators.rules import anchors
 
 # Words for values that come from outside, words for cleaning them, security words.
 USER_INPUT_WORDS = [
@@ -118,6 +119,19 @@ def context_tainted_vars(lines: DataFrame, window: int = 25) -> DataFrame:
 MARKS = 30  # chains in one number, two bits each
 
 
+def may_chain(text: Column, chains=CHAINS) -> Column:
+    """False only for whole texts in which no chain can hold: those that lack, for each chain, all literals that one of its steps requires."""
+
+    def needed(pattern: str) -> list[tuple[str, ...]]:
+        sets = {literals for step in steps_of(pattern) for literals in anchors(step)}
+        return sorted(sets, key=lambda s: (-min(map(len, s)), s))  # the rarest first
+
+    def has(low: Column, sets: list[tuple[str, ...]]) -> Column:
+        return reduce(lambda a, b: a & b, [T.any_of(F.contains(low, F.lit(w)) for w in s) for s in sets], F.lit(True))
+
+    return T.let(F.lower(text), lambda low: T.any_of([F.lit(False), *[has(low, needed(pattern)) for pattern, *_ in chains]]))
+
+
 def detect_chains(
     lines: DataFrame, chains=CHAINS, look_back: int = 10, block: int = BLOCK
 ) -> DataFrame:
@@ -183,8 +197,9 @@ def first_security_word(text: Column, words=SECURITY_WORDS) -> Column:
 def intel_keywords(lines: DataFrame, findings: DataFrame, words=SECURITY_WORDS) -> DataFrame:
     """One INFO finding for a line that has no other finding, has a security word and assigns."""
     text = F.col("text")
+    may_assign = T.any_of(F.contains(text, F.lit(w)) for w in (":", "=", "function", "const", "let", "var"))
     named = (
-        lines.filter(is_eligible(text) & text.rlike(ASSIGNS))
+        lines.filter(may_assign & text.rlike(ASSIGNS) & is_eligible(text))
         .withColumn("_word", first_security_word(text, words))
         .filter(F.col("_word").isNotNull())
     )

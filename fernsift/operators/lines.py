@@ -27,8 +27,8 @@ def explode_lines(sources: DataFrame, mode: str = "newline") -> DataFrame:
     if mode == "newline":
         parts = F.split("text", "\n", -1)
     else:
-        raw = F.split("text", UNIVERSAL_BREAK, -1)
-        parts = F.when(F.element_at(raw, -1) == "", F.slice(raw, 1, F.size(raw) - 1)).otherwise(raw)
+        without_last = lambda raw: F.when(F.element_at(raw, -1) == "", F.slice(raw, F.lit(1), F.size(raw) - 1)).otherwise(raw)
+        parts = T.let(F.split("text", UNIVERSAL_BREAK, -1), without_last)
     return sources.select("file", F.posexplode(parts).alias("_pos", "text")).select(
         "file", (F.col("_pos") + 1).alias("line"), "text"
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 from collections import defaultdict
 from collections.abc import Iterable
 
@@ -102,6 +103,50 @@ def _test(rule: Rule, skip: int = 0) -> str:
     return " AND ".join([*parts, f"text RLIKE {_text(FLAGS + rule.pattern)}"])
 
 
+#: Characters that most rules require, the rarer in prose the earlier. Those of letters, and those that end sentences, are not among them.
+MARKS = "`{}<>=$|\\^~@#*[]%&+_;/():\"'"
+
+
+def _run(pattern: str) -> int:
+    """The length of a run of ASCII letters and digits that every match has, by repeated classes outside of groups; 0 if there is none."""
+    inside = lambda lo, hi: any(a <= lo and hi <= b for a, b in ((48, 57), (65, 90), (97, 122)))
+    longest = 0
+    for op, arg in _parser.parse(pattern):
+        if op in (_c.MAX_REPEAT, _c.MIN_REPEAT) and len(arg[2]) == 1 and arg[2][0][0] is _c.IN:
+            spans = [(a, a) if kind is _c.LITERAL else a if kind is _c.RANGE else (0, 0) for kind, a in arg[2][0][1]]
+            longest = max(longest, arg[0] if all(inside(*x) for x in spans) else 0)
+    return longest
+
+
+def may_match(text: Column, rules: Iterable[Rule]) -> Column:
+    """False only where no line of a text can match any of the rules.
+
+    A rule's matches have one literal of each of its sets. Where all literals of a set have a mark in them, one mark of each stands for the
+    set, and one pass looks for the marks of all rules. Rules with short literals that require a long run of letters and digits
+    share a second pass, which looks for the shortest of these; the literals of the others are looked for one by one. So a line of prose
+    mostly gets by without the pass over all literals, and a line of code is let through by its first mark.
+    """
+    marks, runs, words = set(), set(), set()
+    for rule in rules:
+        sets = anchors(rule.pattern)
+        if not sets:
+            return F.lit(True)
+        marked = [{min((c for c in w if c in MARKS), key=MARKS.index, default="") for w in literals} for literals in sets]
+        marked = [m for m in marked if "" not in m]
+        if marked:
+            marks |= min(marked, key=lambda m: max(map(MARKS.index, m)))
+        elif min(map(len, sets[0])) < 4 and _run(rule.pattern) >= 12:
+            runs.add(_run(rule.pattern))
+        else:
+            words |= set(sets[0])
+    words = sorted(w for w in words if not any(o != w and o in w for o in words))
+    tests = [text.rlike("[" + "".join("\\" + c for c in sorted(marks)) + "]")] if marks else []
+    one = f"[{string.ascii_letters}{string.digits}]"  # Java looks up listed characters faster than ranges
+    tests += [text.rlike(f"(?<!{one}){one}{{{min(runs)}}}")] if runs else []
+    tests += [T.let(F.lower(text), lambda low: T.any_of(F.contains(low, F.lit(w)) for w in words))] if words else []
+    return T.any_of(tests) if tests else F.lit(False)
+
+
 def _grouped(rules: Iterable[Rule]) -> list[tuple[tuple[str, ...], list[Rule]]]:
     """Rules by their most selective literals; the rules without literals come under ()."""
     groups = defaultdict(list)
@@ -268,12 +313,12 @@ def scan_rules(
     Adds ``rule_id``, ``family``, ``base_severity`` and, for credential rules, ``matched``. Rules may be a table (see
     ``rule_index``): then they are data and not part of the plan, so there may be tens of thousands.
     """
-    if eligible_only:
-        lines = lines.filter(is_eligible(F.col("text")))
+    eligible = is_eligible(F.col("text")) if eligible_only else F.lit(True)
     if isinstance(rules, DataFrame):
-        return _scan_table(lines, rules)
+        return _scan_table(lines.filter(eligible), rules)
     rules = list(default_rules() if rules is None else rules)
     groups = _grouped(rules)
+    lines = lines.filter(may_match(F.col("text"), rules) & eligible)
     return (
         lines.withColumn("_lower", F.lower("text"))
         .withColumn("_present", _present(groups))

@@ -30,6 +30,13 @@ def parameter_name(piece: Column) -> Column:
     return T.strip(F.element_at(F.split(bare, ":"), -1))
 
 
+def may_flow(text: Column) -> Column:
+    """False only for whole texts without a flow: those that have no sink word, or neither a declaration nor a header by their literals."""
+    has = lambda *words: T.any_of(F.contains(text, F.lit(w)) for w in words)
+    declares = has("=") & has("var", "let", "const")
+    return (declares | (has("(") & has("function"))) & T.contains_any(text, FLOW_SINKS, ignore_case=True)
+
+
 def flow_scan_single_pass(lines: DataFrame, max_lines: int | None = None) -> DataFrame:
     """Flows of each file, as findings ``TAINT_FLOW_HIGH``; of its first ``max_lines`` lines where that is given.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fernsift.functions.fixpoint import pin
 from fernsift.operators import taint as taint_flow
 from fernsift.operators.backtrack import BACKTRACK_SINKS, BACKTRACK_SOURCES, backtrack, enrich_with_backtrack
-from fernsift.operators.context import CHAINS, detect_chains, intel_keywords, line_context
+from fernsift.operators.context import CHAINS, detect_chains, intel_keywords, line_context, may_chain
 from fernsift.operators.cspt import cspt_scan
 from fernsift.operators.decode import apply_decoded
 from fernsift.operators.dom import CWE, dom_context
@@ -18,24 +18,40 @@ from fernsift.operators.messaging import postmessage_findings
 from fernsift.operators.rule_catalog import default_rules
 from fernsift.operators.rules import dedup_line_findings, rule_findings, scan_rules, scan_structural_rules, scan_texts
 from fernsift.operators.secrets import promote_secrets, scan_secrets
-from fernsift.operators.single_pass import flow_scan_single_pass
+from fernsift.operators.single_pass import flow_scan_single_pass, may_flow
 from fernsift.sources import store as tables
 
 
+MOST_FILES = 500_000  # files whose hashes are sent to every executor
+
+
+def _of_files(lines: DataFrame, hits: DataFrame) -> DataFrame:
+    """The lines of files that have hits; all lines if too many files have some to be sent around.
+
+    Files are told by a hash, so a few lines of other files may be among them.
+    """
+    files = pin(hits.select(F.xxhash64("file").alias("_of")).distinct())
+    if files.count() > MOST_FILES:
+        return lines
+    return lines.join(F.broadcast(files), F.xxhash64("file") == F.col("_of"), "left_semi")
+
+
 def scan_v2(sources: DataFrame, rules=None, window: int = 25, chains=CHAINS, scope: str = "line") -> DataFrame:
     """Line rules with their surroundings, chains, security words and single-pass flows.
 
     (file, line, type, severity, evidence, phase). With ``scope="rule"`` the rules that are written to span lines are
     matched against whole texts, and credited to the line on which a match begins; else all are matched against lines.
     Rules given as a table are matched against lines. Texts are written to the shared folder once, as every part reads them.
+    Flows and chains are looked for in texts that have the words they need, surroundings in files that have hits.
     """
     as_table = isinstance(rules, DataFrame)
     if as_table and scope == "rule":
         raise ValueError("rules that span lines are given as a list, not as a table")
     sources = pin(sources)
-    lines = explode_lines(sources, mode="universal")
+    lines_of = lambda texts: explode_lines(texts, mode="universal")
+    lines = lines_of(sources)
     shape = ["file", "line", "type", "severity", "evidence"]
-    flows = flow_scan_single_pass(lines).select(*shape, F.lit(0).alias("phase"))
+    flows = flow_scan_single_pass(lines_of(sources.filter(may_flow(F.col("text"))))).select(*shape, F.lit(0).alias("phase"))
     if not as_table:
         rules = default_rules() if rules is None else list(rules)
     hits = scan_rules(lines, rules if as_table else [r for r in rules if scope == "line" or r.scope == "line"])
@@ -44,11 +60,11 @@ def scan_v2(sources: DataFrame, rules=None, window: int = 25, chains=CHAINS, sco
         family = F.element_at(F.split("rule_id", "_"), 1).alias("family")
         spanning = spanning.select("file", "line", "rule_id", family, "base_severity", "matched")
         hits = hits.unionByName(spanning.join(lines, ["file", "line"]).select(*hits.columns))
-    hits = dedup_line_findings(hits).drop("finding_key")
-    by_rule = rule_findings(hits.join(line_context(lines, window), ["file", "line"])).select(
+    hits = pin(dedup_line_findings(hits).drop("finding_key"))
+    by_rule = rule_findings(hits.join(line_context(_of_files(lines, hits), window), ["file", "line"])).select(
         *shape, F.lit(1).alias("phase")
     )
-    linked = detect_chains(lines, chains).select(*shape, F.lit(2).alias("phase"))
+    linked = detect_chains(lines_of(sources.filter(may_chain(F.col("text"), chains))), chains).select(*shape, F.lit(2).alias("phase"))
     found = pin(flows.unionByName(by_rule).unionByName(linked))
     words = intel_keywords(lines, found).select(*shape, F.lit(3).alias("phase"))
     return found.unionByName(words)
